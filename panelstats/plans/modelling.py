@@ -1,2 +1,163 @@
-"""Model keys (filled in below)."""
-MODEL_QUERIES: dict = {}
+"""Model keys over the lineitem profile joined with the class table.
+
+They have no SQL oracle: the driver checks their row counts, and ``tests/test_models.py``
+checks their properties (split shares, fold balance, local accuracy of attributions,
+save/load equality).  Compute budgets (trees, candidates) are fixed here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelstats import constants as K
+from panelstats.functions.labels import ordinal_label
+from panelstats.operators import metrics, model, sampling, thematic, treeshap, trees
+from panelstats.operators.profile import feature_ranges
+from panelstats.plans import fixtures as fx
+from panelstats.plans.catalog import MEANS, _scored_classes
+from panelstats.plans.fixtures import round_doubles
+from panelstats.session import reliable_checkpoint, shared_path
+
+BOOSTED_FEATURES = MEANS                                     # the four mean scores
+TREE_FEATURES = ["l_quantity_mean", "l_discount_mean", "l_tax_mean"]
+GBT = dict(maxIter=20, maxDepth=4, stepSize=0.3, seed=K.SEARCH_SEED)
+SEARCH_SPACE = {                                              # the reference space, depth capped for run time
+    "max_depth": ("int", 2, 6),
+    "colsample_bytree": ("uniform", 0.1, 1.0),
+    "scale_pos_weight": ("uniform", 1.0, 50.0),
+    "learning_rate": ("log-uniform", 1e-4, 1.0),
+}
+SEARCH_CANDIDATES, SEARCH_TREES, FOLDS = 4, 10, K.N_FOLDS
+
+
+def _points(spark, sf) -> DataFrame:
+    """Per-point features, class, binary and ordinal labels, checkpointed once because
+    every model reads them many times."""
+    x = _scored_classes(spark, sf).withColumn(
+        "ordinal", ordinal_label("class", fx.PRIORITY_ORDER).cast("double"))
+    x = x.withColumn("label", F.col("label").cast("double"))
+    return reliable_checkpoint(x.select("point_id", "class", "label", "ordinal", *MEANS))
+
+
+def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
+    s = sampling.stratified_split(points, "point_id", cls, K.TEST_SHARE, K.SPLIT_SEED)
+    s = reliable_checkpoint(s)
+    return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
+
+
+def _binary(spark, sf):
+    points = _points(spark, sf)
+    train, test = _split(points, "label")
+    return points, train, test, model.fit_boosted(train, BOOSTED_FEATURES, "label", **GBT)
+
+
+def _report(m, test, label) -> DataFrame:
+    scored = m.transform(test)
+    return round_doubles(metrics.classification_report(scored.withColumn("prediction", F.col("prediction").cast("int"))
+                                                       .withColumn(label, F.col(label).cast("int")),
+                                                       label, "prediction"))
+
+
+def tree_multiclass(spark, sf):
+    points = _points(spark, sf)
+    train, test = _split(points, "ordinal")
+    m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
+    return _report(m, test, "ordinal")
+
+
+def boosted_binary(spark, sf):
+    _, _, test, m = _binary(spark, sf)
+    return _report(m, test, "label")
+
+
+def boosted_multiclass(spark, sf):
+    points = _points(spark, sf)
+    train, test = _split(points, "ordinal")
+    m = model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5,
+                                     maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.9)
+    return _report(m, test, "ordinal")
+
+
+def tune_boosted(spark, sf):
+    points = _points(spark, sf)
+    train, _ = _split(points, "label")
+    folds = reliable_checkpoint(sampling.stratified_folds(train, "point_id", "label", FOLDS, K.SPLIT_SEED))
+    _, table = model.tune_boosted(folds, BOOSTED_FEATURES, "label", "fold", FOLDS, SEARCH_SPACE,
+                                  SEARCH_CANDIDATES, K.SEARCH_SEED, SEARCH_TREES, parallelism=4)
+    return round_doubles(table)
+
+
+def cv_accuracy(spark, sf):
+    points = _points(spark, sf)
+    folds = reliable_checkpoint(sampling.stratified_folds(points, "point_id", "ordinal", FOLDS, K.SPLIT_SEED))
+
+    def fit(train):
+        return model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5,
+                                            maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.9)
+
+    per_fold = model.cross_validate(folds, BOOSTED_FEATURES, "ordinal", fit, FOLDS)
+    return round_doubles(metrics.mean_over_folds(per_fold, "accuracy", "mean_accuracy"))
+
+
+def score_points(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    return round_doubles(model.score(m, points, ["point_id", "label"]))
+
+
+def score_rows(spark, sf):
+    """Form-style inputs derived from the data: every feature at its minimum, mean and
+    maximum over the points (the form's slider bounds and defaults), scored."""
+    points, _, _, m = _binary(spark, sf)
+    r = feature_ranges(points, BOOSTED_FEATURES)
+    rows = r.groupBy().pivot("feature", BOOSTED_FEATURES).agg(F.first("min").alias("min"), F.first("mean").alias("mean"),
+                                                               F.first("max").alias("max"))
+    cases = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("case"), *[F.col(f"{f}_{kind}").alias(f) for f in BOOSTED_FEATURES])
+        for kind in ("min", "mean", "max")])).alias("c")).select("c.*")
+    return round_doubles(model.score(m, cases, ["case", *BOOSTED_FEATURES]))
+
+
+def model_roundtrip(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    loaded = model.load_model(model.save_model(m, shared_path(spark, "models", "boosted_binary")))
+    return round_doubles(model.score(loaded, points, ["point_id", "label"]))
+
+
+def feature_importance(spark, sf):
+    _, _, _, m = _binary(spark, sf)
+    return round_doubles(model.feature_importance(m, BOOSTED_FEATURES))
+
+
+def tree_rules(spark, sf):
+    points = _points(spark, sf)
+    train, _ = _split(points, "ordinal")
+    m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
+    return trees.tree_rules(spark, m.stages[-1], TREE_FEATURES)
+
+
+def attribute_points(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    return treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES)
+
+
+def thematic_points(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    scored = model.score(m, points, ["point_id"])
+    return round_doubles(thematic.thematic_table(scored, fx.classes(spark, sf), "point_id"))
+
+
+MODEL_QUERIES = {
+    "tree_multiclass": tree_multiclass,
+    "boosted_binary": boosted_binary,
+    "boosted_multiclass": boosted_multiclass,
+    "tune_boosted": tune_boosted,
+    "cv_accuracy": cv_accuracy,
+    "score_points": score_points,
+    "score_rows": score_rows,
+    "model_roundtrip": model_roundtrip,
+    "feature_importance": feature_importance,
+    "tree_rules": tree_rules,
+    "attribute_points": attribute_points,
+    "thematic_points": thematic_points,
+}
