@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 
 from panelstats.functions.repair import nan_to_null
 from panelstats.operators.ranking import exact_quantiles
-from panelstats.session import maybe_broadcast, small_table
+from panelstats.session import maybe_broadcast, reliable_checkpoint, small_table
 
-_BOX = [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]
+_BOX = [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")]
 
 
-def _box_input(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    # rows without a group are not drawn (pandas/seaborn drop NaN categories)
-    src = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v"))
+def _box_input(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The narrow ``(keep, by, _v)`` input, checkpointed once: every later pass (ranking,
+    whiskers, outliers) reads it instead of recomputing the upstream profile and joins.
+    Rows without a group or without a value are not drawn (pandas/seaborn drop them)."""
+    cols = list(keep) + [g for g in by if g not in keep]
+    src = df.select(*cols, nan_to_null(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
     for g in by:
         src = src.where(F.col(g).isNotNull())
-    return src
+    return reliable_checkpoint(src)
 
 
 def _fences(src: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
-    counts = src.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("min"),
-                                  F.max("_v").alias("max"))
+    """Per group: n, min, quartiles, max (one ranked pass) and the whisker fences."""
     q = exact_quantiles(src, by, "_v", [p for p, _ in _BOX], prob_col="_p", out_col="_q")
-    wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name)
-                                for p, name in _BOX])
-    stats = counts.join(wide, list(by), "left")
+    stats = q.groupBy(*by).agg(F.max("group_n").alias("n"),
+                               *[F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name) for p, name in _BOX])
     iqr = F.col("q3") - F.col("q1")
     return stats.select(*by, "n", "min", "q1", "median", "q3", "max", iqr.alias("iqr"),
                         (F.col("q1") - F.lit(whis) * iqr).alias("lower_fence"),
@@ -38,19 +39,19 @@ def _fences(src: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
 def box_stats(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
     """Box-plot statistics of ``value`` per group.
 
-    Quartiles are exact, interpolated at ``(n-1)p`` (seaborn/matplotlib).  Whiskers are
-    the most extreme values inside ``[q1 - whis*iqr, q3 + whis*iqr]``.  One row per group:
-    ``n min q1 median q3 max iqr lower_fence upper_fence whisker_low whisker_high
-    n_outliers``.  The per-group table is joined back by broadcast only after its row
-    count is checked.
+    Quartiles are exact, interpolated at ``(n-1)p`` (seaborn/matplotlib), and computed
+    with the distributed ranking, so a group holding most rows is never gathered in one
+    task.  Whiskers are the most extreme values inside ``[q1 - whis*iqr, q3 + whis*iqr]``.
+    One row per group with values: ``n min q1 median q3 max iqr lower_fence upper_fence
+    whisker_low whisker_high n_outliers``.  The per-group table is joined back by
+    broadcast only after its row count is checked.
     """
     by = list(by)
     src = _box_input(df, by, value)
     fences, small = small_table(_fences(src, by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
     inside = (F.col("_v") >= F.col("lower_fence")) & (F.col("_v") <= F.col("upper_fence"))
-    whiskers = (src.where(F.col("_v").isNotNull())
-                   .join(maybe_broadcast(f, small), by, "inner")
+    whiskers = (src.join(maybe_broadcast(f, small), by, "inner")
                    .groupBy(*by)
                    .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
                         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
@@ -65,13 +66,10 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[st
                  whis: float = 1.5) -> DataFrame:
     """Every row outside its group's fences, with the fences and the side."""
     by = list(by)
-    src = df.select(*keep, *[g for g in by if g not in keep],
-                    nan_to_null(F.col(value).cast("double")).alias("_v"))
-    for g in by:
-        src = src.where(F.col(g).isNotNull())
+    src = _box_input(df, by, value, keep)
     fences, small = small_table(_fences(src.select(*by, "_v"), by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
-    rows = src.where(F.col("_v").isNotNull()).join(maybe_broadcast(f, small), by, "inner")
+    rows = src.join(maybe_broadcast(f, small), by, "inner")
     side = F.when(F.col("_v") < F.col("lower_fence"), F.lit("low")).when(
         F.col("_v") > F.col("upper_fence"), F.lit("high"))
     return (rows.where(side.isNotNull())

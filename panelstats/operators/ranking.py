@@ -1,8 +1,10 @@
 """Exact positions inside groups that a hot group cannot serialise (used by splits,
 folds and quantiles).
 
-``row_number().over(partitionBy(g))`` sends each group to one task, so a class holding a
-third of the rows would be sorted by a single task.  Here the rows are range-partitioned
+Group sizes are counted first (one partial aggregate).  When the largest group fits in
+one task (``task_limit`` rows), ``row_number().over(partitionBy(g))`` and Spark's exact
+``percentile`` are used: each group is then handled by a single task, which that bound
+makes safe.  Beyond it — a class holding a third of 100 TB — the rows are range-partitioned
 on ``(group, order)`` instead: Spark samples the keys and cuts even ranges, so a large
 group is spread over many tasks.  Within a task rows come out sorted, so the position of a
 row inside its group is
@@ -24,13 +26,23 @@ from pyspark.sql import functions as F
 
 from panelstats.session import maybe_broadcast, reliable_checkpoint, small_table
 
+# Rows of one group that one task may sort or hold as a value->count map.
+TASK_LIMIT = 1_000_000
+
+
+def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, bool, int]:
+    """``(sizes table, small enough to broadcast, largest group)``; one partial aggregate."""
+    sizes, small = small_table(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("group_n")))
+    biggest = sizes.agg(F.max("group_n")).first()[0] or 0
+    return sizes, small, int(biggest)
+
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Column]:
     return [left[a].eqNullSafe(right[b]) for a, b in pairs]
 
 
 def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                     rank_col: str = "rank") -> tuple[DataFrame, DataFrame]:
+                     rank_col: str = "rank", task_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Add the exact 1-based position of each row inside its group under ``order_cols``.
 
     Returns ``(rows with rank_col, group sizes)``; the sizes table has the group columns
@@ -38,6 +50,16 @@ def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     equal on every order column get consecutive positions in an arbitrary order.
     """
     group_cols = list(group_cols)
+    sizes, _, biggest = group_sizes(df, group_cols)
+    if biggest <= (TASK_LIMIT if task_limit is None else task_limit):
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        ranked = df.select("*", F.row_number().over(w).cast("long").alias(rank_col),
+                           F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).alias("group_n"))
+        return ranked, sizes
+    return _ranked_by_range(df, group_cols, order_cols, rank_col)
+
+
+def _ranked_by_range(df: DataFrame, group_cols: list[str], order_cols, rank_col: str):
     ordered = df.orderBy(*[F.col(g).asc_nulls_first() for g in group_cols], *order_cols)
     tagged = reliable_checkpoint(ordered.select(
         "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
@@ -67,24 +89,36 @@ def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], prob_col: str = "p", out_col: str = "value") -> DataFrame:
+                    probs: Sequence[float], prob_col: str = "p", out_col: str = "value",
+                    task_limit: int | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation at ``(n - 1) p`` (type 7).
 
     Equal to Spark ``percentile`` and DuckDB ``quantile_cont`` on doubles, but no group is
     ever gathered into one task's memory: only the two rows around each target position
     are picked out of the distributed ranks.  NULL and NaN values are ignored.
-    Output: group columns, ``p``, ``value`` (one row per group and probability).
+    Output: group columns, ``p``, ``value`` and the group's value count ``group_n`` (one
+    row per group and probability; groups without values are absent).  ``p = 0`` and
+    ``p = 1`` give the minimum and maximum.
     """
     group_cols = list(group_cols)
     v = F.col(value_col)
     vals = df.select(*group_cols, v.cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked, sizes = ranked_in_groups(vals, group_cols, [F.col("_v")], rank_col="_rank")
+    sizes, _, biggest = group_sizes(vals, group_cols)
+    if biggest <= (TASK_LIMIT if task_limit is None else task_limit):
+        qs = vals.groupBy(*group_cols).agg(
+            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
+            F.count(F.lit(1)).alias("group_n"))
+        return qs.select(*group_cols, F.explode(F.arrays_zip(
+            F.array(*[F.lit(float(p)) for p in probs]).alias(prob_col), F.col("_qs").alias(out_col))).alias("_z"),
+            "group_n").select(*group_cols, F.col(f"_z.{prob_col}").alias(prob_col),
+                              F.col(f"_z.{out_col}").alias(out_col), "group_n")
+    ranked, sizes = _ranked_by_range(vals, group_cols, [F.col("_v")], "_rank")
 
     pos = F.lit(1.0) + (F.col("group_n") - 1) * F.col(prob_col)
     targets = (sizes.select(*group_cols, "group_n",
                             F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias(prob_col))
-                    .select(*group_cols, prob_col, F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
+                    .select(*group_cols, prob_col, "group_n", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
                             (pos - F.floor(pos)).alias("_frac")))
     targets, small = small_table(targets)
     wanted = (targets.select(*[F.col(g).alias(f"_tg{i}") for i, g in enumerate(group_cols)],
@@ -103,4 +137,5 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
            .join(hi, [targets["_hi"] == hi["_hrank"]] + _null_safe(
                targets, hi, [(g, f"_hg{i}") for i, g in enumerate(group_cols)]), "inner"))
     return out.select(*[targets[g] for g in group_cols], targets[prob_col],
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out_col))
+                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out_col),
+                      targets["group_n"])

@@ -116,7 +116,7 @@ def box_sql(ctes, src: str, by, value: str) -> str:
     inside = "(v >= lower_fence AND v <= upper_fence)"
     rnd = lambda e, a: f"ROUND({e}, {D}) AS \"{a}\""
     return with_(*ctes,
-                 f"src AS (SELECT {b}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {nn})",
+                 f"src AS (SELECT {b}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {nn} AND {value} IS NOT NULL)",
                  f"st AS (SELECT {b}, COUNT(v) AS n, MIN(v) AS mn, MAX(v) AS mx, QUANTILE_CONT(v, 0.25) AS q1, "
                  f"QUANTILE_CONT(v, 0.5) AS med, QUANTILE_CONT(v, 0.75) AS q3 FROM src GROUP BY {b})",
                  "f AS (SELECT *, q3 - q1 AS iqr, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower_fence, "

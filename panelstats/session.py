@@ -69,11 +69,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def small_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
     """Materialise a derived table once and say whether it may be broadcast.
 
-    The table is checkpointed (computed once, lineage cut) and counted; the caller
-    broadcasts it only when the count is within ``limit`` and otherwise lets Spark
-    shuffle-join it.
+    Used for tables derived from an already checkpointed input (so a lost cached block
+    is recomputed deterministically and cheaply).  The table is cached and counted; the
+    caller broadcasts it only when the count is within ``limit`` and otherwise lets
+    Spark shuffle-join it.
     """
-    df = reliable_checkpoint(df)
+    df = df.cache()
     return df, df.count() <= limit
 
 

@@ -1,19 +1,30 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelstats.operators import ranking
+
 from panelstats.operators.distribution import (box_outliers, box_stats, correlation_matrix, guarded_melt,
                                                scatter_bins)
 from panelstats.operators.ranking import exact_quantiles, ranked_in_groups
 
 
-def test_quartiles_interpolate_at_n_minus_1(spark):
+@pytest.fixture(params=["one-task", "range-partitioned"])
+def path(request, monkeypatch):
+    """Run a test on both ranking paths: per-group task, and distributed ranking."""
+    if request.param == "range-partitioned":
+        monkeypatch.setattr(ranking, "TASK_LIMIT", 0)
+    return request.param
+
+
+def test_quartiles_interpolate_at_n_minus_1(spark, path):
     df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 10, 20]], "g string, v double")
     q = {r["p"]: r["value"] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
     assert q == {0.25: 2.25, 0.5: 3.5, 0.75: 8.5}
 
 
-def test_box_stats_whiskers_and_outliers(spark):
+def test_box_stats_whiskers_and_outliers(spark, path):
     vals = [1, 2, 3, 4, 10, 20]
     df = spark.createDataFrame([(i, "g", float(v)) for i, v in enumerate(vals)], "i int, g string, v double")
     r = box_stats(df, ["g"], "v").collect()[0]
@@ -24,7 +35,7 @@ def test_box_stats_whiskers_and_outliers(spark):
     assert [(o["i"], o["side"]) for o in out] == [(5, "high")]
 
 
-def test_quantiles_match_spark_percentile_and_survive_skew(spark):
+def test_quantiles_match_spark_percentile_and_survive_skew(spark, path):
     rnd = random.Random(7)
     # one class holds most rows; ties included
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + \
@@ -38,7 +49,7 @@ def test_quantiles_match_spark_percentile_and_survive_skew(spark):
             assert abs(ours[(r["g"], p)] - v) < 1e-9
 
 
-def test_rank_equals_row_number(spark):
+def test_rank_equals_row_number(spark, path):
     from pyspark.sql import Window
     rows = [(i % 3, (i * 7919) % 1000, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, o int, k int")
@@ -49,7 +60,7 @@ def test_rank_equals_row_number(spark):
     assert {r["g"]: r["group_n"] for r in sizes.collect()} == {0: 667, 1: 667, 2: 666}
 
 
-def test_same_result_for_1_and_64_partitions(spark):
+def test_same_result_for_1_and_64_partitions(spark, path):
     df = spark.createDataFrame([(i % 4, float((i * 31) % 97)) for i in range(800)], "g int, v double")
     results = []
     for n in (1, 64):
