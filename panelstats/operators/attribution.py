@@ -41,6 +41,15 @@ def attribution_path(contrib: DataFrame, id_col: str = "id", feature: str = "fea
                           running.alias("logodds"), sigmoid(running).alias("probability"))
 
 
+def _path_with_base(contrib, id_col, feature, base, contribution):
+    order = [F.abs(F.col(contribution)), F.col(feature)]
+    w = Window.partitionBy(id_col).orderBy(*order)
+    running = F.col(base) + F.sum(contribution).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return contrib.select(id_col, F.row_number().over(w).alias("step"), feature, contribution,
+                          running.alias("logodds"), sigmoid(running).alias("probability"),
+                          F.col(base).alias("_base"))
+
+
 _FIELD = re.compile(r"\{(\w+)\}")
 
 
@@ -68,19 +77,19 @@ def attribution_text(contrib: DataFrame, id_col: str = "id", feature: str = "fea
     decrease); amounts are absolute values with two decimals, probabilities percentages
     with two decimals.
     """
-    path = attribution_path(contrib, id_col, feature, base, contribution)
+    path = _path_with_base(contrib, id_col, feature, base, contribution)
     step = fill(text_step, feature=F.col(feature),
                 direction=F.when(F.col(contribution) > 0, F.lit(up)).otherwise(F.lit(down)),
                 amount=format_fixed(F.abs(F.col(contribution))),
                 prob=format_percent(F.col("probability")))
-    steps = path.select(id_col, F.struct("step", step.alias("s")).alias("_st"), "logodds", "step")
+    steps = path.select(id_col, F.struct("step", step.alias("s")).alias("_st"), "logodds", "step", "_base")
+    # the window above already clustered rows by id, so this aggregate adds no shuffle
     per_id = steps.groupBy(id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_st")), lambda x: x["s"]), " ").alias("_steps"),
-        F.max_by("logodds", "step").alias("_final"))
-    bases = contrib.groupBy(id_col).agg(F.max(base).alias("_base"))
+        F.max_by("logodds", "step").alias("_final"), F.max("_base").alias("_base"))
     head = fill(text_base, base=format_fixed(F.col("_base")), prob=format_percent(sigmoid(F.col("_base"))))
     tail = fill(text_final, prob=format_percent(sigmoid(F.col("_final"))))
-    return per_id.join(bases, id_col).select(id_col, F.concat_ws(" ", head, "_steps", tail).alias("text"))
+    return per_id.select(id_col, F.concat_ws(" ", head, "_steps", tail).alias("text"))
 
 
 def attribution_summary(contrib: DataFrame, feature: str = "feature", value: str = "value",

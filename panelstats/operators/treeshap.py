@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from panelstats.operators.model import prepared
 from panelstats.operators.trees import Leaf, leaves, node_table
+from panelstats.session import spread_rows
 
 
 def gbt_leaves(spark, gbt_model) -> list[Leaf]:
@@ -46,31 +47,52 @@ def expected_value(ls: Sequence[Leaf]) -> float:
     return float(sum(lf.value * float(np.prod(lf.z)) for lf in ls))
 
 
+def leaf_arrays(ls: Sequence[Leaf]) -> list[tuple]:
+    """Leaves as plain ``(value, features, lo, hi, z)`` numpy tuples: what the executors
+    receive, so they need nothing from this package."""
+    return [(float(lf.value), np.asarray(lf.features, dtype=np.int64), np.asarray(lf.lo, dtype=float),
+             np.asarray(lf.hi, dtype=float), np.asarray(lf.z, dtype=float)) for lf in ls if lf.features]
+
+
+def _make_kernel():
+    # Built inside a factory so that cloudpickle ships the function by value: Python
+    # workers run it without importing this package.
+    def shap_batch(X, table):
+        n = X.shape[0]
+        phi = np.zeros(X.shape, dtype=float)
+        weights = {}
+        for value, cols, lo, hi, z in table:
+            m = len(cols)
+            if m not in weights:
+                weights[m] = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+            w = weights[m]
+            xs = X[:, cols]
+            o = ((xs > lo) & (xs <= hi)).astype(float)
+            for i in range(m):
+                c = np.zeros((n, m))
+                c[:, 0] = 1.0
+                deg = 0
+                for j in range(m):
+                    if j == i:
+                        continue
+                    c[:, 1:deg + 2] = c[:, 1:deg + 2] * z[j] + c[:, :deg + 1] * o[:, j:j + 1]
+                    c[:, 0] *= z[j]
+                    deg += 1
+                phi[:, cols[i]] += value * (o[:, i] - z[i]) * (c @ w)
+        return phi
+    return shap_batch
+
+
+_shap_batch = _make_kernel()
+
+
 def shap_values(X: np.ndarray, ls: Sequence[Leaf]) -> np.ndarray:
     """Attribution matrix (rows x features) for a batch of rows."""
-    n, _ = X.shape
-    phi = np.zeros_like(X, dtype=float)
-    for lf in ls:
-        m = len(lf.features)
-        if m == 0:
-            continue
-        cols = np.asarray(lf.features)
-        xs = X[:, cols]
-        o = ((xs > np.asarray(lf.lo)) & (xs <= np.asarray(lf.hi))).astype(float)
-        z = np.asarray(lf.z, dtype=float)
-        w = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-        for i in range(m):
-            c = np.zeros((n, m))
-            c[:, 0] = 1.0
-            deg = 0
-            for j in range(m):
-                if j == i:
-                    continue
-                c[:, 1:deg + 2] = c[:, 1:deg + 2] * z[j] + c[:, :deg + 1] * o[:, j:j + 1]
-                c[:, 0] *= z[j]
-                deg += 1
-            phi[:, cols[i]] += lf.value * (o[:, i] - z[i]) * (c @ w)
-    return phi
+    return _shap_batch(X, leaf_arrays(ls))
+
+
+# rows one Python task explains; sets the minimum number of tasks for the job
+ROWS_PER_TASK = 100_000
 
 
 def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
@@ -84,9 +106,13 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequen
     prep = PipelineModel(stages=model.stages[:-1]).transform(df)
     cols = [prepared(f) for f in features]
     src = prep.select(id_col, *cols)
+    # the work per row is CPU-heavy Python, so size tasks by rows, not by bytes
+    src = spread_rows(src, ROWS_PER_TASK)
+    sc = spark.sparkContext
     ls = gbt_leaves(spark, model.stages[-1])
     base = expected_value(ls)
-    bc = spark.sparkContext.broadcast(ls)
+    bc = sc.broadcast(leaf_arrays(ls))
+    kernel = _shap_batch
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -96,7 +122,7 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequen
             if pdf.empty:
                 continue
             X = pdf[cols].to_numpy(dtype=float)
-            phi = shap_values(X, table)
+            phi = kernel(X, table)
             k = len(features)
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), k),

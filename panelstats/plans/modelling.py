@@ -17,7 +17,7 @@ from panelstats.operators.profile import feature_ranges
 from panelstats.plans import fixtures as fx
 from panelstats.plans.catalog import MEANS, _scored_classes
 from panelstats.plans.fixtures import round_doubles
-from panelstats.session import reliable_checkpoint, shared_path
+from panelstats.session import reliable_checkpoint, shared_path, spread_rows
 
 BOOSTED_FEATURES = MEANS                                     # the four mean scores
 TREE_FEATURES = ["l_quantity_mean", "l_discount_mean", "l_tax_mean"]
@@ -37,7 +37,8 @@ def _points(spark, sf) -> DataFrame:
     x = _scored_classes(spark, sf).withColumn(
         "ordinal", ordinal_label("class", fx.PRIORITY_ORDER).cast("double"))
     x = x.withColumn("label", F.col("label").cast("double"))
-    return reliable_checkpoint(x.select("point_id", "class", "label", "ordinal", *MEANS))
+    x = reliable_checkpoint(x.select("point_id", "class", "label", "ordinal", *MEANS))
+    return reliable_checkpoint(spread_rows(x, 250_000))
 
 
 def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +47,21 @@ def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
+_FITTED: dict = {}
+
+
 def _binary(spark, sf):
-    points = _points(spark, sf)
-    train, test = _split(points, "label")
-    return points, train, test, model.fit_boosted(train, BOOSTED_FEATURES, "label", **GBT)
+    """Points, split and the binary booster, trained once per session and data folder.
+
+    As in the source, the model is trained once and then served: scoring, explaining and
+    mapping reuse the fitted pipeline instead of retraining it for every view.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        points = _points(spark, sf)
+        train, test = _split(points, "label")
+        _FITTED[key] = (points, train, test, model.fit_boosted(train, BOOSTED_FEATURES, "label", **GBT))
+    return _FITTED[key]
 
 
 def _report(m, test, label) -> DataFrame:

@@ -78,6 +78,15 @@ def small_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFr
     return df, df.count() <= limit
 
 
+def spread_rows(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Give CPU-heavy stages (model fitting, Python attribution) at least one task per
+    core and per ``rows_per_task`` rows; byte-based partition sizing would pack a small
+    but expensive table into one task.  Round-robin, so a hot key cannot skew it."""
+    sc = df.sparkSession.sparkContext
+    want = max(sc.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def maybe_broadcast(df: DataFrame, is_small: bool) -> DataFrame:
     return F.broadcast(df) if is_small else df
 
