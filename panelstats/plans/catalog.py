@@ -247,17 +247,17 @@ def melt_ranges(spark, sf):
 
 
 def box_by_variable(spark, sf):
-    return round_doubles(distribution.box_stats(_melted(spark, sf), ["variable"], "value"))
+    return round_doubles(distribution.box_stats(_melted(spark, sf), ["variable"], "value"), fx.BOX_DIGITS)
 
 
 def box_by_class(spark, sf):
     return round_doubles(distribution.box_stats(_scored_classes(spark, sf), ["class", "label"],
-                                                "l_quantity_mean"))
+                                                "l_quantity_mean"), fx.BOX_DIGITS)
 
 
 def box_outliers(spark, sf):
     return round_doubles(distribution.box_outliers(_scored_classes(spark, sf), ["class"],
-                                                   "l_extendedprice_mean", keep=["point_id"]))
+                                                   "l_extendedprice_mean", keep=["point_id"]), fx.BOX_DIGITS)
 
 
 # ---------------------------------------------------------------- sampling

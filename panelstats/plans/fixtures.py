@@ -30,6 +30,9 @@ LINEITEM_NON_SCORES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "
                        "l_linestatus", "l_shipdate"]
 
 DIGITS = 6  # float outputs are compared at this many decimals
+# Box statistics of 6-decimal inputs are exact at 9 decimals (quarter-point interpolation,
+# then 1.5 x iqr), so rounding there never meets a tie that engines resolve differently.
+BOX_DIGITS = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +63,16 @@ def with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("l_tax") != 0.0, F.col("l_tax")).alias("l_tax"))
 
 
+def half_up(c, digits: int = DIGITS):
+    """``floor(x * 10^d + 0.5) / 10^d``: plain IEEE operations, so two engines holding the
+    same double always round it to the same double (``round`` itself differs between
+    engines on ties such as 20.2083335)."""
+    scale = F.lit(float(10 ** digits))
+    return (F.floor(c * scale + F.lit(0.5)).cast("double") / scale)
+
+
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every double column, so engines that sum in another order still agree."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    return df.select(*[half_up(F.col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, DoubleType) else F.col(f.name)
                        for f in df.schema.fields])

@@ -114,7 +114,7 @@ def box_sql(ctes, src: str, by, value: str) -> str:
     b = ", ".join(by)
     nn = " AND ".join(f"{g} IS NOT NULL" for g in by)
     inside = "(v >= lower_fence AND v <= upper_fence)"
-    rnd = lambda e, a: f"ROUND({e}, {D}) AS \"{a}\""
+    rnd = lambda e, a: f"ROUND({e}, {fx.BOX_DIGITS}) AS \"{a}\""
     return with_(*ctes,
                  f"src AS (SELECT {b}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {nn} AND {value} IS NOT NULL)",
                  f"st AS (SELECT {b}, COUNT(v) AS n, MIN(v) AS mn, MAX(v) AS mx, QUANTILE_CONT(v, 0.25) AS q1, "
@@ -137,8 +137,8 @@ BOX_OUTLIERS = with_(*SCORED,
                      "FROM src GROUP BY class)",
                      "f AS (SELECT class, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower_fence, "
                      "q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper_fence FROM st)") + (
-    f"SELECT point_id, class, ROUND(v, {D}) AS l_extendedprice_mean, ROUND(lower_fence, {D}) AS lower_fence, "
-    f"ROUND(upper_fence, {D}) AS upper_fence, CASE WHEN v < lower_fence THEN 'low' ELSE 'high' END AS side "
+    f"SELECT point_id, class, ROUND(v, {fx.BOX_DIGITS}) AS l_extendedprice_mean, "
+    f"ROUND(lower_fence, {fx.BOX_DIGITS}) AS lower_fence, ROUND(upper_fence, {fx.BOX_DIGITS}) AS upper_fence, CASE WHEN v < lower_fence THEN 'low' ELSE 'high' END AS side "
     "FROM src JOIN f USING (class) WHERE v IS NOT NULL AND (v < lower_fence OR v > upper_fence)")
 
 RANKED_ORDERS = ("h AS (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) || ':667') AS h "
@@ -243,6 +243,34 @@ TEXT = with_(*CONTRIB, PATH_CTE,
     + " || ' ' || steps || ' ' || " + _fill(K.TEXT_FINAL, prob=_pct("fin")) + " AS text FROM agg JOIN b USING (id)")
 
 
+def _half_up(sql: str) -> str:
+    """Rewrite every ``ROUND(e, D)`` as ``FLOOR(e * 10^D + 0.5) / 10^D``, the rounding the
+    Spark side uses (see ``fixtures.half_up``)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("ROUND(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k, comma = 0, j + len("ROUND("), None
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        arg, digits = _half_up(sql[j + 6:comma]), sql[comma + 1:k].strip()
+        scale = f"CAST(1e{digits} AS DOUBLE)"
+        out.append(f"(FLOOR(({arg}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})")
+        i = k + 1
+
+
 def _p(stats):
     return with_(ASSESS, profile_cte("p", stats)) + "SELECT * FROM p"
 
@@ -323,3 +351,5 @@ ORACLE: dict[str, str] = {
         f"SELECT feature, ROUND(AVG(ABS(contribution)), {D}) AS mean_abs, ROUND(CORR(value, contribution), {D}) "
         "AS value_corr, COUNT(*) AS n FROM contrib GROUP BY feature"),
 }
+
+ORACLE = {k: _half_up(v) for k, v in ORACLE.items()}
