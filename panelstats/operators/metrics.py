@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelstats.session import small_table
+
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``(label, prediction, n)`` with labels and predictions as text."""
@@ -33,9 +35,11 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 
     ``(class, precision, recall, f1_score, support)`` per class, then ``accuracy`` (its
     value in ``f1_score``, precision and recall NULL), ``macro avg`` and ``weighted avg``.
-    F1 is ``2 tp / (support + predicted)``, as scikit-learn computes it.
+    F1 is ``2 tp / (support + predicted)``, as scikit-learn computes it.  The scored
+    input is read once: the confusion table (classes^2 rows) is materialised and all the
+    rest is derived from it.
     """
-    c = confusion(df, label, prediction)
+    c, _ = small_table(confusion(df, label, prediction))
     support = c.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
     predicted = c.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
     tp = c.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("class"),
@@ -67,7 +71,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
     """caret's ``confusionMatrix(prediction, reference)``: one row per predicted class,
     a count column ``ref_<class>`` per reference class, and the overall ``accuracy``."""
-    c = confusion(df, label, prediction)
+    c, _ = small_table(confusion(df, label, prediction))
     names = [str(x) for x in classes]
     wide = (c.groupBy("prediction")
              .pivot("label", names).agg(F.sum("n")))

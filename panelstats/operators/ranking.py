@@ -113,7 +113,11 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
             F.array(*[F.lit(float(p)) for p in probs]).alias(prob_col), F.col("_qs").alias(out_col))).alias("_z"),
             "group_n").select(*group_cols, F.col(f"_z.{prob_col}").alias(prob_col),
                               F.col(f"_z.{out_col}").alias(out_col), "group_n")
-    ranked, sizes = _ranked_by_range(vals, group_cols, [F.col("_v")], "_rank")
+    # Ties are interchangeable for quantiles, but a hot group on a short scale (a 1..7
+    # score) has few distinct (group, value) keys, which range partitioning cannot split.
+    # A row id, fixed by a checkpoint, makes every sort key unique.
+    vals = reliable_checkpoint(vals.select("*", F.monotonically_increasing_id().alias("_tb")))
+    ranked, sizes = _ranked_by_range(vals, group_cols, [F.col("_v"), F.col("_tb")], "_rank")
 
     pos = F.lit(1.0) + (F.col("group_n") - 1) * F.col(prob_col)
     targets = (sizes.select(*group_cols, "group_n",
