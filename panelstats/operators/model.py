@@ -179,24 +179,29 @@ def tune_boosted(train: DataFrame, features: Sequence[str], label: str, fold_col
 
 # ------------------------------------------------------------------ fold loop
 def cross_validate(folds: DataFrame, features: Sequence[str], label: str, fit, k: int,
-                   fold_col: str = "fold", invert: bool = False) -> DataFrame:
+                   fold_col: str = "fold", invert: bool = False, parallelism: int = 1) -> DataFrame:
     """Train on all folds but one, score the one left out, one accuracy row per fold.
 
     ``fit(train_df) -> PipelineModel``.  ``invert=True`` trains on the single fold and
     scores the other k-1, as the source's loop does.  A fold whose fit fails yields a row
-    with NULL accuracy, which the mean skips.
+    with NULL accuracy, which the mean skips.  Folds are independent, so up to
+    ``parallelism`` fits are submitted at once (Spark runs their jobs concurrently).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = folds.sparkSession
-    parts = []
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         held = F.col(fold_col) == i
         train, test = (folds.where(held), folds.where(~held)) if invert else (folds.where(~held), folds.where(held))
         try:
-            model = fit(train)
-            row = accuracy(model.transform(test), label)
+            row = accuracy(fit(train).transform(test), label)
         except Exception:  # noqa: BLE001 - a failed fold is reported, not fatal
             row = spark.createDataFrame([(0, None)], "n_test long, accuracy double")
-        parts.append(row.select(F.lit(i).alias("fold"), "n_test", "accuracy"))
+        return row.select(F.lit(i).alias("fold"), "n_test", "accuracy")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(one, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

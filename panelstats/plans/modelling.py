@@ -108,7 +108,7 @@ def cv_accuracy(spark, sf):
         return model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5,
                                             maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.9)
 
-    per_fold = model.cross_validate(folds, BOOSTED_FEATURES, "ordinal", fit, FOLDS)
+    per_fold = model.cross_validate(folds, BOOSTED_FEATURES, "ordinal", fit, FOLDS, parallelism=FOLDS)
     return round_doubles(metrics.mean_over_folds(per_fold, "accuracy", "mean_accuracy"))
 
 

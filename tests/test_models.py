@@ -33,3 +33,21 @@ def test_report_shape(spark):
     r = E.queries()["boosted_binary"](spark, SMALL)
     classes = {x["class"] for x in r.collect()}
     assert {"accuracy", "macro avg", "weighted avg"} <= classes
+
+
+def test_fold_loop_inverted_and_failed_fold(spark):
+    from panelstats.operators import model as mdl
+    from panelstats.operators.sampling import stratified_folds
+    pts = M._points(spark, SMALL)
+    folds = stratified_folds(pts, "point_id", "ordinal", 3, 1)
+
+    def fit(train):
+        if train.where("fold = 1").count() == train.count():   # inverted loop, fold 1 alone: fail it
+            raise RuntimeError("boom")
+        return mdl.fit_tree(train, M.TREE_FEATURES, "ordinal", max_depth=2)
+
+    rows = {r["fold"]: r for r in mdl.cross_validate(folds, M.TREE_FEATURES, "ordinal", fit, 3, invert=True,
+                                                     parallelism=3).collect()}
+    assert rows[1]["accuracy"] is None and rows[0]["accuracy"] is not None
+    n = pts.count()
+    assert rows[0]["n_test"] == n - folds.where("fold = 0").count()
