@@ -23,7 +23,7 @@ from panelstats.operators.profile import (class_distribution, distinct_rows, fea
                                           first_row, mode_fill, mode_first_seen, profile)
 from panelstats.plans import fixtures as fx
 from panelstats.plans.fixtures import SCORES, round_doubles
-from panelstats.session import shared_path
+from panelstats.session import reliable_checkpoint, shared_path
 from panelstats.sources.scan import column_profile, read_table, typed_scores, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,22 @@ def _profile(spark, sf, stats=("mean",), keys=("point_id",)) -> DataFrame:
     return round_doubles(profile(fx.assessments(spark, sf), list(keys), SCORES, stats))
 
 
+_SERVING: dict = {}
+
+
 def _scored_classes(spark, sf) -> DataFrame:
-    """Per-point mean/min/max/range joined with the class table, plus the binary label."""
-    prof = _profile(spark, sf, ("mean", "min", "max", "max_min_diff"))
-    x = join_label(prof, fx.classes(spark, sf), ["point_id"], ["class"])
-    return x.withColumn("label", binary_label("class", fx.PRIORITY_NEGATIVE))
+    """Per-point mean/min/max/range joined with the class table, plus the binary label.
+
+    This is the serving table every descriptive and model view reads.  It is written
+    once per session and data folder (a reliable checkpoint in the shared folder) and
+    then queried, instead of re-aggregating the raw ratings for every view.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SERVING:
+        prof = _profile(spark, sf, ("mean", "min", "max", "max_min_diff"))
+        x = join_label(prof, fx.classes(spark, sf), ["point_id"], ["class"])
+        _SERVING[key] = reliable_checkpoint(x.withColumn("label", binary_label("class", fx.PRIORITY_NEGATIVE)))
+    return _SERVING[key]
 
 
 def _typed_lineitem(spark, sf) -> DataFrame:
