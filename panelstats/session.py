@@ -20,7 +20,14 @@ def get_session(app: str = "panelstats", master: str | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    # Partition sizing: scans split at 128 MB; AQE coalesces shuffle output towards
+    # 128 MB partitions and splits skewed join partitions.  On a cluster it sizes by bytes
+    # rather than by core count (fewer, fuller tasks on a busy cluster).
+    on_cluster = not (master or "").startswith("local")
     b = (b.config("spark.sql.session.timeZone", "UTC")
+          .config("spark.sql.files.maxPartitionBytes", "128m")
+          .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+          .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", str(not on_cluster).lower())
           .config("spark.sql.ansi.enabled", "true")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
