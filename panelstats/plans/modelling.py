@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelstats import constants as K
 from panelstats.functions.labels import ordinal_label
-from panelstats.operators import metrics, model, sampling, thematic, treeshap, trees
+from panelstats.operators import attribution, metrics, model, sampling, thematic, treeshap, trees
 from panelstats.operators.profile import feature_ranges
 from panelstats.plans import fixtures as fx
 from panelstats.plans.catalog import MEANS, _scored_classes
@@ -117,17 +117,31 @@ def score_points(spark, sf):
     return round_doubles(model.score(m, points, ["point_id", "label"]))
 
 
-def score_rows(spark, sf):
+def _form_rows(points) -> DataFrame:
     """Form-style inputs derived from the data: every feature at its minimum, mean and
-    maximum over the points (the form's slider bounds and defaults), scored."""
-    points, _, _, m = _binary(spark, sf)
+    maximum over the points (the form's slider bounds and defaults)."""
     r = feature_ranges(points, BOOSTED_FEATURES)
     rows = r.groupBy().pivot("feature", BOOSTED_FEATURES).agg(F.first("min").alias("min"), F.first("mean").alias("mean"),
                                                                F.first("max").alias("max"))
-    cases = rows.select(F.explode(F.array(*[
+    return rows.select(F.explode(F.array(*[
         F.struct(F.lit(kind).alias("case"), *[F.col(f"{f}_{kind}").alias(f) for f in BOOSTED_FEATURES])
         for kind in ("min", "mean", "max")])).alias("c")).select("c.*")
-    return round_doubles(model.score(m, cases, ["case", *BOOSTED_FEATURES]))
+
+
+def score_rows(spark, sf):
+    """The form rows, scored."""
+    points, _, _, m = _binary(spark, sf)
+    return round_doubles(model.score(m, _form_rows(points), ["case", *BOOSTED_FEATURES]))
+
+
+def explain_rows(spark, sf):
+    """The prediction view end to end: score the form rows, attribute each score to the
+    features and write the explanation paragraph (M13, M14, X10)."""
+    points, _, _, m = _binary(spark, sf)
+    contrib = treeshap.attribute(m, _form_rows(points), "case", BOOSTED_FEATURES)
+    text = attribution.attribution_text(contrib, id_col="case")
+    scored = model.score(m, _form_rows(points), ["case"])
+    return round_doubles(scored.join(text, "case"))
 
 
 def model_roundtrip(spark, sf):
@@ -167,6 +181,7 @@ MODEL_QUERIES = {
     "cv_accuracy": cv_accuracy,
     "score_points": score_points,
     "score_rows": score_rows,
+    "explain_rows": explain_rows,
     "model_roundtrip": model_roundtrip,
     "feature_importance": feature_importance,
     "tree_rules": tree_rules,

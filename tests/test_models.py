@@ -51,3 +51,10 @@ def test_fold_loop_inverted_and_failed_fold(spark):
     assert rows[1]["accuracy"] is None and rows[0]["accuracy"] is not None
     n = pts.count()
     assert rows[0]["n_test"] == n - folds.where("fold = 0").count()
+
+
+def test_explanation_ends_at_the_model_probability(spark):
+    rows = E.queries()["explain_rows"](spark, SMALL).collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert r["text"].endswith(f"é {r['probability']:.2%}.")
