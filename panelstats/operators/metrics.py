@@ -40,13 +40,13 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     rest is derived from it.
     """
     c, _ = small_table(confusion(df, label, prediction))
-    support = c.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    predicted = c.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = c.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("class"),
-                                                                F.col("n").alias("tp"))
-    per = (support.join(predicted, "class", "full").join(tp, "class", "left")
-                  .select("class", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x)
-                                     for x in ("support", "predicted", "tp")]))
+    # each confusion cell counts once for its true class and once for its predicted class
+    roles = c.select(F.explode(F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).cast("long").alias("tp")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))).alias("r")).select("r.*")
+    per = roles.groupBy("class").agg(*[F.sum(x).cast("long").alias(x) for x in ("support", "predicted", "tp")])
     per = per.select("class", _div(F.col("tp"), F.col("predicted")).alias("precision"),
                      _div(F.col("tp"), F.col("support")).alias("recall"),
                      _div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1_score"),

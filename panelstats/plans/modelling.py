@@ -43,7 +43,9 @@ def _points(spark, sf) -> DataFrame:
 
 def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
     s = sampling.stratified_split(points, "point_id", cls, K.TEST_SHARE, K.SPLIT_SEED)
-    s = reliable_checkpoint(s)
+    # ranking by class leaves rows clustered in one partition per class; spread them so
+    # that every fit and scoring pass uses all cores
+    s = reliable_checkpoint(spread_rows(s, 250_000))
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
