@@ -36,11 +36,13 @@ def node_table(spark: SparkSession, tree_model) -> pd.DataFrame:
                        F.col("split.numCategories").alias("numCategories")).toPandas()
 
 
-def _cover(row) -> float:
-    stats = row["impurityStats"]
-    if stats is not None and len(stats) and stats[0] > 0 and row.get("_kind") == "regression":
+def _cover(node: dict, regression: bool) -> float:
+    """Training cover of a node: the weighted count for regression trees (first variance
+    statistic, so sample weights count), else the raw row count."""
+    stats = node["impurityStats"]
+    if regression and stats is not None and len(stats) and stats[0] > 0:
         return float(stats[0])
-    return float(row["rawCount"])
+    return float(node["rawCount"])
 
 
 @dataclass
@@ -62,9 +64,8 @@ def leaves(nodes: pd.DataFrame, weights: Sequence[float] | None = None, scale: f
     """Every leaf with its merged path: per feature the interval ``(lo, hi]`` the path
     allows and the product ``z`` of child/parent training cover along it."""
     out = []
-    kind = "regression" if regression else "classification"
     for tree_id, t in nodes.groupby("treeID", sort=True):
-        by_id = {int(r["id"]): dict(r, _kind=kind) for _, r in t.iterrows()}
+        by_id = {int(r["id"]): dict(r) for _, r in t.iterrows()}
         w = 1.0 if weights is None else float(weights[int(tree_id)])
         root = min(by_id)
         stack = [(root, {}, [])]
@@ -80,13 +81,13 @@ def leaves(nodes: pd.DataFrame, weights: Sequence[float] | None = None, scale: f
             if int(n["numCategories"]) >= 0:
                 raise NotImplementedError("categorical splits are not supported; all features are numeric")
             f, thr = int(n["feature"]), float(n["threshold"][0])
-            cover = _cover(n)
+            cover = _cover(n, regression)
             left, right = by_id[int(n["leftChild"])], by_id[int(n["rightChild"])]
             for child, go_left in ((left, True), (right, False)):
                 lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
                 lo, hi = (lo, min(hi, thr)) if go_left else (max(lo, thr), hi)
                 p = dict(path)
-                p[f] = (lo, hi, z * (_cover(child) / cover if cover > 0 else 0.0))
+                p[f] = (lo, hi, z * (_cover(child, regression) / cover if cover > 0 else 0.0))
                 stack.append((int(child["id"]), p, conds + [(f, "<=" if go_left else ">", thr)]))
     return out
 
