@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from panelstats.functions import binary_label, ordinal_label, repair_date_score, sigmoid
 from panelstats.functions.repair import was_date_repaired

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from panelstats.operators.missing import drop_any_null, null_cell_counts, range_guard, rows_any_null
 from panelstats.operators.profile import (class_distribution, feature_ranges, first_row, mode_fill,
