@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstats import constants as K
-from panelstats.functions.labels import ordinal_label
-from panelstats.operators import attribution, metrics, model, sampling, thematic, treeshap, trees
+from panelstats.functions.labels import ordinal_label, prediction_text
+from panelstats.operators import attribution, distribution, metrics, model, sampling, thematic, treeshap, trees
 from panelstats.operators.profile import feature_ranges
 from panelstats.plans import fixtures as fx
 from panelstats.plans.catalog import MEANS, _scored_classes
@@ -169,6 +169,24 @@ def attribute_points(spark, sf):
     return treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES)
 
 
+def box_by_prediction(spark, sf):
+    """Box statistics of a range score grouped by the model's predicted class (the
+    predicted-class axis of the descriptive and disagreement views)."""
+    points, _, _, m = _binary(spark, sf)
+    scored = model.score(m, points, ["point_id"]).select(
+        "point_id", prediction_text("prediction").alias("prediction_class"))
+    x = scored.join(_scored_classes(spark, sf), "point_id")
+    return round_doubles(distribution.box_stats(x, ["prediction_class"], "l_quantity_max_min_diff"), fx.BOX_DIGITS)
+
+
+def attribution_ranking(spark, sf):
+    """Global ranking of the model's features by mean |attribution| over every point,
+    with the value/attribution correlation (the summary plot's table, M15)."""
+    points, _, _, m = _binary(spark, sf)
+    return round_doubles(attribution.attribution_summary(
+        treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES)))
+
+
 def thematic_points(spark, sf):
     points, _, _, m = _binary(spark, sf)
     scored = model.score(m, points, ["point_id"])
@@ -189,4 +207,6 @@ MODEL_QUERIES = {
     "tree_rules": tree_rules,
     "attribute_points": attribute_points,
     "thematic_points": thematic_points,
+    "box_by_prediction": box_by_prediction,
+    "attribution_ranking": attribution_ranking,
 }
