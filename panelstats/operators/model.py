@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +29,20 @@ def prepared(name: str) -> str:
     return f"{name}__in"
 
 
-def preparation(features: Sequence[str]) -> list:
-    """Imputer (mean) and assembler stages shared by every model (M3)."""
+def preparation(features: Sequence[str], missing_indicators: bool = False) -> list:
+    """Imputer (mean) and assembler stages shared by every model (M3).
+
+    Spark trees cannot learn a direction for missing values as the source's booster
+    does; with ``missing_indicators`` a 0/1 ``<feature>_missing`` column per feature is
+    added next to the imputed value, so the trees can still split on missingness.
+    """
     cols = [prepared(f) for f in features]
-    return [Imputer(inputCols=list(features), outputCols=cols, strategy="mean"),
-            VectorAssembler(inputCols=cols, outputCol=FEATURES)]
+    stages = [Imputer(inputCols=list(features), outputCols=cols, strategy="mean")]
+    if missing_indicators:
+        flags = ", ".join(f"CAST(`{f}` IS NULL OR isnan(`{f}`) AS DOUBLE) AS `{f}_missing`" for f in features)
+        stages.append(SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"))
+        cols = cols + [f"{f}_missing" for f in features]
+    return stages + [VectorAssembler(inputCols=cols, outputCol=FEATURES)]
 
 
 def tree_classifier(label: str, max_depth: int = 4, seed: int = 700, impurity: str = "gini"):

@@ -58,3 +58,15 @@ def test_explanation_ends_at_the_model_probability(spark):
     assert len(rows) == 3
     for r in rows:
         assert r["text"].endswith(f"é {r['probability']:.2%}.")
+
+
+def test_training_with_missing_scores(spark):
+    from pyspark.ml import Pipeline
+    from panelstats.operators import model as mdl
+    rows = [(float(i % 7) if i % 5 else None, float(i % 3), 1.0 if i % 7 > 3 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    fitted = Pipeline(stages=mdl.preparation(["a", "b"], missing_indicators=True)
+                      + [mdl.tree_classifier("y", max_depth=3)]).fit(df)
+    out = fitted.transform(df)
+    assert out.count() == 200 and out.where("prediction IS NULL").count() == 0
+    assert len(out.select("features").first()[0]) == 4
