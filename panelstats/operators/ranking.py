@@ -24,12 +24,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstats.session import maybe_broadcast, reliable_checkpoint, small_table
+from panelstats.session import conf_int, maybe_broadcast, reliable_checkpoint, small_table
 
-# Rows of one group that one task may sort or hold as a value->count map.
+# Rows of one group that one task may sort or hold as a value->count map.  Session conf
+# ``panelstats.ranking.taskLimit`` overrides it (0 forces the range-partitioned path).
 TASK_LIMIT = 1_000_000
 
 
+def _task_limit(df: DataFrame, given: int | None) -> int:
+    return given if given is not None else conf_int(df.sparkSession, "panelstats.ranking.taskLimit", TASK_LIMIT)
+
+
 def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, bool, int]:
     """``(sizes table, small enough to broadcast, largest group)``; one partial aggregate."""
     sizes, small = small_table(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("group_n")))
@@ -51,7 +56,7 @@ def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     """
     group_cols = list(group_cols)
     sizes, _, biggest = group_sizes(df, group_cols)
-    if biggest <= (TASK_LIMIT if task_limit is None else task_limit):
+    if biggest <= _task_limit(df, task_limit):
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         ranked = df.select("*", F.row_number().over(w).cast("long").alias(rank_col),
                            F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).alias("group_n"))
@@ -105,7 +110,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     vals = df.select(*group_cols, v.cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     sizes, _, biggest = group_sizes(vals, group_cols)
-    if biggest <= (TASK_LIMIT if task_limit is None else task_limit):
+    if biggest <= _task_limit(vals, task_limit):
         qs = vals.groupBy(*group_cols).agg(
             F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
             F.count(F.lit(1)).alias("group_n"))

@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 # Rows above which a derived table is never broadcast.  Derived tables in this
 # package are keyed by (class, partition) or (class, probability), so they stay far
 # below this; the check is still made at run time before any broadcast hint.
+# Session conf ``panelstats.broadcast.maxRows`` overrides it.
 BROADCAST_ROW_LIMIT = 200_000
 
 
+def conf_int(spark: SparkSession, key: str, default: int) -> int:
+    """An integer setting from the session conf (``spark.conf.set(key, n)``), else default."""
+    value = spark.conf.get(key, None)
+    return int(value) if value not in (None, "") else int(default)
+
+
 def get_session(app: str = "panelstats", master: str | None = None,
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings the operators assume: UTC, ANSI, AQE, no UI."""
@@ -74,7 +81,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
+def small_table(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
     """Materialise a derived table once and say whether it may be broadcast.
 
     Used for tables derived from an already checkpointed input (so a lost cached block
@@ -82,6 +89,8 @@ def small_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFr
     caller broadcasts it only when the count is within ``limit`` and otherwise lets
     Spark shuffle-join it.
     """
+    if limit is None:
+        limit = conf_int(df.sparkSession, "panelstats.broadcast.maxRows", BROADCAST_ROW_LIMIT)
     df = df.cache()
     return df, df.count() <= limit
 

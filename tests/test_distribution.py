@@ -76,6 +76,16 @@ def test_guard_before_melt_and_rowcount(spark):
     assert sorted((r["k"], r["variable"], r["value"]) for r in m.collect()) == [(1, "a", 5.0), (1, "b", 1.0)]
 
 
+def test_task_limit_from_session_conf(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 10, 20]], "g string, v double")
+    spark.conf.set("panelstats.ranking.taskLimit", "0")
+    try:
+        q = {r["p"]: r["value"] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.75]).collect()}
+    finally:
+        spark.conf.unset("panelstats.ranking.taskLimit")
+    assert q == {0.25: 2.25, 0.75: 8.5}
+
+
 def test_correlation_and_bins(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, "c") for i in range(10)], "x double, y double, c string")
     c = {(r["feature_a"], r["feature_b"]): r["corr"] for r in correlation_matrix(df, ["x", "y"]).collect()}
