@@ -54,19 +54,17 @@ def _checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when nothing is configured (unit tests, a laptop) a private folder is made and
-    registered, so that later calls agree on it.
+    registered with ``setCheckpointDir``, so that later calls agree on it.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if not root and current:
-        root = current
+    if current:
+        return current
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="panelstats-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not current:
-        sc.setCheckpointDir(root)
-    return root
+    sc.setCheckpointDir(root)
+    return sc.getCheckpointDir() or root
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
