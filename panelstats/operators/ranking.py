@@ -98,8 +98,9 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     task_limit: int | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation at ``(n - 1) p`` (type 7).
 
-    Equal to Spark ``percentile`` and DuckDB ``quantile_cont`` on doubles, but no group is
-    ever gathered into one task's memory: only the two rows around each target position
+    Equal to Spark ``percentile`` and DuckDB ``quantile_cont`` on doubles.  Groups up to
+    the task limit use ``percentile`` (one task per group holds its value counts); beyond
+    it no group is gathered in one task: only the two rows around each target position
     are picked out of the distributed ranks.  NULL and NaN values are ignored.
     Output: group columns, ``p``, ``value`` and the group's value count ``group_n`` (one
     row per group and probability; groups without values are absent).  ``p = 0`` and
@@ -135,6 +136,8 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     cond = [ranked["_rank"] == wanted["_trank"]] + _null_safe(
         ranked, wanted, [(g, f"_tg{i}") for i, g in enumerate(group_cols)])
     picked = ranked.join(maybe_broadcast(wanted, small), cond, "inner").select(*group_cols, "_rank", "_v")
+    # at most 2 rows per group and probability: materialised once, read by both joins
+    picked, _ = small_table(picked)
 
     lo = picked.select(*[F.col(g).alias(f"_lg{i}") for i, g in enumerate(group_cols)],
                        F.col("_rank").alias("_lrank"), F.col("_v").alias("_vlo"))
