@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from panelstats.operators.model import prepared
 from panelstats.operators.trees import Leaf, leaves, node_table
-from panelstats.session import spread_rows
+from panelstats.session import conf_int, spread_rows
 
 
 def gbt_leaves(spark, gbt_model) -> list[Leaf]:
@@ -93,6 +93,12 @@ def shap_values(X: np.ndarray, ls: Sequence[Leaf]) -> np.ndarray:
 
 # rows one Python task explains; sets the minimum number of tasks for the job
 ROWS_PER_TASK = 100_000
+# largest leaf table that is broadcast (session conf panelstats.attribution.maxLeafBytes)
+MAX_LEAF_BYTES = 512 * 1024 * 1024
+
+
+def leaf_table_bytes(table: Sequence[tuple]) -> int:
+    return sum(8 + cols.nbytes + lo.nbytes + hi.nbytes + z.nbytes for _, cols, lo, hi, z in table)
 
 
 def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
@@ -111,7 +117,13 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequen
     sc = spark.sparkContext
     ls = gbt_leaves(spark, model.stages[-1])
     base = expected_value(ls)
-    bc = sc.broadcast(leaf_arrays(ls))
+    table = leaf_arrays(ls)
+    # The table holds one entry per leaf with its path: no larger than the fitted model,
+    # which Spark itself broadcasts to score.  Its size is still checked before broadcast.
+    size, limit = leaf_table_bytes(table), conf_int(spark, "panelstats.attribution.maxLeafBytes", MAX_LEAF_BYTES)
+    if size > limit:
+        raise ValueError(f"leaf table of {size} bytes exceeds panelstats.attribution.maxLeafBytes={limit}")
+    bc = sc.broadcast(table)
     kernel = _shap_batch
     id_type = df.schema[id_col].dataType.simpleString()
 
