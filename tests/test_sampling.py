@@ -45,3 +45,24 @@ def test_folds_balanced(spark):
     per = f.groupBy("c", "fold").count().groupBy("c").agg((F.max("count") - F.min("count")).alias("d")).collect()
     assert all(r["d"] <= 1 for r in per)
     assert fold_rows(f, 2).count() + fold_rows(f, 2, held_out=False).count() == 1003
+
+
+def test_quotas_reproduce_the_published_hold_out(spark):
+    from panelstats.operators.sampling import split_quotas
+    # 460 labelled points, 307 positive and 153 negative: the published hold-out has
+    # 138 rows, 92 positive (TP+FN) and 46 negative (TN+FP)
+    sizes = spark.createDataFrame([(1, 307), (0, 153)], "label int, group_n long")
+    q = {r["label"]: (r["train_n"], r["test_n"]) for r in split_quotas(sizes, "label", 0.3).collect()}
+    assert q == {1: (215, 92), 0: (107, 46)}
+
+
+def test_test_size_rounds_up_like_scikit_learn(spark):
+    import math
+
+    from panelstats.operators.sampling import split_quotas
+    # test size is ceil(share * n) in double arithmetic, as scikit-learn computes it
+    ns = [7, 10, 13, 33, 457, 1003, 15000]
+    sizes = spark.createDataFrame([(str(n), n) for n in ns], "c string, group_n long")
+    for n in ns:
+        one = sizes.where(f"c = '{n}'")
+        assert split_quotas(one, "c", 0.3).first()["test_n"] == math.ceil(0.3 * n)
