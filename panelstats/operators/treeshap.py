@@ -11,8 +11,8 @@ path allows and z_j = the share of training cover the path keeps at feature j.
                                   prod_{j in S} o_j prod_{j not in S, j != i} z_j
     base     += v prod_j z_j
 
-The inner sum is read off the coefficients of prod_{j != i} (z_j + o_j t), so each leaf
-costs O(m^3) vector operations over a batch of rows.  base + sum_i phi_i equals the
+The inner sum is read off the coefficients of prod_{j != i} (z_j + o_j t): O(m^3) array
+operations per chunk of leaves with the same path length, vectorised over rows and leaves.  base + sum_i phi_i equals the
 model's log-odds for every row.
 
 The leaf table is model-sized and is broadcast once; rows are streamed through
@@ -47,39 +47,56 @@ def expected_value(ls: Sequence[Leaf]) -> float:
     return float(sum(lf.value * float(np.prod(lf.z)) for lf in ls))
 
 
+LEAF_CHUNK = 8  # leaves evaluated together; bounds the (leaves x depth x rows) arrays
+
+
 def leaf_arrays(ls: Sequence[Leaf]) -> list[tuple]:
-    """Leaves as plain ``(value, features, lo, hi, z)`` numpy tuples: what the executors
-    receive, so they need nothing from this package."""
-    return [(float(lf.value), np.asarray(lf.features, dtype=np.int64), np.asarray(lf.lo, dtype=float),
-             np.asarray(lf.hi, dtype=float), np.asarray(lf.z, dtype=float)) for lf in ls if lf.features]
+    """Leaves grouped by path length into chunks of plain numpy arrays
+    ``(values[L], features[L,m], lo[L,m], hi[L,m], z[L,m])``: what the executors receive,
+    so they need nothing from this package."""
+    by_m: dict[int, list[Leaf]] = {}
+    for lf in ls:
+        if lf.features:
+            by_m.setdefault(len(lf.features), []).append(lf)
+    out = []
+    for m, group in sorted(by_m.items()):
+        for k in range(0, len(group), LEAF_CHUNK):
+            g = group[k:k + LEAF_CHUNK]
+            out.append((np.array([lf.value for lf in g], dtype=float),
+                        np.array([lf.features for lf in g], dtype=np.int64),
+                        np.array([lf.lo for lf in g], dtype=float), np.array([lf.hi for lf in g], dtype=float),
+                        np.array([lf.z for lf in g], dtype=float)))
+    return out
 
 
 def _make_kernel():
     # Built inside a factory so that cloudpickle ships the function by value: Python
     # workers run it without importing this package.
     def shap_batch(X, table):
-        n = X.shape[0]
-        phi = np.zeros(X.shape, dtype=float)
-        weights = {}
-        for value, cols, lo, hi, z in table:
-            m = len(cols)
-            if m not in weights:
-                weights[m] = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-            w = weights[m]
-            xs = X[:, cols]
-            o = ((xs > lo) & (xs <= hi)).astype(float)
+        n, n_features = X.shape
+        xt = np.ascontiguousarray(X.T)                         # features x rows: rows innermost
+        phi = np.zeros((n_features, n))
+        for values, cols, lo, hi, z in table:
+            n_leaves, m = cols.shape
+            w = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+            xs = xt[cols]                                      # leaves x m x rows
+            o = ((xs > lo[:, :, None]) & (xs <= hi[:, :, None])).astype(float)
             for i in range(m):
-                c = np.zeros((n, m))
-                c[:, 0] = 1.0
+                # coefficients of prod_{j != i} (z_j + o_j t), per leaf and row
+                c = np.zeros((m, n_leaves, n))
+                c[0] = 1.0
                 deg = 0
                 for j in range(m):
                     if j == i:
                         continue
-                    c[:, 1:deg + 2] = c[:, 1:deg + 2] * z[j] + c[:, :deg + 1] * o[:, j:j + 1]
-                    c[:, 0] *= z[j]
+                    zj = z[:, j, None]
+                    c[1:deg + 2] = c[1:deg + 2] * zj + c[:deg + 1] * o[:, j]
+                    c[0] *= zj
                     deg += 1
-                phi[:, cols[i]] += value * (o[:, i] - z[i]) * (c @ w)
-        return phi
+                part = (values[:, None] * (o[:, i] - z[:, i, None])) * np.tensordot(w, c, axes=(0, 0))
+                for f in np.unique(cols[:, i]):
+                    phi[f] += part[cols[:, i] == f].sum(axis=0)
+        return phi.T
     return shap_batch
 
 
@@ -98,7 +115,7 @@ MAX_LEAF_BYTES = 512 * 1024 * 1024
 
 
 def leaf_table_bytes(table: Sequence[tuple]) -> int:
-    return sum(8 + cols.nbytes + lo.nbytes + hi.nbytes + z.nbytes for _, cols, lo, hi, z in table)
+    return sum(v.nbytes + cols.nbytes + lo.nbytes + hi.nbytes + z.nbytes for v, cols, lo, hi, z in table)
 
 
 def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
