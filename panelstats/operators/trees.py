@@ -11,6 +11,7 @@ data size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import weakref
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,8 +22,27 @@ from pyspark.sql import functions as F
 from panelstats.session import shared_path
 
 
+_NODES: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
+
 def node_table(spark: SparkSession, tree_model) -> pd.DataFrame:
-    """Nodes of a fitted tree or tree ensemble as a small pandas table."""
+    """Nodes of a fitted tree or tree ensemble as a small pandas table.
+
+    Read once per fitted model object (models fitted from one estimator share a uid, so
+    the object itself is the key)."""
+    try:
+        return _NODES[tree_model]
+    except (KeyError, TypeError):
+        pass
+    nodes = _read_nodes(spark, tree_model)
+    try:
+        _NODES[tree_model] = nodes
+    except TypeError:
+        pass
+    return nodes
+
+
+def _read_nodes(spark: SparkSession, tree_model) -> pd.DataFrame:
     path = shared_path(spark, "models", "tree_nodes")
     tree_model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
