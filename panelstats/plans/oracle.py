@@ -55,10 +55,10 @@ def with_(*ctes: str) -> str:
 TYPED = ("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate, "
          + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SC) + " FROM lineitem")
 
-LINEITEM_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
-                  ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
-                  ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
-                  ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+LINEITEM_TYPES = [("l_orderkey", "int64"), ("l_partkey", "int64"), ("l_suppkey", "int64"),
+                  ("l_linenumber", "int32"), ("l_quantity", "float64"), ("l_extendedprice", "float64"),
+                  ("l_discount", "float64"), ("l_tax", "float64"), ("l_returnflag", "object"),
+                  ("l_linestatus", "object"), ("l_shipdate", "datetime64[ns]")]
 
 PROFILE_COLUMNS = "\nUNION ALL\n".join(
     f"SELECT {i} AS position, {_q(c)} AS \"column\", {_q(t)} AS dtype, COUNT({c}) AS non_null, "

@@ -63,16 +63,23 @@ def rows_table(spark: SparkSession, rows: Sequence[dict] | Sequence[tuple],
     return spark.createDataFrame(list(rows), schema)
 
 
+# Spark type -> the dtype name ``df.info()`` prints for it
+_PANDAS_DTYPE = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8",
+                 "double": "float64", "float": "float32", "string": "object", "boolean": "bool",
+                 "timestamp": "datetime64[ns]", "timestamp_ntz": "datetime64[ns]", "date": "object"}
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """``df.info()``: per column its position, type and non-NULL count, in one pass.
+    """``df.info()``: per column its position, dtype and non-NULL count, in one pass.
 
-    Output ``(position, column, dtype, non_null, rows)``.
+    Output ``(position, column, dtype, non_null, rows)``; ``dtype`` is the name pandas
+    prints (so it does not depend on how a session types timestamps).
     """
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(c)).alias(f"_nn{i}")
                                                  for i, c in enumerate(df.columns)]
     wide = df.agg(*aggs)
     cells = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-                      F.lit(f.dataType.simpleString()).alias("dtype"),
+                      F.lit(_PANDAS_DTYPE.get(f.dataType.simpleString(), f.dataType.simpleString())).alias("dtype"),
                       F.col(f"_nn{i}").alias("non_null"))
              for i, f in enumerate(df.schema.fields)]
     return wide.select(F.explode(F.array(*cells)).alias("r"), F.col("_rows").alias("rows")).select(
