@@ -19,6 +19,13 @@ MEANS = [f"{s}_mean" for s in SC]
 RANGES = [f"{s}_max_min_diff" for s in SC]
 
 
+def R(expr: str, digits: int = D) -> str:
+    """``floor(e * 10^d + 0.5) / 10^d``: the rounding the Spark side uses
+    (``fixtures.half_up``), so both engines round the same double to the same double."""
+    scale = f"CAST(1e{digits} AS DOUBLE)"
+    return f"(FLOOR(({expr}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -42,7 +49,7 @@ _AGG = {"mean": "AVG({c})", "media": "AVG({c})", "min": "MIN({c})", "max": "MAX(
 
 
 def profile_cte(name: str, stats, keys=("point_id",), src="assess", cols=SC) -> str:
-    exprs = ", ".join(f"ROUND({_AGG[s].format(c=c)}, {D}) AS {c}_{s}" for c in cols for s in stats)
+    exprs = ", ".join(f"{R(_AGG[s].format(c=c))} AS {c}_{s}" for c in cols for s in stats)
     k = ", ".join(keys)
     nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
     return f"{name} AS (SELECT {k}, {exprs} FROM {src} WHERE {nn} GROUP BY {k})"
@@ -95,11 +102,11 @@ EVENT_CTES = [
     "(PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1)"]
 
 FEATURE_RANGES = with_(ASSESS, profile_cte("p", ["mean"])) + "\nUNION ALL\n".join(
-    f"SELECT {_q(m)} AS feature, ROUND(MIN({m}), {D}) AS \"min\", ROUND(MAX({m}), {D}) AS \"max\", "
-    f"ROUND(AVG({m}), {D}) AS mean FROM p" for m in MEANS)
+    f"SELECT {_q(m)} AS feature, {R(f'MIN({m})')} AS \"min\", {R(f'MAX({m})')} AS \"max\", "
+    f"{R(f'AVG({m})')} AS mean FROM p" for m in MEANS)
 
 SCORE_CORR = "\nUNION ALL\n".join(
-    f"SELECT {_q(a)} AS feature_a, {_q(b)} AS feature_b, ROUND(CORR({a}, {b}), {D}) AS corr FROM lineitem"
+    f"SELECT {_q(a)} AS feature_a, {_q(b)} AS feature_b, {R(f'CORR({a}, {b})')} AS corr FROM lineitem"
     for a in SC for b in SC)
 
 SCORED = [ASSESS, CLASSES, profile_cte("p", ["mean", "min", "max", "max_min_diff"]),
@@ -114,7 +121,7 @@ def box_sql(ctes, src: str, by, value: str) -> str:
     b = ", ".join(by)
     nn = " AND ".join(f"{g} IS NOT NULL" for g in by)
     inside = "(v >= lower_fence AND v <= upper_fence)"
-    rnd = lambda e, a: f"ROUND({e}, {fx.BOX_DIGITS}) AS \"{a}\""
+    rnd = lambda e, a: f"{R(e, fx.BOX_DIGITS)} AS \"{a}\""
     return with_(*ctes,
                  f"src AS (SELECT {b}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {nn} AND {value} IS NOT NULL)",
                  f"st AS (SELECT {b}, COUNT(v) AS n, MIN(v) AS mn, MAX(v) AS mx, QUANTILE_CONT(v, 0.25) AS q1, "
@@ -137,8 +144,8 @@ BOX_OUTLIERS = with_(*SCORED,
                      "FROM src GROUP BY class)",
                      "f AS (SELECT class, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower_fence, "
                      "q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper_fence FROM st)") + (
-    f"SELECT point_id, class, ROUND(v, {fx.BOX_DIGITS}) AS l_extendedprice_mean, "
-    f"ROUND(lower_fence, {fx.BOX_DIGITS}) AS lower_fence, ROUND(upper_fence, {fx.BOX_DIGITS}) AS upper_fence, CASE WHEN v < lower_fence THEN 'low' ELSE 'high' END AS side "
+    f"SELECT point_id, class, {R('v', fx.BOX_DIGITS)} AS l_extendedprice_mean, "
+    f"{R('lower_fence', fx.BOX_DIGITS)} AS lower_fence, {R('upper_fence', fx.BOX_DIGITS)} AS upper_fence, CASE WHEN v < lower_fence THEN 'low' ELSE 'high' END AS side "
     "FROM src JOIN f USING (class) WHERE v IS NOT NULL AND (v < lower_fence OR v > upper_fence)")
 
 RANKED_ORDERS = ("h AS (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) || ':667') AS h "
@@ -180,23 +187,23 @@ REPORT = with_(
     "per2 AS (SELECT per.*, COALESCE(tp.tp, 0) AS tp FROM per LEFT JOIN tp ON tp.class = per.class)",
     f"m AS (SELECT class, {_div('tp', 'predicted')} AS precision, {_div('tp', 'support')} AS recall, "
     f"{_div('2 * tp', 'support + predicted')} AS f1_score, support, tp FROM per2)") + (
-    f"SELECT class, ROUND(precision, {D}) AS precision, ROUND(recall, {D}) AS recall, ROUND(f1_score, {D}) "
+    f"SELECT class, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1_score')} "
     "AS f1_score, CAST(support AS BIGINT) AS support FROM m\n"
-    f"UNION ALL SELECT 'accuracy', NULL, NULL, ROUND({_div('SUM(tp)', 'SUM(support)')}, {D}), "
+    f"UNION ALL SELECT 'accuracy', NULL, NULL, {R(_div('SUM(tp)', 'SUM(support)'))}, "
     "CAST(SUM(support) AS BIGINT) FROM m\n"
-    f"UNION ALL SELECT 'macro avg', ROUND(AVG(precision), {D}), ROUND(AVG(recall), {D}), ROUND(AVG(f1_score), {D}), "
+    f"UNION ALL SELECT 'macro avg', {R('AVG(precision)')}, {R('AVG(recall)')}, {R('AVG(f1_score)')}, "
     "CAST(SUM(support) AS BIGINT) FROM m\n"
-    f"UNION ALL SELECT 'weighted avg', ROUND(SUM(precision * support) / SUM(support), {D}), "
-    f"ROUND(SUM(recall * support) / SUM(support), {D}), ROUND(SUM(f1_score * support) / SUM(support), {D}), "
+    f"UNION ALL SELECT 'weighted avg', {R('SUM(precision * support) / SUM(support)')}, "
+    f"{R('SUM(recall * support) / SUM(support)')}, {R('SUM(f1_score * support) / SUM(support)')}, "
     "CAST(SUM(support) AS BIGINT) FROM m")
 
 CONFUSION = with_(
     CONF,
     "w AS (SELECT prediction, CAST(COALESCE(SUM(CASE WHEN label = '0' THEN n END), 0) AS BIGINT) AS ref_0, "
     "CAST(COALESCE(SUM(CASE WHEN label = '1' THEN n END), 0) AS BIGINT) AS ref_1 FROM c GROUP BY prediction)") + (
-    "SELECT prediction, ref_0, ref_1, ROUND(" + _div(
+    "SELECT prediction, ref_0, ref_1, " + R(_div(
         "SUM(CASE WHEN prediction = '0' THEN ref_0 WHEN prediction = '1' THEN ref_1 ELSE 0 END) OVER ()",
-        "SUM(ref_0 + ref_1) OVER ()") + f", {D}) AS accuracy FROM w")
+        "SUM(ref_0 + ref_1) OVER ()")) + " AS accuracy FROM w")
 
 _sig = "(1.0::DOUBLE / (1.0::DOUBLE + EXP(-({x}))))"
 CONTRIB = [ASSESS, CLASSES, profile_cte("p", ["mean"]),
@@ -243,34 +250,6 @@ TEXT = with_(*CONTRIB, PATH_CTE,
     + " || ' ' || steps || ' ' || " + _fill(K.TEXT_FINAL, prob=_pct("fin")) + " AS text FROM agg JOIN b USING (id)")
 
 
-def _half_up(sql: str) -> str:
-    """Rewrite every ``ROUND(e, D)`` as ``FLOOR(e * 10^D + 0.5) / 10^D``, the rounding the
-    Spark side uses (see ``fixtures.half_up``)."""
-    out, i = [], 0
-    while True:
-        j = sql.find("ROUND(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        out.append(sql[i:j])
-        depth, k, comma = 0, j + len("ROUND("), None
-        while True:
-            ch = sql[k]
-            if ch == "(":
-                depth += 1
-            elif ch == ")":
-                if depth == 0:
-                    break
-                depth -= 1
-            elif ch == "," and depth == 0:
-                comma = k
-            k += 1
-        arg, digits = _half_up(sql[j + 6:comma]), sql[comma + 1:k].strip()
-        scale = f"CAST(1e{digits} AS DOUBLE)"
-        out.append(f"(FLOOR(({arg}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})")
-        i = k + 1
-
-
 def _p(stats):
     return with_(ASSESS, profile_cte("p", stats)) + "SELECT * FROM p"
 
@@ -326,8 +305,8 @@ ORACLE: dict[str, str] = {
                           "x AS (SELECT p.*, c.class FROM p JOIN classes c USING (point_id))") + (
         "SELECT class, CAST(FLOOR(l_quantity_mean / 5.0::DOUBLE) AS BIGINT) AS x_bin, "
         "CAST(FLOOR(l_tax_mean / 0.01::DOUBLE) AS BIGINT) AS y_bin, "
-        f"ROUND(FLOOR(l_quantity_mean / 5.0::DOUBLE) * 5.0::DOUBLE, {D}) AS x_low, "
-        f"ROUND(FLOOR(l_tax_mean / 0.01::DOUBLE) * 0.01::DOUBLE, {D}) AS y_low, COUNT(*) AS n FROM x "
+        f"{R('FLOOR(l_quantity_mean / 5.0::DOUBLE) * 5.0::DOUBLE')} AS x_low, "
+        f"{R('FLOOR(l_tax_mean / 0.01::DOUBLE) * 0.01::DOUBLE')} AS y_low, COUNT(*) AS n FROM x "
         "WHERE l_quantity_mean IS NOT NULL AND l_tax_mean IS NOT NULL GROUP BY 1, 2, 3, 4, 5"),
     "melt_ranges": with_(*MELTED) + "SELECT * FROM melted",
     "box_by_variable": box_sql(MELTED, "melted", ["variable"], "value"),
@@ -338,18 +317,16 @@ ORACLE: dict[str, str] = {
     "fold_rows": FOLDS_CTE + "SELECT * FROM fo WHERE fold <> 0",
     "classification_report": REPORT,
     "confusion_matrix": CONFUSION,
-    "sigmoid": with_(*CONTRIB) + (f"SELECT id, feature, ROUND(contribution, {D}) AS contribution, "
-                                  f"ROUND({_sig.format(x='contribution')}, {D}) AS probability FROM contrib"),
+    "sigmoid": with_(*CONTRIB) + (f"SELECT id, feature, {R('contribution')} AS contribution, "
+                                  f"{R(_sig.format(x='contribution'))} AS probability FROM contrib"),
     "attribution_total": with_(*CONTRIB) + (
-        f"SELECT id, ROUND(MAX(base), {D}) AS base, ROUND(MAX(base) + SUM(contribution), {D}) AS logodds, "
-        f"ROUND({_sig.format(x='MAX(base) + SUM(contribution)')}, {D}) AS probability FROM contrib GROUP BY id"),
+        f"SELECT id, {R('MAX(base)')} AS base, {R('MAX(base) + SUM(contribution)')} AS logodds, "
+        f"{R(_sig.format(x='MAX(base) + SUM(contribution)'))} AS probability FROM contrib GROUP BY id"),
     "attribution_path": with_(*CONTRIB, PATH_CTE) + (
-        f"SELECT id, step, feature, ROUND(contribution, {D}) AS contribution, ROUND(lo, {D}) AS logodds, "
-        f"ROUND({_sig.format(x='lo')}, {D}) AS probability FROM path"),
+        f"SELECT id, step, feature, {R('contribution')} AS contribution, {R('lo')} AS logodds, "
+        f"{R(_sig.format(x='lo'))} AS probability FROM path"),
     "attribution_text": TEXT,
     "attribution_summary": with_(*CONTRIB) + (
-        f"SELECT feature, ROUND(AVG(ABS(contribution)), {D}) AS mean_abs, ROUND(CORR(value, contribution), {D}) "
+        f"SELECT feature, {R('AVG(ABS(contribution))')} AS mean_abs, {R('CORR(value, contribution)')} "
         "AS value_corr, COUNT(*) AS n FROM contrib GROUP BY feature"),
 }
-
-ORACLE = {k: _half_up(v) for k, v in ORACLE.items()}
