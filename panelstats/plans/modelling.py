@@ -31,14 +31,19 @@ SEARCH_SPACE = {                                              # the reference sp
 SEARCH_CANDIDATES, SEARCH_TREES, FOLDS = 4, 10, K.N_FOLDS
 
 
+_POINTS: dict = {}
+
+
 def _points(spark, sf) -> DataFrame:
-    """Per-point features, class, binary and ordinal labels, checkpointed once because
-    every model reads them many times."""
-    x = _scored_classes(spark, sf).withColumn(
-        "ordinal", ordinal_label("class", fx.PRIORITY_ORDER).cast("double"))
-    x = x.withColumn("label", F.col("label").cast("double"))
-    x = reliable_checkpoint(x.select("point_id", "class", "label", "ordinal", *MEANS))
-    return reliable_checkpoint(spread_rows(x, 250_000))
+    """Per-point features, class, binary and ordinal labels, spread over the cores and
+    checkpointed once per session: every model reads them many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _POINTS:
+        x = _scored_classes(spark, sf).select(
+            "point_id", "class", F.col("label").cast("double").alias("label"),
+            ordinal_label("class", fx.PRIORITY_ORDER).cast("double").alias("ordinal"), *MEANS)
+        _POINTS[key] = reliable_checkpoint(spread_rows(x, 250_000))
+    return _POINTS[key]
 
 
 def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
