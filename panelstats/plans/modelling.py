@@ -166,7 +166,10 @@ def tree_rules(spark, sf):
     points = _points(spark, sf)
     train, _ = _split(points, "ordinal")
     m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
-    return trees.tree_rules(spark, m.stages[-1], TREE_FEATURES)
+    rules = trees.tree_rules(spark, m.stages[-1], TREE_FEATURES)
+    # class names at the leaves, as a drawn tree shows them (inverse of the ordinal label)
+    names = F.array(*[F.lit(c) for c in fx.PRIORITY_ORDER])
+    return rules.withColumn("prediction_class", F.element_at(names, F.col("prediction").cast("int") + 1))
 
 
 def attribute_points(spark, sf):
