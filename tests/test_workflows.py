@@ -75,3 +75,14 @@ def test_rater_views(spark, panel):
     assert sd.columns == ["Ponto", "Data", "score", "sd"]
     full = W.full_join_for_map(typed, classes)
     assert "Ponto_left" in full.columns and "Ponto_right" in full.columns and full.count() == 180
+
+
+def test_search_then_explain(spark, panel):
+    raw, classes = panel
+    typed = W.prepare_scores(raw, K.ID_COLUMNS + ["seq"])
+    points = W.labelled_points(W.point_features(typed, id_columns=K.ID_COLUMNS + ["seq"]), classes)
+    features = W.model_features(points)
+    train, test = W.split(points)
+    best, candidates = W.train_binary(train, features, n_candidates=2, max_iter=3, folds=3, parallelism=2)
+    assert candidates.count() == 2 and candidates.where("is_best").count() == 1
+    assert W.explain(best, test, features).count() == test.count()
