@@ -64,15 +64,25 @@ def mode_fill(df: DataFrame, keys: Sequence[str], value: str, seq: str,
               broadcast_limit: int | None = None) -> DataFrame:
     """Replace ``value`` by its per-key mode on every row; row count unchanged.
 
-    The mode table has one row per key.  It is joined back null-safely on the keys
-    (a NULL key is a group, as in dplyr); Spark picks broadcast or a shuffle join from
-    its size, and AQE splits a hot key's partition.
+    The mode table has one row per key.  It is joined back on the keys with
+    :func:`split_hot_join`, so a key holding a large share of the rows is joined by a
+    broadcast of its one mode row instead of landing in one task.  NULL key values are
+    carried as a separate flag, so a NULL key is a group, as in dplyr.
     """
+    from panelstats.operators.joins import split_hot_join
+
     modes = mode_first_seen(df, keys, value, seq, out="_mode")
-    m = modes.select(*[F.col(k).alias(f"_mk{i}") for i, k in enumerate(keys)], "_mode")
-    cond = [df[k].eqNullSafe(m[f"_mk{i}"]) for i, k in enumerate(keys)]
-    joined = df.join(m, cond, "inner")
-    return joined.select(*[F.col("_mode").alias(c) if c == value else df[c] for c in df.columns])
+    tagged_keys = []
+    for i, k in enumerate(keys):
+        tagged_keys += [f"_mk{i}", f"_mn{i}"]
+
+    def tag(frame):
+        return frame.select("*", *[c for i, k in enumerate(keys) for c in (
+            F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_mk{i}"), F.col(k).isNull().alias(f"_mn{i}"))])
+
+    m = tag(modes).select(*tagged_keys, "_mode")
+    joined = split_hot_join(tag(df), m, tagged_keys, "inner")
+    return joined.select(*[F.col("_mode").alias(c) if c == value else F.col(c) for c in df.columns])
 
 
 def first_row(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

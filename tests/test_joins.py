@@ -28,3 +28,16 @@ def test_column_rules():
 def test_drop_matching(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "k int, a_mean double, a_min double, Degrad_mean double")
     assert drop_matching(df, ["min", "Degrad"]).columns == ["k", "a_mean"]
+
+
+def test_split_hot_join_equals_plain_join(spark):
+    from pyspark.sql import functions as F
+
+    from panelstats.operators.joins import split_hot_join
+    big = spark.range(5000).select((F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.lit(-1))).alias("k"),
+                                   F.col("id").alias("v"))
+    other = spark.createDataFrame([(-1, "hot"), (0, "a"), (8, "b")], "k long, c string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(other, ["k"], how).collect()), key=repr)
+        got = sorted(map(tuple, split_hot_join(big, other, ["k"], how, hot_rows=100).collect()), key=repr)
+        assert got == want
