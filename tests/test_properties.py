@@ -57,3 +57,19 @@ def test_hot_key(spark):
         assert modes[uid] == first_seen
     firsts = {r["user_id"]: r["event_id"] for r in first_row(hot, ["user_id"], "event_id").collect()}
     assert firsts == pdf.groupby("user_id")["event_id"].min().to_dict()
+
+
+def test_hot_key_path_inside_operators(spark):
+    from panelstats.operators.joins import join_with_suffixes
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 != 0, F.lit(-1)).otherwise(F.col("user_id")))
+    users = hot.select("user_id").distinct().withColumn("value", F.lit(1.0))
+    plain_fill = sorted(map(tuple, mode_fill(hot, ["user_id"], "event_type", "event_id").collect()))
+    plain_join = sorted(map(tuple, join_with_suffixes(hot, users, ["user_id"], "left").collect()), key=repr)
+    spark.conf.set("panelstats.join.hotKeyRows", "50")
+    try:
+        split_fill = sorted(map(tuple, mode_fill(hot, ["user_id"], "event_type", "event_id").collect()))
+        split_join = sorted(map(tuple, join_with_suffixes(hot, users, ["user_id"], "left").collect()), key=repr)
+    finally:
+        spark.conf.unset("panelstats.join.hotKeyRows")
+    assert split_fill == plain_fill and split_join == plain_join
