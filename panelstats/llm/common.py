@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,20 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/panelstats-{purpose}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a path of the shared folder, and the path within it."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Write a small file whole: under a temporary name, then renamed."""
+    store, path = filesystem(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(f"{path}.tmp") as out:
+        out.write(data)
+    store.move(f"{path}.tmp", path)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost
     executors, and lets several consumers read pruned columns."""

@@ -40,11 +40,9 @@ def source_shares(docs: DataFrame, *, source_col: str = "source", weights: Mappi
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        total = counts.agg(F.sum("n").alias("total"))
+        every = counts.agg(F.collect_list(F.struct("source", "n")).alias("s"), F.sum("n").alias("total"))
         q = F.ceil(F.lit(float(resolution)) * F.sqrt(F.col("n").cast("double") / F.col("total").cast("double")))
-        # one row against a few: the total joins on a constant key
-        return (counts.withColumn("__k", F.lit(1)).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k")
-                .select("source", "n", q.cast("int").alias("q")))
+        return every.select(F.inline("s"), "total").select("source", "n", q.cast("int").alias("q"))
     given = F.lit(1)
     for name, share in weights.items():
         if int(share) < 1:
