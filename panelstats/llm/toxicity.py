@@ -26,11 +26,11 @@ from panelstats.llm.common import with_columns_of, written
 
 SAMPLE_ROWS = 20_000     # labelled documents used to fit, at most
 MAX_FEATURES = 4096      # features of the model, at most
-MIN_DOCS, MIN_Z = 8, 6.0  # a feature is in at least so many sample documents, so surely tied to toxicity
+MIN_DOCS, MIN_Z = 5, 5.5  # a feature is in at least so many sample documents, so surely tied to toxicity
 GRADES = 3
 REJECT_FROM = 0.5        # P(grade >= 1) from which a document is rejected
 STEPS, RATE, RIDGE = 400, 0.1, 1e-3
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 500_000    # words whose weight a task remembers
 
