@@ -39,7 +39,10 @@ _SUB, _DEL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(F.lower(line), OTHER_SPACE, " " * len(OTHER_SPACE)), " "), lambda w: w != F.lit(""))
+    text = F.lower(line)
+    for c in OTHER_SPACE:  # rare characters: a search each is far cheaper than one translate
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != F.lit(""))
 
 
 def _half_keys(ws: Column) -> Column:
@@ -63,12 +66,12 @@ def _text_keys(text: Column) -> list[Column]:
 
 
 def corpus_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line of at least MIN_WORDS words: id, t1, t2, no, k1, k2, n, halves."""
+    """One row per line: id, t1, t2, no, k1, k2, n, halves (NULL below EDIT_MIN_WORDS words)."""
     text = F.col(text_col).cast("string")
     lines = docs.select(F.col(id_col).alias("id"), *_text_keys(text), F.posexplode(F.split(text, "\n")).alias("no", "line"))
     seen = let(line_words(F.col("line")), lambda ws: F.struct(
         F.xxhash64(ws).alias("k1"), F.xxhash64(F.lit(1), ws).alias("k2"), F.size(ws).alias("n"), _half_keys(ws).alias("halves")))
-    return lines.select("id", "t1", "t2", "no", seen.alias("s")).select("id", "t1", "t2", "no", "s.*").filter(F.col("n") >= MIN_WORDS)
+    return lines.select("id", "t1", "t2", "no", seen.alias("s")).select("id", "t1", "t2", "no", "s.*")
 
 
 def _address() -> Column:
@@ -202,7 +205,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, keys: DataFrame, id_col: str,
 
 def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to remove: id, t1, t2 (the row's text), no, near (False for copies)."""
-    lines = written(corpus_lines(docs, id_col, text_col), "lines")
+    # short lines go by a filter on the written table: before it, the filter would be pushed
+    # below the projection and compute every line's words twice
+    lines = written(corpus_lines(docs, id_col, text_col), "lines").filter(F.col("n") >= MIN_WORDS)
     keys = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(_address().alias("a"), "t1", "t2")).alias("f"), F.count(F.lit(1)).alias("n"))
                    .select("k1", "k2", F.col("f.a").alias("first"), "f.t1", "f.t2", "n"), "line-keys")
     near = written(near_lines(docs, lines, keys, id_col, text_col), "near-lines")
