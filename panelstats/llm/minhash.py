@@ -8,7 +8,7 @@ stops drawing arrivals once none can come before the latest register (early term
 
 Registers are banded four by four.  In every bucket all members are verified against a
 leader, not against one another; buckets whose members are still in several classes get
-further leaders until every class has led.  A link needs a Jaccard similarity of the two
+further leaders, four times as many in every round, until every class has led.  A link needs a Jaccard similarity of the two
 documents' distinct shingles of 0.8 or more, computed from the whole texts.
 """
 
@@ -44,11 +44,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Distinct shingles of texts, with a bounded memory of words' hashes."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _WordHashes()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(sorted 64-bit shingles, occurrences); a text of fewer words is one shingle, a text
@@ -59,15 +65,13 @@ class Shingler:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
         h = np.array([known[w] for w in words], dtype=np.uint64)
         if len(h) < SHINGLE:
             h = np.concatenate([h, np.full(SHINGLE - len(h), len(h), np.uint64)])
         n = len(h) - SHINGLE + 1
         s = h[:n] * _ODD[0]
         for k in range(1, SHINGLE):
-            s = s + mix64(h[k:k + n] + _ODD[k]) * _ODD[k]
+            s = s + h[k:k + n] * _ODD[k]
         return np.unique(mix64(s), return_counts=True)
 
 
@@ -178,9 +182,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     score = written(rows.groupBy("key").agg(F.sum("size").alias("score")), "scores")
     members = written(rows.select("bucket", "key", "n").join(score, "key")
                       .select("bucket", "key", "n", "score", F.col("key").alias("root"), F.lit(False).alias("led")), "members")
-    tested, links, roots = None, None, None
+    tested, links, roots, leaders = None, None, None, 1
     while True:
-        lead = (members.filter("NOT led").groupBy("bucket").agg(F.max(F.struct("score", "key", "n", "root")).alias("l"))
+        slot = F.pmod(F.xxhash64("root", F.lit(leaders)), F.lit(leaders))  # a class is in one slot
+        lead = (members.filter("NOT led").groupBy("bucket", slot.alias("slot"))
+                .agg(F.max(F.struct("score", "key", "n", "root")).alias("l"))
                 .select("bucket", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.root").alias("leader_root")))
         lead = written(lead, "leaders")
         led = members.join(lead, "bucket")
@@ -195,10 +201,12 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         if pairs.isEmpty():
             break
         found = written(_verified(pairs.select("a", "b"), docs, text_col), "links")
-        links = found if links is None else written(links.unionByName(found), "links")
         tested = pairs.select("x", "y") if tested is None else written(tested.unionByName(pairs.select("x", "y")), "tested")
-        roots = written(connected_components(links), "roots")
+        if roots is None or not found.isEmpty():
+            links = found if links is None else written(links.unionByName(found), "links")
+            roots = written(connected_components(links), "roots")
         members = _next_round(members, lead, roots)
+        leaders *= 4
     out = signed.select("id", "key", "n")
     if roots is None:
         return out.withColumn("root", F.when(F.col("n") > 0, F.col("key")))
@@ -207,18 +215,23 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _next_round(members: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several classes and one that has not led.
+    """Members of the buckets in which a pair of classes may not have been compared.
 
-    A class has led in a bucket once any of its members has.
+    A class has led in a bucket once any of its members has.  A bucket is done when all its
+    classes have led, or all but one and every class has one member there: that one was
+    compared with every other as they led.
     """
     moved = (members.drop("root").join(roots, "key", "left")
              .select("bucket", "key", "n", "score", F.coalesce("root", "key").alias("root"), "led"))
-    moved = written(moved.join(lead.select("bucket", "leader"), "bucket", "left")
-                    .withColumn("led", F.col("led") | F.col("key").eqNullSafe(F.col("leader"))).drop("leader"), "moved")
-    classes = written(moved.groupBy("bucket", "root").agg(F.bool_or("led").alias("class_led")), "bucket-classes")
-    still = (classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.bool_and("class_led").alias("done"))
-             .filter("classes > 1 AND NOT done").select("bucket"))
-    open_classes = written(classes.join(still, "bucket", "left_semi"), "open-classes")
+    led_now = lead.select("bucket", F.col("leader").alias("key"), F.lit(True).alias("now"))
+    moved = written(moved.join(led_now, ["bucket", "key"], "left")
+                    .withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now"), "moved")
+    classes = written(moved.groupBy("bucket", "root").agg(F.bool_or("led").alias("class_led"), F.count(F.lit(1)).alias("size")),
+                      "bucket-classes")
+    still = (classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("members"),
+                                           F.count_if(~F.col("class_led")).alias("waiting"))
+             .filter("classes > 1 AND waiting > 0 AND NOT (waiting = 1 AND members = classes)").select("bucket"))
+    open_classes = written(classes.join(still, "bucket", "left_semi").drop("size"), "open-classes")
     return written(moved.drop("led").join(open_classes, ["bucket", "root"])
                    .select("bucket", "key", "n", "score", "root", F.col("class_led").alias("led")), "members")
 
