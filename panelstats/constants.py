@@ -44,3 +44,22 @@ TREE_SEED = 700
 TREE_DEPTH = 4
 N_FOLDS = 5
 BOX_WHISKER = 1.5
+
+# --- fixed values: the booster's trees, the search's candidates and its space
+BOOSTED_TREES = 500
+SEARCH_CANDIDATES = 30
+SEARCH_SPACE = {
+    "max_depth": ("int", 2, 100),
+    "colsample_bytree": ("uniform", 0.1, 1.0),
+    "scale_pos_weight": ("uniform", 1.0, 50.0),
+    "learning_rate": ("log-uniform", 1e-4, 1.5),
+}
+
+# --- fixed values: the one-point parameter grid of the five-class booster
+MULTICLASS_GRID = {"nrounds": [100], "max_depth": [10], "eta": [0.3], "gamma": [0],
+                   "colsample_bytree": [0.9], "min_child_weight": [0], "subsample": [0.9]}
+
+# --- fixed values: the features of the five-class booster
+MULTICLASS_FEATURES = ["EstDesenv_media", "Invasoras_media", "Cupins_media", "CobertSolo_media", "DispForr_media",
+                       "DispFolhVerd_media", "CondAtual_media", "PotProd_media", "Altura", "Degrad_media",
+                       "Manejo_media"]

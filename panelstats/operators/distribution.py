@@ -8,54 +8,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstats.functions.repair import nan_to_null
-from panelstats.operators.ranking import exact_quantiles
-from panelstats.session import maybe_broadcast, reliable_checkpoint, small_table
+from panelstats.operators.ranking import quantile_columns, value_positions
+from panelstats.session import maybe_broadcast, small_table, written
 
 _BOX = [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")]
 
 
 def _box_input(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The narrow ``(keep, by, _v)`` input, checkpointed once: every later pass (ranking,
-    whiskers, outliers) reads it instead of recomputing the upstream profile and joins.
-    Rows without a group or without a value are not drawn (pandas/seaborn drop them)."""
+    """The narrow ``(keep, by, _v)`` input.  Rows without a group or without a value are not
+    drawn (pandas/seaborn drop them)."""
     cols = list(keep) + [g for g in by if g not in keep]
     src = df.select(*cols, nan_to_null(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
     for g in by:
         src = src.where(F.col(g).isNotNull())
-    return reliable_checkpoint(src)
+    return src
 
 
-def _fences(src: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
-    """Per group: n, min, quartiles, max (one ranked pass) and the whisker fences."""
-    q = exact_quantiles(src, by, "_v", [p for p, _ in _BOX], prob_col="_p", out_col="_q")
-    stats = q.groupBy(*by).agg(F.max("group_n").alias("n"),
-                               *[F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name) for p, name in _BOX])
+def _fences(positions: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
+    """Per group: n, min, quartiles, max and the whisker fences."""
+    q = quantile_columns(positions, by, [p for p, _ in _BOX])
+    stats = q.select(*by, F.col("group_n").alias("n"), *[F.col(f"_q{i}").alias(name) for i, (_, name) in enumerate(_BOX)])
     iqr = F.col("q3") - F.col("q1")
-    return stats.select(*by, "n", "min", "q1", "median", "q3", "max", iqr.alias("iqr"),
-                        (F.col("q1") - F.lit(whis) * iqr).alias("lower_fence"),
+    return stats.select("*", iqr.alias("iqr"), (F.col("q1") - F.lit(whis) * iqr).alias("lower_fence"),
                         (F.col("q3") + F.lit(whis) * iqr).alias("upper_fence"))
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
     """Box-plot statistics of ``value`` per group.
 
-    Quartiles are exact, interpolated at ``(n-1)p`` (seaborn/matplotlib), and computed
-    with the distributed ranking, so a group holding most rows is never gathered in one
-    task.  Whiskers are the most extreme values inside ``[q1 - whis*iqr, q3 + whis*iqr]``.
-    One row per group with values: ``n min q1 median q3 max iqr lower_fence upper_fence
-    whisker_low whisker_high n_outliers``.  The per-group table is joined back by
-    broadcast only after its row count is checked.
+    Everything comes from one table of (group, value, count), the only shuffle of raw rows;
+    a group that holds most rows is spread by its values.  Quartiles are exact, interpolated
+    at ``(n-1)p`` (seaborn/matplotlib).  Whiskers are the most extreme values inside
+    ``[q1 - whis*iqr, q3 + whis*iqr]``.  One row per group with values: ``n min q1 median q3
+    max iqr lower_fence upper_fence whisker_low whisker_high n_outliers``.
     """
     by = list(by)
-    src = _box_input(df, by, value)
-    fences, small = small_table(_fences(src, by, whis))
+    positions = written(value_positions(_box_input(df, by, value), by, "_v"), "positions")
+    fences, small = small_table(_fences(positions, by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
     inside = (F.col("_v") >= F.col("lower_fence")) & (F.col("_v") <= F.col("upper_fence"))
-    whiskers = (src.join(maybe_broadcast(f, small), by, "inner")
-                   .groupBy(*by)
-                   .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-                        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-                        F.count(F.when(~inside, F.lit(1))).alias("n_outliers")))
+    whiskers = (positions.join(maybe_broadcast(f, small), by, "inner")
+                .groupBy(*by)
+                .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+                     F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+                     F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers")))
     out = fences.join(whiskers, by, "left")
     return out.select(*by, F.col("n").cast("long").alias("n"), "min", "q1", "median", "q3", "max",
                       "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high",
@@ -67,7 +63,7 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[st
     """Every row outside its group's fences, with the fences and the side."""
     by = list(by)
     src = _box_input(df, by, value, keep)
-    fences, small = small_table(_fences(src.select(*by, "_v"), by, whis))
+    fences, small = small_table(_fences(value_positions(src.select(*by, "_v"), by, "_v"), by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
     rows = src.join(maybe_broadcast(f, small), by, "inner")
     side = F.when(F.col("_v") < F.col("lower_fence"), F.lit("low")).when(
@@ -107,8 +103,8 @@ def guarded_melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], guard
                  max_value: float) -> DataFrame:
     """Filter on one column first, then melt all of them (F4 then R1).
 
-    The guard is applied before the ``Expand`` so it reaches the scan; a filter on the
-    ``variable`` column after the melt would not be pushed down.
+    The guard is applied before the ``Expand``, so over a stored table it reaches the scan; a
+    filter on the ``variable`` column after the melt would not.
     """
     from panelstats.operators.missing import range_guard
     return melt(range_guard(df, guard_col, max_value), ids, values)

@@ -1,49 +1,33 @@
 """Equi-joins on the point key.
 
-No blind broadcast hints: the class table has one row per point, so at scale it is as
-large as the profile and both sides are shuffled on the key.  Spark (and AQE at run time,
-from measured sizes) turns a join into a broadcast only when one side is actually small.
-Joins of raw rater rows, where one point may hold a large share of all rows, go through
-:func:`split_hot_join`, which joins the hot keys apart by a size-checked broadcast.
+No broadcast hints: the class table has one row per point, so at scale it is as large as the
+profile and both sides are shuffled on the key.  Spark (and AQE at run time, from measured
+sizes) turns a join into a broadcast only when one side is actually small, and splits the
+partitions of hot keys, on either side.  Rows whose key is NULL match nothing; a left join
+sends them straight to the output instead of through the shuffle, where they would be one
+more hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.session import conf_int, maybe_broadcast, small_table
 
-# Rows of one key on the big side above which the key is joined apart, by broadcast.
-# Session conf ``panelstats.join.hotKeyRows`` overrides it.
-HOT_KEY_ROWS = 10_000_000
-
-
-def split_hot_join(big: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner",
-                   hot_rows: int | None = None) -> DataFrame:
-    """Equi-join of a row-level table with a keyed table that stays balanced when one key
-    holds a large share of the rows.
-
-    Rows per key on ``big`` are counted (a partial aggregate).  Keys above ``hot_rows``
-    are joined apart: their rows on ``other`` are few (checked by count) and broadcast, so
-    the hot rows are joined where they lie, without a shuffle; all other keys take the
-    ordinary shuffle join.  The result is the same as ``big.join(other, keys, how)`` for
-    ``inner`` and ``left`` joins.
-    """
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` with the left rows of NULL keys kept out of the shuffle."""
     keys = list(keys)
-    limit = hot_rows if hot_rows is not None else conf_int(big.sparkSession, "panelstats.join.hotKeyRows",
-                                                          HOT_KEY_ROWS)
-    hot, hot_small = small_table(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                                    .where(F.col("_n") > limit).select(*keys))
-    if hot.count() == 0 or not hot_small:
-        return big.join(other, keys, how)
-    hot_b = F.broadcast(hot)
-    partners, partners_small = small_table(other.join(hot_b, keys, "left_semi"))
-    hot_part = big.join(hot_b, keys, "left_semi").join(maybe_broadcast(partners, partners_small), keys, how)
-    cold_part = big.join(hot_b, keys, "left_anti").join(other, keys, how)
-    return cold_part.unionByName(hot_part)
+    if how != "left":
+        return left.join(right, keys, how)
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    matched = left.where(~missing).join(right, keys, "left")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in keys]
+    alone = left.where(missing).select(*keys, *[c for c in left.columns if c not in keys], *rest)
+    return matched.unionByName(alone)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -52,13 +36,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     A name-only key may match several rows on either side; the result then holds every
     matching pair, as an equi-join does (J7 fan-out).
     """
-    return left.join(right, list(keys), how)
+    return keyed_join(left, right, keys, how)
 
 
 def join_label(profile: DataFrame, classes: DataFrame, keys: Sequence[str],
                label_cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Join only the label columns of the class table; the rest is pruned at the scan."""
-    return profile.join(classes.select(*keys, *label_cols), list(keys), how)
+    return keyed_join(profile, classes.select(*keys, *label_cols), keys, how)
 
 
 def join_with_suffixes(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
@@ -72,7 +56,7 @@ def join_with_suffixes(left: DataFrame, right: DataFrame, keys: Sequence[str], h
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     l2 = left.select(*[F.col(c).alias(c + lsuffix) if c in clash else F.col(c) for c in left.columns])
     r2 = right.select(*[F.col(c).alias(c + rsuffix) if c in clash else F.col(c) for c in right.columns])
-    joined = split_hot_join(l2, r2, keys, how) if how in ("inner", "left") else l2.join(r2, keys, how)
+    joined = keyed_join(l2, r2, keys, how)
     lcols = [c + lsuffix if c in clash else c for c in left.columns if c not in keys]
     rcols = [c + rsuffix if c in clash else c for c in right.columns if c not in keys]
     return joined.select(*keys, *lcols, *rcols)

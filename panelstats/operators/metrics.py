@@ -87,5 +87,6 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequen
 
 
 def mean_over_folds(per_fold: DataFrame, metric: str, out: str = "mean_metric") -> DataFrame:
-    """Add the mean of ``metric`` over all folds; a failed fold (NULL) is skipped."""
-    return per_fold.withColumn(out, F.avg(metric).over(Window.partitionBy()))
+    """Add the mean of ``metric`` over the folds that have one, and how many those are."""
+    every = Window.partitionBy()
+    return per_fold.withColumns({out: F.avg(metric).over(every), "folds_scored": F.count(metric).over(every)})

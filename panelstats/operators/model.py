@@ -12,6 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +22,8 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelstats import constants as K
+
 FEATURES = "features"
 
 
@@ -56,22 +59,26 @@ def boosted_classifier(label: str, **params):
 
 
 def fit_tree(train: DataFrame, features: Sequence[str], label: str, max_depth: int = 4,
-             seed: int = 700) -> PipelineModel:
+             seed: int = 700, missing_indicators: bool = False) -> PipelineModel:
     """Decision tree, any number of classes (M4)."""
-    return Pipeline(stages=preparation(features) + [tree_classifier(label, max_depth, seed)]).fit(train)
+    return Pipeline(stages=preparation(features, missing_indicators) + [tree_classifier(label, max_depth, seed)]).fit(train)
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], label: str, **params) -> PipelineModel:
-    """Boosted trees, binary label 0/1 (M5)."""
-    return Pipeline(stages=preparation(features) + [boosted_classifier(label, **params)]).fit(train)
+def fit_boosted(train: DataFrame, features: Sequence[str], label: str, missing_indicators: bool = False,
+                **params) -> PipelineModel:
+    """Boosted trees, binary label 0/1 (M5); 500 trees unless ``maxIter`` says otherwise."""
+    params.setdefault("maxIter", K.BOOSTED_TREES)
+    return Pipeline(stages=preparation(features, missing_indicators) + [boosted_classifier(label, **params)]).fit(train)
 
 
-def fit_boosted_multiclass(train: DataFrame, features: Sequence[str], label: str,
-                           parallelism: int = 1, **params) -> PipelineModel:
-    """Boosted trees for k classes: one binary booster per class (M6)."""
+def fit_boosted_multiclass(train: DataFrame, features: Sequence[str], label: str, parallelism: int = 1,
+                           missing_indicators: bool = False, **params) -> PipelineModel:
+    """Boosted trees for k classes: one binary booster per class (M6).  Without ``params`` the
+    source's grid point is used."""
+    params = params or parameter_grid(K.MULTICLASS_GRID)[0]
     ovr = OneVsRest(classifier=GBTClassifier(featuresCol=FEATURES, **params), labelCol=label,
                     featuresCol=FEATURES, parallelism=parallelism)
-    return Pipeline(stages=preparation(features) + [ovr]).fit(train)
+    return Pipeline(stages=preparation(features, missing_indicators) + [ovr]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], positive_probability: bool = True) -> DataFrame:
@@ -102,14 +109,28 @@ def accuracy(scored: DataFrame, label: str, prediction: str = "prediction") -> D
 
 
 # ------------------------------------------------------------------ parameter search
-# The source's search space, in its own names.  Spark caps depth at 30 and the step at 1.0;
-# the L1/L2 terms have no Spark counterpart and are left out.
-REFERENCE_SPACE = {
-    "max_depth": ("int", 2, 100),
-    "colsample_bytree": ("uniform", 0.1, 1.0),
-    "scale_pos_weight": ("uniform", 1.0, 50.0),
-    "learning_rate": ("log-uniform", 1e-4, 1.5),
-}
+# The source's search space, in its own names; the L1/L2 terms have no Spark counterpart and
+# are left out.  Spark's trees allow a depth of 30 and a step of 1.0 at most.
+REFERENCE_SPACE = K.SEARCH_SPACE
+SPARK_LIMITS = {"max_depth": (1, 30), "learning_rate": (1e-6, 1.0), "colsample_bytree": (0.01, 1.0)}
+
+
+def clamped_space(space: Mapping[str, tuple]) -> dict:
+    """The part of a space that Spark can train, so that draws spread over it evenly instead of
+    piling up on its edge."""
+    out = {}
+    for name, (kind, lo, hi) in space.items():
+        low, high = SPARK_LIMITS.get(name, (lo, hi))
+        out[name] = (kind, min(max(lo, low), high), max(min(hi, high), low))
+    return out
+
+
+def parameter_grid(grid: Mapping[str, Sequence]) -> list[dict]:
+    """Every point of a grid of source-named parameters, as Spark parameters."""
+    points = [{}]
+    for name, values in grid.items():
+        points = [{**p, name: v} for p in points for v in values]
+    return [spark_params(p) for p in points]
 
 
 def sample_space(space: Mapping[str, tuple], n: int, seed: int) -> list[dict]:
@@ -130,14 +151,16 @@ def sample_space(space: Mapping[str, tuple], n: int, seed: int) -> list[dict]:
 
 
 def spark_params(draw: Mapping[str, float]) -> dict:
-    """Map a draw to GBT parameters, clamped to Spark's ranges."""
+    """Map source-named values to GBT parameters (values are within Spark's ranges)."""
     out = {}
+    if "nrounds" in draw:
+        out["maxIter"] = int(draw["nrounds"])
     if "max_depth" in draw:
-        out["maxDepth"] = int(min(max(draw["max_depth"], 1), 30))
-    if "learning_rate" in draw:
-        out["stepSize"] = float(min(draw["learning_rate"], 1.0))
+        out["maxDepth"] = int(draw["max_depth"])
+    if "learning_rate" in draw or "eta" in draw:
+        out["stepSize"] = float(draw.get("learning_rate", draw.get("eta")))
     if "colsample_bytree" in draw:
-        out["featureSubsetStrategy"] = f"{min(max(draw['colsample_bytree'], 0.01), 1.0):.4f}"
+        out["featureSubsetStrategy"] = f"{draw['colsample_bytree']:.4f}"
     if "subsample" in draw:
         out["subsamplingRate"] = float(draw["subsample"])
     if "min_child_weight" in draw:
@@ -148,8 +171,9 @@ def spark_params(draw: Mapping[str, float]) -> dict:
 
 
 def tune_boosted(train: DataFrame, features: Sequence[str], label: str, fold_col: str, k: int,
-                 space: Mapping[str, tuple] = REFERENCE_SPACE, n_candidates: int = 30, seed: int = 668,
-                 max_iter: int = 500, parallelism: int = 1, positive: float = 1.0):
+                 space: Mapping[str, tuple] = REFERENCE_SPACE, n_candidates: int = K.SEARCH_CANDIDATES,
+                 seed: int = K.SEARCH_SEED, max_iter: int = K.BOOSTED_TREES, parallelism: int = 1,
+                 positive: float = 1.0, missing_indicators: bool = False):
     """Cross-validated random search maximising F1 of the positive class (M7, M8).
 
     ``scale_pos_weight`` becomes a per-candidate weight column (positive rows weigh w).
@@ -157,7 +181,7 @@ def tune_boosted(train: DataFrame, features: Sequence[str], label: str, fold_col
     drawn values, the Spark parameters and the mean F1 over the folds.
     """
     spark = train.sparkSession
-    draws = sample_space(space, n_candidates, seed)
+    draws = sample_space(clamped_space(space), n_candidates, seed)
     data = train
     gbt = boosted_classifier(label, maxIter=max_iter, seed=seed)
     maps = []
@@ -171,7 +195,7 @@ def tune_boosted(train: DataFrame, features: Sequence[str], label: str, fold_col
         maps.append(pm)
     evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
                                                   metricName="fMeasureByLabel", metricLabel=positive)
-    cv = CrossValidator(estimator=Pipeline(stages=preparation(features) + [gbt]), estimatorParamMaps=maps,
+    cv = CrossValidator(estimator=Pipeline(stages=preparation(features, missing_indicators) + [gbt]), estimatorParamMaps=maps,
                         evaluator=evaluator, foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
     cv_model = cv.fit(data)
     best = int(np.argmax(cv_model.avgMetrics))
@@ -192,9 +216,10 @@ def cross_validate(folds: DataFrame, features: Sequence[str], label: str, fit, k
     """Train on all folds but one, score the one left out, one accuracy row per fold.
 
     ``fit(train_df) -> PipelineModel``.  ``invert=True`` trains on the single fold and
-    scores the other k-1, as the source's loop does.  A fold whose fit fails yields a row
-    with NULL accuracy, which the mean skips.  Folds are independent, so up to
-    ``parallelism`` fits are submitted at once (Spark runs their jobs concurrently).
+    scores the other k-1, as the source's loop does.  A fold that cannot be fitted (an
+    invalid argument or training data that the estimator refuses) yields a row with NULL
+    accuracy and the message in ``error``; any other failure, such as a lost job, is raised.
+    Folds are independent, so up to ``parallelism`` fits are submitted at once.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -204,10 +229,11 @@ def cross_validate(folds: DataFrame, features: Sequence[str], label: str, fit, k
         held = F.col(fold_col) == i
         train, test = (folds.where(held), folds.where(~held)) if invert else (folds.where(~held), folds.where(held))
         try:
-            row = accuracy(fit(train).transform(test), label)
-        except Exception:  # noqa: BLE001 - a failed fold is reported, not fatal
-            row = spark.createDataFrame([(0, None)], "n_test long, accuracy double")
-        return row.select(F.lit(i).alias("fold"), "n_test", "accuracy")
+            fitted = fit(train)
+        except (ValueError, IllegalArgumentException) as e:
+            return spark.createDataFrame([(i, 0, None, str(e)[:500])], "fold int, n_test long, accuracy double, error string")
+        row = accuracy(fitted.transform(test), label)
+        return row.select(F.lit(i).alias("fold"), "n_test", "accuracy", F.lit(None).cast("string").alias("error"))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         parts = list(pool.map(one, range(k)))

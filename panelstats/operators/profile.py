@@ -60,36 +60,23 @@ def mode_first_seen(df: DataFrame, keys: Sequence[str], value: str, seq: str,
         F.max_by(F.col(value), F.struct(F.col("_n"), -F.col("_first"))).alias(out))
 
 
-def mode_fill(df: DataFrame, keys: Sequence[str], value: str, seq: str,
-              broadcast_limit: int | None = None) -> DataFrame:
+def mode_fill(df: DataFrame, keys: Sequence[str], value: str, seq: str) -> DataFrame:
     """Replace ``value`` by its per-key mode on every row; row count unchanged.
 
-    The mode table has one row per key.  It is joined back on the keys with
-    :func:`split_hot_join`, so a key holding a large share of the rows is joined by a
-    broadcast of its one mode row instead of landing in one task.  NULL key values are
-    carried as a separate flag, so a NULL key is a group, as in dplyr.
+    The mode table has one row per key and is joined back on the keys themselves, null-safe,
+    so NULL is a group, as in dplyr, and 0.0 and -0.0 are one.  AQE splits a hot key.
     """
-    from panelstats.operators.joins import split_hot_join
-
     modes = mode_first_seen(df, keys, value, seq, out="_mode")
-    tagged_keys = []
-    for i, k in enumerate(keys):
-        tagged_keys += [f"_mk{i}", f"_mn{i}"]
-
-    def tag(frame):
-        return frame.select("*", *[c for i, k in enumerate(keys) for c in (
-            F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_mk{i}"), F.col(k).isNull().alias(f"_mn{i}"))])
-
-    m = tag(modes).select(*tagged_keys, "_mode")
-    joined = split_hot_join(tag(df), m, tagged_keys, "inner")
-    return joined.select(*[F.col("_mode").alias(c) if c == value else F.col(c) for c in df.columns])
+    modes = modes.select(*[F.col(k).alias(f"_mk{i}") for i, k in enumerate(keys)], "_mode")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_mk{i}")) for i, k in enumerate(keys)])
+    return df.join(modes, same, "inner").select(*[F.col("_mode").alias(c) if c == value else F.col(c) for c in df.columns])
 
 
 def first_row(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The whole first row (by ``seq``) of every key (W2, dplyr ``distinct(.keep_all)``).
 
-    ``min_by`` over a struct of the row is a partial aggregate: a hot key is reduced
-    on every map task, never sorted in one.
+    ``min_by`` over a struct of the row is a partial aggregate: every map task sorts its own
+    rows by key and passes on one row per key, so a hot key is never gathered in one task.
     """
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_r"))

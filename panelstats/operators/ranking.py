@@ -1,153 +1,95 @@
-"""Exact positions inside groups that a hot group cannot serialise (used by splits,
-folds and quantiles).
-
-Group sizes are counted first (one partial aggregate).  When the largest group fits in
-one task (``task_limit`` rows), ``row_number().over(partitionBy(g))`` and Spark's exact
-``percentile`` are used: each group is then handled by a single task, which that bound
-makes safe.  Beyond it — a class holding a third of 100 TB — the rows are range-partitioned
-on ``(group, order)`` instead: Spark samples the keys and cuts even ranges, so a large
-group is spread over many tasks.  Within a task rows come out sorted, so the position of a
-row inside its group is
-
-    rows of the group in earlier tasks  +  rank inside this task's run of the group,
-
-where the first term comes from a table with one row per (task, group) — a few rows per
-task — and the second from ``monotonically_increasing_id`` (consecutive within a task).
-The tagged rows are checkpointed to the shared folder first so that the ids and task
-numbers cannot change if an executor is lost and a stage is rerun.
+"""Exact positions and quantiles inside groups that a hot group cannot serialise (used by
+splits, folds and box statistics).  One plan and one formula at every size.
+
+*Positions by a hash.*  Rows are dealt into cells by the leading digits of their hash.  A
+row's position in its group is the number of the group's rows in earlier cells (a prefix sum
+over one count per cell) plus its place in its own cell.  Only cells are sorted.
+
+*Quantiles.*  Rows are first counted per (group, value), so equal values are one row however
+many there are.  The counts are range-partitioned on (group, value) and written, each row
+with its partition's number; a prefix sum over one total per (partition, group) and a running
+sum within a partition give every value's last position in its group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstats.session import conf_int, maybe_broadcast, reliable_checkpoint, small_table
-
-# Rows of one group that one task may sort or hold as a value->count map.  Session conf
-# ``panelstats.ranking.taskLimit`` overrides it (0 forces the range-partitioned path).
-TASK_LIMIT = 1_000_000
-
-
-def _task_limit(df: DataFrame, given: int | None) -> int:
-    return given if given is not None else conf_int(df.sparkSession, "panelstats.ranking.taskLimit", TASK_LIMIT)
+from panelstats.session import written
 
+# Hexadecimal digits of the hash that name a cell: 16 ** 4 cells per group.
+CELL_DIGITS = 4
 
-def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, bool, int]:
-    """``(sizes table, small enough to broadcast, largest group)``; one partial aggregate."""
-    sizes, small = small_table(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("group_n")))
-    biggest = sizes.agg(F.max("group_n")).first()[0] or 0
-    return sizes, small, int(biggest)
 
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
-def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Column]:
-    return [left[a].eqNullSafe(right[b]) for a, b in pairs]
 
+def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], hash_col: str, ties: Sequence[str] = (),
+                     rank_col: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """Add the exact 1-based position of each row in its group by ``hash_col`` (hexadecimal
+    text, evenly spread), then ``ties``.
 
-def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                     rank_col: str = "rank", task_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add the exact 1-based position of each row inside its group under ``order_cols``.
-
-    Returns ``(rows with rank_col, group sizes)``; the sizes table has the group columns
-    and ``group_n`` (one row per group).  NULL group values form their own group.  Rows
-    equal on every order column get consecutive positions in an arbitrary order.
+    Returns ``(rows with rank_col, group sizes)``; the sizes table has the group columns and
+    ``group_n``.  NULL group values form their own group.
     """
     group_cols = list(group_cols)
-    sizes, _, biggest = group_sizes(df, group_cols)
-    if biggest <= _task_limit(df, task_limit):
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        ranked = df.select("*", F.row_number().over(w).cast("long").alias(rank_col),
-                           F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).alias("group_n"))
-        return ranked, sizes
-    return _ranked_by_range(df, group_cols, order_cols, rank_col)
-
-
-def _ranked_by_range(df: DataFrame, group_cols: list[str], order_cols, rank_col: str):
-    ordered = df.orderBy(*[F.col(g).asc_nulls_first() for g in group_cols], *order_cols)
-    tagged = reliable_checkpoint(ordered.select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-
-    blocks = (tagged.groupBy("_pid", *group_cols)
-                    .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group_cols)
-    blocks = blocks.select(
-        F.col("_pid").alias("_bpid"), *[F.col(g).alias(f"_bg{i}") for i, g in enumerate(group_cols)],
-        "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("group_n"))
-    # one row per (task, group): bounded by tasks + groups; broadcast only after counting
-    blocks, small = small_table(blocks)
-
-    cond = [tagged["_pid"] == blocks["_bpid"]] + _null_safe(
-        tagged, blocks, [(g, f"_bg{i}") for i, g in enumerate(group_cols)])
-    joined = tagged.join(maybe_broadcast(blocks, small), cond, "inner")
-    ranked = joined.select(
-        *[tagged[c] for c in df.columns],
-        (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).alias(rank_col),
-        F.col("group_n"))
-    sizes = (blocks.groupBy(*[f"_bg{i}" for i in range(len(group_cols))])
-                   .agg(F.max("group_n").alias("group_n"))
-                   .select(*[F.col(f"_bg{i}").alias(g) for i, g in enumerate(group_cols)], "group_n"))
-    return ranked, sizes
-
-
-def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], prob_col: str = "p", out_col: str = "value",
-                    task_limit: int | None = None) -> DataFrame:
-    """Exact quantiles per group with linear interpolation at ``(n - 1) p`` (type 7).
-
-    Equal to Spark ``percentile`` and DuckDB ``quantile_cont`` on doubles.  Groups up to
-    the task limit use ``percentile`` (one task per group holds its value counts); beyond
-    it no group is gathered in one task: only the two rows around each target position
-    are picked out of the distributed ranks.  NULL and NaN values are ignored.
-    Output: group columns, ``p``, ``value`` and the group's value count ``group_n`` (one
-    row per group and probability; groups without values are absent).  ``p = 0`` and
-    ``p = 1`` give the minimum and maximum.
-    """
+    keyed = df.withColumn("_cell", F.substring(hash_col, 1, CELL_DIGITS))
+    cells = written(keyed.groupBy(*group_cols, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    before = Window.partitionBy(*group_cols).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    offsets = cells.select(*[F.col(g).alias(n) for g, n in zip(group_cols, names)], F.col("_cell").alias("_ocell"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*group_cols, "_cell").orderBy(hash_col, *ties)
+    placed = keyed.withColumn("_in", F.row_number().over(within))
+    ranked = placed.join(offsets, _same(group_cols, names) & (F.col("_cell") == F.col("_ocell")))
+    sizes = cells.groupBy(*group_cols).agg(F.sum("_n").alias("group_n"))
+    return ranked.select(*df.columns, (F.col("_offset") + F.col("_in")).alias(rank_col)), sizes
+
+
+def value_positions(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
+    """One row per (group, value): group columns, ``_v``, ``_n`` (its rows), ``_upto`` (rows of
+    the group up to and with it) and ``group_n``.  NULL and NaN values are ignored."""
     group_cols = list(group_cols)
-    v = F.col(value_col)
-    vals = df.select(*group_cols, v.cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sizes, _, biggest = group_sizes(vals, group_cols)
-    if biggest <= _task_limit(vals, task_limit):
-        qs = vals.groupBy(*group_cols).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
-            F.count(F.lit(1)).alias("group_n"))
-        return qs.select(*group_cols, F.explode(F.arrays_zip(
-            F.array(*[F.lit(float(p)) for p in probs]).alias(prob_col), F.col("_qs").alias(out_col))).alias("_z"),
-            "group_n").select(*group_cols, F.col(f"_z.{prob_col}").alias(prob_col),
-                              F.col(f"_z.{out_col}").alias(out_col), "group_n")
-    # Ties are interchangeable for quantiles, but a hot group on a short scale (a 1..7
-    # score) has few distinct (group, value) keys, which range partitioning cannot split.
-    # A row id, fixed by a checkpoint, makes every sort key unique.
-    vals = reliable_checkpoint(vals.select("*", F.monotonically_increasing_id().alias("_tb")))
-    ranked, sizes = _ranked_by_range(vals, group_cols, [F.col("_v"), F.col("_tb")], "_rank")
-
-    pos = F.lit(1.0) + (F.col("group_n") - 1) * F.col(prob_col)
-    targets = (sizes.select(*group_cols, "group_n",
-                            F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias(prob_col))
-                    .select(*group_cols, prob_col, "group_n", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
-                            (pos - F.floor(pos)).alias("_frac")))
-    targets, small = small_table(targets)
-    wanted = (targets.select(*[F.col(g).alias(f"_tg{i}") for i, g in enumerate(group_cols)],
-                             F.explode(F.array("_lo", "_hi")).alias("_trank")).distinct())
-    cond = [ranked["_rank"] == wanted["_trank"]] + _null_safe(
-        ranked, wanted, [(g, f"_tg{i}") for i, g in enumerate(group_cols)])
-    picked = ranked.join(maybe_broadcast(wanted, small), cond, "inner").select(*group_cols, "_rank", "_v")
-    # at most 2 rows per group and probability: materialised once, read by both joins
-    picked, _ = small_table(picked)
-
-    lo = picked.select(*[F.col(g).alias(f"_lg{i}") for i, g in enumerate(group_cols)],
-                       F.col("_rank").alias("_lrank"), F.col("_v").alias("_vlo"))
-    hi = picked.select(*[F.col(g).alias(f"_hg{i}") for i, g in enumerate(group_cols)],
-                       F.col("_rank").alias("_hrank"), F.col("_v").alias("_vhi"))
-    out = (targets
-           .join(lo, [targets["_lo"] == lo["_lrank"]] + _null_safe(
-               targets, lo, [(g, f"_lg{i}") for i, g in enumerate(group_cols)]), "inner")
-           .join(hi, [targets["_hi"] == hi["_hrank"]] + _null_safe(
-               targets, hi, [(g, f"_hg{i}") for i, g in enumerate(group_cols)]), "inner"))
-    return out.select(*[targets[g] for g in group_cols], targets[prob_col],
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out_col),
-                      targets["group_n"])
+    v = F.col(value_col).cast("double")
+    counts = (df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    order = [F.col(g).asc_nulls_first() for g in group_cols] + [F.col("_v")]
+    ranged = written(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "value-counts")
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group_cols)
+    parts = (ranged.groupBy(*group_cols, "_part").agg(F.sum("_n").alias("_pn"))
+             .select(*[F.col(g).alias(n) for g, n in zip(group_cols, names)], F.col("_part").alias("_ppart"),
+                     F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_offset"), F.sum("_pn").over(whole).alias("group_n")))
+    run = Window.partitionBy(*group_cols, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("_run", F.sum("_n").over(run))
+    joined = running.join(parts, _same(group_cols, names) & (F.col("_part") == F.col("_ppart")))
+    return joined.select(*group_cols, "_v", "_n", (F.col("_offset") + F.col("_run")).alias("_upto"), "group_n")
+
+
+def quantile_columns(positions: DataFrame, group_cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Group columns, ``group_n`` and ``_q0 .. _qk``: the quantiles at ``(n - 1) p``, linearly
+    interpolated (type 7), by one partial aggregate over :func:`value_positions`."""
+    aggs, cols = [F.max("group_n").alias("group_n")], []
+    for i, p in enumerate(probs):
+        at = (F.col("group_n") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col("_v"))).alias(f"_lo{i}"),
+                 F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col("_v"))).alias(f"_hi{i}")]
+        cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(f"_q{i}"))
+    return positions.groupBy(*group_cols).agg(*aggs).select(*group_cols, "group_n", *cols)
+
+
+def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
+                    prob_col: str = "p", out_col: str = "value") -> DataFrame:
+    """Exact quantiles per group, one row per group and probability, with the group's value
+    count ``group_n``; groups without values are absent.  ``p = 0`` and ``p = 1`` give the
+    minimum and maximum."""
+    wide = quantile_columns(value_positions(df, group_cols, value_col), group_cols, probs)
+    cells = F.array(*[F.struct(F.lit(float(p)).alias(prob_col), F.col(f"_q{i}").alias(out_col)) for i, p in enumerate(probs)])
+    return wide.select(*group_cols, "group_n", F.explode(cells).alias("_z")).select(*group_cols, "_z.*", "group_n")

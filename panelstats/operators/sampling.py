@@ -24,7 +24,7 @@ def seeded_hash(key: str, seed: int):
 
 def _hash_ranked(df: DataFrame, key: str, cls: str, seed: int):
     h = df.withColumn("_h", seeded_hash(key, seed))
-    return ranked_in_groups(h, [cls], [F.col("_h"), F.col(key)], rank_col="_rank")
+    return ranked_in_groups(h, [cls], "_h", [key], rank_col="_rank")
 
 
 def split_quotas(sizes: DataFrame, cls: str, test_share: float) -> DataFrame:

@@ -11,16 +11,18 @@ path allows and z_j = the share of training cover the path keeps at feature j.
                                   prod_{j in S} o_j prod_{j not in S, j != i} z_j
     base     += v prod_j z_j
 
-The inner sum is read off the coefficients of prod_{j != i} (z_j + o_j t): O(m^3) array
-operations per chunk of leaves with the same path length, vectorised over rows and leaves.  base + sum_i phi_i equals the
-model's log-odds for every row.
+The inner sum is read off the coefficients of prod_{j != i} (z_j + o_j t), which come from
+the full product by dividing one factor out: O(m^2) array operations per chunk of leaves with
+the same path length, vectorised over rows and leaves.  base + sum_i phi_i equals the model's
+log-odds for every row.
 
-The leaf table is model-sized and is broadcast once; rows are streamed through
-``mapInPandas`` in Arrow batches, so the job scales with the table's partitions.
+Rows are streamed through ``mapInPandas`` in Arrow batches, so the job scales with the
+table's partitions.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from math import factorial
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from panelstats.operators.model import prepared
 from panelstats.operators.trees import Leaf, leaves, node_table
-from panelstats.session import conf_int, spread_rows
+from panelstats.session import file_system, shared_path, spread_rows
 
 
 def gbt_leaves(spark, gbt_model) -> list[Leaf]:
@@ -65,7 +67,8 @@ def leaf_arrays(ls: Sequence[Leaf]) -> list[tuple]:
             out.append((np.array([lf.value for lf in g], dtype=float),
                         np.array([lf.features for lf in g], dtype=np.int64),
                         np.array([lf.lo for lf in g], dtype=float), np.array([lf.hi for lf in g], dtype=float),
-                        np.array([lf.z for lf in g], dtype=float)))
+                        # a branch without training rows would make its factor impossible to divide out
+                        np.maximum(np.array([lf.z for lf in g], dtype=float), 1e-12)))
     return out
 
 
@@ -81,19 +84,22 @@ def _make_kernel():
             w = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
             xs = xt[cols]                                      # leaves x m x rows
             o = ((xs > lo[:, :, None]) & (xs <= hi[:, :, None])).astype(float)
+            # coefficients of prod_j (z_j + o_j t), per leaf and row
+            c = np.zeros((m + 1, n_leaves, n))
+            c[0] = 1.0
+            for j in range(m):
+                zj = z[:, j, None]
+                c[1:j + 2] = c[1:j + 2] * zj + c[:j + 1] * o[:, j]
+                c[0] *= zj
             for i in range(m):
-                # coefficients of prod_{j != i} (z_j + o_j t), per leaf and row
-                c = np.zeros((m, n_leaves, n))
-                c[0] = 1.0
-                deg = 0
-                for j in range(m):
-                    if j == i:
-                        continue
-                    zj = z[:, j, None]
-                    c[1:deg + 2] = c[1:deg + 2] * zj + c[:deg + 1] * o[:, j]
-                    c[0] *= zj
-                    deg += 1
-                part = (values[:, None] * (o[:, i] - z[:, i, None])) * np.tensordot(w, c, axes=(0, 0))
+                # divide (z_i + o_i t) out again: from the top where o_i is 1, by z_i where it is 0
+                zi, on = z[:, i, None], o[:, i] > 0
+                high = np.zeros((n_leaves, n))
+                total = np.zeros((n_leaves, n))
+                for k in range(m - 1, -1, -1):
+                    high = c[k + 1] - zi * high if k < m - 1 else c[m]
+                    total += w[k] * np.where(on, high, c[k] / zi)
+                part = values[:, None] * (o[:, i] - zi) * total
                 for f in np.unique(cols[:, i]):
                     phi[f] += part[cols[:, i] == f].sum(axis=0)
         return phi.T
@@ -108,58 +114,101 @@ def shap_values(X: np.ndarray, ls: Sequence[Leaf]) -> np.ndarray:
     return _shap_batch(X, leaf_arrays(ls))
 
 
-# rows one Python task explains; sets the minimum number of tasks for the job
-ROWS_PER_TASK = 100_000
-# largest leaf table that is broadcast (session conf panelstats.attribution.maxLeafBytes)
-MAX_LEAF_BYTES = 512 * 1024 * 1024
-
-
-def leaf_table_bytes(table: Sequence[tuple]) -> int:
-    return sum(v.nbytes + cols.nbytes + lo.nbytes + hi.nbytes + z.nbytes for v, cols, lo, hi, z in table)
+# Leaf groups that a task keeps in memory; beyond it, it reads them again for every batch.
+GROUP_BYTES, CACHE_BYTES = 16 << 20, 512 << 20
+
+
+def _grouped(table: Sequence[tuple], limit: int) -> list[list[tuple]]:
+    groups, size = [[]], 0
+    for chunk in table:
+        n = sum(a.nbytes for a in chunk)
+        if groups[-1] and size + n > limit:
+            groups.append([])
+            size = 0
+        groups[-1].append(chunk)
+        size += n
+    return groups
+
+
+def _put_groups(spark, table: Sequence[tuple], limit: int) -> list[tuple[str, int]]:
+    """Write the leaf table to the shared folder in groups; (path, bytes) of each."""
+    folder, out = shared_path(spark, "attribution"), []
+    for i, group in enumerate(_grouped(table, limit)):
+        data = pickle.dumps(group)
+        store, path = file_system(f"{folder}/group-{i:05d}")
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(path) as f:
+            f.write(data)
+        out.append((f"{folder}/group-{i:05d}", len(data)))
+    return out
 
 
-def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
+def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str],
+              group_bytes: int = GROUP_BYTES, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Long table ``(id, feature, value, contribution, base)`` for every row of ``df``.
 
     ``model`` is a fitted pipeline whose last stage is a ``GBTClassificationModel``;
-    ``value`` is the (imputed) feature value the trees saw.
+    ``value`` is the (imputed) feature value the trees saw.  A model fitted with missing
+    indicators is explained over all its inputs; an indicator's share is added to its
+    feature's, so base + contributions is the log-odds either way.
+
+    The leaf table lies in the shared folder; tasks read it group by group and add up, so
+    its size is bounded by nothing but the model.
     """
     spark = df.sparkSession
     features = list(features)
     prep = PipelineModel(stages=model.stages[:-1]).transform(df)
-    cols = [prepared(f) for f in features]
-    src = prep.select(id_col, *cols)
-    # the work per row is CPU-heavy Python, so size tasks by rows, not by bytes
-    src = spread_rows(src, ROWS_PER_TASK)
-    sc = spark.sparkContext
+    inputs = list(model.stages[-2].getInputCols())
+    owner = {prepared(f): i for i, f in enumerate(features)} | {f"{f}_missing": i for i, f in enumerate(features)}
+    owners = np.array([owner[c] for c in inputs])
+    first = [inputs.index(prepared(f)) for f in features]
+    src = spread_rows(prep.select(id_col, *inputs))
     ls = gbt_leaves(spark, model.stages[-1])
     base = expected_value(ls)
-    table = leaf_arrays(ls)
-    # The table holds one entry per leaf with its path: no larger than the fitted model,
-    # which Spark itself broadcasts to score.  Its size is still checked before broadcast.
-    size, limit = leaf_table_bytes(table), conf_int(spark, "panelstats.attribution.maxLeafBytes", MAX_LEAF_BYTES)
-    if size > limit:
-        raise ValueError(f"leaf table of {size} bytes exceeds panelstats.attribution.maxLeafBytes={limit}")
-    bc = sc.broadcast(table)
-    kernel = _shap_batch
+    groups = _put_groups(spark, leaf_arrays(ls), group_bytes)
+    keep = sum(n for _, n in groups) <= cache_bytes
+    kernel, open_fs = _shap_batch, _opener()
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table = bc.value
+        held = {}
+
+        def group(path):
+            if path in held:
+                return held[path]
+            data = pickle.loads(open_fs(path))
+            if keep:
+                held[path] = data
+            return data
+
         names = np.asarray(features, dtype=object)
+        k = len(features)
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[cols].to_numpy(dtype=float)
-            phi = kernel(X, table)
-            k = len(features)
+            X = pdf[inputs].to_numpy(dtype=float)
+            phi = np.zeros((len(X), k))
+            for path, _ in groups:
+                part = kernel(X, group(path))
+                for col, own in enumerate(owners):
+                    phi[:, own] += part[:, col]
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), k),
                 "feature": np.tile(names, len(pdf)),
-                "value": X.reshape(-1),
+                "value": X[:, first].reshape(-1),
                 "contribution": phi.reshape(-1),
                 "base": np.full(len(pdf) * k, base),
             })
 
     schema = f"{id_col} {id_type}, feature string, value double, contribution double, base double"
     return src.mapInPandas(run, schema)
+
+
+def _opener():
+    # shipped by value, like the kernel
+    def read(uri):
+        from pyarrow import fs
+        store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
+        with store.open_input_stream(path) as f:
+            return f.read()
+    return read

@@ -23,8 +23,9 @@ from panelstats.operators.profile import (class_distribution, distinct_rows, fea
                                           first_row, mode_fill, mode_first_seen, profile)
 from panelstats.plans import fixtures as fx
 from panelstats.plans.fixtures import SCORES, round_doubles
-from panelstats.session import reliable_checkpoint, shared_path
+from panelstats.session import shared_path, written
 from panelstats.sources.scan import column_profile, read_table, typed_scores, write_table
+from panelstats.workflows import rater_sd_over_time, training_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 MEANS = [f"{s}_mean" for s in SCORES]
@@ -32,26 +33,17 @@ RANGES = [f"{s}_max_min_diff" for s in SCORES]
 
 
 # ---------------------------------------------------------------- shared building blocks
-def _profile(spark, sf, stats=("mean",), keys=("point_id",)) -> DataFrame:
-    return round_doubles(profile(fx.assessments(spark, sf), list(keys), SCORES, stats))
-
-
-_SERVING: dict = {}
+def _profile(spark, sf, stats=("mean",), keys=("point_id",), src=None) -> DataFrame:
+    return round_doubles(profile(fx.assessments(spark, sf) if src is None else src, list(keys), SCORES, stats))
 
 
 def _scored_classes(spark, sf) -> DataFrame:
-    """Per-point mean/min/max/range joined with the class table, plus the binary label.
-
-    This is the serving table every descriptive and model view reads.  It is written
-    once per session and data folder (a reliable checkpoint in the shared folder) and
-    then queried, instead of re-aggregating the raw ratings for every view.
-    """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SERVING:
-        prof = _profile(spark, sf, ("mean", "min", "max", "max_min_diff"))
-        x = join_label(prof, fx.classes(spark, sf), ["point_id"], ["class"])
-        _SERVING[key] = reliable_checkpoint(x.withColumn("label", binary_label("class", fx.PRIORITY_NEGATIVE)))
-    return _SERVING[key]
+    """Per-point mean/min/max/range joined with the class table, plus the binary label: the
+    serving table of the descriptive and model views, at full precision, as Parquet in the
+    shared folder, so each view prunes its columns and pushes its filters into the scan."""
+    prof = profile(fx.assessments(spark, sf), ["point_id"], SCORES, ("mean", "min", "max", "max_min_diff"))
+    x = join_label(prof, fx.classes(spark, sf), ["point_id"], ["class"])
+    return written(x.withColumn("label", binary_label("class", fx.PRIORITY_NEGATIVE)), "serving")
 
 
 def _typed_lineitem(spark, sf) -> DataFrame:
@@ -93,17 +85,37 @@ def head_n(spark, sf):
     return _profile(spark, sf).orderBy("point_id").limit(10)
 
 
+def scan_csv(spark, sf):
+    """A sheet export as text: scores written to CSV with the cells a spreadsheet damages, read
+    back with a text schema, repaired and typed."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[
+        _damaged(c).alias(c) if c == "l_quantity" else F.col(c).cast("string").alias(c) for c in SCORES])
+    path = write_table(li, shared_path(spark, "tables", "export_csv"), fmt="csv", header=True)
+    schema = "l_orderkey long, l_linenumber int, " + ", ".join(f"{c} string" for c in SCORES)
+    return typed_scores(read_table(spark, path, schema, fmt="csv"), SCORES, repair_dates=True)
+
+
 def write_roundtrip(spark, sf):
     path = write_table(_typed_lineitem(spark, sf), shared_path(spark, "tables", "typed_lineitem"))
     return read_table(spark, path)
 
 
 # ---------------------------------------------------------------- repair and missing values
+# cells that a cast alone would read as a number or a date, by the row they are put into
+ODD_CELLS = ["12:30", "2024-3", "7d", "5f", "0x1p3", "Infinity", "2024-02-30", "2024-13-01", " 5.3 ", "1e1", "-.5", "5.", ""]
+
+
+def _damaged(col: str):
+    """Scores as the damaged export has them: dates in the rows of flag R, odd cells in every
+    eleventh row of line 3."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in ODD_CELLS]), (F.pmod(F.col("l_orderkey"), F.lit(len(ODD_CELLS))) + 1).cast("int"))
+    return F.when((F.col("l_linenumber") == 3) & (F.pmod(F.col("l_orderkey"), F.lit(11)) == 0), odd).when(
+        F.col("l_returnflag") == "R", F.col("l_shipdate").cast("string")).otherwise(F.col(col).cast("string"))
+
+
 def repair_date_scores(spark, sf):
     li = fx.table(spark, sf, "lineitem")
-    raw = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate").cast("string")).otherwise(
-        F.col("l_quantity").cast("string"))
-    r = li.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    r = li.select("l_orderkey", "l_linenumber", _damaged("l_quantity").alias("raw"))
     return r.select("*", repair_date_score("raw").alias("score"),
                     was_date_repaired("raw").alias("was_repaired"))
 
@@ -145,6 +157,16 @@ def mode_fill_q(spark, sf):
     return mode_fill(_events(spark, sf).drop("ts"), ["user_id"], "event_type", "event_id")
 
 
+def mode_fill_signed_zero(spark, sf):
+    """A floating-point key with 0.0, -0.0 and NULL: one group, one group and a group."""
+    li = fx.table(spark, sf, "lineitem")
+    key = F.when(F.col("l_linenumber") == 1, F.lit(0.0)).when(F.col("l_linenumber") == 2, F.lit(-0.0)).when(
+        F.col("l_linenumber") != 3, F.col("l_discount"))
+    rows = li.select(F.expr(fx.ROW_ORDER).alias("seq"), key.alias("k"), "l_returnflag")
+    filled = mode_fill(rows, ["k"], "l_returnflag", "seq")
+    return filled.select("seq", (F.col("k") + F.lit(0.0)).alias("k"), "l_returnflag")
+
+
 def first_row_per_key(spark, sf):
     return first_row(_events(spark, sf), ["user_id"], "event_id")
 
@@ -198,7 +220,9 @@ def join_geo_inner(spark, sf):
 
 
 def join_left_suffix(spark, sf):
-    return join_with_suffixes(fx.assessments(spark, sf), fx.classes(spark, sf), ["point_id"], "left")
+    """The class table lacks one class, so its points stay without a partner."""
+    some = fx.classes(spark, sf).where(F.col("class") != "5-LOW")
+    return join_with_suffixes(fx.assessments(spark, sf), some, ["point_id"], "left")
 
 
 def _two_key(spark, sf):
@@ -213,14 +237,16 @@ def join_two_keys(spark, sf):
 
 
 def join_left_two_keys(spark, sf):
+    """The attributes of one point name are missing, so its profiles stay without a partner."""
     prof, attrs = _two_key(spark, sf)
-    return join_on(prof, attrs, ["point_id", "point"], "left")
+    return join_on(prof, attrs.where(F.col("point") != "N"), ["point_id", "point"], "left")
 
 
 def join_fanout(spark, sf):
-    prof, _ = _two_key(spark, sf)
-    return join_on(prof.drop("point"), fx.classes(spark, sf).select("point_id", "class"),
-                   ["point_id"], "inner")
+    """Joined on the name alone, which several ids share on both sides."""
+    prof = _profile(spark, sf, keys=("point_id", "point"), src=fx.named_assessments(spark, sf)).drop("point_id")
+    ids = distinct_rows(fx.named_classes(spark, sf), ["point", "point_id", "class"])
+    return join_on(prof, ids, ["point"], "inner")
 
 
 def join_first_visit(spark, sf):
@@ -234,6 +260,21 @@ def disagreement_over_time(spark, sf):
         prof, visits, "user_id", sd_cols=["value_sd"], long_by="event_type"))
 
 
+def disagreement_unpivoted(spark, sf):
+    """The whole series: complete rows, sd of every score per point, species fan-out, date of
+    the first visit, unpivoted."""
+    a = fx.named_assessments(spark, sf)
+    return round_doubles(rater_sd_over_time(a, "seq", SCORES, key="point_id", name="point", date="visit_ts",
+                                            species="species", date_col="visit_date"))
+
+
+def training_table_q(spark, sf):
+    """The five-class booster's training table, composed as one job."""
+    return round_doubles(training_table(
+        fx.named_assessments(spark, sf), fx.named_classes(spark, sf), "seq", SCORES, key="point_id", name="point",
+        date="visit_ts", species="species", height="height", cls="class", date_col="visit_date"))
+
+
 # ---------------------------------------------------------------- distributions
 def feature_ranges_q(spark, sf):
     return round_doubles(feature_ranges(_profile(spark, sf), MEANS))
@@ -254,7 +295,7 @@ def _melted(spark, sf):
 
 
 def melt_ranges(spark, sf):
-    return _melted(spark, sf)
+    return round_doubles(_melted(spark, sf))
 
 
 def box_by_variable(spark, sf):
@@ -284,6 +325,10 @@ def stratified_folds(spark, sf):
     return sampling.stratified_folds(_priorities(spark, sf), "o_orderkey", "o_orderpriority", 5, 667)
 
 
+def split_sizes(spark, sf):
+    return sampling.split_sizes(stratified_split(spark, sf))
+
+
 def fold_rows(spark, sf):
     return sampling.fold_rows(stratified_folds(spark, sf), 0, held_out=False)
 
@@ -336,6 +381,7 @@ def attribution_summary(spark, sf):
 
 SQL_CHECKED: dict[str, Query] = {
     "scan_typed": scan_typed,
+    "scan_csv": scan_csv,
     "profile_columns": profile_columns,
     "select_scores": select_scores_q,
     "drop_by_pattern": drop_by_pattern,
@@ -351,6 +397,7 @@ SQL_CHECKED: dict[str, Query] = {
     "profile_mean_sd": profile_mean_sd,
     "mode_first_seen": mode_first_seen_q,
     "mode_fill": mode_fill_q,
+    "mode_fill_signed_zero": mode_fill_signed_zero,
     "first_row_per_key": first_row_per_key,
     "class_distribution": class_distribution_q,
     "class_order": class_order,
@@ -366,6 +413,8 @@ SQL_CHECKED: dict[str, Query] = {
     "join_fanout": join_fanout,
     "join_first_visit": join_first_visit,
     "disagreement_over_time": disagreement_over_time,
+    "disagreement_unpivoted": disagreement_unpivoted,
+    "training_table": training_table_q,
     "feature_ranges": feature_ranges_q,
     "score_correlation": score_correlation,
     "scatter_bins": scatter_bins,
@@ -376,6 +425,7 @@ SQL_CHECKED: dict[str, Query] = {
     "stratified_split": stratified_split,
     "stratified_folds": stratified_folds,
     "fold_rows": fold_rows,
+    "split_sizes": split_sizes,
     "classification_report": classification_report,
     "confusion_matrix": confusion_matrix,
     "sigmoid": sigmoid_q,

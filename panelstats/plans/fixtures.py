@@ -29,6 +29,9 @@ PRIORITY_NEGATIVE = ["5-LOW", "4-NOT SPECIFIED"]
 LINEITEM_NON_SCORES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
                        "l_linestatus", "l_shipdate"]
 
+# Line numbers repeat within an order; with the price in cents a row's place is unique.
+ROW_ORDER = "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)"
+
 DIGITS = 6  # float outputs are compared at this many decimals
 # Box statistics of 6-decimal inputs are exact at 9 decimals (quarter-point interpolation,
 # then 1.5 x iqr), so rounding there never meets a tie that engines resolve differently.
@@ -55,6 +58,24 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("o_totalprice").alias("lon")))
 
 
+def named_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessments in the source's full layout: a name that two ids share, a height as text, a
+    species, a row order, and scores of which some are missing."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("point_id"), F.expr("concat('P', l_orderkey div 2)").alias("point"),
+                     F.expr(ROW_ORDER).alias("seq"), F.col("l_shipdate").alias("visit_ts"),
+                     F.col("l_returnflag").alias("species"), F.expr("cast(l_linenumber % 3 as string)").alias("height"),
+                     "l_quantity", "l_extendedprice", F.when(F.col("l_discount") != 0.0, F.col("l_discount")).alias("l_discount"),
+                     "l_tax")
+
+
+def named_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class table with the shared names."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("point_id"), F.expr("concat('P', o_orderkey div 2)").alias("point"),
+                    F.col("o_orderpriority").alias("class"))
+
+
 def with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem scores with NULLs injected where a discount or tax is zero."""
     li = table(spark, sf_dir, "lineitem")

@@ -1,12 +1,22 @@
 """Model keys over the lineitem profile joined with the class table.
 
-They have no SQL oracle: the driver checks their row counts, and ``tests/test_models.py``
-checks their properties (split shares, fold balance, local accuracy of attributions,
-save/load equality).  Compute budgets (trees, candidates) are fixed here.
+What a fitted model says has no SQL; every key ``k`` has a companion ``k_check`` that runs the
+same model and reduces its output to what SQL can compute on its own: the points and their
+positions, supports, fold sizes, and whether each row keeps the property it must have (base
+plus contributions equal the log-odds, scores survive a reload, a probability fits its
+prediction).
+
+The binary booster is trained once for a state of the data and stored in the shared folder
+under a fingerprint of the input files (names, sizes, times); rewritten data get another
+fingerprint and another model.  Budgets (trees, candidates) are session settings, see
+``BUDGET``; the library's own defaults are the source's.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,58 +27,78 @@ from panelstats.operators.profile import feature_ranges
 from panelstats.plans import fixtures as fx
 from panelstats.plans.catalog import MEANS, _scored_classes
 from panelstats.plans.fixtures import round_doubles
-from panelstats.session import reliable_checkpoint, shared_path, spread_rows
+from panelstats.session import checkpoint_root, conf_int, shared_path, spread_rows, written
 
 BOOSTED_FEATURES = MEANS                                     # the four mean scores
 TREE_FEATURES = ["l_quantity_mean", "l_discount_mean", "l_tax_mean"]
-GBT = dict(maxIter=20, maxDepth=4, stepSize=0.3, seed=K.SEARCH_SEED)
-SEARCH_SPACE = {                                              # the reference space, depth capped for run time
-    "max_depth": ("int", 2, 6),
-    "colsample_bytree": ("uniform", 0.1, 1.0),
-    "scale_pos_weight": ("uniform", 1.0, 50.0),
-    "learning_rate": ("log-uniform", 1e-4, 1.0),
-}
-SEARCH_CANDIDATES, SEARCH_TREES, FOLDS = 4, 10, K.N_FOLDS
+FOLDS = K.N_FOLDS
+# Session settings ``panelstats.budget.<name>``: trees of the binary booster and their depth,
+# candidates, trees and depth of the search, rounds and depth of the five-class booster.
+BUDGET = {"trees": 20, "depth": 4, "search.candidates": 4, "search.trees": 10, "search.depth": 6,
+          "multiclass.rounds": 10, "multiclass.depth": 4}
+
+
+def _budget(spark, name: str) -> int:
+    return conf_int(spark, f"panelstats.budget.{name}", BUDGET[name])
 
 
-_POINTS: dict = {}
+def _gbt(spark) -> dict:
+    return dict(maxIter=_budget(spark, "trees"), maxDepth=_budget(spark, "depth"), stepSize=0.3, seed=K.SEARCH_SEED)
+
+
+def _multiclass(spark) -> dict:
+    grid = {**K.MULTICLASS_GRID, "nrounds": [_budget(spark, "multiclass.rounds")], "max_depth": [_budget(spark, "multiclass.depth")]}
+    return model.parameter_grid(grid)[0]
 
 
 def _points(spark, sf) -> DataFrame:
-    """Per-point features, class, binary and ordinal labels, spread over the cores and
-    checkpointed once per session: every model reads them many times."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _POINTS:
-        x = _scored_classes(spark, sf).select(
-            "point_id", "class", F.col("label").cast("double").alias("label"),
-            ordinal_label("class", fx.PRIORITY_ORDER).cast("double").alias("ordinal"), *MEANS)
-        _POINTS[key] = reliable_checkpoint(spread_rows(x, 250_000))
-    return _POINTS[key]
+    """Per-point features, class, binary and ordinal labels, spread over the cores and written:
+    every model reads them many times."""
+    x = _scored_classes(spark, sf).select(
+        "point_id", "class", F.col("label").cast("double").alias("label"),
+        ordinal_label("class", fx.PRIORITY_ORDER).cast("double").alias("ordinal"), *MEANS)
+    return written(spread_rows(x), "points")
 
 
 def _split(points: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
-    s = sampling.stratified_split(points, "point_id", cls, K.TEST_SHARE, K.SPLIT_SEED)
-    # ranking by class leaves rows clustered in one partition per class; spread them so
-    # that every fit and scoring pass uses all cores
-    s = reliable_checkpoint(spread_rows(s, 250_000))
+    # ranking by class leaves rows clustered; spread them so that every fit uses all cores
+    s = written(spread_rows(sampling.stratified_split(points, "point_id", cls, K.TEST_SHARE, K.SPLIT_SEED)), "split")
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
-_FITTED: dict = {}
+def _fingerprint(spark, sf, names=("lineitem", "orders", "customer")) -> str:
+    """Names, sizes and times of the files of the tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    marks = []
+    for name in names:
+        for f in fx.table(spark, sf, name).inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            marks.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()
+
+
+def _stored(spark, sf, name: str, params: dict, fit):
+    """The model stored for this data and these parameters; fitted and stored if there is none.
+    The folder is renamed into place, so it is there whole or not at all."""
+    mark = hashlib.md5(f"{_fingerprint(spark, sf)}:{sorted(params.items())}".encode()).hexdigest()
+    jvm = spark._jvm
+    final = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/panelstats/fitted/{name}-{mark}")
+    store = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(final):
+        temp = jvm.org.apache.hadoop.fs.Path(model.save_model(fit(), shared_path(spark, "models", name)))
+        store.mkdirs(final.getParent())
+        store.rename(temp, final)
+    return model.load_model(final.toString())
 
 
 def _binary(spark, sf):
-    """Points, split and the binary booster, trained once per session and data folder.
-
-    As in the source, the model is trained once and then served: scoring, explaining and
-    mapping reuse the fitted pipeline instead of retraining it for every view.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        points = _points(spark, sf)
-        train, test = _split(points, "label")
-        _FITTED[key] = (points, train, test, model.fit_boosted(train, BOOSTED_FEATURES, "label", **GBT))
-    return _FITTED[key]
+    """Points, split and the binary booster, trained once and then served, as in the source."""
+    points = _points(spark, sf)
+    train, test = _split(points, "label")
+    params = _gbt(spark)
+    return points, train, test, _stored(spark, sf, "boosted_binary", params,
+                                        lambda: model.fit_boosted(train, BOOSTED_FEATURES, "label", **params))
 
 
 def _report(m, test, label) -> DataFrame:
@@ -93,27 +123,26 @@ def boosted_binary(spark, sf):
 def boosted_multiclass(spark, sf):
     points = _points(spark, sf)
     train, test = _split(points, "ordinal")
-    m = model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5,
-                                     maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.9)
+    m = model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5, **_multiclass(spark))
     return _report(m, test, "ordinal")
 
 
 def tune_boosted(spark, sf):
     points = _points(spark, sf)
     train, _ = _split(points, "label")
-    folds = reliable_checkpoint(sampling.stratified_folds(train, "point_id", "label", FOLDS, K.SPLIT_SEED))
-    _, table = model.tune_boosted(folds, BOOSTED_FEATURES, "label", "fold", FOLDS, SEARCH_SPACE,
-                                  SEARCH_CANDIDATES, K.SEARCH_SEED, SEARCH_TREES, parallelism=4)
+    folds = written(sampling.stratified_folds(train, "point_id", "label", FOLDS, K.SPLIT_SEED), "folds")
+    space = {**K.SEARCH_SPACE, "max_depth": ("int", 2, _budget(spark, "search.depth"))}
+    _, table = model.tune_boosted(folds, BOOSTED_FEATURES, "label", "fold", FOLDS, space, _budget(spark, "search.candidates"),
+                                  K.SEARCH_SEED, _budget(spark, "search.trees"), parallelism=4)
     return round_doubles(table)
 
 
 def cv_accuracy(spark, sf):
     points = _points(spark, sf)
-    folds = reliable_checkpoint(sampling.stratified_folds(points, "point_id", "ordinal", FOLDS, K.SPLIT_SEED))
+    folds = written(sampling.stratified_folds(points, "point_id", "ordinal", FOLDS, K.SPLIT_SEED), "folds")
 
     def fit(train):
-        return model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5,
-                                            maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.9)
+        return model.fit_boosted_multiclass(train, BOOSTED_FEATURES, "ordinal", parallelism=5, **_multiclass(spark))
 
     per_fold = model.cross_validate(folds, BOOSTED_FEATURES, "ordinal", fit, FOLDS, parallelism=FOLDS)
     return round_doubles(metrics.mean_over_folds(per_fold, "accuracy", "mean_accuracy"))
@@ -198,8 +227,123 @@ def attribution_ranking(spark, sf):
 def thematic_points(spark, sf):
     points, _, _, m = _binary(spark, sf)
     scored = model.score(m, points, ["point_id"])
-    return round_doubles(thematic.thematic_table(scored, fx.classes(spark, sf), "point_id"))
+    return round_doubles(thematic.thematic_table(scored, fx.classes(spark, sf), "point_id", name="status"))
+
+
+def missing_attribution(spark, sf):
+    """Training, scoring and attribution on scores of which some are missing, with indicators."""
+    points = _points(spark, sf)
+    holes = written(points.withColumns({
+        "l_quantity_mean": F.when(F.pmod(F.col("point_id"), F.lit(7)) != 0, F.col("l_quantity_mean")),
+        "l_tax_mean": F.when(F.col("label") == 0, F.col("l_tax_mean"))}), "holes")  # missingness tells the label
+    m = model.fit_boosted(holes, BOOSTED_FEATURES, "label", missing_indicators=True, maxIter=5, maxDepth=3, seed=K.SEARCH_SEED)
+    return _exactness(m, holes, treeshap.attribute(m, holes, "point_id", BOOSTED_FEATURES))
+
+
+# ---------------------------------------------------------------- what SQL can compute of each
+def _supports(report: DataFrame) -> DataFrame:
+    return report.where(F.col("support") > 0).select("class", "support")
+
+
+def _exactness(m, points: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Per point whether base + contributions equals the model's log-odds."""
+    total = contributions.groupBy("point_id").agg(F.count(F.lit(1)).alias("features"), (F.max("base") + F.sum("contribution")).alias("t"))
+    odds = m.transform(points).select("point_id", (2 * vector_to_array("rawPrediction")[1]).alias("o"))
+    return total.join(odds, "point_id").select("point_id", "features", (F.abs(F.col("t") - F.col("o")) < 1e-6).alias("exact"))
+
+
+def tree_multiclass_check(spark, sf):
+    return _supports(tree_multiclass(spark, sf))
+
+
+def boosted_binary_check(spark, sf):
+    return _supports(boosted_binary(spark, sf))
+
+
+def boosted_multiclass_check(spark, sf):
+    return _supports(boosted_multiclass(spark, sf))
+
+
+def cv_accuracy_check(spark, sf):
+    r = cv_accuracy(spark, sf)
+    return r.select("fold", "n_test", F.col("accuracy").between(0, 1).alias("in_range"), "error", "folds_scored")
+
+
+def score_points_check(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    s = model.score(m, points, ["point_id", "class", "label"])
+    return s.select("point_id", "class", F.col("label").cast("int").alias("label"),
+                    ((F.col("probability") > 0.5).cast("int") == F.col("prediction")).alias("fits"))
+
+
+def score_rows_check(spark, sf):
+    s = score_rows(spark, sf)
+    return s.select("case", *BOOSTED_FEATURES, F.col("probability").between(0, 1).alias("in_range"))
+
+
+def explain_rows_check(spark, sf):
+    from panelstats.functions.scalar import format_percent
+    points, _, _, m = _binary(spark, sf)
+    rows = written(_form_rows(points), "form-rows")
+    text = attribution.attribution_text(treeshap.attribute(m, rows, "case", BOOSTED_FEATURES), id_col="case")
+    scored = model.score(m, rows, ["case"]).join(text, "case")
+    return scored.select("case", F.col("text").endswith(F.concat(format_percent(F.col("probability")), F.lit("."))).alias("ends_at_probability"))
+
+
+def model_roundtrip_check(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    again = model.load_model(model.save_model(m, shared_path(spark, "models", "boosted_binary")))
+    a, b = model.score(m, points, ["point_id"]), model.score(again, points, ["point_id"])
+    b = b.select("point_id", F.col("prediction").alias("p2"), F.col("probability").alias("q2"))
+    return a.join(b, "point_id").select("point_id", ((F.col("prediction") == F.col("p2")) & (F.col("probability") == F.col("q2"))).alias("same"))
+
+
+def feature_importance_check(spark, sf):
+    r = feature_importance(spark, sf)
+    return r.agg(F.sort_array(F.collect_set("feature")).alias("f"), (F.abs(F.sum("importance") - 1) < 1e-5).alias("adds_up")).select(
+        F.explode("f").alias("feature"), "adds_up")
+
+
+def tree_rules_check(spark, sf):
+    """Every point follows exactly one rule."""
+    points = _points(spark, sf)
+    train, _ = _split(points, "ordinal")
+    m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
+    rules = trees.tree_rules(spark, m.stages[-1], TREE_FEATURES).collect()  # a rule per leaf of a tree of depth 4
+    met = F.lit(0)
+    for r in rules:
+        met = met + F.when(F.expr(r["rule"]) if r["rule"] else F.lit(True), 1).otherwise(0)
+    return points.select("point_id", met.alias("rules_met"))
+
+
+def attribute_points_check(spark, sf):
+    points, _, _, m = _binary(spark, sf)
+    return _exactness(m, points, treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES))
+
+
+def attribution_ranking_check(spark, sf):
+    return attribution_ranking(spark, sf).select("feature", "n", (F.col("mean_abs") >= 0).alias("in_range"))
+
+
+def thematic_points_check(spark, sf):
+    return thematic_points(spark, sf).select("point_id", "status", "lat", "lon", "center_lat", "center_lon")
+
+
+def box_by_prediction_check(spark, sf):
+    return round_doubles(box_by_prediction(spark, sf).agg(F.sum("n").alias("n"), F.min("min").alias("least"), F.max("max").alias("most")))
+
+
+def tune_boosted_check(spark, sf):
+    t = tune_boosted(spark, sf)
+    return t.select("candidate", F.col("mean_f1").between(0, 1).alias("in_range"),
+                    F.col("max_depth").between(2, 30).alias("depth_in_space"), (F.col("step_size") <= 1).alias("step_in_space"))
+
 
+MODEL_CHECKS = {f.__name__: f for f in (
+    tree_multiclass_check, boosted_binary_check, boosted_multiclass_check, cv_accuracy_check, score_points_check,
+    score_rows_check, explain_rows_check, model_roundtrip_check, feature_importance_check, tree_rules_check,
+    attribute_points_check, attribution_ranking_check, thematic_points_check, box_by_prediction_check, tune_boosted_check)}
+MODEL_CHECKS["missing_attribution"] = missing_attribution
 
 MODEL_QUERIES = {
     "tree_multiclass": tree_multiclass,
@@ -217,4 +361,5 @@ MODEL_QUERIES = {
     "thematic_points": thematic_points,
     "box_by_prediction": box_by_prediction,
     "attribution_ranking": attribution_ranking,
+    **MODEL_CHECKS,
 }

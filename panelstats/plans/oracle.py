@@ -48,8 +48,8 @@ _AGG = {"mean": "AVG({c})", "media": "AVG({c})", "min": "MIN({c})", "max": "MAX(
         "max_min_diff": "MAX({c}) - MIN({c})", "sd": "STDDEV_SAMP({c})"}
 
 
-def profile_cte(name: str, stats, keys=("point_id",), src="assess", cols=SC) -> str:
-    exprs = ", ".join(f"{R(_AGG[s].format(c=c))} AS {c}_{s}" for c in cols for s in stats)
+def profile_cte(name: str, stats, keys=("point_id",), src="assess", cols=SC, exact: bool = False) -> str:
+    exprs = ", ".join(f"{_AGG[s].format(c=c) if exact else R(_AGG[s].format(c=c))} AS {c}_{s}" for c in cols for s in stats)
     k = ", ".join(keys)
     nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
     return f"{name} AS (SELECT {k}, {exprs} FROM {src} WHERE {nn} GROUP BY {k})"
@@ -71,13 +71,70 @@ PROFILE_COLUMNS = "\nUNION ALL\n".join(
     f"SELECT {i} AS position, {_q(c)} AS \"column\", {_q(t)} AS dtype, COUNT({c}) AS non_null, "
     f"COUNT(*) AS \"rows\" FROM lineitem" for i, (c, t) in enumerate(LINEITEM_TYPES))
 
-REPAIR = with_(
-    "r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS VARCHAR) "
-    "ELSE CAST(l_quantity AS VARCHAR) END AS raw FROM lineitem)") + (
-    "SELECT l_orderkey, l_linenumber, raw, "
-    "COALESCE(TRY_CAST(raw AS DOUBLE), TRY_CAST(CAST(day(TRY_CAST(raw AS TIMESTAMP)) AS VARCHAR) || '.' || "
-    "CAST(month(TRY_CAST(raw AS TIMESTAMP)) AS VARCHAR) AS DOUBLE)) AS score, "
-    "(TRY_CAST(raw AS DOUBLE) IS NULL AND TRY_CAST(raw AS TIMESTAMP) IS NOT NULL) AS was_repaired FROM r")
+_ODD = ["12:30", "2024-3", "7d", "5f", "0x1p3", "Infinity", "2024-02-30", "2024-13-01", " 5.3 ", "1e1", "-.5", "5.", ""]
+DAMAGED = ("CASE WHEN l_linenumber = 3 AND l_orderkey % 11 = 0 THEN list_extract([" + ", ".join(_q(x) for x in _ODD)
+           + f"], CAST(l_orderkey % {len(_ODD)} AS INT) + 1) WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS VARCHAR) "
+             "ELSE CAST(l_quantity AS VARCHAR) END")
+_NUM = (r"CASE WHEN regexp_matches(raw, '^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') "
+        "THEN TRY_CAST(trim(raw) AS DOUBLE) END")
+_DAY = (r"CASE WHEN regexp_matches(raw, '^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?\s*$') "
+        "THEN TRY_CAST(substr(trim(raw), 1, 10) AS DATE) END")
+_SCORE = f"COALESCE({_NUM}, TRY_CAST(CAST(day({_DAY}) AS VARCHAR) || '.' || CAST(month({_DAY}) AS VARCHAR) AS DOUBLE))"
+REPAIR = with_(f"r AS (SELECT l_orderkey, l_linenumber, {DAMAGED} AS raw FROM lineitem)") + (
+    f"SELECT l_orderkey, l_linenumber, raw, {_SCORE} AS score, "
+    f"(({_NUM}) IS NULL AND ({_DAY}) IS NOT NULL) AS was_repaired FROM r")
+SCAN_CSV = with_(f"r AS (SELECT *, {DAMAGED} AS raw FROM lineitem)") + (
+    f"SELECT l_orderkey, l_linenumber, {_SCORE} AS l_quantity, l_extendedprice, l_discount, l_tax FROM r")
+
+NAMED = ("na AS (SELECT l_orderkey AS point_id, 'P' || CAST(l_orderkey // 2 AS VARCHAR) AS point, "
+         f"{fx.ROW_ORDER} AS seq, l_shipdate AS visit_ts, l_returnflag AS species, "
+         "CAST(l_linenumber % 3 AS VARCHAR) AS height, l_quantity, l_extendedprice, "
+         "CASE WHEN l_discount <> 0 THEN l_discount END AS l_discount, l_tax FROM lineitem)")
+NAMED_CLASSES = ("nc AS (SELECT o_orderkey AS point_id, 'P' || CAST(o_orderkey // 2 AS VARCHAR) AS point, "
+                 "o_orderpriority AS class FROM orders)")
+
+
+def _first_visit(src: str) -> str:
+    return (f"fv AS (SELECT point, CAST(visit_ts AS DATE) AS visit_date FROM (SELECT point, visit_ts, ROW_NUMBER() OVER "
+            f"(PARTITION BY point ORDER BY seq) AS rn FROM {src}) WHERE rn = 1)")
+
+
+def _unpivot(src: str, cols) -> str:
+    return " UNION ALL ".join(f"SELECT point, visit_date, {_q(c)} AS score, {R(c)} AS sd FROM {src}" for c in cols)
+
+
+DISAGREEMENT = with_(
+    NAMED, "a AS (SELECT * FROM na WHERE l_discount IS NOT NULL)",
+    profile_cte("sd", ["sd"], keys=("point_id", "point"), src="a", exact=True),
+    "sp AS (SELECT DISTINCT point_id, point, species FROM a)", _first_visit("a"),
+    "j AS (SELECT sd.*, visit_date FROM sd LEFT JOIN sp USING (point_id, point) JOIN fv USING (point))") + _unpivot(
+    "j", [f"{c}_sd" for c in SC])
+
+_STATS = [f"{c}_{s}" for c in SC for s in ("media", "sd")]
+TRAINING = with_(
+    NAMED, NAMED_CLASSES,
+    "hc AS (SELECT point_id, point, height, COUNT(*) AS n, MIN(seq) AS f FROM na GROUP BY 1, 2, 3)",
+    "hm AS (SELECT point_id, point, height FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id, point "
+    "ORDER BY n DESC, f) AS rn FROM hc) WHERE rn = 1)",
+    profile_cte("st", ["media", "sd"], keys=("point_id", "point"), src="na", exact=True),
+    "sp AS (SELECT DISTINCT point_id, point, species FROM na)", _first_visit("na"),
+    "ic AS (SELECT DISTINCT point, class, point_id AS class_id FROM nc)",
+    "x AS (SELECT st.*, hm.height, species, visit_date, class, class_id, CAST(st.point_id AS VARCHAR) || ':' || species "
+    "|| ':' || CAST(class_id AS VARCHAR) AS row_key FROM st JOIN hm USING (point_id, point) LEFT JOIN sp USING (point_id, point) "
+    "JOIN fv USING (point) JOIN ic USING (point) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _STATS) + ")",
+    "sz AS (SELECT class, COUNT(*) AS c, ROW_NUMBER() OVER (ORDER BY class) - 1 AS factor FROM x GROUP BY class)",
+    "o AS (SELECT class, factor, COALESCE(SUM(c) OVER (ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS off FROM sz)") + (
+    "SELECT point, " + ", ".join(f"{R(c)} AS {c}" for c in _STATS) + ", CAST(height AS DOUBLE) AS height, species, visit_date, "
+    "class, class_id AS point_id, row_key, CAST(factor AS INTEGER) AS factor, CAST((off + ROW_NUMBER() OVER (PARTITION BY class "
+    "ORDER BY md5(row_key || ':667'), row_key) - 1) % 5 AS INTEGER) AS fold FROM x JOIN o USING (class)")
+
+SIGNED_ZERO = with_(
+    f"e AS (SELECT {fx.ROW_ORDER} AS seq, CASE WHEN l_linenumber <= 2 THEN 0.0::DOUBLE "
+    "WHEN l_linenumber <> 3 THEN l_discount + 0.0::DOUBLE END AS k, l_returnflag FROM lineitem)",
+    "c AS (SELECT k, l_returnflag, COUNT(*) AS n, MIN(seq) AS f FROM e GROUP BY 1, 2)",
+    "m AS (SELECT k, l_returnflag FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY n DESC, f) AS rn FROM c) WHERE rn = 1)"
+) + "SELECT seq, e.k, m.l_returnflag FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k"
 
 _any_null = " OR ".join(f"{c} IS NULL" for c in NL_COLS)
 NULL_COUNTS = with_(NULLS, "t AS (SELECT COUNT(*) * 5 AS cells, "
@@ -109,7 +166,7 @@ SCORE_CORR = "\nUNION ALL\n".join(
     f"SELECT {_q(a)} AS feature_a, {_q(b)} AS feature_b, {R(f'CORR({a}, {b})')} AS corr FROM lineitem"
     for a in SC for b in SC)
 
-SCORED = [ASSESS, CLASSES, profile_cte("p", ["mean", "min", "max", "max_min_diff"]),
+SCORED = [ASSESS, CLASSES, profile_cte("p", ["mean", "min", "max", "max_min_diff"], exact=True),
           f"x AS (SELECT p.*, c.class, {_label} AS label FROM p JOIN classes c USING (point_id))"]
 
 MELTED = SCORED + ["g AS (SELECT * FROM x WHERE l_quantity_max_min_diff <= CAST(40.0 AS DOUBLE))",
@@ -260,6 +317,7 @@ ORACLE: dict[str, str] = {
     "select_scores": "SELECT " + ", ".join(SC) + " FROM lineitem",
     "drop_by_pattern": with_(ASSESS, profile_cte("p", ["mean"], cols=SC[:3])) + "SELECT * FROM p",
     "head_n": _p(["mean"]) + " ORDER BY point_id LIMIT 10",
+    "scan_csv": SCAN_CSV,
     "write_roundtrip": TYPED,
     "repair_date_scores": REPAIR,
     "rows_any_null": with_(NULLS) + f"SELECT * FROM nl WHERE {_any_null}",
@@ -270,6 +328,7 @@ ORACLE: dict[str, str] = {
     "profile_stats": _p(["mean", "min", "max", "max_min_diff"]),
     "profile_mean_sd": _p(["media", "sd"]),
     "mode_first_seen": with_(MODE_CTE) + "SELECT * FROM m",
+    "mode_fill_signed_zero": SIGNED_ZERO,
     "mode_fill": with_(MODE_CTE) + ("SELECT e.event_id, e.user_id, m.event_type, e.value FROM events e "
                                     "JOIN m USING (user_id)"),
     "first_row_per_key": ("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, ROW_NUMBER() OVER "
@@ -287,18 +346,22 @@ ORACLE: dict[str, str] = {
     + "SELECT p.*, c.class FROM p JOIN classes c USING (point_id)",
     "join_geo_inner": with_(ASSESS, CLASSES, profile_cte("p", ["mean", "min", "max", "max_min_diff"]))
     + "SELECT * FROM p JOIN classes USING (point_id)",
-    "join_left_suffix": with_(ASSESS, CLASSES) + (
+    "join_left_suffix": with_(ASSESS, CLASSES, "rest AS (SELECT * FROM classes WHERE class <> '5-LOW')") + (
         "SELECT a.point_id, a.point, a.rater, a.status AS status_left, a.visit_ts, "
         + ", ".join(f"a.{s}" for s in SC)
-        + ", c.class, c.status AS status_right, c.lat, c.lon FROM assess a LEFT JOIN classes c "
+        + ", c.class, c.status AS status_right, c.lat, c.lon FROM assess a LEFT JOIN rest c "
           "ON a.point_id = c.point_id"),
     "join_two_keys": with_(*TWO_KEY) + "SELECT * FROM p2 JOIN attrs USING (point_id, point)",
-    "join_left_two_keys": with_(*TWO_KEY) + "SELECT * FROM p2 LEFT JOIN attrs USING (point_id, point)",
-    "join_fanout": with_(*TWO_KEY, CLASSES) + (
-        "SELECT p2.* EXCLUDE (point), c.class FROM p2 JOIN classes c USING (point_id)"),
+    "join_left_two_keys": with_(*TWO_KEY) + (
+        "SELECT p2.*, a.status FROM p2 LEFT JOIN (SELECT * FROM attrs WHERE point <> 'N') a USING (point_id, point)"),
+    "join_fanout": with_(NAMED, NAMED_CLASSES, profile_cte("pn", ["mean"], keys=("point_id", "point"), src="na"),
+                         "ids AS (SELECT DISTINCT point, point_id, class FROM nc)") + (
+        "SELECT pn.* EXCLUDE (point_id), ids.point_id, ids.class FROM pn JOIN ids USING (point)"),
     "join_first_visit": with_(*EVENT_CTES) + "SELECT * FROM prof JOIN v USING (user_id)",
     "disagreement_over_time": with_(*EVENT_CTES) + (
         "SELECT user_id, visit_date, event_type AS score, value_sd AS sd FROM prof JOIN v USING (user_id)"),
+    "disagreement_unpivoted": DISAGREEMENT,
+    "training_table": TRAINING,
     "feature_ranges": FEATURE_RANGES,
     "score_correlation": SCORE_CORR,
     "scatter_bins": with_(ASSESS, CLASSES, profile_cte("p", ["mean"]),
@@ -308,12 +371,13 @@ ORACLE: dict[str, str] = {
         f"{R('FLOOR(l_quantity_mean / 5.0::DOUBLE) * 5.0::DOUBLE')} AS x_low, "
         f"{R('FLOOR(l_tax_mean / 0.01::DOUBLE) * 0.01::DOUBLE')} AS y_low, COUNT(*) AS n FROM x "
         "WHERE l_quantity_mean IS NOT NULL AND l_tax_mean IS NOT NULL GROUP BY 1, 2, 3, 4, 5"),
-    "melt_ranges": with_(*MELTED) + "SELECT * FROM melted",
+    "melt_ranges": with_(*MELTED) + f"SELECT point_id, class, variable, {R('value')} AS value FROM melted",
     "box_by_variable": box_sql(MELTED, "melted", ["variable"], "value"),
     "box_by_class": box_sql(SCORED, "x", ["class", "label"], "l_quantity_mean"),
     "box_outliers": BOX_OUTLIERS,
     "stratified_split": SPLIT,
     "stratified_folds": FOLDS_CTE + "SELECT * FROM fo",
+    "split_sizes": f"SELECT split, COUNT(*) AS n FROM ({SPLIT}) GROUP BY split",
     "fold_rows": FOLDS_CTE + "SELECT * FROM fo WHERE fold <> 0",
     "classification_report": REPORT,
     "confusion_matrix": CONFUSION,
@@ -330,3 +394,62 @@ ORACLE: dict[str, str] = {
         f"SELECT feature, {R('AVG(ABS(contribution))')} AS mean_abs, {R('CORR(value, contribution)')} "
         "AS value_corr, COUNT(*) AS n FROM contrib GROUP BY feature"),
 }
+
+
+# ------------------------------------------------------------------ companions of the model keys
+_ORD = "CASE class " + " ".join(f"WHEN {_q(v)} THEN {i}" for i, v in enumerate(fx.PRIORITY_ORDER)) + " END"
+POINTS = SCORED + [f"pts AS (SELECT x.*, {_ORD} AS ordinal FROM x)"]
+
+
+def _hash_ranked(src: str, key: str, cls: str, seed: int = K.SPLIT_SEED) -> list[str]:
+    return [f"rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {cls} ORDER BY md5(CAST({key} AS VARCHAR) || ':{seed}'), {key}) AS rk "
+            f"FROM {src})", f"szs AS (SELECT {cls}, COUNT(*) AS c FROM {src} GROUP BY 1)"]
+
+
+def _supports(cls: str) -> str:
+    """Rows of the test part per class, and three times their total."""
+    return with_(*POINTS, *_hash_ranked("pts", "point_id", cls),
+                 f"t AS (SELECT *, SUM(c) OVER () AS n FROM szs)",
+                 f"t2 AS (SELECT *, CAST(c AS DOUBLE) * (n - CEIL(CAST({K.TEST_SHARE} AS DOUBLE) * n)) / n AS cont, "
+                 f"n - CEIL(CAST({K.TEST_SHARE} AS DOUBLE) * n) AS ntr FROM t)",
+                 f"t3 AS (SELECT *, ntr - SUM(FLOOR(cont)) OVER () AS need, ROW_NUMBER() OVER (ORDER BY cont - FLOOR(cont) DESC, {cls}) AS rr FROM t2)",
+                 f"q AS (SELECT {cls}, c - (FLOOR(cont) + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS test_n FROM t3)",
+                 f"s AS (SELECT CAST({cls} AS VARCHAR) AS class, COUNT(*) AS support FROM rk JOIN q USING ({cls}) WHERE rk <= test_n GROUP BY 1)") + (
+        "SELECT class, support FROM s UNION ALL SELECT u.c, CAST(SUM(support) AS BIGINT) FROM s, "
+        "(VALUES ('accuracy'), ('macro avg'), ('weighted avg')) u(c) GROUP BY 1")
+
+
+_CV = with_(*POINTS, *_hash_ranked("pts", "point_id", "ordinal"),
+            "off AS (SELECT ordinal, COALESCE(SUM(c) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM szs)") + (
+    f"SELECT CAST((o + rk - 1) % {K.N_FOLDS} AS INTEGER) AS fold, COUNT(*) AS n_test, true AS in_range, CAST(NULL AS VARCHAR) AS error, "
+    f"CAST({K.N_FOLDS} AS BIGINT) AS folds_scored FROM rk JOIN off USING (ordinal) GROUP BY 1")
+
+_FORM = with_(*POINTS) + " UNION ALL ".join(
+    f"SELECT '{case}' AS \"case\", " + ", ".join(f"{R(f'{agg}({m})')} AS {m}" for m in MEANS) + ", true AS in_range FROM pts"
+    for case, agg in (("min", "MIN"), ("mean", "AVG"), ("max", "MAX")))
+
+_each_point = with_(*POINTS) + "SELECT point_id, {what} FROM pts"
+_exact = _each_point.format(what="CAST(4 AS BIGINT) AS features, true AS exact")
+
+ORACLE |= {
+    "tree_multiclass_check": _supports("ordinal"),
+    "boosted_binary_check": _supports("label"),
+    "boosted_multiclass_check": _supports("ordinal"),
+    "cv_accuracy_check": _CV,
+    "score_points_check": _each_point.format(what="class, label, true AS fits"),
+    "score_rows_check": _FORM,
+    "explain_rows_check": "SELECT c AS \"case\", true AS ends_at_probability FROM (VALUES ('min'), ('mean'), ('max')) v(c)",
+    "model_roundtrip_check": _each_point.format(what="true AS same"),
+    "feature_importance_check": " UNION ALL ".join(f"SELECT {_q(m)} AS feature, true AS adds_up" for m in MEANS),
+    "tree_rules_check": _each_point.format(what="CAST(1 AS INTEGER) AS rules_met"),
+    "attribute_points_check": _exact,
+    "missing_attribution": _exact,
+    "attribution_ranking_check": with_(*POINTS) + " UNION ALL ".join(
+        f"SELECT {_q(m)} AS feature, COUNT(*) AS n, true AS in_range FROM pts" for m in MEANS),
+    "thematic_points_check": with_(*POINTS) + (
+        f"SELECT point_id, c.status, {R('c.lat')} AS lat, {R('c.lon')} AS lon, {R('AVG(c.lat) OVER ()')} AS center_lat, "
+        f"{R('AVG(c.lon) OVER ()')} AS center_lon FROM pts JOIN classes c USING (point_id)"),
+    "box_by_prediction_check": with_(*POINTS) + (
+        f"SELECT COUNT(*) AS n, {R('MIN(l_quantity_max_min_diff)')} AS least, {R('MAX(l_quantity_max_min_diff)')} AS most FROM pts"),
+    "tune_boosted_check": "SELECT CAST(c AS INTEGER) AS candidate, true AS in_range, true AS depth_in_space, true AS step_in_space FROM range(4) t(c)",
+}

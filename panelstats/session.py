@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-# Rows above which a derived table is never broadcast.  Derived tables in this
-# package are keyed by (class, partition) or (class, probability), so they stay far
-# below this; the check is still made at run time before any broadcast hint.
-# Session conf ``panelstats.broadcast.maxRows`` overrides it.
-BROADCAST_ROW_LIMIT = 200_000
+# Bytes above which a derived table is never broadcast.  Session conf
+# ``panelstats.broadcast.maxBytes`` overrides it.
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
@@ -53,53 +55,76 @@ def get_session(app: str = "panelstats", master: str | None = None,
 def _checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (unit tests, a laptop) a private folder is made and
-    registered with ``setCheckpointDir``, so that later calls agree on it.
+    Where nothing is configured, a local session (unit tests, a laptop) gets a private folder
+    that goes with the process; a cluster session gets an error, because a folder of the
+    driver's machine would not reach its executors.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="panelstats-ckpt-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        return root
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="panelstats-shared-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    return _checkpoint_root(spark)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables, models)."""
     root = _checkpoint_root(spark).rstrip("/")
     return "/".join([root, "panelstats", *parts, uuid.uuid4().hex])
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a path of the shared folder, and the path within it."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
     _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_table(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Materialise a derived table once and say whether it may be broadcast.
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table as Parquet to the shared folder and read it back: cuts the lineage,
+    survives lost executors, and lets every reader prune columns and push filters."""
+    path = shared_path(df.sparkSession, "tables", purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Used for tables derived from an already checkpointed input (so a lost cached block
-    is recomputed deterministically and cheaply).  The table is cached and counted; the
-    caller broadcasts it only when the count is within ``limit`` and otherwise lets
-    Spark shuffle-join it.
-    """
+
+def measured_bytes(df: DataFrame) -> int:
+    """Payload of a table: 16 bytes a row and 8 a column, and the length of its texts."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
+             if isinstance(f.dataType, (StringType, BinaryType))]
+    lists = [F.greatest(F.size(f.name), F.lit(0)) * F.lit(8) for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    row = F.lit(16 + 8 * len(df.columns))
+    for x in texts + lists:
+        row = row + x
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def small_table(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """A derived table, written once, and whether its measured bytes allow a broadcast; the
+    caller lets Spark shuffle-join it otherwise."""
     if limit is None:
-        limit = conf_int(df.sparkSession, "panelstats.broadcast.maxRows", BROADCAST_ROW_LIMIT)
-    df = df.cache()
-    return df, df.count() <= limit
-
-
-def spread_rows(df: DataFrame, rows_per_task: int) -> DataFrame:
-    """Give CPU-heavy stages (model fitting, Python attribution) at least one task per
-    core and per ``rows_per_task`` rows; byte-based partition sizing would pack a small
-    but expensive table into one task.  Round-robin, so a hot key cannot skew it."""
-    sc = df.sparkSession.sparkContext
-    want = max(sc.defaultParallelism, -(-df.count() // rows_per_task))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+        limit = conf_int(df.sparkSession, "panelstats.broadcast.maxBytes", BROADCAST_BYTE_LIMIT)
+    table = written(df, "small")
+    return table, measured_bytes(table) <= limit
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy stages (model fitting, Python attribution) at least one task per core;
+    byte-based sizing would pack a small but expensive table into one.  Round-robin, so a hot
+    key cannot skew it, and nothing is counted first."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def maybe_broadcast(df: DataFrame, is_small: bool) -> DataFrame:

@@ -48,9 +48,9 @@ def typed_scores(df: DataFrame, score_cols: Sequence[str], repair_dates: bool =
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                partition_by: Sequence[str] = ()) -> str:
+                partition_by: Sequence[str] = (), **options) -> str:
     """Write (overwrite) a processed table (S3); returns the path."""
-    w = df.write.mode("overwrite").format(fmt)
+    w = df.write.mode("overwrite").format(fmt).options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -20,10 +20,11 @@ from panelstats.operators import agreement, attribution, distribution, model, sa
 from panelstats.operators.columns import score_columns
 from panelstats.operators.joins import join_label, join_on, join_with_suffixes
 from panelstats.operators.missing import drop_any_null
-from panelstats.operators.profile import mode_fill, profile
+from panelstats.operators.profile import distinct_rows, mode_fill, profile
+from panelstats.session import written
 from panelstats.sources.scan import typed_scores
 
-KEY, NAME, DATE, CLASS = "PontoID", "Ponto", "Data", "CLASS_DED"
+KEY, NAME, DATE, CLASS, SPECIES, HEIGHT = "PontoID", "Ponto", "Data", "CLASS_DED", "Especie01", "Altura"
 
 
 def prepare_scores(raw: DataFrame, id_columns: Sequence[str] = K.ID_COLUMNS) -> DataFrame:
@@ -57,17 +58,21 @@ def model_features(points: DataFrame, stat: str = "mean",
 
 
 def split(points: DataFrame, label: str = "label", key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """The source's stratified 70/30 hold-out (seed 667)."""
-    s = sampling.stratified_split(points, key, label, K.TEST_SHARE, K.SPLIT_SEED)
+    """The source's stratified 70/30 hold-out (seed 667), written once and read by both parts."""
+    s = written(sampling.stratified_split(points, key, label, K.TEST_SHARE, K.SPLIT_SEED), "split")
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
 def train_binary(train: DataFrame, features: Sequence[str], key: str = KEY, n_candidates: int = 30,
-                 max_iter: int = 500, folds: int = K.N_FOLDS, parallelism: int = 1):
-    """Cross-validated search for the binary booster (F1 of the positive class)."""
-    f = sampling.stratified_folds(train, key, "label", folds, K.SPLIT_SEED)
+                 max_iter: int = 500, folds: int = K.N_FOLDS, parallelism: int = 1, missing_indicators: bool = True):
+    """Cross-validated search for the binary booster (F1 of the positive class).
+
+    The source keeps incomplete rows because missing scores may predict, so the trees may
+    split on missingness unless ``missing_indicators`` is off.
+    """
+    f = written(sampling.stratified_folds(train, key, "label", folds, K.SPLIT_SEED), "folds")
     return model.tune_boosted(f, features, "label", "fold", folds, model.REFERENCE_SPACE, n_candidates,
-                              K.SEARCH_SEED, max_iter, parallelism=parallelism)
+                              K.SEARCH_SEED, max_iter, parallelism=parallelism, missing_indicators=missing_indicators)
 
 
 def train_tree(train: DataFrame, features: Sequence[str]) -> PipelineModel:
@@ -84,11 +89,12 @@ def explain(fitted: PipelineModel, rows: DataFrame, features: Sequence[str], key
 
 def thematic_map(fitted: PipelineModel, points: DataFrame, classes: DataFrame, key: str = KEY) -> DataFrame:
     """Every point with its position, predicted class text, colour and the map centre."""
-    return thematic.thematic_table(model.score(fitted, points, [key]), classes, key, lat="LAT", lon="LON")
+    return thematic.thematic_table(model.score(fitted, points, [key]), classes, key, lat="LAT", lon="LON",
+                                   name=NAME if NAME in classes.columns else None)
 
 
 def rater_ranges(points_with_ranges: DataFrame, guard: str = "DispFolhVerd_max_min_diff",
-                 max_value: float = 6, ids: Sequence[str] = (NAME, CLASS), key: str = KEY) -> DataFrame:
+                 max_value: float = 6, ids: Sequence[str] = (NAME, "y_pred_class", CLASS), key: str = KEY) -> DataFrame:
     """Box statistics of every score's rater range (max - min), after the range guard."""
     ranges = [c for c in points_with_ranges.columns if c.endswith("_max_min_diff")]
     long = distribution.guarded_melt(points_with_ranges, [key, *[i for i in ids if i in points_with_ranges.columns]],
@@ -96,18 +102,56 @@ def rater_ranges(points_with_ranges: DataFrame, guard: str = "DispFolhVerd_max_m
     return distribution.box_stats(long, ["variable"], "value")
 
 
+def _species_fan_out(profiles: DataFrame, assessments: DataFrame, key: str, name: str, species: str) -> DataFrame:
+    """Left join of the distinct (key, name, species): a point with two species has two rows."""
+    return join_on(profiles, distinct_rows(assessments, [key, name, species]), [key, name], "left")
+
+
 def rater_sd_over_time(assessments: DataFrame, seq: str, score_cols: Sequence[str] | None = None,
-                       id_columns: Sequence[str] = K.ID_COLUMNS, fill_mode_of: str | None = None) -> DataFrame:
-    """Per point the sample sd of every score between raters, dated by the point's first
-    visit, newest first; rows with a missing cell are dropped first, as the source does.
-    ``fill_mode_of`` replaces that column by its per-point mode beforehand."""
+                       id_columns: Sequence[str] = K.ID_COLUMNS, key: str = KEY, name: str = NAME, date: str = DATE,
+                       species: str | None = SPECIES, height: str = HEIGHT, date_col: str = DATE) -> DataFrame:
+    """Sample sd of every score between raters, dated by the first visit, newest first.
+
+    Rows with a missing cell are dropped first.  Per (key, name) the sd of every score, the
+    left join of the species (which fans out), the key dropped, the date of the name's first
+    row joined, then one row per score.  The height is text in the source and has no series.
+    """
     a = drop_any_null(assessments)
-    if fill_mode_of:
-        a = mode_fill(a, [KEY, NAME], fill_mode_of, seq)
-    cols = list(score_cols or score_columns(a, id_columns))
-    sd = profile(a, [KEY, NAME], cols, ["media", "sd"], drop_null_keys=False).drop(KEY)
-    visits = agreement.first_visit(a, NAME, DATE, seq, date_col=DATE)
-    return agreement.disagreement_over_time(sd, visits, NAME, [f"{c}_sd" for c in cols], date_col=DATE)
+    cols = list(score_cols or [c for c in score_columns(a, id_columns) if c != height])
+    sd = profile(a, [key, name], cols, ["media", "sd"], drop_null_keys=False)
+    if species:
+        sd = _species_fan_out(sd, a, key, name, species)
+    visits = agreement.first_visit(a, name, date, seq, date_col=date_col)
+    return agreement.disagreement_over_time(sd.drop(key), visits, name, [f"{c}_sd" for c in cols], date_col=date_col)
+
+
+def training_table(assessments: DataFrame, classes: DataFrame, seq: str, score_cols: Sequence[str] | None = None,
+                   id_columns: Sequence[str] = K.ID_COLUMNS, key: str = KEY, name: str = NAME, date: str = DATE,
+                   species: str = SPECIES, height: str = HEIGHT, cls: str = CLASS, date_col: str = DATE,
+                   folds: int = K.N_FOLDS, seed: int = K.SPLIT_SEED) -> DataFrame:
+    """The five-class booster's training table with its folds.
+
+    Heights replaced by the mode of their point; mean and sd of every score per (key, name);
+    the heights joined back, the species left-joined (fans out), the key dropped; the date
+    of the name's first row; the classes joined on the name alone (fans out); rows with a
+    missing cell dropped; the class as a factor (numbered by name) and the height as a
+    number; a stratified fold per row.  ``row_key`` tells the fanned-out rows apart.
+    """
+    filled = mode_fill(assessments, [key, name], height, seq)
+    cols = list(score_cols or [c for c in score_columns(assessments, id_columns) if c != height])
+    stats = profile(filled, [key, name], cols, ["media", "sd"], drop_null_keys=False)
+    x = join_on(stats, distinct_rows(filled, [name, height, key]), [name, key], "inner")
+    x = _species_fan_out(x, assessments, key, name, species)
+    x = x.withColumnRenamed(key, "_left_key")
+    x = join_on(x, agreement.first_visit(assessments, name, date, seq, date_col=date_col), [name], "inner")
+    x = join_on(x, distinct_rows(classes, [name, cls, key]), [name], "inner")
+    row_key = F.concat_ws(":", F.col("_left_key").cast("string"), F.coalesce(F.col(species), F.lit("")), F.col(key).cast("string"))
+    x = drop_any_null(x.withColumn("row_key", row_key).drop("_left_key"))
+    x = x.withColumn(height, F.col(height).try_cast("double"))
+    x = written(x, "training")
+    order = x.select(cls).distinct().agg(F.sort_array(F.collect_list(cls)).alias("c")).first()["c"]  # the class names
+    factor = ordinal_label(cls, order)
+    return sampling.stratified_folds(x.withColumn("factor", factor), "row_key", cls, folds, seed)
 
 
 def full_join_for_map(assessments: DataFrame, classes: DataFrame, key: str = KEY) -> DataFrame:

@@ -1,30 +1,19 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from panelstats.operators import ranking
-
 from panelstats.operators.distribution import (box_outliers, box_stats, correlation_matrix, guarded_melt,
                                                scatter_bins)
 from panelstats.operators.ranking import exact_quantiles, ranked_in_groups
 
 
-@pytest.fixture(params=["one-task", "range-partitioned"])
-def path(request, monkeypatch):
-    """Run a test on both ranking paths: per-group task, and distributed ranking."""
-    if request.param == "range-partitioned":
-        monkeypatch.setattr(ranking, "TASK_LIMIT", 0)
-    return request.param
-
-
-def test_quartiles_interpolate_at_n_minus_1(spark, path):
+def test_quartiles_interpolate_at_n_minus_1(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 10, 20]], "g string, v double")
     q = {r["p"]: r["value"] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
     assert q == {0.25: 2.25, 0.5: 3.5, 0.75: 8.5}
 
 
-def test_box_stats_whiskers_and_outliers(spark, path):
+def test_box_stats_whiskers_and_outliers(spark):
     vals = [1, 2, 3, 4, 10, 20]
     df = spark.createDataFrame([(i, "g", float(v)) for i, v in enumerate(vals)], "i int, g string, v double")
     r = box_stats(df, ["g"], "v").collect()[0]
@@ -35,7 +24,7 @@ def test_box_stats_whiskers_and_outliers(spark, path):
     assert [(o["i"], o["side"]) for o in out] == [(5, "high")]
 
 
-def test_quantiles_match_spark_percentile_and_survive_skew(spark, path):
+def test_quantiles_match_spark_percentile_and_survive_skew(spark):
     rnd = random.Random(7)
     # one class holds most rows; ties included
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + \
@@ -49,18 +38,18 @@ def test_quantiles_match_spark_percentile_and_survive_skew(spark, path):
             assert abs(ours[(r["g"], p)] - v) < 1e-9
 
 
-def test_rank_equals_row_number(spark, path):
+def test_rank_equals_row_number(spark):
     from pyspark.sql import Window
-    rows = [(i % 3, (i * 7919) % 1000, i) for i in range(2000)]
-    df = spark.createDataFrame(rows, "g int, o int, k int")
-    ranked, sizes = ranked_in_groups(df, ["g"], ["o", "k"])
-    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("o", "k")))
-    bad = ranked.join(want, ["g", "o", "k"]).where(F.col("rank") != F.col("want")).count()
-    assert bad == 0
-    assert {r["g"]: r["group_n"] for r in sizes.collect()} == {0: 667, 1: 667, 2: 666}
+    rows = [(None if i % 4 == 3 else float(i % 4) * (-1.0 if i % 8 else 1.0) * 0.0 + i % 4, i // 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g double, k int").withColumn("h", F.md5(F.col("k").cast("string")))
+    ranked, sizes = ranked_in_groups(df, ["g"], "h", ["k"])
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("h", "k")))
+    assert (sorted((str(r["g"]), r["k"], r["rank"]) for r in ranked.collect())
+            == sorted((str(r["g"]), r["k"], r["want"]) for r in want.collect()))
+    assert {r["g"]: r["group_n"] for r in sizes.collect()} == {0.0: 500, 1.0: 500, 2.0: 500, None: 500}
 
 
-def test_same_result_for_1_and_64_partitions(spark, path):
+def test_same_result_for_1_and_64_partitions(spark):
     df = spark.createDataFrame([(i % 4, float((i * 31) % 97)) for i in range(800)], "g int, v double")
     results = []
     for n in (1, 64):
@@ -76,16 +65,6 @@ def test_guard_before_melt_and_rowcount(spark):
     assert sorted((r["k"], r["variable"], r["value"]) for r in m.collect()) == [(1, "a", 5.0), (1, "b", 1.0)]
 
 
-def test_task_limit_from_session_conf(spark):
-    df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 10, 20]], "g string, v double")
-    spark.conf.set("panelstats.ranking.taskLimit", "0")
-    try:
-        q = {r["p"]: r["value"] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.75]).collect()}
-    finally:
-        spark.conf.unset("panelstats.ranking.taskLimit")
-    assert q == {0.25: 2.25, 0.75: 8.5}
-
-
 def test_correlation_and_bins(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, "c") for i in range(10)], "x double, y double, c string")
     c = {(r["feature_a"], r["feature_b"]): r["corr"] for r in correlation_matrix(df, ["x", "y"]).collect()}

@@ -15,6 +15,18 @@ def test_date_repair_cases(spark):
     assert rep == [False, True, True, True, False, False, False]
 
 
+def test_cells_that_only_look_like_scores(spark):
+    """Casts alone would read these: a time as today's date, a month as its first day, suffixed,
+    hexadecimal and infinite numbers."""
+    raw = ["12:30", "2024-3", "2024", "7d", "5f", "0x1p3", "Infinity", "-inf", "2024-02-30", "2024-3-5", "1,5", "", " 5.3 ", "1e1", "-.5",
+           "5.", "2024-03-05", "2024-03-05T10:11:12.5"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, raw string").orderBy("i")
+    got = [tuple(r) for r in df.select(repair_date_score("raw"), was_date_repaired("raw")).collect()]
+    none = (None, False)
+    assert got == [none, none, (2024.0, False), none, none, none, none, none, none, none, none, none, (5.3, False), (10.0, False),
+                   (-0.5, False), (5.0, False), (5.3, True), (5.3, True)]
+
+
 def test_nan_text_is_missing(spark):
     df = spark.createDataFrame([("NaN",), ("nan",)], "raw string")
     assert [r[0] for r in df.select(repair_date_score("raw")).collect()] == [None, None]

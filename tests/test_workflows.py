@@ -69,14 +69,31 @@ def test_rater_views(spark, panel):
     stats = W.point_features(typed, ["mean", "min", "max", "max_min_diff"], K.ID_COLUMNS + ["seq"])
     boxes = W.rater_ranges(W.labelled_points(stats, classes, whole_class_table=True))
     assert boxes.count() == len(SCORES)
-    sd = W.rater_sd_over_time(typed.drop("Campo", "Equipe", "Especie01", "Avaliador"), "seq",
-                              SCORES[1:], id_columns=K.ID_COLUMNS + ["seq"], fill_mode_of="Altura")
-    assert sd.count() == 60 * (len(SCORES) - 1)
+    sd = W.rater_sd_over_time(typed, "seq", id_columns=K.ID_COLUMNS + ["seq"])
+    assert sd.count() == 60 * (len(SCORES) - 1)  # ten scores, no height
+    two = typed.withColumn("Especie01", F.when((F.col("Ponto") == "P0") & (F.col("Avaliador") != "r0"), "other")
+                           .otherwise(F.col("Especie01")))
+    fanned = W.rater_sd_over_time(two, "seq", id_columns=K.ID_COLUMNS + ["seq"])
+    assert fanned.count() == 61 * (len(SCORES) - 1)  # a point with two species has two rows
     assert sd.columns == ["Ponto", "Data", "score", "sd"]
     full = W.full_join_for_map(typed, classes)
     assert "Ponto_left" in full.columns and "Ponto_right" in full.columns and full.count() == 180
 
 
+def test_training_table_of_the_five_class_booster(spark, panel):
+    raw, classes = panel
+    typed = W.prepare_scores(raw, K.ID_COLUMNS + ["seq"]).withColumn("Altura", F.col("Altura").cast("string"))
+    t = W.training_table(typed, classes, "seq", id_columns=K.ID_COLUMNS + ["seq"])
+    assert t.count() == 60 and set(K.MULTICLASS_FEATURES) <= set(t.columns)
+    folds = {r["fold"]: r["n"] for r in t.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    assert folds == dict.fromkeys(range(5), 12)
+    names = {r["CLASS_DED"]: r["factor"] for r in t.collect()}
+    assert [k for k, _ in sorted(names.items(), key=lambda x: x[1])] == sorted(K.CLASS_ORDER)
+    fitted = model.fit_boosted_multiclass(t.withColumn("y", F.col("factor").cast("double")), K.MULTICLASS_FEATURES, "y", 5,
+                                          maxIter=3, maxDepth=3)
+    assert fitted.transform(t).where("prediction = factor").count() > 30
+
+
 def test_search_then_explain(spark, panel):
     raw, classes = panel
     typed = W.prepare_scores(raw, K.ID_COLUMNS + ["seq"])
