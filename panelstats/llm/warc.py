@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstats.llm.common import broadcast_if_small, filesystem, put_file, shared_dir
+from panelstats.llm.common import broadcast_if_small, filesystem, put_file, shared_dir, written
 
 ROLL_BYTES = 16 << 20      # compressed size from which a shard goes on in a new file
 SHARD_BYTES = 64 << 20     # payload bytes aimed at per shard
@@ -176,10 +176,12 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     copies = (records.filter(F.col("__size") >= min_revisit_bytes).groupBy("__sha", "__size")
               .agg(F.max("page_id").alias("__top"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
               .select(F.col("__sha").alias("__csha"), F.col("__size").alias("__csize"), "__top"))
+    copies = written(copies, "warc-copies")  # one row per payload that occurs twice or more
     plan = shard_plan(records, shard_bytes)
     cells = spark.createDataFrame(plan or [(0, 0, 1)], "__pcell bigint, __first bigint, __n bigint")
     shards = max([f + n for _, f, n in plan], default=1)
     revisit = F.col("__top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__top"))
+    copies = broadcast_if_small(copies, 64 * copies.count())
     placed = (records.join(copies, (F.col("__sha") == F.col("__csha")) & (F.col("__size") == F.col("__csize")), "left")
               .join(broadcast_if_small(cells, 24 * len(plan)), F.col("__cell") == F.col("__pcell"))
               .select("page_id", "url", "payload", "__sha", F.coalesce(revisit, F.lit(False)).alias("__revisit"),
