@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ ITERATIONS = 200
 START_ACCURACY, START_VOTES, START_GOOD = 0.8, 20.0, 0.8
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-         "n_lines", "n_upper", "n_lower", "n_exclaim", "n_stops")
+         "n_lines", "n_upper", "n_lower", "n_exclaim", "n_stops", "n_same")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) | 1 for k in range(WINDOW)], dtype=object)
 _MULTIPLIERS = (_MULTIPLIERS % (1 << 64)).astype(np.uint64)
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -83,7 +84,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
             seen.add(line)
     return (len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), dup,
             repeated_words(words), lines, len(raw) - len(raw.translate(None, _UPPER)),
-            len(raw) - len(raw.translate(None, _LOWER)), text.count("!"), text.count("."))
+            len(raw) - len(raw.translate(None, _LOWER)), text.count("!"), text.count("."), sum(map(eq, words, words[1:])))
 
 
 def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,29 +102,34 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return slim.mapInArrow(_stats_batches, f"id {kind}, " + ", ".join(f"{s} bigint" for s in STATS))
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    out = F.when(bad, -1)
+    return (out if good is None else out.when(good, 1)).otherwise(0).cast("tinyint")
 
 
 def votes() -> dict[str, Column]:
-    """The rules over the columns of ``STATS``: good (+1), bad (-1), abstain (0)."""
+    """The rules over the columns of ``STATS``: good (+1), bad (-1), abstain (0).
+
+    Not to break a rule says little, so most rules only ever vote bad; those that vote good
+    ask for a sign of plain prose.
+    """
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     letters = F.col("n_upper") + F.col("n_lower")
-    mean = F.col("word_chars") / words
-    symbols, exclaims = F.col("n_symbols") / words, F.col("n_exclaim") / words
-    repeats, stops = F.col("n_repeat_words") / words, F.col("n_stops") / words
-    upper = F.col("n_upper") / F.greatest(letters, F.lit(1)).cast("double")
+    mean, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
+    marks = F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
+    stops, upper = F.col("n_stops") / words, F.col("n_upper") / F.greatest(letters, F.lit(1)).cast("double")
     dups = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    long = F.col("n_words") >= 50
     return {
-        "length": _vote(F.col("n_words").between(50, 100_000), F.col("n_words") < MIN_WORDS),
-        "word_length": _vote(mean.between(3, 12), (mean < 2) | (mean > 20)),
-        "symbols": _vote(symbols <= 0.1, symbols > 0.3),
-        "upper_case": _vote((upper <= 0.3) & (letters > 0), (upper > 0.6) & (letters > 0)),
-        "exclaims": _vote(exclaims <= 0.05, exclaims > 0.3),
-        "dup_lines": _vote((dups <= 0.1) & (F.col("n_lines") > 3), dups > 0.5),
-        "repeats": _vote((repeats <= 0.05) & long, repeats > 0.3),
-        "sentences": _vote(stops.between(0.01, 0.34) & long, stops > 1.0),
+        "length": _vote(F.col("n_words") < MIN_WORDS),
+        "word_length": _vote((mean < 2) | (mean > 20)),
+        "symbols": _vote(symbols > 0.3, symbols <= 0.05),
+        "marks": _vote(marks > 0.05, marks <= 0.01),
+        "upper_case": _vote((upper > 0.6) & (letters > 20)),
+        "exclaims": _vote(F.col("n_exclaim") / words > 0.3),
+        "dup_lines": _vote((dups > 0.5) & (F.col("n_lines") > 3)),
+        "repeats": _vote(F.col("n_repeat_words") / words > 0.3),
+        "stutter": _vote(F.col("n_same") / words > 0.3),
+        "sentences": _vote(stops > 1.0, stops.between(0.01, 0.34) & (symbols <= 0.1) & (F.col("n_same") / words <= 0.1)),
     }
 
 

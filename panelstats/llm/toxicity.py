@@ -28,7 +28,7 @@ SAMPLE_ROWS = 20_000     # labelled documents used to fit, at most
 MAX_FEATURES = 4096      # features of the model, at most
 # A feature is in at least so many sample documents, is tied to toxicity beyond chance, and
 # most of its documents are toxic (lower bound of a 95 % interval of their share).
-MIN_DOCS, MIN_Z, MIN_SHARE = 5, 5.5, 0.5
+MIN_DOCS, MIN_Z, MIN_SHARE, INTERVAL_Z = 5, 5.5, 0.5, 1.96
 GRADES = 3
 REJECT_FROM = 0.5        # P(grade >= 1) from which a document is rejected
 STEPS, RATE, RIDGE = 400, 0.1, 1e-3
@@ -151,8 +151,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     counts = (sample.select("toxic", "text").mapInArrow(_tally, "feature string, toxic bigint, n bigint")
               .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS))
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    own, spread = F.col("toxic") / F.col("n"), 1.96 ** 2 / F.col("n")
-    least = (own + spread / 2 - 1.96 * F.sqrt((own * (1 - own) + spread / 4) / F.col("n"))) / (1 + spread)
+    own, spread = F.col("toxic") / F.col("n"), INTERVAL_Z ** 2 / F.col("n")
+    least = (own + spread / 2 - INTERVAL_Z * F.sqrt((own * (1 - own) + spread / 4) / F.col("n"))) / (1 + spread)
     best = counts.withColumn("z", z).filter((F.col("z") >= MIN_Z) & (least >= MIN_SHARE)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
     features = {r["feature"]: i for i, r in enumerate(best)}
     vectors = sample.mapInArrow(_vectors(features), "toxic boolean, key string, at array<int>, value array<int>")
