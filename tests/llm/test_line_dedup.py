@@ -36,6 +36,20 @@ def test_neighbourhood_is_edit_distance_one(a, b):
         assert bool(meet) == near
 
 
+def one_edit(a, b):
+    """Edit distance of one, by what is left between the common ends; for lines too long for
+    the table of :func:`distance`."""
+    if len(a) < 200 and len(b) < 200:
+        return distance(a, b) == 1
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j == 1
+
+
 def by_force(rows):
     """Kept lines of every (id, text), in the order of the rows."""
     lines = []
@@ -48,7 +62,7 @@ def by_force(rows):
     for at, w in lines:
         first[w] = min(first.get(w, at), at)
     near = {w for w in first if len(w) >= ld.EDIT_MIN_WORDS and any(
-        first[v] < first[w] and min(len(v), len(w)) >= ld.EDIT_MIN_WORDS and v != w and distance(v, w) == 1 for v in first)}
+        first[v] < first[w] and min(len(v), len(w)) >= ld.EDIT_MIN_WORDS and v != w and abs(len(v) - len(w)) < 2 and one_edit(v, w) for v in first)}
     out = []
     for doc, text in rows:
         kept, gone = [], 0
