@@ -97,8 +97,7 @@ def scan_versions(versions: DataFrame, ledger: str, *, batch: str, text_col: str
     known = read_ledger(spark, ledger, version).filter(F.col("batch") != batch).select("blob")
     # the partial aggregation keeps one copy of a blob per map task, so a blob that a third of
     # the rows share is shuffled once per task at most
-    unseen = (keyed.select("blob", "__text").join(known, "blob", "left_anti")
-              .groupBy("blob").agg(F.first("__text").alias("text")))
+    unseen = (keyed.groupBy("blob").agg(F.first("__text").alias("text")).join(known, "blob", "left_anti"))
     unseen.mapInArrow(_scan, LEDGER_SCHEMA).write.mode("overwrite").parquet(f"{ledger}/version={version}/batch={batch}")
     findings = read_ledger(spark, ledger, version).drop("batch")
     return keyed.drop("__text").join(findings, "blob")
