@@ -6,10 +6,12 @@ registers, and a register keeps the shingle that arrives first.  Two documents a
 register with the probability Jaccard similarity of their weighted shingles.  A document
 stops drawing arrivals once none can come before the latest register (early termination).
 
-Registers are banded four by four.  In every bucket all members are verified against a
-leader, not against one another; buckets whose members are still in several classes get
-further leaders, four times as many in every round, until every class has led.  A link needs a Jaccard similarity of the two
-documents' distinct shingles of 0.8 or more, computed from the whole texts.
+Registers are banded four by four.  In every bucket all members are compared with one leader,
+never with one another.  Buckets whose members are then still in several classes are split by
+every other band they could agree on, and each part gets a leader of its own.  So the pairs
+grow with the documents, not with the square of a bucket.  A pair goes on if enough of the
+64 registers agree, and is a link if the Jaccard similarity of the two documents' distinct
+shingles, computed from the whole texts, is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4      # at similarity 0.8 a pair shares a bucket with probability 0.9998
 REGISTERS = BANDS * ROWS
+MIN_AGREE = 36           # registers; 51 +- 3 of 64 agree at similarity 0.8
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 
@@ -120,16 +123,18 @@ def band_keys(owner: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles_of = Shingler()
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, sketches = [], [], []
         for text in batch.column(2).to_pylist():
             shingles, counts = shingles_of(text)
             sizes.append(len(shingles))
-            keys.append(band_keys(signature(shingles, counts)).view(np.int64) if len(shingles) else np.zeros(0, np.int64))
+            owner = signature(shingles, counts) if len(shingles) else None
+            keys.append(np.zeros(0, np.int64) if owner is None else band_keys(owner).view(np.int64))
+            sketches.append(b"" if owner is None else (owner >> np.uint64(56)).astype(np.uint8).tobytes())
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-            names=["id", "key", "n", "bands"])
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat),
+             pa.array(sketches, pa.binary())], names=["id", "key", "n", "bands", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +158,40 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of whose registers (a byte each) at least MIN_AGREE are equal."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+        enough = (x == y).sum(axis=1) >= MIN_AGREE
+        yield batch.select(["a", "b"]).filter(pa.array(enough, pa.bool_()))
+
+
+def _compared(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of every bucket with its leader, where their sizes and
+    registers allow a similarity of the threshold and they are not of one class yet.
+
+    ``buckets`` has part, key, n, root, score and sketch.  The leader is the member with the
+    highest score, which shares most with the others.
+    """
+    lead = (buckets.groupBy("part").agg(F.max(F.struct("score", "key", "n", "root", "sketch")).alias("l"),
+                                        F.count(F.lit(1)).alias("size")).filter("size > 1")
+            .select("part", F.col("l.key").alias("b"), F.col("l.n").alias("bn"), F.col("l.root").alias("broot"),
+                    F.col("l.sketch").alias("bs")))
+    pairs = (buckets.join(written(lead, "leaders"), "part")
+             .filter((F.col("root") != F.col("broot")) & (F.least("n", "bn") >= THRESHOLD * F.greatest("n", "bn")))
+             .select(F.col("key").alias("a"), "b", "sketch", "bs"))
+    return written(pairs.mapInArrow(_agree, "a binary, b binary").distinct(), "pairs")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Links among ``pairs`` (a, b); only texts that occur in a pair are moved."""
+    """Links among ``pairs`` (a, b); only texts that occur in a pair are kept."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "wanted")
     texts = (docs.select(text_key(F.col(text_col)).alias("__key"), F.col(text_col).cast("string").alias("__text"))
-             .join(wanted, "__key", "left_semi").groupBy("__key").agg(F.first("__text").alias("__text")))
+             .groupBy("__key").agg(F.first("__text").alias("__text")).join(wanted, "__key", "left_semi"))
     texts = written(texts, "texts")
-    with_a = written(pairs.join(texts, F.col("a") == F.col("__key")).select("a", "b", F.col("__text").alias("ta")), "pairs")
+    with_a = pairs.join(texts, F.col("a") == F.col("__key")).select("a", "b", F.col("__text").alias("ta"))
     both = with_a.join(texts, F.col("b") == F.col("__key")).select("a", "b", "ta", F.col("__text").alias("tb"))
-    return both.mapInArrow(_verify, "a binary, b binary")
+    return written(both.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,67 +203,38 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
                        F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    signed = written(slim.mapInArrow(_sign, f"id {kind}, key binary, n bigint, bands array<bigint>"), "signatures")
-    nodes = signed.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = written(nodes.select("key", "n", F.explode("bands").alias("bucket")), "band-rows")
+    signed = written(slim.mapInArrow(_sign, f"id {kind}, key binary, n bigint, bands array<bigint>, sketch binary"), "signatures")
+    nodes = written(signed.filter("n > 0").groupBy("key").agg(
+        F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    rows = nodes.select("key", F.explode("bands").alias("bucket"))
     full = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    rows = rows.join(full, "bucket")
-    # a text that shares much with many others is in the large buckets: it leads
-    score = written(rows.groupBy("key").agg(F.sum("size").alias("score")), "scores")
-    members = written(rows.select("bucket", "key", "n").join(score, "key")
-                      .select("bucket", "key", "n", "score", F.col("key").alias("root"), F.lit(False).alias("led")), "members")
-    tested, links, roots, leaders = None, None, None, 1
-    while True:
-        slot = F.pmod(F.xxhash64("root", F.lit(leaders)), F.lit(leaders))  # a class is in one slot
-        lead = (members.filter("NOT led").groupBy("bucket", slot.alias("slot"))
-                .agg(F.max(F.struct("score", "key", "n", "root")).alias("l"))
-                .select("bucket", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.root").alias("leader_root")))
-        lead = written(lead, "leaders")
-        led = members.join(lead, "bucket")
-        pairs = (led.filter((F.col("root") != F.col("leader_root"))
-                            & (F.least("n", "leader_n") >= THRESHOLD * F.greatest("n", "leader_n")))
-                 .select(F.least("key", "leader").alias("x"), F.greatest("key", "leader").alias("y"),
-                         F.col("key").alias("a"), F.col("leader").alias("b"))
-                 .groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(_verified(pairs.select("a", "b"), docs, text_col), "links")
-        tested = pairs.select("x", "y") if tested is None else written(tested.unionByName(pairs.select("x", "y")), "tested")
-        if roots is None or not found.isEmpty():
-            links = found if links is None else written(links.unionByName(found), "links")
-            roots = written(connected_components(links), "roots")
-        members = _next_round(members, lead, roots)
-        leaders *= 4
-    out = signed.select("id", "key", "n")
-    if roots is None:
-        return out.withColumn("root", F.when(F.col("n") > 0, F.col("key")))
-    return (out.join(roots, "key", "left")
+    score = written(rows.join(full, "bucket").groupBy("key").agg(F.sum("size").alias("score")), "scores")
+    # texts that share a bucket with another
+    nodes = written(nodes.join(score, "key").withColumn("root", F.col("key")), "candidates")
+    members = nodes.select(F.explode("bands").alias("part"), "key", "n", "root", "score", "sketch")
+    first = _compared(members)
+    links = _verified(first, docs, text_col)
+    taken = written(links.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("taken")), "taken")
+    nodes = written(nodes.join(taken, "key", "left").withColumn("root", F.least("root", "taken")).drop("taken"), "candidates")
+    second = _compared(_split(nodes))
+    second = written(second.join(first, ["a", "b"], "left_anti").join(
+        first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+    links = written(links.unionByName(_verified(second, docs, text_col)), "links")
+    roots = written(connected_components(links), "roots")
+    return (signed.select("id", "key", "n").join(roots, "key", "left")
             .select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")))
 
 
-def _next_round(members: DataFrame, lead: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets in which a pair of classes may not have been compared.
-
-    A class has led in a bucket once any of its members has.  A bucket is done when all its
-    classes have led, or all but one and every class has one member there: that one was
-    compared with every other as they led.
-    """
-    moved = (members.drop("root").join(roots, "key", "left")
-             .select("bucket", "key", "n", "score", F.coalesce("root", "key").alias("root"), "led"))
-    led_now = lead.select("bucket", F.col("leader").alias("key"), F.lit(True).alias("now"))
-    moved = written(moved.join(led_now, ["bucket", "key"], "left")
-                    .withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now"), "moved")
-    classes = written(moved.groupBy("bucket", "root").agg(F.bool_or("led").alias("class_led"), F.count(F.lit(1)).alias("size")),
-                      "bucket-classes")
-    still = (classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("members"),
-                                           F.count_if(~F.col("class_led")).alias("waiting"))
-             .filter("classes > 1 AND waiting > 0 AND NOT (waiting = 1 AND members = classes)").select("bucket"))
-    open_classes = written(classes.join(still, "bucket", "left_semi").drop("size"), "open-classes")
-    return written(moved.drop("led").join(open_classes, ["bucket", "root"])
-                   .select("bucket", "key", "n", "score", "root", F.col("class_led").alias("led")), "members")
+def _split(nodes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, in a part for every other band."""
+    rows = nodes.select(F.posexplode("bands").alias("i", "bucket"), "key", "root")
+    mixed = written(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+                    .select("bucket"), "mixed-buckets")
+    here = written(rows.join(mixed, "bucket", "left_semi").groupBy("key").agg(F.collect_list("i").alias("own")), "mixed-members")
+    # a band's number is at most BANDS, so a text is in fewer than BANDS ** 2 / 2 parts
+    both = F.flatten(F.transform("own", lambda i: F.transform(
+        F.filter("own", lambda j: j > i), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j)))))
+    return nodes.join(here, "key").select(F.explode(both).alias("part"), "key", "n", "root", "score", "sketch")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -101,10 +101,10 @@ def test_awkward_and_empty(spark):
     rows = mh.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
     by_id = {r.doc_id: r for r in rows if r.doc_id not in (None, 2)}
-    assert by_id[8].class_id == 7 and by_id[3].class_id == 3 and by_id[6].kept and by_id[5].kept and by_id[4].kept
+    assert by_id[8].class_id == 7 and by_id[3].class_id == 1 and by_id[6].kept and by_id[5].kept and by_id[4].kept
     assert sum(r.kept for r in rows if r.class_id == 1) == 2  # a repeated row is kept as often as it is there
     left = mh.drop_near_duplicates(docs)
     assert left.columns == docs.columns
     ids = [r.doc_id for r in left.collect()]
-    assert ids.count(1) == 1 and sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 5, 6, 7, 9, 10] or ids.count(2) <= 2
+    assert sorted(x for x in ids if x is not None) == [1, 2, 4, 5, 6, 7, 9, 10] and ids.count(None) == 1
     assert mh.near_duplicates(empty_docs(spark)).count() == 0 and mh.drop_near_duplicates(empty_docs(spark)).count() == 0
