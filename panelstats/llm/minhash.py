@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.llm.common import with_columns_of, written
+from panelstats.llm.common import broadcast_if_small, with_columns_of, written
 from panelstats.llm.components import connected_components
 
 SHINGLE = 5
@@ -186,8 +186,9 @@ def _compared(buckets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Links among ``pairs`` (a, b); only texts that occur in a pair are kept."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "wanted")
+    known = broadcast_if_small(wanted, 40 * wanted.count())
     texts = (docs.select(text_key(F.col(text_col)).alias("__key"), F.col(text_col).cast("string").alias("__text"))
-             .groupBy("__key").agg(F.first("__text").alias("__text")).join(wanted, "__key", "left_semi"))
+             .join(known, "__key", "left_semi").groupBy("__key").agg(F.first("__text").alias("__text")))
     texts = written(texts, "texts")
     with_a = pairs.join(texts, F.col("a") == F.col("__key")).select("a", "b", F.col("__text").alias("ta"))
     both = with_a.join(texts, F.col("b") == F.col("__key")).select("a", "b", "ta", F.col("__text").alias("tb"))
