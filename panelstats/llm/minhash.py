@@ -6,11 +6,13 @@ registers, and a register keeps the shingle that arrives first.  Two documents a
 register with the probability Jaccard similarity of their weighted shingles.  A document
 stops drawing arrivals once none can come before the latest register (early termination).
 
-Registers are banded four by four.  In every bucket all members are compared with one leader,
-never with one another.  Buckets whose members are then still in several classes are split by
-every other band they could agree on, and each part gets a leader of its own.  So the pairs
-grow with the documents, not with the square of a bucket.  A pair goes on if enough of the
-64 registers agree, and is a link if the Jaccard similarity of the two documents' distinct
+Registers are banded four by four.  In every bucket all members are first compared with one
+leader.  Buckets whose members are then still in several classes are split by every other band
+they could agree on, and each part gets a leader of its own.  These two rounds join most of
+what belongs together with pairs that grow with the documents.  In the last round every pair
+of a bucket's members that are still in different classes is compared, in blocks, so the
+classes are those of all pairs that share a bucket.  A pair goes on if enough of the 64
+registers agree, and is a link if the Jaccard similarity of the two documents' distinct
 shingles, computed from the whole texts, is 0.8 or more.
 """
 
@@ -35,6 +37,7 @@ REGISTERS = BANDS * ROWS
 MIN_AGREE = 36           # registers; 51 +- 3 of 64 agree at similarity 0.8
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
+BLOCK = 512              # members of a bucket that a task compares with as many others at once
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([3, 0x100000001B3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -195,6 +198,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return written(both.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def _cross(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) of two blocks of a bucket, or within one, that are of different classes and
+    whose sizes and registers allow a similarity of the threshold."""
+    block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    n = table.column("n").to_numpy()
+    keys = table.column("key").to_pylist()
+    _, root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    a, b = [], []
+    for k, u in enumerate(x):
+        v = y[k + 1:] if i == j else y
+        v = v[(root[v] != root[u]) & (np.minimum(n[v], n[u]) >= THRESHOLD * np.maximum(n[v], n[u]))]
+        v = v[(sketch[v] == sketch[u]).sum(axis=1) >= MIN_AGREE]
+        a += [max(keys[u], keys[w]) for w in v]
+        b += [min(keys[u], keys[w]) for w in v]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _remaining(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket and are still in different classes, where
+    their sizes and registers allow a similarity of the threshold.
+
+    A bucket is cut into blocks by the hash of the key, and a task compares two of them.
+    """
+    rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n", "root", "sketch")
+    mixed = written(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+                    .filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
+    members = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "root", "sketch")
+    return written(dealt.groupBy("bucket", "i", "j").applyInArrow(_cross, "a binary, b binary").distinct(), "pairs")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (a, b) that are not in ``tested``, either way round."""
+    return written(pairs.join(tested, ["a", "b"], "left_anti").join(
+        tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key (of its text), root (of its text's class), n.
 
@@ -218,10 +261,15 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     taken = written(links.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("taken")), "taken")
     nodes = written(nodes.join(taken, "key", "left").withColumn("root", F.least("root", "taken")).drop("taken"), "candidates")
     second = _compared(_split(nodes))
-    second = written(second.join(first, ["a", "b"], "left_anti").join(
-        first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+    second = _untested(second, first)
     links = written(links.unionByName(_verified(second, docs, text_col)), "links")
     roots = written(connected_components(links), "roots")
+    nodes = written(nodes.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "candidates")
+    last = _untested(_remaining(nodes), written(first.unionByName(second), "tested"))
+    found = _verified(last, docs, text_col)
+    if not found.isEmpty():
+        links = written(links.unionByName(found), "links")
+        roots = written(connected_components(links), "roots")
     return (signed.select("id", "key", "n").join(roots, "key", "left")
             .select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")))
 

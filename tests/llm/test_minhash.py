@@ -96,6 +96,23 @@ def test_classes_equal_brute_force(spark):
     assert left == sorted(set(got.values()))
 
 
+def test_pairs_led_by_a_third_text(spark):
+    """A family around the threshold: its texts share buckets with most others but are linked to
+    some of them only, so that many pairs are led by a third text below the threshold."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts, base = {}, [word() for _ in range(200)]
+    for _ in range(120):
+        own = list(base)
+        for n in (3, 4):
+            for k in rng.sample(range(200), n):
+                own[k] = word()
+            texts[len(texts)] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in mh.near_duplicates(docs).collect()}
+    assert got == classes_by_force(texts)
+
+
 def test_awkward_and_empty(spark):
     docs = awkward_docs(spark)
     rows = mh.near_duplicates(docs).collect()
