@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is a set of five-word shingles, weighted 1 + ln(occurrences).  Every shingle
-starts a Poisson process whose rate is its weight; each arrival falls into one of 64
-registers, and a register keeps the shingle that arrives first.  Two documents agree on a
-register with the probability Jaccard similarity of their weighted shingles.  A document
+A document is the set of its distinct five-word shingles, however often each occurs, since a
+link is defined on that set.  Every shingle starts a Poisson process (:func:`signature` takes
+weights, here all are 1); each arrival falls into one of 64 registers, and a register keeps
+the shingle that arrives first.  Two documents agree on a register with the probability of
+their Jaccard similarity.  A document
 stops drawing arrivals once none can come before the latest register (early termination).
 
 Registers are banded four by four.  In every bucket all members are first compared with one
@@ -34,7 +35,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4      # at similarity 0.8 a pair shares a bucket with probability 0.9998
 REGISTERS = BANDS * ROWS
-MIN_AGREE = 36           # registers; 51 +- 3 of 64 agree at similarity 0.8
+MIN_AGREE = 36           # registers; 51 +- 3 of 64 agree at similarity 0.8, fewer than 36 four times in a million
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 BLOCK = 512              # members of a bucket that a task compares with as many others at once
@@ -128,9 +129,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, sketches = [], [], []
         for text in batch.column(2).to_pylist():
-            shingles, counts = shingles_of(text)
+            shingles = shingles_of(text)[0]
             sizes.append(len(shingles))
-            owner = signature(shingles, counts) if len(shingles) else None
+            owner = signature(shingles, np.ones(len(shingles), np.int64)) if len(shingles) else None
             keys.append(np.zeros(0, np.int64) if owner is None else band_keys(owner).view(np.int64))
             sketches.append(b"" if owner is None else (owner >> np.uint64(56)).astype(np.uint8).tobytes())
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))

@@ -113,6 +113,18 @@ def test_pairs_led_by_a_third_text(spark):
     assert got == classes_by_force(texts)
 
 
+def test_repeated_passages_do_not_hide_a_copy(spark):
+    """Pairs of almost equal shingle sets, where one text repeats a passage many times."""
+    rng = random.Random(5)
+    texts = {}
+    for k in range(40):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(204)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join(w[:150] + w[106:150] * 50 + w[150:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in mh.near_duplicates(docs).collect()}
+    assert got == classes_by_force(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_awkward_and_empty(spark):
     docs = awkward_docs(spark)
     rows = mh.near_duplicates(docs).collect()
