@@ -1,6 +1,7 @@
 """Line dedup across the corpus by a deletion-neighbourhood join.
 
-A line is its words, lower-cased.  Lines of equal words are copies.  Lines of eight words or
+A line is its words, lower-cased.  Lines of equal words are copies, however short they are;
+only lines without a word never go.  Lines of eight words or
 more are also duplicates when one word inserted, deleted or replaced turns one into the
 other.  The earliest line (least document id, then line number) is kept: a line goes if an
 equal or a near line comes before it.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from panelstats.llm.common import let, with_columns_of, written
 from panelstats.llm.minhash import mix64
 
-MIN_WORDS = 3        # shorter lines are never duplicates
+MIN_WORDS = 1        # lines without a word are never duplicates
 EDIT_MIN_WORDS = 8   # from this length (of the shorter line) one word may differ
 OTHER_SPACE = "\t\r\x0b\x0c"
 
@@ -205,7 +206,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, keys: DataFrame, id_col: str,
 
 def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to remove: id, t1, t2 (the row's text), no, near (False for copies)."""
-    # short lines go by a filter on the written table: before it, the filter would be pushed
+    # lines without words go by a filter on the written table: before it, the filter would be pushed
     # below the projection and compute every line's words twice
     lines = written(corpus_lines(docs, id_col, text_col), "lines").filter(F.col("n") >= MIN_WORDS)
     keys = written(lines.groupBy("k1", "k2").agg(F.min(F.struct(_address().alias("a"), "t1", "t2")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -244,8 +245,8 @@ def _rebuild(text_at: int, columns: list[str]):
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with duplicate lines taken out of the texts, plus __lines, __copies, __near
-    (numbers of lines, removed copies, removed near lines) and __left (whether anything of
-    substance is left: False once every line of MIN_WORDS words or more has gone).
+    (numbers of lines, removed copies, removed near lines) and __left (whether a line with a
+    word is left: False once all of them have gone).
 
     NULL and empty texts stay as they are.  Rows of one id share line numbers: a line is not
     a duplicate of itself, so repeated rows come out alike.  NULL ids count as the latest.

@@ -107,6 +107,18 @@ def test_hot_template_and_long_line(spark):
     assert sorted(r.doc_id for r in ld.drop_duplicate_lines(docs).collect()) == [0, 2000, 2003]
 
 
+def test_short_lines_are_copies_and_keep_a_document(spark):
+    """Copies of one and two words and of an unspaced paragraph go; a line of one word keeps its document."""
+    para = "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u826f\u3044\u306e\u3067\u6563\u6b69\u3092\u3057\u307e\u3057\u305f\u3002" * 20
+    rows = [(1, "les.\nand ornd.\n" + para), (2, "LES.\nfresh\n" + para), (3, "and  ornd.\n\n"), (4, "a line of five words"),
+            (5, "a line of five words\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in ld.drop_duplicate_lines(docs).collect()) == [
+        (1, rows[0][1]), (2, "fresh"), (4, "a line of five words"), (5, "end")]
+    assert sorted((r.doc_id, r.n_lines, r.n_copies, r.n_near, r.left) for r in ld.line_report(docs).collect()) == [
+        (1, 3, 0, 0, True), (2, 3, 2, 0, True), (3, 3, 1, 0, False), (4, 1, 0, 0, True), (5, 2, 1, 0, True)]
+
+
 def test_awkward_and_empty(spark):
     docs = awkward_docs(spark)
     check(spark, [(r.doc_id, r.text) for r in docs.collect()])
