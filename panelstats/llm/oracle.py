@@ -53,4 +53,55 @@ SELECT {columns}, CAST(blk AS BIGINT) AS mix_block, CAST(mix_slot AS BIGINT) AS
 FROM placed"""
 
 
-ORACLE = {"op2_mixing": mixing_sql(), "op4_decontamination": decontamination_sql()}
+# CRC-32 of an ASCII string: the table from its polynomial, one step per character.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({0}, '.'), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: xor(r >> 8, crc_list[CAST((xor(r, b) & 255) + 1 AS BIGINT)]))"""
+
+_CRC_TABLE = """crc_steps(i, k, t) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) u(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384::BIGINT) ELSE t >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(t ORDER BY i) AS crc_list FROM crc_steps WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, beside the one-row table ``crc_table``."""
+    return f"xor({_CRC.format(text)}, 4294967295::BIGINT)"
+
+
+def merkle_sql(documents: str = "documents") -> str:
+    """Grows every tree by recursion over its levels; a leaf's path is the list of its siblings
+    ('before|after' at every level), folded over it."""
+    def field(c):
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    rest = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    beside = """coalesce(string_agg(h, '' ORDER BY idx) OVER (PARTITION BY {0}lvl, idx // 3 ORDER BY idx
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' || coalesce(string_agg(h, '' ORDER BY idx) OVER (
+  PARTITION BY {0}lvl, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')"""
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({rest} || {field('text')}) AS leaf,
+             CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0
+                  THEN sha256({rest} || {field("replace(text, chr(10), '')")}) END AS changed FROM {documents}, crc_table),
+leaves AS (SELECT row_number() OVER () AS rid, *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                  count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes(tree, lvl, idx, n, h) AS (SELECT tree, 0, place, n, leaf FROM leaves UNION ALL
+  SELECT tree, lvl + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, idx // 3),
+subs AS (SELECT tree, lvl AS top, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper(lvl, idx, n, h) AS (SELECT 0, place, n, h FROM subs UNION ALL
+  SELECT lvl + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY idx))
+  FROM upper WHERE n > 1 GROUP BY lvl, idx // 3),
+apex AS (SELECT lvl AS top, h FROM upper WHERE n = 1),
+low AS (SELECT tree, lvl, idx, {beside.format('tree, ')} AS b FROM nodes WHERE n > 1),
+high AS (SELECT lvl, idx, {beside.format('')} AS b FROM upper WHERE n > 1),
+way AS (SELECT rid, 0 AS part, low.lvl, b FROM leaves l JOIN low ON l.tree = low.tree AND l.place // CAST(pow(3, low.lvl) AS BIGINT) = low.idx
+  UNION ALL SELECT rid, 1, high.lvl, b FROM leaves l JOIN subs s ON l.tree = s.tree
+  JOIN high ON s.place // CAST(pow(3, high.lvl) AS BIGINT) = high.idx),
+path AS (SELECT rid, list(b ORDER BY part, lvl) AS p FROM way GROUP BY rid)
+SELECT doc_id, leaf, s.h AS subroot, apex.h AS root, sha256(coalesce(replace(array_to_string(p, ''), '|', ''), '')) AS proof_sha256,
+       list_reduce(list_prepend(coalesce(changed, leaf), coalesce(p, [])),
+                   lambda h, b: sha256(split_part(b, '|', 1) || h || split_part(b, '|', 2))) AS folded_root,
+       folded_root = apex.h AS verified
+FROM leaves l JOIN subs s ON l.tree = s.tree JOIN apex ON true LEFT JOIN path USING (rid)"""
+
+
+ORACLE = {"op2_mixing": mixing_sql(), "op4_decontamination": decontamination_sql(), "op11_merkle_manifest": merkle_sql()}
