@@ -104,4 +104,65 @@ SELECT doc_id, leaf, s.h AS subroot, apex.h AS root, sha256(coalesce(replace(arr
 FROM leaves l JOIN subs s ON l.tree = s.tree JOIN apex ON true LEFT JOIN path USING (rid)"""
 
 
-ORACLE = {"op2_mixing": mixing_sql(), "op4_decontamination": decontamination_sql(), "op11_merkle_manifest": merkle_sql()}
+def conversations_sql(conversations: str = "conversations") -> str:
+    """The dynamic programme as a recursion over rows; states carry (cost, audit, repaired text)."""
+    def plus(state, cost, letter, text=None):
+        t = f"{state}.t || chr(10) || {text}" if text else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {t}}}"
+
+    def least(*options):
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+    def stay(initial, state):
+        return f"CASE WHEN stays AND k = '{initial}' THEN {plus(state, 'extra', 'K', 'kept')} END"
+
+    def change(state, role):
+        return f"CASE WHEN stays THEN {plus(state, '1 + extra', 'R', repr(role + ':') + ' || text')} END"
+
+    none = "{'c': 1000000000, 'a': '', 't': ''}"
+    user = least("s2", *[plus(s, 5, "I", "'user:'") for s in ("s0", "s1", "s3")])
+    reply = least("s3", plus("i2", 5, "I", "'assistant:'"))
+    code = crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+raw AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role,
+               coalesce(text, ' ') AS text, {code} % 20 AS code FROM {conversations}, crc_table),
+dam AS (SELECT cid, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+               CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM raw, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
+num AS (SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) AS nth FROM (
+          SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM dam)),
+judged AS (SELECT cid, turn, role, text, i, left(role, 1) AS k, role || ':' || text AS kept,
+                  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                       WHEN regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+                  lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) AS prev FROM num),
+dp(cid, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT cid, 0::BIGINT, {{'c': 0, 'a': '', 't': ''}}, {none}, {none}, {none} FROM raw
+  UNION ALL
+  SELECT cid, i, {least(plus('s0', 2, 'D'))}, {least(plus('s1', 2, 'D'), stay('s', 's0'))},
+         {least(plus('i2', 2, 'D'), *[stay('u', s) for s in ('s0', 's1', 'i3')], *[change(s, 'user') for s in ('s0', 's1', 'i3')])},
+         {least(plus('i3', 2, 'D'), stay('a', 'i2'), change('i2', 'assistant'))}
+  FROM (SELECT *, {reply} AS i3 FROM (SELECT dp.cid, j.i, s0, s1, s3, {user} AS i2, k, kept, text, fault NOT IN ('blank', 'duplicate') AS stays,
+               CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM dp JOIN judged j ON j.cid = dp.cid AND j.i = dp.i + 1))),
+last AS (SELECT cid, {least("s0", reply)} AS best FROM (SELECT *, {user} AS i2 FROM (
+           SELECT *, row_number() OVER (PARTITION BY cid ORDER BY i DESC) AS r FROM dp) WHERE r = 1)),
+per AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (prev IS NOT NULL AND prev || k NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid)
+SELECT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+       sha256(best.t[2:]) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM raw) r JOIN last USING (cid) LEFT JOIN per USING (cid)"""
+
+
+TOPK = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs) WHERE rank <= 20"""
+
+
+ORACLE = {"op2_mixing": mixing_sql(), "op4_decontamination": decontamination_sql(), "op11_merkle_manifest": merkle_sql(),
+          "op12_conversation_repair": conversations_sql(), "op13_exact_topk": TOPK}

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelstats.llm.common import table
 from panelstats.llm import decontaminate as dec
-from panelstats.llm import html_extract, line_dedup, merkle, minhash, mixing, quality, secrets, toxicity, url_filter, warc
+from panelstats.llm import (conversations, html_extract, line_dedup, merkle, minhash, mixing, quality, secrets, topk, toxicity,
+                            url_filter, warc)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mixing, op3_line_dedup, op4_decontamination, op5_quality_rules, op6_secret_scan,
-    op7_html_extraction, op8_minhash, op9_toxicity, op10_warc, op11_merkle_manifest)}
+    op7_html_extraction, op8_minhash, op9_toxicity, op10_warc, op11_merkle_manifest, op12_conversation_repair,
+    op13_exact_topk)}
