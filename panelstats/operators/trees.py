@@ -77,6 +77,7 @@ class Leaf:
     conditions: list[tuple[int, str, float]] = field(default_factory=list)
     rows: int = 0
     impurity: float = 0.0
+    missing: list[bool] = field(default_factory=list)  # whether the path takes missing values, per feature
 
 
 def leaves(nodes: pd.DataFrame, weights: Sequence[float] | None = None, scale: float = 1.0,

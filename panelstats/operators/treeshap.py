@@ -13,8 +13,9 @@ path allows and z_j = the share of training cover the path keeps at feature j.
 
 The inner sum is read off the coefficients of prod_{j != i} (z_j + o_j t), which come from
 the full product by dividing one factor out: O(m^2) array operations per chunk of leaves with
-the same path length, vectorised over rows and leaves.  base + sum_i phi_i equals the model's
-log-odds for every row.
+the same path length.  They depend on a row only by its m bits o_j, so for short paths they
+are computed once per leaf for all 2^m patterns and looked up per row; long paths are computed
+per row.  base + sum_i phi_i equals the model's log-odds for every row.
 
 Rows are streamed through ``mapInPandas`` in Arrow batches, so the job scales with the
 table's partitions.
@@ -24,16 +25,21 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from panelstats.operators.boosting import FIELDS, MISSING, OPEN, BoostedModel, binned, numbers
 from panelstats.operators.model import prepared
 from panelstats.operators.trees import Leaf, leaves, node_table
-from panelstats.session import file_system, shared_path, spread_rows
+from panelstats.session import file_system, shared_path, ship_package, spread_rows
 
 
 def gbt_leaves(spark, gbt_model) -> list[Leaf]:
@@ -49,13 +55,18 @@ def expected_value(ls: Sequence[Leaf]) -> float:
     return float(sum(lf.value * float(np.prod(lf.z)) for lf in ls))
 
 
-LEAF_CHUNK = 8  # leaves evaluated together; bounds the (leaves x depth x rows) arrays
+LEAF_CHUNK = 8        # leaves evaluated together; bounds the (leaves x depth x rows) arrays
+PATTERN_FEATURES = 8  # paths of up to so many features are looked up, longer ones computed
 
 
 def leaf_arrays(ls: Sequence[Leaf]) -> list[tuple]:
     """Leaves grouped by path length into chunks of plain numpy arrays
-    ``(values[L], features[L,m], lo[L,m], hi[L,m], z[L,m])``: what the executors receive,
-    so they need nothing from this package."""
+    ``(values[L], features[L,m], lo[L,m], hi[L,m], z[L,m], missing[L,m], patterns)``.
+
+    ``patterns[L, 2^m, m]`` holds a leaf's contributions for each of the 2^m ways in which a row
+    can be in or out of its path's intervals (bit j: in the j-th), so a row costs a lookup per
+    leaf; it is None for long paths, whose contributions are computed per row.
+    """
     by_m: dict[int, list[Leaf]] = {}
     for lf in ls:
         if lf.features:
@@ -64,49 +75,66 @@ def leaf_arrays(ls: Sequence[Leaf]) -> list[tuple]:
     for m, group in sorted(by_m.items()):
         for k in range(0, len(group), LEAF_CHUNK):
             g = group[k:k + LEAF_CHUNK]
-            out.append((np.array([lf.value for lf in g], dtype=float),
-                        np.array([lf.features for lf in g], dtype=np.int64),
-                        np.array([lf.lo for lf in g], dtype=float), np.array([lf.hi for lf in g], dtype=float),
-                        # a branch without training rows would make its factor impossible to divide out
-                        np.maximum(np.array([lf.z for lf in g], dtype=float), 1e-12)))
+            values = np.array([lf.value for lf in g], dtype=float)
+            # a branch without training rows would make its factor impossible to divide out
+            z = np.maximum(np.array([lf.z for lf in g], dtype=float), 1e-12)
+            patterns = None
+            if m <= PATTERN_FEATURES:
+                inside = ((np.arange(1 << m)[None, :] >> np.arange(m)[:, None]) & 1).astype(float)
+                patterns = np.ascontiguousarray(path_contributions(
+                    values, z, np.broadcast_to(inside, (len(g), m, 1 << m))).transpose(1, 2, 0))
+            missing = np.array([lf.missing or [False] * m for lf in g], dtype=bool)
+            out.append((values, np.array([lf.features for lf in g], dtype=np.int64), np.array([lf.lo for lf in g], dtype=float),
+                        np.array([lf.hi for lf in g], dtype=float), z, missing, patterns))
+    return out
+
+
+def path_contributions(values: np.ndarray, z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """(m, leaves, rows) contributions of the features of paths of length m, for o (leaves, m, rows)
+    telling which intervals a row is in."""
+    n_leaves, m, n = o.shape
+    w = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    # coefficients of prod_j (z_j + o_j t), per leaf and row
+    c = np.zeros((m + 1, n_leaves, n))
+    c[0] = 1.0
+    for j in range(m):
+        zj = z[:, j, None]
+        c[1:j + 2] = c[1:j + 2] * zj + c[:j + 1] * o[:, j]
+        c[0] *= zj
+    out = np.empty((m, n_leaves, n))
+    for i in range(m):
+        # divide (z_i + o_i t) out again: from the top where o_i is 1, by z_i where it is 0
+        zi, on = z[:, i, None], o[:, i] > 0
+        high = np.zeros((n_leaves, n))
+        total = np.zeros((n_leaves, n))
+        for k in range(m - 1, -1, -1):
+            high = c[k + 1] - zi * high if k < m - 1 else c[m]
+            total += w[k] * np.where(on, high, c[k] / zi)
+        out[i] = values[:, None] * (o[:, i] - zi) * total
     return out
 
 
-def _make_kernel():
-    # Built inside a factory so that cloudpickle ships the function by value: Python
-    # workers run it without importing this package.
-    def shap_batch(X, table):
-        n, n_features = X.shape
-        xt = np.ascontiguousarray(X.T)                         # features x rows: rows innermost
-        phi = np.zeros((n_features, n))
-        for values, cols, lo, hi, z in table:
-            n_leaves, m = cols.shape
-            w = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-            xs = xt[cols]                                      # leaves x m x rows
-            o = ((xs > lo[:, :, None]) & (xs <= hi[:, :, None])).astype(float)
-            # coefficients of prod_j (z_j + o_j t), per leaf and row
-            c = np.zeros((m + 1, n_leaves, n))
-            c[0] = 1.0
-            for j in range(m):
-                zj = z[:, j, None]
-                c[1:j + 2] = c[1:j + 2] * zj + c[:j + 1] * o[:, j]
-                c[0] *= zj
-            for i in range(m):
-                # divide (z_i + o_i t) out again: from the top where o_i is 1, by z_i where it is 0
-                zi, on = z[:, i, None], o[:, i] > 0
-                high = np.zeros((n_leaves, n))
-                total = np.zeros((n_leaves, n))
-                for k in range(m - 1, -1, -1):
-                    high = c[k + 1] - zi * high if k < m - 1 else c[m]
-                    total += w[k] * np.where(on, high, c[k] / zi)
-                part = values[:, None] * (o[:, i] - zi) * total
-                for f in np.unique(cols[:, i]):
-                    phi[f] += part[cols[:, i] == f].sum(axis=0)
-        return phi.T
-    return shap_batch
-
-
-_shap_batch = _make_kernel()
+def _shap_batch(X: np.ndarray, table: Sequence[tuple]) -> np.ndarray:
+    n, n_features = X.shape
+    xt = np.ascontiguousarray(X.T)                         # features x rows: rows innermost
+    phi = np.zeros((n_features, n))
+    for values, cols, lo, hi, z, missing, patterns in table:
+        m = cols.shape[1]
+        xs = xt[cols]                                      # leaves x m x rows
+        inside = (xs > lo[:, :, None]) & (xs <= hi[:, :, None])
+        if missing.any():
+            inside |= np.isnan(xs) & missing[:, :, None]
+        if patterns is None:
+            parts = path_contributions(values, z, inside.astype(float))
+        else:
+            code = inside[:, 0].astype(np.intp)
+            for j in range(1, m):
+                code |= inside[:, j].astype(np.intp) << j
+            parts = [np.take_along_axis(patterns[:, :, j], code, axis=1) for j in range(m)]
+        for j in range(m):
+            for f in np.unique(cols[:, j]):
+                phi[f] += parts[j][cols[:, j] == f].sum(axis=0)
+    return phi.T
 
 
 def shap_values(X: np.ndarray, ls: Sequence[Leaf]) -> np.ndarray:
@@ -143,31 +171,40 @@ def _put_groups(spark, table: Sequence[tuple], limit: int) -> list[tuple[str, in
     return out
 
 
-def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequence[str],
+def attribute(model, df: DataFrame, id_col: str, features: Sequence[str],
               group_bytes: int = GROUP_BYTES, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Long table ``(id, feature, value, contribution, base)`` for every row of ``df``.
 
-    ``model`` is a fitted pipeline whose last stage is a ``GBTClassificationModel``;
-    ``value`` is the (imputed) feature value the trees saw.  A model fitted with missing
-    indicators is explained over all its inputs; an indicator's share is added to its
-    feature's, so base + contributions is the log-odds either way.
+    ``model`` is a two-class :class:`~panelstats.operators.boosting.BoostedModel`, or a fitted
+    pipeline whose last stage is a ``GBTClassificationModel``; ``value`` is the feature value the
+    trees saw (NULL where a booster saw a missing one, the imputed one in a pipeline).  A pipeline
+    fitted with missing indicators is explained over all its inputs; an indicator's share is
+    added to its feature's, so base + contributions is the log-odds either way.
 
     The leaf table lies in the shared folder; tasks read it group by group and add up, so
     its size is bounded by nothing but the model.
     """
     spark = df.sparkSession
+    ship_package(spark)
     features = list(features)
-    prep = PipelineModel(stages=model.stages[:-1]).transform(df)
-    inputs = list(model.stages[-2].getInputCols())
-    owner = {prepared(f): i for i, f in enumerate(features)} | {f"{f}_missing": i for i, f in enumerate(features)}
-    owners = np.array([owner[c] for c in inputs])
-    first = [inputs.index(prepared(f)) for f in features]
-    src = spread_rows(prep.select(id_col, *inputs))
-    ls = gbt_leaves(spark, model.stages[-1])
-    base = expected_value(ls)
-    groups = _put_groups(spark, leaf_arrays(ls), group_bytes)
+    if isinstance(model, BoostedModel):
+        folder, base = boosted_leaf_table(model, spark, group_bytes)
+        inputs = [f"__f{i}" for i in range(len(model.features))]
+        first = [model.features.index(f) for f in features]
+        owners = [features.index(f) for f in model.features]
+        src = spread_rows(df.select(F.col(f"`{id_col}`").alias(id_col), *numbers(model.features)))
+        groups, cuts = [(f, folder.bytes) for f in folder.files], model.cuts
+    else:
+        prep = PipelineModel(stages=model.stages[:-1]).transform(df)
+        inputs, cuts = list(model.stages[-2].getInputCols()), None
+        owner = {prepared(f): i for i, f in enumerate(features)} | {f"{f}_missing": i for i, f in enumerate(features)}
+        owners = [owner[c] for c in inputs]
+        first = [inputs.index(prepared(f)) for f in features]
+        src = spread_rows(prep.select(id_col, *inputs))
+        ls = gbt_leaves(spark, model.stages[-1])
+        base = expected_value(ls)
+        groups = _put_groups(spark, leaf_arrays(ls), group_bytes)
     keep = sum(n for _, n in groups) <= cache_bytes
-    kernel, open_fs = _shap_batch, _opener()
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -176,7 +213,7 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequen
         def group(path):
             if path in held:
                 return held[path]
-            data = pickle.loads(open_fs(path))
+            data = [chunk for part in _read_group(path) for chunk in part]
             if keep:
                 held[path] = data
             return data
@@ -186,29 +223,104 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str, features: Sequen
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[inputs].to_numpy(dtype=float)
+            raw = pdf[inputs].to_numpy(dtype=float)
+            X = raw
+            if cuts is not None:
+                X = binned(raw, cuts).astype(float)
+                X[X == MISSING] = np.nan
             phi = np.zeros((len(X), k))
             for path, _ in groups:
-                part = kernel(X, group(path))
+                part = _shap_batch(X, group(path))
                 for col, own in enumerate(owners):
                     phi[:, own] += part[:, col]
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), k),
                 "feature": np.tile(names, len(pdf)),
-                "value": X[:, first].reshape(-1),
+                "value": raw[:, first].reshape(-1),
                 "contribution": phi.reshape(-1),
                 "base": np.full(len(pdf) * k, base),
             })
 
-    schema = f"{id_col} {id_type}, feature string, value double, contribution double, base double"
-    return src.mapInPandas(run, schema)
+    schema = f"`{id_col}` {id_type}, feature string, value double, contribution double, base double"
+    out = src.mapInPandas(run, schema)
+    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))) if cuts is not None else out
+
+
+def _read_group(uri: str) -> list[list[tuple]]:
+    """The chunk lists of a group: a pickled file, or a Parquet file of pickled rows."""
+    store, path = file_system(uri)
+    if path.endswith(".parquet"):
+        with store.open_input_file(path) as f:
+            return [pickle.loads(b) for b in pq.read_table(f, columns=["payload"]).column("payload").to_pylist()]
+    with store.open_input_stream(path) as f:
+        return [pickle.loads(f.read())]
+
+
+# -------------------------------------------------------------------------- boosters' leaf tables
+def tree_leaves(pieces: dict) -> list[Leaf]:
+    """Leaves of one tree of a booster, their intervals in bins (the split sends bins up to its
+    bin to the left), and whether the path takes missing values at each feature."""
+    out, stack = [], [("", 0, {})]
+    while stack:
+        path, i, seen = stack.pop()
+        piece = pieces[path]
+        left, right = int(piece["left"][i]), int(piece["right"][i])
+        if left == -1:
+            feats = sorted(seen)
+            out.append(Leaf(0, i, float(piece["value"][i]), feats, *[[seen[f][k] for f in feats] for k in range(3)],
+                            rows=int(piece["rows"][i]), missing=[seen[f][3] for f in feats]))
+            continue
+        f, cut, default = int(piece["feature"][i]), float(piece["bin"][i]), bool(piece["default_left"][i])
+        covers = [float(piece["hess"][k]) for k in ((1, 2) if left == OPEN else (left, right))]
+        lo, hi, z, missing = seen.get(f, (-np.inf, np.inf, 1.0, True))
+        for go_left, cover, child in ((True, covers[0], left), (False, covers[1], right)):
+            step = {**seen, f: (lo if go_left else max(lo, cut), min(hi, cut) if go_left else hi,
+                                z * cover / float(piece["hess"][i]), missing and go_left == default)}
+            stack.append((path + "LR"[not go_left], 0, step) if left == OPEN else (path, child, step))
+    return out
+
 
+@dataclass
+class _Folder:
+    files: list[str]
+    bytes: int
 
-def _opener():
-    # shipped by value, like the kernel
-    def read(uri):
-        from pyarrow import fs
-        store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
-        with store.open_input_stream(path) as f:
-            return f.read()
-    return read
+
+def boosted_leaf_table(model: BoostedModel, spark, group_bytes: int = GROUP_BYTES) -> tuple[_Folder, float]:
+    """Leaf tables of all trees of a two-class booster, built by tasks from the trees' pieces and
+    written in groups to the shared folder; and the model's expected log-odds."""
+    def run(batches):
+        state: dict = {"tree": None, "pieces": {}, "leaves": [], "n": 0}
+
+        def flush():
+            table = leaf_arrays(state["leaves"])
+            expected = expected_value(state["leaves"])
+            state["leaves"], state["n"] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(table)], pa.binary()), pa.array([expected])], ["payload", "expected"])
+
+        def close():
+            found = tree_leaves(state["pieces"])
+            state["leaves"] += found
+            state["n"] += sum((16 << min(len(lf.features), PATTERN_FEATURES)) * max(1, len(lf.features)) for lf in found)
+
+        for batch in batches:
+            columns = {n: batch.column(n) for n in ("round", "tree", "path")}
+            for i, key in enumerate(zip(columns["round"].to_pylist(), columns["tree"].to_pylist())):
+                if key != state["tree"]:
+                    if state["tree"] is not None:
+                        close()
+                        if state["n"] > group_bytes:
+                            yield flush()
+                    state["tree"], state["pieces"] = key, {}
+                state["pieces"][columns["path"][i].as_py()] = {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in FIELDS}
+        if state["tree"] is not None:
+            close()
+            yield flush()
+
+    trees = model.pieces(spark).repartition(spark.sparkContext.defaultParallelism, "round").sortWithinPartitions("round", "tree")
+    path = shared_path(spark, "attribution")
+    trees.mapInArrow(run, "payload binary, expected double").write.parquet(path)
+    table = spark.read.parquet(path)
+    about = table.agg(F.sum(F.octet_length("payload")).alias("bytes"), F.sum("expected").alias("expected")).first()
+    files = sorted(table.inputFiles())
+    return _Folder(files, (about["bytes"] or 0) // max(1, len(files))), model.base + (about["expected"] or 0.0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -81,6 +82,19 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root, "panelstats", *parts, uuid.uuid4().hex])
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (as ``--py-files`` does), once per context;
+    a driver that found it by its working folder or ``sys.path`` alone would leave them without."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelstats_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="panelstats-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(f"{folder}/panelstats", "zip", root, "panelstats"))
+    sc._panelstats_shipped = True
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """pyarrow's file system for a path of the shared folder, and the path within it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
