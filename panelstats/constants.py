@@ -53,6 +53,8 @@ SEARCH_SPACE = {
     "colsample_bytree": ("uniform", 0.1, 1.0),
     "scale_pos_weight": ("uniform", 1.0, 50.0),
     "learning_rate": ("log-uniform", 1e-4, 1.5),
+    "reg_alpha": ("log-uniform", 1e-5, 10.0),
+    "reg_lambda": ("log-uniform", 1e-5, 10.0),
 }
 
 # --- fixed values: the one-point parameter grid of the five-class booster

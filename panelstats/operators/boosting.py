@@ -31,7 +31,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstats.session import file_system, shared_path, ship_package
@@ -800,5 +800,30 @@ def cross_validate(data: DataFrame, features: Sequence[str], label: str, params:
     done = train(data, features, label, [params], n_classes, id_col, fold_col, folds, keep_trees=False, finish_rows=finish_rows,
                  invert=invert)
     said = done.held_out().select("id", F.col("model").alias("fold"), "label", "prediction")
-    per = said.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
-    return per, said
+    return fold_accuracy(said), said
+
+
+def fold_accuracy(said: DataFrame) -> DataFrame:
+    """(fold, n_test, accuracy) of held-out predictions."""
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    return said.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), right.alias("accuracy"))
+
+
+def parameter_grid(grid: Mapping[str, Sequence]) -> list[dict]:
+    """Every point of a grid of parameters (R4), the last name varying fastest."""
+    points = [{}]
+    for name, values in grid.items():
+        points = [{**p, name: v} for p in points for v in values]
+    return points
+
+
+def importance(model: BoostedModel, spark: SparkSession) -> DataFrame:
+    """Per feature its share of the gain (``importance``), of the cover and of the splits, the
+    largest first; features that no split uses have zeros (M17)."""
+    per = model.nodes(spark).where(F.col("feature").isNotNull()).groupBy("feature").agg(
+        F.sum("gain").alias("g"), F.sum("cover").alias("c"), F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(f,) for f in model.features], "feature string").join(per, "feature", "left").na.fill(0)
+    whole = Window.partitionBy()
+    shares = {"importance": "g", "cover": "c", "frequency": "n"}
+    return every.select("feature", *[F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(whole)), F.lit(0.0)).alias(a)
+                                     for a, c in shares.items()]).orderBy(F.desc("importance"), "feature")

@@ -419,10 +419,11 @@ def _supports(cls: str) -> str:
         "(VALUES ('accuracy'), ('macro avg'), ('weighted avg')) u(c) GROUP BY 1")
 
 
-_CV = with_(*POINTS, *_hash_ranked("pts", "point_id", "ordinal"),
-            "off AS (SELECT ordinal, COALESCE(SUM(c) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM szs)") + (
-    f"SELECT CAST((o + rk - 1) % {K.N_FOLDS} AS INTEGER) AS fold, COUNT(*) AS n_test, true AS in_range, CAST(NULL AS VARCHAR) AS error, "
-    f"CAST({K.N_FOLDS} AS BIGINT) AS folds_scored FROM rk JOIN off USING (ordinal) GROUP BY 1")
+_CV = (f"WITH t AS ({TRAINING}) SELECT fold, COUNT(*) AS n_test, true AS agrees, true AS mean_agrees, "
+       f"CAST({K.N_FOLDS} AS BIGINT) AS folds_scored FROM t GROUP BY fold")
+_TRAINING_SUPPORTS = (f"WITH t AS ({TRAINING}), s AS (SELECT CAST(factor AS VARCHAR) AS class, COUNT(*) AS support FROM t WHERE fold = 0 GROUP BY 1) "
+                      "SELECT class, support FROM s UNION ALL SELECT u.c, CAST(SUM(support) AS BIGINT) FROM s, "
+                      "(VALUES ('accuracy'), ('macro avg'), ('weighted avg')) u(c) GROUP BY 1")
 
 _FORM = with_(*POINTS) + " UNION ALL ".join(
     f"SELECT '{case}' AS \"case\", " + ", ".join(f"{R(f'{agg}({m})')} AS {m}" for m in MEANS) + ", true AS in_range FROM pts"
@@ -434,7 +435,7 @@ _exact = _each_point.format(what="CAST(4 AS BIGINT) AS features, true AS exact")
 ORACLE |= {
     "tree_multiclass_check": _supports("ordinal"),
     "boosted_binary_check": _supports("label"),
-    "boosted_multiclass_check": _supports("ordinal"),
+    "boosted_multiclass_check": _TRAINING_SUPPORTS,
     "cv_accuracy_check": _CV,
     "score_points_check": _each_point.format(what="class, label, true AS fits"),
     "score_rows_check": _FORM,
@@ -443,7 +444,7 @@ ORACLE |= {
     "feature_importance_check": " UNION ALL ".join(f"SELECT {_q(m)} AS feature, true AS adds_up" for m in MEANS),
     "tree_rules_check": _each_point.format(what="CAST(1 AS INTEGER) AS rules_met"),
     "attribute_points_check": _exact,
-    "missing_attribution": _exact,
+    "missing_attribution": _each_point.format(what="CAST(4 AS BIGINT) AS features, true AS exact, true AS learned"),
     "attribution_ranking_check": with_(*POINTS) + " UNION ALL ".join(
         f"SELECT {_q(m)} AS feature, COUNT(*) AS n, true AS in_range FROM pts" for m in MEANS),
     "thematic_points_check": with_(*POINTS) + (
@@ -451,5 +452,24 @@ ORACLE |= {
         f"{R('AVG(c.lon) OVER ()')} AS center_lon FROM pts JOIN classes c USING (point_id)"),
     "box_by_prediction_check": with_(*POINTS) + (
         f"SELECT COUNT(*) AS n, {R('MIN(l_quantity_max_min_diff)')} AS least, {R('MAX(l_quantity_max_min_diff)')} AS most FROM pts"),
-    "tune_boosted_check": "SELECT CAST(c AS INTEGER) AS candidate, true AS in_range, true AS depth_in_space, true AS step_in_space FROM range(4) t(c)",
+    "tune_boosted_check": (f"SELECT CAST({K.SEARCH_CANDIDATES} AS BIGINT) AS candidates, 1 AS inside, CAST(1 AS BIGINT) AS best, "
+                           "true AS is_highest"),
+}
+
+_ASKED = POINTS + ["asked AS (SELECT *, l_quantity_mean > 25.0::DOUBLE AND l_discount_mean > 0.045::DOUBLE AS planted, "
+                   "l_quantity_mean / 10.0::DOUBLE AS tens FROM pts)"]
+_CLEAR = "WHERE ABS(l_quantity_mean - 25.0::DOUBLE) > {q}::DOUBLE AND ABS(l_discount_mean - 0.045::DOUBLE) > {d}::DOUBLE"
+_clear = _CLEAR.format(q=0.7, d=0.004)
+
+ORACLE |= {
+    "planted_folds": with_(*_ASKED) + f"SELECT point_id, CAST(point_id % 5 AS INTEGER) AS fold, CAST(planted AS INTEGER) AS prediction FROM asked {_clear}",
+    "planted_softmax": with_(*_ASKED) + ("SELECT point_id, CAST(LEAST(FLOOR(tens), 4) AS INTEGER) AS prediction, true AS adds_up, 5 AS classes "
+                                         "FROM asked WHERE ABS(tens - ROUND(tens)) * 10.0::DOUBLE > 0.7::DOUBLE"),
+    "planted_tree": with_(*_ASKED) + f"SELECT point_id, CAST(planted AS INTEGER) AS prediction FROM asked {_CLEAR.format(q=2.5, d=0.01)}",
+    "planted_search": (f"SELECT CAST({K.SEARCH_CANDIDATES} AS BIGINT) AS candidates, CAST(1 AS BIGINT) AS best, true AS found, true AS is_highest"),
+    "planted_importance": "SELECT f AS feature, true AS is_share FROM (VALUES ('l_quantity_mean'), ('l_discount_mean')) v(f)",
+    "planted_map": with_(*_ASKED) + (
+        f"SELECT point_id, c.status, CAST(planted AS INTEGER) AS prediction, CASE WHEN planted THEN {_q(K.PREDICTION_TEXT[1])} ELSE "
+        f"{_q(K.PREDICTION_TEXT[0])} END AS prediction_class, CASE WHEN planted THEN '255,0,0' ELSE '0,255,0' END AS color "
+        f"FROM asked JOIN classes c USING (point_id) {_clear}"),
 }

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelstats import constants as K
 from panelstats.functions.labels import binary_label, ordinal_label
-from panelstats.operators import agreement, attribution, distribution, model, sampling, thematic, treeshap
+from panelstats.operators import agreement, attribution, boosting, distribution, model, sampling, thematic, treeshap
 from panelstats.operators.columns import score_columns
 from panelstats.operators.joins import join_label, join_on, join_with_suffixes
 from panelstats.operators.missing import drop_any_null
@@ -63,16 +63,25 @@ def split(points: DataFrame, label: str = "label", key: str = KEY) -> tuple[Data
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
-def train_binary(train: DataFrame, features: Sequence[str], key: str = KEY, n_candidates: int = 30,
-                 max_iter: int = 500, folds: int = K.N_FOLDS, parallelism: int = 1, missing_indicators: bool = True):
-    """Cross-validated search for the binary booster (F1 of the positive class).
+def train_binary(train: DataFrame, features: Sequence[str], key: str = KEY, n_candidates: int = K.SEARCH_CANDIDATES,
+                 max_iter: int = K.BOOSTED_TREES, folds: int = K.N_FOLDS) -> tuple[boosting.BoostedModel, DataFrame]:
+    """Cross-validated search for the binary booster (F1 of the positive class): the best
+    candidate fitted on all of ``train``, and the table of candidates.
 
-    The source keeps incomplete rows because missing scores may predict, so the trees may
-    split on missingness unless ``missing_indicators`` is off.
+    The source keeps incomplete rows because missing scores may predict; every split of the
+    booster learns the side they go to.
     """
     f = written(sampling.stratified_folds(train, key, "label", folds, K.SPLIT_SEED), "folds")
-    return model.tune_boosted(f, features, "label", "fold", folds, model.REFERENCE_SPACE, n_candidates,
-                              K.SEARCH_SEED, max_iter, parallelism=parallelism, missing_indicators=missing_indicators)
+    draws = model.sample_space(K.SEARCH_SPACE, n_candidates, K.SEARCH_SEED)
+    best, table, _ = boosting.search(f, features, "label", "fold", folds, draws, max_iter, K.SEARCH_SEED)
+    return boosting.fit(f, features, "label", best), table
+
+
+def train_multiclass(training: DataFrame, features: Sequence[str] = tuple(K.MULTICLASS_FEATURES), label: str = "factor",
+                     n_classes: int = len(K.CLASS_ORDER), params: boosting.Params | None = None) -> boosting.BoostedModel:
+    """The five-class booster on its training table, at the source's only grid point."""
+    params = params or boosting.Params.of(boosting.parameter_grid(K.MULTICLASS_GRID)[0], seed=K.SEARCH_SEED)
+    return boosting.fit(training, list(features), label, params, n_classes)
 
 
 def train_tree(train: DataFrame, features: Sequence[str]) -> PipelineModel:
@@ -80,16 +89,20 @@ def train_tree(train: DataFrame, features: Sequence[str]) -> PipelineModel:
     return model.fit_tree(train, features, "ordinal", K.TREE_DEPTH, K.TREE_SEED)
 
 
-def explain(fitted: PipelineModel, rows: DataFrame, features: Sequence[str], key: str = KEY) -> DataFrame:
+def _score(fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return (boosting if isinstance(fitted, boosting.BoostedModel) else model).score(fitted, rows, keep)
+
+
+def explain(fitted, rows: DataFrame, features: Sequence[str], key: str = KEY) -> DataFrame:
     """Per-row prediction, probability and the explanation paragraph."""
     contrib = treeshap.attribute(fitted, rows, key, features)
     text = attribution.attribution_text(contrib, id_col=key)
-    return model.score(fitted, rows, [key]).join(text, key)
+    return _score(fitted, rows, [key]).join(text, key)
 
 
-def thematic_map(fitted: PipelineModel, points: DataFrame, classes: DataFrame, key: str = KEY) -> DataFrame:
+def thematic_map(fitted, points: DataFrame, classes: DataFrame, key: str = KEY) -> DataFrame:
     """Every point with its position, predicted class text, colour and the map centre."""
-    return thematic.thematic_table(model.score(fitted, points, [key]), classes, key, lat="LAT", lon="LON",
+    return thematic.thematic_table(_score(fitted, points, [key]), classes, key, lat="LAT", lon="LON",
                                    name=NAME if NAME in classes.columns else None)
 
 

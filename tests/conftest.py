@@ -15,6 +15,6 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from panelstats.session import get_session
     s = get_session(app="panelstats-tests", master="local[4]", shuffle_partitions=8)
-    for name, value in {"trees": 6, "search.trees": 2, "search.depth": 3, "multiclass.rounds": 2, "multiclass.depth": 3}.items():
+    for name, value in {"trees": 6, "search.trees": 2, "multiclass.rounds": 2, "multiclass.depth": 3}.items():
         s.conf.set(f"panelstats.budget.{name}", str(value))
     yield s

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelstats import constants as K
 from panelstats import workflows as W
-from panelstats.operators import model
+from panelstats.operators import boosting
 
 SCORES = ["Altura", "EstDesenv", "Invasoras", "Cupins", "CobertSolo", "DispForr", "DispFolhVerd", "CondAtual",
           "PotProd", "Degrad", "Manejo"]
@@ -53,7 +53,7 @@ def test_reference_layout_end_to_end(spark, panel):
 
     train, test = W.split(points)
     assert test.count() == 18 and train.count() == 42
-    fitted = model.fit_boosted(train, features, "label", maxIter=5, maxDepth=3, seed=1)
+    fitted = boosting.fit(train, features, "label", boosting.Params(n_estimators=5, max_depth=3))
     texts = W.explain(fitted, test, features).collect()
     assert len(texts) == 18 and all(r["text"].startswith("O valor base") for r in texts)
     tree = W.train_tree(train, ["CobertSolo_mean", "Invasoras_mean", "PotProd_mean"])
@@ -89,9 +89,8 @@ def test_training_table_of_the_five_class_booster(spark, panel):
     assert folds == dict.fromkeys(range(5), 12)
     names = {r["CLASS_DED"]: r["factor"] for r in t.collect()}
     assert [k for k, _ in sorted(names.items(), key=lambda x: x[1])] == sorted(K.CLASS_ORDER)
-    fitted = model.fit_boosted_multiclass(t.withColumn("y", F.col("factor").cast("double")), K.MULTICLASS_FEATURES, "y", 5,
-                                          maxIter=3, maxDepth=3)
-    assert fitted.transform(t).where("prediction = factor").count() > 30
+    fitted = W.train_multiclass(t, params=boosting.Params(n_estimators=10, max_depth=4, min_child_weight=0))
+    assert boosting.score(fitted, t, ["factor"]).where("prediction = factor").count() > 50
 
 
 def test_search_then_explain(spark, panel):
@@ -100,6 +99,6 @@ def test_search_then_explain(spark, panel):
     points = W.labelled_points(W.point_features(typed, id_columns=K.ID_COLUMNS + ["seq"]), classes)
     features = W.model_features(points)
     train, test = W.split(points)
-    best, candidates = W.train_binary(train, features, n_candidates=2, max_iter=3, folds=3, parallelism=2)
+    best, candidates = W.train_binary(train, features, n_candidates=2, max_iter=3, folds=3)
     assert candidates.count() == 2 and candidates.where("is_best").count() == 1
     assert W.explain(best, test, features).count() == test.count()
