@@ -1,20 +1,22 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is the set of its distinct five-word shingles, however often each occurs, since a
-link is defined on that set.  Every shingle starts a Poisson process (:func:`signature` takes
-weights, here all are 1); each arrival falls into one of 64 registers, and a register keeps
-the shingle that arrives first.  Two documents agree on a register with the probability of
-their Jaccard similarity.  A document
-stops drawing arrivals once none can come before the latest register (early termination).
+A document is a weighted set: its five-word shingles, each with weight 1 + ln(occurrences).  The
+similarity of two documents is their probability Jaccard, sum over shared shingles i of
+``1 / sum_j max(x_j / x_i, y_j / y_i)``; without repeated shingles it is the Jaccard similarity.
+Every shingle starts a Poisson process with its weight as the rate; each arrival falls into one
+of 64 registers, and a register keeps the shingle that arrives first.  Two documents agree on a
+register with the probability of their similarity.  A document stops drawing arrivals once none
+can come before the latest register (early termination).
 
 Registers are banded four by four.  In every bucket all members are first compared with one
 leader.  Buckets whose members are then still in several classes are split by every other band
 they could agree on, and each part gets a leader of its own.  These two rounds join most of
-what belongs together with pairs that grow with the documents.  In the last round every pair
-of a bucket's members that are still in different classes is compared, in blocks, so the
-classes are those of all pairs that share a bucket.  A pair goes on if enough of the 64
-registers agree, and is a link if the Jaccard similarity of the two documents' distinct
-shingles, computed from the whole texts, is 0.8 or more.
+what belongs together with pairs that grow with the documents.  In the last round the members of
+a bucket that are still in different classes are compared: those outside its largest class with
+each other and with that class, in blocks of bounded size, each pair in the first bucket it
+shares.  Only pairs whose 64 registers, and then the 512 registers of a finer signature (of the
+texts of this round), allow the threshold leave a block; no other pair is written.  A pair is a
+link if its similarity, computed from the whole texts, is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4      # at similarity 0.8 a pair shares a bucket with probability 0.9998
 REGISTERS = BANDS * ROWS
 MIN_AGREE = 36           # registers; 51 +- 3 of 64 agree at similarity 0.8, fewer than 36 four times in a million
+FINE = 512               # registers of the finer signature, four bits each
+FINE_AGREE = 374         # 416 +- 9 of 512 agree at similarity 0.8 (chance agreements of four bits included)
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 BLOCK = 512              # members of a bucket that a task compares with as many others at once
@@ -129,9 +133,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, sketches = [], [], []
         for text in batch.column(2).to_pylist():
-            shingles = shingles_of(text)[0]
+            shingles, counts = shingles_of(text)
             sizes.append(len(shingles))
-            owner = signature(shingles, np.ones(len(shingles), np.int64)) if len(shingles) else None
+            owner = signature(shingles, counts) if len(shingles) else None
             keys.append(np.zeros(0, np.int64) if owner is None else band_keys(owner).view(np.int64))
             sketches.append(b"" if owner is None else (owner >> np.uint64(56)).astype(np.uint8).tobytes())
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
@@ -141,8 +145,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(sketches, pa.binary())], names=["id", "key", "n", "bands", "sketch"])
 
 
+def probability_jaccard(a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.ndarray) -> float:
+    """Similarity of two documents from their sorted shingles and occurrences.
+
+    For a shared shingle i, the shingles j with y_j / x_j <= y_i / x_i add x_j / x_i to its sum and
+    the others y_j / y_i: sums over the shingles sorted by that ratio."""
+    if a_counts.max(initial=1) == 1 and b_counts.max(initial=1) == 1:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / max(1, len(a) + len(b) - both)
+    every = np.union1d(a, b)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a)] = 1.0 + np.log(a_counts)
+    y[np.searchsorted(every, b)] = 1.0 + np.log(b_counts)
+    ratio = np.divide(y, x, out=np.full(len(every), np.inf), where=x > 0)
+    order = np.argsort(ratio, kind="stable")
+    x, y, ratio = x[order], y[order], ratio[order]
+    both = (x > 0) & (y > 0)
+    last = np.searchsorted(ratio, ratio[both], side="right") - 1
+    below, above = np.cumsum(x)[last], y.sum() - np.cumsum(y)[last]
+    return float((1.0 / (below / x[both] + above / y[both])).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose texts' shingles reach the threshold."""
+    """Pairs (a, b) whose texts reach the threshold."""
     shingles_of = Shingler()
     last, there = None, None
     for batch in batches:
@@ -150,10 +175,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_text, b_text, b_key = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist()
         for x, y, key in zip(a_text, b_text, b_key):
             if key != last:
-                last, there = key, shingles_of(y)[0]
-            here = shingles_of(x)[0]
-            both = len(np.intersect1d(here, there, assume_unique=True))
-            keep.append(both >= THRESHOLD * (len(here) + len(there) - both))
+                last, there = key, shingles_of(y)
+            keep.append(probability_jaccard(*shingles_of(x), *there) >= THRESHOLD - 1e-12)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -171,66 +194,101 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of every bucket with its leader, where their sizes and
-    registers allow a similarity of the threshold and they are not of one class yet.
+    """Pairs (a, b) of the members of every bucket with its leader, where their registers allow
+    a similarity of the threshold and they are not of one class yet.
 
-    ``buckets`` has part, key, n, root, score and sketch.  The leader is the member with the
+    ``buckets`` has part, key, root, score and sketch.  The leader is the member with the
     highest score, which shares most with the others.
     """
-    lead = (buckets.groupBy("part").agg(F.max(F.struct("score", "key", "n", "root", "sketch")).alias("l"),
+    lead = (buckets.groupBy("part").agg(F.max(F.struct("score", "key", "root", "sketch")).alias("l"),
                                         F.count(F.lit(1)).alias("size")).filter("size > 1")
-            .select("part", F.col("l.key").alias("b"), F.col("l.n").alias("bn"), F.col("l.root").alias("broot"),
+            .select("part", F.col("l.key").alias("b"), F.col("l.root").alias("broot"),
                     F.col("l.sketch").alias("bs")))
     pairs = (buckets.join(written(lead, "leaders"), "part")
-             .filter((F.col("root") != F.col("broot")) & (F.least("n", "bn") >= THRESHOLD * F.greatest("n", "bn")))
+             .filter(F.col("root") != F.col("broot"))
              .select(F.col("key").alias("a"), "b", "sketch", "bs"))
     return written(pairs.mapInArrow(_agree, "a binary, b binary").distinct(), "pairs")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Links among ``pairs`` (a, b); only texts that occur in a pair are kept."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "wanted")
-    known = broadcast_if_small(wanted, 40 * wanted.count())
+def _texts_of(keys: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(__key, __text) of the texts that ``keys`` (__key) names, each once."""
+    known = broadcast_if_small(keys, 40 * keys.count())
     texts = (docs.select(text_key(F.col(text_col)).alias("__key"), F.col(text_col).cast("string").alias("__text"))
              .join(known, "__key", "left_semi").groupBy("__key").agg(F.first("__text").alias("__text")))
-    texts = written(texts, "texts")
+    return written(texts, "texts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Links among ``pairs`` (a, b); only texts that occur in a pair are kept."""
+    texts = _texts_of(written(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "wanted"), docs, text_col)
     with_a = pairs.join(texts, F.col("a") == F.col("__key")).select("a", "b", F.col("__text").alias("ta"))
     both = with_a.join(texts, F.col("b") == F.col("__key")).select("a", "b", "ta", F.col("__text").alias("tb"))
     return written(both.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def fine_sketch(shingles: np.ndarray, counts: np.ndarray) -> bytes:
+    """Four bits of each of the 512 registers of a finer signature."""
+    bits = (signature(shingles, counts, FINE) >> np.uint64(60)).astype(np.uint8)
+    return (bits[::2] << 4 | bits[1::2]).tobytes()
+
+
+def _sketch_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles_of = Shingler()
+    for batch in batches:
+        fine = [fine_sketch(*shingles_of(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["key", "fine"])
+
+
 def _cross(table: pa.Table) -> pa.Table:
-    """Pairs (a, b) of two blocks of a bucket, or within one, that are of different classes and
-    whose sizes and registers allow a similarity of the threshold."""
-    block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    n = table.column("n").to_numpy()
+    """Pairs (a, b) of the two sides of a block, or within its only side, that are of different
+    classes, share no earlier bucket, and whose signatures allow a similarity of the threshold."""
+    side, band = table.column("side").to_numpy(), table.column("band")[0].as_py()
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = table.column("i")[0].as_py() == table.column("j")[0].as_py() and not table.column("heavy")[0].as_py()
     keys = table.column("key").to_pylist()
     _, root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    sketch, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(keys), -1) for c in ("sketch", "fine"))
+    bands = np.asarray(table.column("bands").combine_chunks().values).reshape(len(keys), BANDS)[:, :band]
     a, b = [], []
     for k, u in enumerate(x):
-        v = y[k + 1:] if i == j else y
-        v = v[(root[v] != root[u]) & (np.minimum(n[v], n[u]) >= THRESHOLD * np.maximum(n[v], n[u]))]
+        v = x[k + 1:] if within else y
+        v = v[(root[v] != root[u]) & ~(bands[v] == bands[u]).any(axis=1)]
         v = v[(sketch[v] == sketch[u]).sum(axis=1) >= MIN_AGREE]
+        differ = fine[v] ^ fine[u]
+        v = v[((differ & 0x0F) == 0).sum(axis=1) + ((differ & 0xF0) == 0).sum(axis=1) >= FINE_AGREE]
         a += [max(keys[u], keys[w]) for w in v]
         b += [min(keys[u], keys[w]) for w in v]
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _remaining(nodes: DataFrame) -> DataFrame:
+def _remaining(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Pairs (a, b) of texts that share a bucket and are still in different classes, where
-    their sizes and registers allow a similarity of the threshold.
+    their signatures allow a similarity of the threshold.
 
-    A bucket is cut into blocks by the hash of the key, and a task compares two of them.
+    The members of a bucket outside its largest class (the rest) and those of that class are cut
+    into blocks by the hash of the key; a task compares a block of the rest with a block of either.
     """
-    rows = nodes.select(F.explode("bands").alias("bucket"), "key", "n", "root", "sketch")
-    mixed = written(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-                    .filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    members = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "root", "sketch")
-    return written(dealt.groupBy("bucket", "i", "j").applyInArrow(_cross, "a binary, b binary").distinct(), "pairs")
+    rows = nodes.select(F.posexplode("bands").alias("band", "bucket"), "key", "root")
+    parts = written(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size")), "bucket-classes")
+    top = F.max(F.struct("size", "root")).alias("top")
+    mixed = written(parts.groupBy("bucket").agg(top, F.sum("size").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+                    .select("bucket", F.col("top.root").alias("largest"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("heavy_blocks"),
+                            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("rest_blocks")), "mixed-buckets")
+    members = written(rows.join(mixed, "bucket").select("bucket", "band", "key", F.col("root") == F.col("largest"), "heavy_blocks", "rest_blocks")
+                      .toDF("bucket", "band", "key", "is_heavy", "heavy_blocks", "rest_blocks"), "mixed-members")
+    wanted = written(members.select(F.col("key").alias("__key")).distinct(), "wanted")
+    fine = written(_texts_of(wanted, docs, text_col).mapInArrow(_sketch_finely, "key binary, fine binary"), "fine-sketches")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("is_heavy"), F.col("heavy_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+
+    def place(heavy, i, j, side):
+        return F.struct(F.lit(heavy).alias("heavy"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    each_rest, each_heavy = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("rest_blocks", "heavy_blocks"))
+    places = F.when(F.col("is_heavy"), F.transform(each_rest, lambda r: place(True, F.col("own"), r, F.lit(0)))).otherwise(F.concat(
+        F.transform(each_heavy, lambda h: place(True, h, F.col("own"), F.lit(1))),
+        F.transform(each_rest, lambda r: place(False, F.least(F.col("own"), r), F.greatest(F.col("own"), r), F.col("own") > r))))
+    dealt = (members.withColumn("own", own).select("bucket", "band", "key", F.explode(places).alias("p")).select("bucket", "band", "key", "p.*")
+             .join(nodes.select("key", "root", "sketch", "bands").join(fine, "key"), "key"))
+    return written(dealt.groupBy("bucket", "heavy", "i", "j").applyInArrow(_cross, "a binary, b binary"), "pairs")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -243,7 +301,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: id, key (of its text), root (of its text's class), n.
 
     Texts without words (also NULL) are in no class: root is NULL.  Repeated rows and ids
-    share the class of their text; other columns are ignored.
+    share the class of their text; other columns are ignored; an empty table has no rows.
     """
     slim = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
                        F.col(text_col).cast("string").alias("text"))
@@ -266,7 +324,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     links = written(links.unionByName(_verified(second, docs, text_col)), "links")
     roots = written(connected_components(links), "roots")
     nodes = written(nodes.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "candidates")
-    last = _untested(_remaining(nodes), written(first.unionByName(second), "tested"))
+    last = _untested(_remaining(nodes, docs, text_col), written(first.unionByName(second), "tested"))
     found = _verified(last, docs, text_col)
     if not found.isEmpty():
         links = written(links.unionByName(found), "links")
@@ -291,7 +349,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: ``id_col``, class_id (least id of its class), class_size
     (rows in it) and kept (whether it is the one that stays).
 
-    Rows without words are classes of their own and stay.  Ids that are NULL come last.
+    Rows without words are classes of their own and stay.  Ids that are NULL come last.  An
+    empty table gives no rows.
     """
     classes = written(near_duplicate_classes(docs, id_col=id_col, text_col=text_col), "classes")
     heads = written(classes.filter("root IS NOT NULL").groupBy("root")
@@ -305,13 +364,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every class, that of the least (id, text key); same columns.
 
-    Rows that repeat an id with its text count as one.  Rows without words stay.
+    Rows that repeat an id with its text count as one, the one whose other columns come first
+    as JSON.  Rows without words stay.  An empty table gives no rows.
     """
     classes = written(near_duplicate_classes(docs, id_col=id_col, text_col=text_col), "classes")
     heads = (classes.filter("root IS NOT NULL").groupBy("root")
              .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("h")).select("h.id", "h.key"))
     stay = written(heads.unionByName(classes.filter("root IS NULL").select("id", "key").distinct())
                    .select(F.col("id").alias("__id"), F.col("key").alias("__skey")), "stay")
-    keyed = docs.withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"])
-    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__skey")), "left_semi")
-    return with_columns_of(kept, docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(row, F.to_json(F.struct(*others))) if others else F.first(row)
+    keyed = docs.groupBy(F.col(f"`{id_col}`").alias("__own"), text_key(F.col(f"`{text_col}`")).alias("__key")).agg(first.alias("__row"))
+    kept = keyed.join(stay, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__skey")), "left_semi")
+    return with_columns_of(kept.select("__row.*"), docs)

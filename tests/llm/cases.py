@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+
+import numpy as np
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, kept int, key string"
 
@@ -36,8 +40,22 @@ def empty_docs(spark):
 
 
 def shingles(text, n=5):
+    """Five-word shingles with their weights."""
     w = re.findall(r"\w+", (text or "").lower())
-    return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    found = Counter(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else {}
+    return {k: 1 + math.log(c) for k, c in found.items()}
+
+
+def probability_jaccard(x, y):
+    """By definition; with equal weights the Jaccard similarity."""
+    both = x.keys() & y.keys()
+    if not both:
+        return 0.0
+    if set(x.values()) == set(y.values()) == {1.0}:
+        return len(both) / (len(x) + len(y) - len(both))
+    every = list(x.keys() | y.keys())
+    a, b = (np.array([z.get(k, 0.0) for k in every]) for z in (x, y))
+    return sum(1 / np.maximum(a / x[i], b / y[i]).sum() for i in both)
 
 
 def classes_by_force(texts: dict, threshold=0.8) -> dict:
@@ -53,9 +71,7 @@ def classes_by_force(texts: dict, threshold=0.8) -> dict:
     ids = sorted(texts)
     for a in ids:
         for b in ids:
-            if a < b and own[a] and own[b]:
-                both = len(own[a] & own[b])
-                if both >= threshold * (len(own[a]) + len(own[b]) - both):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
+            if a < b and own[a] and own[b] and probability_jaccard(own[a], own[b]) >= threshold - 1e-12:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
