@@ -33,6 +33,7 @@ from panelstats.llm.minhash import mix64
 MIN_WORDS = 1        # lines without a word are never duplicates
 EDIT_MIN_WORDS = 8   # from this length (of the shorter line) one word may differ
 OTHER_SPACE = "\t\r\x0b\x0c"
+HAS_WORD = r"[^ \t\r\x0B\x0C]"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -219,48 +220,37 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             .filter(F.col("near") | (F.col("__first") != _address())).select("id", "t1", "t2", "no", "near"))
 
 
-def _rebuild(text_at: int, columns: list[str]):
-    """Texts without their removed lines; the batch's last columns are the removed line
-    numbers of copies and of near lines."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, n_lines, n_copies, n_near, left = [], [], [], [], []
-            copies, near = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for t, c, x in zip(batch.column(text_at).to_pylist(), copies, near):
-                lines = [] if t is None else t.split("\n")
-                gone = {*(c or ()), *(x or ())}
-                kept = [line for i, line in enumerate(lines) if i not in gone] if gone else lines
-                text.append(t if not gone else "\n".join(kept))
-                n_lines.append(len(lines))
-                n_copies.append(len(set(c or ())))
-                n_near.append(len(set(x or ())))
-                left.append(not gone or any(len(words_in(line)) >= MIN_WORDS for line in kept))
-            cols = [pa.array(text, pa.string()) if i == text_at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(n_lines, pa.int64()), pa.array(n_copies, pa.int64()), pa.array(n_near, pa.int64()),
-                 pa.array(left, pa.bool_())], names=[*columns, "__lines", "__copies", "__near", "__left"])
-
-    return run
-
-
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with duplicate lines taken out of the texts, plus __lines, __copies, __near
     (numbers of lines, removed copies, removed near lines) and __left (whether a line with a
     word is left: False once all of them have gone).
 
-    NULL and empty texts stay as they are.  Rows of one id share line numbers: a line is not
-    a duplicate of itself, so repeated rows come out alike.  NULL ids count as the latest.
+    NULL and empty texts stay as they are; an empty table gives no rows.  Rows of one id share
+    line numbers: a line is not a duplicate of itself, so repeated rows come out alike.  NULL ids
+    count as the latest.  Texts are rebuilt by column functions: rows stay in the JVM.
     """
     lists = duplicate_lines(docs, id_col=id_col, text_col=text_col).groupBy("id", "t1", "t2").agg(
-        F.collect_list(F.when(~F.col("near"), F.col("no"))).alias("__c"), F.collect_list(F.when(F.col("near"), F.col("no"))).alias("__n"))
+        F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("__c"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("__n"))
     lists = written(lists.select(F.col("id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "__c", "__n"), "removed")
     t1, t2 = _text_keys(F.col(text_col).cast("string"))
     at = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
-    wide = (docs.withColumns({"__k1": t1, "__k2": t2}).join(lists, at, "left")
-            .select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__c", "__n"))
-    fields = ", ".join(f"`{c}` {'string' if c == text_col else kind}" for c, kind in docs.dtypes)
-    return wide.mapInArrow(_rebuild(docs.columns.index(text_col), docs.columns),
-                           f"{fields}, __lines bigint, __copies bigint, __near bigint, __left boolean")
+    wide = docs.withColumns({"__k1": t1, "__k2": t2}).join(lists, at, "left")
+    text, none = F.col(f"`{text_col}`").cast("string"), F.array().cast("array<int>")
+    copies, near = F.coalesce("__c", none), F.coalesce("__n", none)
+
+    def rebuilt(lines: Column) -> Column:
+        # array_except and array_union look numbers up in hash sets, so long texts stay linear
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_union(copies, near))
+        kept = F.transform(rest, lambda i: F.get(lines, i))
+        return F.struct(F.size(lines).cast("long").alias("lines"), F.array_join(kept, "\n").alias("text"),
+                        F.exists(kept, lambda line: line.rlike(HAS_WORD)).alias("left"))
+
+    parts = wide.withColumn("__s", F.when(text.isNotNull() & F.col("__c").isNotNull(), let(F.split(text, "\n"), rebuilt)))
+    return parts.select(
+        *[F.coalesce("__s.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce("__s.lines", F.when(text.isNotNull(), F.size(F.split(text, "\n"))).cast("long"), F.lit(0)).alias("__lines"),
+        F.size(copies).cast("long").alias("__copies"), F.size(near).cast("long").alias("__near"),
+        F.coalesce("__s.left", F.lit(True)).alias("__left"))
 
 
 def drop_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup against brute force; the deletion neighbourhood against edit distance."""
 
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -12,6 +13,13 @@ from cases import awkward_docs, empty_docs
 
 from panelstats.llm import line_dedup as ld
 
+SHORTEST, EDITED_FROM = 1, 8  # words of a line that can be a copy, and that can be a near line
+
+
+def words_of(line):
+    return [w for w in re.split(r"[ \t\r\x0b\x0c]+", line.lower()) if w]
+
+
 WORDS = st.lists(st.sampled_from("abc"), min_size=8, max_size=12)
 
 
@@ -55,24 +63,24 @@ def by_force(rows):
     lines = []
     for doc, text in rows:
         for no, line in enumerate((text or "").split("\n") if text is not None else []):
-            w = ld.words_in(line)
-            if len(w) >= ld.MIN_WORDS:
+            w = words_of(line)
+            if len(w) >= SHORTEST:
                 lines.append(((doc is None, doc or 0, no), tuple(w)))
     first = {}
     for at, w in lines:
         first[w] = min(first.get(w, at), at)
-    near = {w for w in first if len(w) >= ld.EDIT_MIN_WORDS and any(
-        first[v] < first[w] and min(len(v), len(w)) >= ld.EDIT_MIN_WORDS and v != w and abs(len(v) - len(w)) < 2 and one_edit(v, w) for v in first)}
+    near = {w for w in first if len(w) >= EDITED_FROM and any(
+        first[v] < first[w] and min(len(v), len(w)) >= EDITED_FROM and v != w and abs(len(v) - len(w)) < 2 and one_edit(v, w) for v in first)}
     out = []
     for doc, text in rows:
         kept, gone = [], 0
         for no, line in enumerate(text.split("\n")) if text is not None else ():
-            w = tuple(ld.words_in(line))
-            if len(w) >= ld.MIN_WORDS and (w in near or first[w] != (doc is None, doc or 0, no)):
+            w = tuple(words_of(line))
+            if len(w) >= SHORTEST and (w in near or first[w] != (doc is None, doc or 0, no)):
                 gone += 1
             else:
                 kept.append(line)
-        left = not gone or any(len(ld.words_in(x)) >= ld.MIN_WORDS for x in kept)
+        left = not gone or any(len(words_of(x)) >= SHORTEST for x in kept)
         out.append((doc, None if text is None else "\n".join(kept), left))
     return out
 
