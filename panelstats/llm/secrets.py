@@ -4,11 +4,14 @@ Every version of every file is content-addressed (SHA-256 of its text).  The led
 for each (blob, rules version) pair that was ever scanned, what was found; a run scans only
 the blobs whose pair is missing, appends them, and joins the findings back to all paths that
 hold the blob.  Copies, renames and unchanged versions cost a hash, not a scan; a new rules
-version scans everything once.
+version scans everything once.  The version is a digest of the rules themselves, so changed rules
+cannot pass for old ones.  The ledger only grows: runs append, and a run that broke off or ran
+beside another one leaves rows that are right and at worst twice there, which reading evens out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,19 +31,33 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")   # 18 characters or more
 HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 # Further kinds that this operator adds (key blocks and vendors' public token formats).
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+# what a key block may hold: header lines (Proc-Type, DEK-Info, ...), then base64; line ends may be escaped
+PEM_BODY = re.compile(r"(?:\s|\\[nr])*(?:[A-Za-z][A-Za-z0-9-]*: [^\n\\]*(?:\s|\\[nr])+)*(?:[A-Za-z0-9+/=\s]|\\[nr])*")
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----")),
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 )
-MARKS = {"pem": "-----BEGIN ", "github": "gh", "slack": "xox", "jwt": "eyJ"}
+MARKS = {"github": "gh", "slack": "xox", "jwt": "eyJ"}
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-RULES_VERSION = "1"
+RULES_VERSION = hashlib.sha256("\n".join(
+    f"{p.flags} {p.pattern}" for p in (ASSIGN, ACCESS, HEX, PEM_BEGIN, PEM_BODY, KEYWORDS, *(p for _, p in MORE))).encode()
+    + f" {ASSIGN_MIN} {MARKS}".encode()).hexdigest()[:16]
 LEDGER_SCHEMA = ("blob string, n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, "
                  "findings array<struct<kind:string,start:int,end:int>>")
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the private keys in a text, of any length: from a BEGIN mark to the next END
+    mark of the same label, with nothing but header lines and base64 between."""
+    for m in PEM_BEGIN.finditer(text):
+        end = f"-----END {m[1]}-----"
+        at = text.find(end, m.end())
+        if at >= 0 and PEM_BODY.fullmatch(text, m.end(), at):
+            yield m.start(), at + len(end)
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int, int, str]]:
     """(start, order of kind, end, kind) of every span in a whole text; NULL has none."""
     text = text or ""
@@ -51,7 +68,9 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
-    for order, (kind, pattern) in enumerate(MORE, len(BASE_KINDS)):
+    if "-----BEGIN " in text:
+        found += [(start, len(BASE_KINDS), end, "pem") for start, end in key_blocks(text)]
+    for order, (kind, pattern) in enumerate(MORE, len(BASE_KINDS) + 1):
         if MARKS[kind] in text:
             found += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text)]
     found.sort()
@@ -73,39 +92,37 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ledger(spark: SparkSession, ledger: str, version: str = RULES_VERSION) -> DataFrame:
-    """What the ledger has for a rules version; empty before the first run."""
+    """What the ledger has for a rules version, a row per blob; empty before the first run."""
     store, path = filesystem(f"{ledger}/version={version}")
     there = store.get_file_info(path).type.name == "Directory"
-    schema = f"{LEDGER_SCHEMA}, batch string"
-    return spark.read.schema(schema).parquet(f"{ledger}/version={version}") if there else spark.createDataFrame([], schema)
+    if not there:
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{ledger}/version={version}").dropDuplicates(["blob"])
 
 
-def scan_versions(versions: DataFrame, ledger: str, *, batch: str, text_col: str = "text",
-                  version: str = RULES_VERSION) -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: str, *, text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
     """Scan the unseen blobs of ``versions`` into the ledger; return ``versions`` (without the
     text) with blob, n_assign, n_access, n_hex, base, spans and findings.
 
-    ``batch`` names the run: a repeated run replaces its own part of the ledger, whether it
-    broke off or not, so names must differ from run to run.  NULL texts are the empty blob; repeated rows and
-    paths each keep their row; columns of ``versions`` with those names are replaced.
+    NULL texts are the empty blob; repeated rows and paths each keep their row; an empty table
+    scans nothing and gives no rows; columns of ``versions`` with those names are replaced.
     """
     spark = versions.sparkSession
     made = ["blob", "n_assign", "n_access", "n_hex", "base", "spans", "findings"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c != text_col and c not in made],
                             F.sha2(text, 256).alias("blob"), text.alias("__text"))
-    known = read_ledger(spark, ledger, version).filter(F.col("batch") != batch).select("blob")
+    known = read_ledger(spark, ledger, version).select("blob")
     # the partial aggregation keeps one copy of a blob per map task, so a blob that a third of
     # the rows share is shuffled once per task at most
     unseen = (keyed.groupBy("blob").agg(F.first("__text").alias("text")).join(known, "blob", "left_anti"))
-    unseen.mapInArrow(_scan, LEDGER_SCHEMA).write.mode("overwrite").parquet(f"{ledger}/version={version}/batch={batch}")
-    findings = read_ledger(spark, ledger, version).drop("batch")
-    return keyed.drop("__text").join(findings, "blob")
+    unseen.mapInArrow(_scan, LEDGER_SCHEMA).write.mode("append").parquet(f"{ledger}/version={version}")
+    return keyed.drop("__text").join(read_ledger(spark, ledger, version), "blob")
 
 
-def secret_report(docs: DataFrame, ledger: str | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-                  batch: str = "0") -> DataFrame:
-    """Per row: counts per base kind, the hash of the base spans and all spans."""
+def secret_report(docs: DataFrame, ledger: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: counts per base kind, the hash of the base spans and all spans.  Without a
+    ``ledger`` a new one is begun, so every text is scanned."""
     ledger = ledger or shared_dir(docs.sparkSession, "blob-ledger")
-    out = scan_versions(docs.select(id_col, text_col), ledger, batch=batch, text_col=text_col)
+    out = scan_versions(docs.select(id_col, text_col), ledger, text_col=text_col)
     return out.select(id_col, "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.llm.common import with_columns_of, written
+from panelstats.llm.common import written
 
 SAMPLE_ROWS = 20_000     # labelled documents used to fit, at most
 MAX_FEATURES = 4096      # features of the model, at most
@@ -30,9 +30,10 @@ MAX_FEATURES = 4096      # features of the model, at most
 # most of its documents are toxic (lower bound of a 95 % interval of their share).
 MIN_DOCS, MIN_Z, MIN_SHARE, INTERVAL_Z = 5, 5.5, 0.5, 1.96
 GRADES = 3
-REJECT_FROM = 0.5        # P(grade >= 1) from which a document is rejected
+REJECT_FROM = 0.6        # P(grade >= 1) from which a document is rejected
 STEPS, RATE, RIDGE = 400, 0.1, 1e-3
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+REPEATS = (2, 3)         # a beginning that so many words of a document share is a feature of its own
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 500_000    # words whose weight a task remembers
 
@@ -46,12 +47,23 @@ def _distinct_words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def with_repeats(own: Counter) -> Counter:
+    """Counts of a document's features, and a feature for every beginning that two (three) or
+    more of its words share: one such word may be chance, several are a subject."""
+    more = {f"{k}{f}": 1 for f, n in own.items() if f[0] == "^" for k in REPEATS if n >= k}
+    return own + Counter(more)
+
+
+def document_features(text: str | None) -> Counter:
+    return with_repeats(Counter(f for w in _distinct_words(text) for f in word_features(w)))
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per feature, toxic and all, added up per task."""
     for batch in batches:
         toxic, every = Counter(), Counter()
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {f for w in _distinct_words(text) for f in word_features(w)}
+            own = document_features(text).keys()
             every.update(own)
             if label:
                 toxic.update(own)
@@ -62,13 +74,13 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(features: dict[str, int]):
-    """Rows (toxic, feature numbers, values): how many distinct words have each feature."""
+    """Rows (toxic, feature numbers, values): how many distinct words have each feature (1 for
+    repeats)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                own = Counter(features[f] for w in _distinct_words(text) for f in word_features(w) if f in features)
-                rows.append(sorted(own.items()))
+                rows.append(sorted((features[f], n) for f, n in document_features(text).items() if f in features))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())),
                  pa.array([[v for _, v in r] for r in rows], pa.list_(pa.int32()))],
@@ -168,6 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def _score_batches(model: OrdinalModel):
     features = model.weights
+    bases = {f.lstrip("23") for f in features}  # features of words that count towards one of the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}  # whether a word has a feature of the model
@@ -178,12 +191,12 @@ def _score_batches(model: OrdinalModel):
                 for w in _distinct_words(text):
                     hit = known.get(w)
                     if hit is None:
-                        hit = any(f in features for f in word_features(w))
+                        hit = any(f in bases for f in word_features(w))
                         if len(known) < CACHE_WORDS:
                             known[w] = hit
                     if hit:
-                        own.update(f for f in word_features(w) if f in features)
-                scores.append(sum(features[f] * math.log1p(c) for f, c in sorted(own.items())))
+                        own.update(f for f in word_features(w) if f in bases)
+                scores.append(sum(features[f] * math.log1p(c) for f, c in sorted(with_repeats(own).items()) if f in features))
             ps = [model.probabilities(s) for s in scores]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(batch.num_columns) if i != 1],
@@ -209,11 +222,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows, same columns; one pass, no join."""
     model = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
-    out = docs.select("*")
     kept = docs.schema.names
-    # the text goes in twice, once to be read and once to be carried along
-    wide = out.select(F.lit(0).alias("__0"), F.col(f"`{text_col}`").cast("string").alias("__text"),
-                      *[F.col(f"`{c}`") for c in kept])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = wide.mapInArrow(_score_batches(model), f"__0 int, {fields}, __severity double, __p_toxic double")
-    return with_columns_of(scored.filter(F.col("__p_toxic") < REJECT_FROM), docs)
+    # under names of their own, whatever the columns are called; the text goes in twice, once to be
+    # read and once to be carried along
+    wide = docs.select(F.lit(0).alias("s0"), F.col(f"`{text_col}`").cast("string").alias("s1"),
+                       *[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(kept)])
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    scored = wide.mapInArrow(_score_batches(model), f"s0 int, {fields}, __severity double, __p_toxic double")
+    return scored.filter(F.col("__p_toxic") < REJECT_FROM).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)])

@@ -82,3 +82,15 @@ def test_full_filter_stays_exact(spark):
     docs, items = [(1, "a b c d e f g h i j k"), (2, "a b c")], [(1, "b c d e f g h i j k"), (2, "x y")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted(r.n_hit for r in dec.find_hits(d, b, filter_bits=6).collect()) == [0, 10]
+
+
+def test_filter_grows_with_the_benchmark(spark):
+    """The filter's size follows the counted runs, and clean texts leave it unmarked."""
+    assert dec.filter_bits_for(1) == dec.MIN_BITS and dec.filter_bits_for(1 << 40) == dec.MAX_BITS
+    assert dec.filter_bits_for(50_000) == 20
+    rng = random.Random(1)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    items = spark.createDataFrame([(i, text(200)) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text(400)) for i in range(50)] + [(99, items.first().text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_hit for r in dec.find_hits(docs, items).collect()}
+    assert got == {**{i: 0 for i in range(50)}, 99: 200}

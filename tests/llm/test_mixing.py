@@ -28,9 +28,10 @@ def simulate(shares):
     return out
 
 
-@pytest.mark.parametrize("shares", [[1], [5, 3, 2], [7, 1, 1, 1], [50, *[1] * 50], [13, 11, 9, 8, 4, 2, 1]])
+@pytest.mark.parametrize("shares", [[1], [5, 3, 2], [7, 1, 1, 1], [50, *[1] * 50], [13, 11, 9, 8, 4, 2, 1],
+                                    [3] * 700, [1 + (i * 7919) % 23 for i in range(400)]])
 def test_period_equals_simulation(spark, shares):
-    table = spark.createDataFrame([(f"s{j:03d}", 10, q) for j, q in enumerate(shares)], "source string, n long, q int")
+    table = spark.createDataFrame([(f"s{j:04d}", 10, q) for j, q in enumerate(shares)], "source string, n long, q int")
     got = sorted((r.slot, r.j, r.k) for r in mixing.pfair_period(table).collect())
     assert got == simulate(shares)
     done = [0] * len(shares)

@@ -48,19 +48,47 @@ def test_report(spark):
     assert secrets.secret_report(docs).count() == docs.count() and secrets.secret_report(empty_docs(spark)).count() == 0
 
 
+def test_key_blocks_of_any_length_and_kind():
+    body = "\n".join("Ab+/" * 16 for _ in range(2000))  # 130,000 characters
+    long = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    coded = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\nabcd\nEFGH=\n"
+             "-----END RSA PRIVATE KEY-----")
+    escaped = "\"-----BEGIN EC PRIVATE KEY-----\\nabcd\\nEFGH==\\n-----END EC PRIVATE KEY-----\""
+    text = f"x{long} {coded}\n{escaped}"
+    spans = [(s, e) for s, _, e, k in secrets.find_secrets(text) if k == "pem"]
+    assert [text[s:e] for s, e in spans] == [long, coded, escaped[1:-1]]
+    for t in ("-----BEGIN PRIVATE KEY-----\nabc", "-----BEGIN PRIVATE KEY-----\nSee the manual, chapter 4.\n-----END PRIVATE KEY-----",
+              "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END EC PRIVATE KEY-----"):
+        assert not [x for x in secrets.find_secrets(t) if x[3] == "pem"]
+    # a mark without its end does not swallow the block after it
+    spans = [t for t in secrets.find_secrets("-----BEGIN PRIVATE KEY-----\n" + long) if t[3] == "pem"]
+    assert len(spans) == 1 and spans[0][2] - spans[0][0] == len(long)
+
+
 def test_ledger_is_incremental(spark):
     ledger = shared_dir(spark, "test-ledger")
     schema = "path string, rev int, text string"
-    size = lambda v="1": secrets.read_ledger(spark, ledger, v).count()
+    size = lambda v=secrets.RULES_VERSION: secrets.read_ledger(spark, ledger, v).count()
     first = spark.createDataFrame([("a", 1, TEXTS[0]), ("b", 1, TEXTS[0]), ("c", 1, "clean")], schema)
-    out = secrets.scan_versions(first, ledger, batch="1").collect()
+    out = secrets.scan_versions(first, ledger).collect()
     assert sorted((r.path, r.n_assign) for r in out) == [("a", 2), ("b", 2), ("c", 0)] and size() == 2
     later = spark.createDataFrame([("a", 1, TEXTS[0]), ("a", 2, TEXTS[2]), ("d", 2, "clean")], schema)
-    out = secrets.scan_versions(later, ledger, batch="2").collect()
+    out = secrets.scan_versions(later, ledger).collect()
     assert sorted((r.path, r.rev, r.n_assign) for r in out) == [("a", 1, 2), ("a", 2, 1), ("d", 2, 0)] and size() == 3
-    batches = secrets.read_ledger(spark, ledger).groupBy("batch").count().collect()
-    assert {r["batch"]: r["count"] for r in batches} == {"1": 2, "2": 1}
-    secrets.scan_versions(later, ledger, batch="2")  # a repeated run replaces its part
-    assert size() == 3
-    secrets.scan_versions(later, ledger, batch="3", version="2")  # new rules see every blob again
-    assert size("2") == 3 and size() == 3
+    rows = spark.read.parquet(f"{ledger}/version={secrets.RULES_VERSION}").count()
+    assert rows == 3  # two of the first run, one of the second
+    secrets.scan_versions(later, ledger)  # nothing unseen: nothing scanned, nothing forgotten
+    assert spark.read.parquet(f"{ledger}/version={secrets.RULES_VERSION}").count() == 3
+    secrets.secret_report(spark.createDataFrame([(1, "other")], "doc_id long, text string"), ledger)
+    assert size() == 4
+    secrets.scan_versions(later, ledger, version="2")  # new rules see every blob again
+    assert size("2") == 3 and size() == 4
+    # rows that a broken-off or parallel run left twice count once
+    spark.read.parquet(f"{ledger}/version=2").coalesce(1).write.mode("append").parquet(f"{ledger}/version=2")
+    assert len(secrets.scan_versions(later, ledger, version="2").collect()) == 3
+
+
+def test_rules_name_their_version(monkeypatch):
+    import importlib
+    old = secrets.RULES_VERSION
+    assert len(old) == 16 and importlib.reload(secrets).RULES_VERSION == old
