@@ -1,11 +1,17 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are cut into shards by key ranges of about equal bytes (from a histogram, so the
-cuts depend on the records only), sorted within a shard, and written one gzip member each.
-A shard rolls to a new file once its compressed size passes the limit.  Tasks write under
-temporary names that no other attempt uses and return manifest rows; the manifest, not the
-folder, says which attempt counts.  The commit renames the files it lists and then puts the
-manifest in place under its final name, so a reader sees all of an archive or nothing.
+Records are cut into shards by page_id: ids are range-sorted with their bytes, a running sum gives
+every id the bytes before it, and a shard holds the ids of one stretch of SHARD_BYTES, so the cuts
+depend on the records only and follow their distribution, outliers included.  An id that alone
+exceeds a shard (repeated or NULL ids) gets several neighbouring shards, its rows dealt evenly.
+A task writes one shard, sorted, a gzip member per record, and rolls to a new file once the
+compressed size passes the limit.
+
+Tasks write under temporary names that no other attempt uses and return manifest rows; the
+manifest, not the folder, says which attempt counts.  Final names hold a digest of the content, so
+a commit never touches a file of the archive it replaces: it renames the listed files, writes the
+manifest into the archive, puts MANIFEST.json in place, and only then deletes what is no longer
+listed.  A reader sees the old archive or the new one, whole.
 """
 
 from __future__ import annotations
@@ -17,15 +23,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstats.llm.common import broadcast_if_small, filesystem, put_file, shared_dir, written
 
 ROLL_BYTES = 16 << 20      # compressed size from which a shard goes on in a new file
-SHARD_BYTES = 64 << 20     # payload bytes aimed at per shard
-CELLS = 4096               # cells of the key histogram
+SHARD_BYTES = 32 << 20     # payload bytes aimed at per shard
 GZIP_LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"  # records carry no clock, so the same input gives the same bytes
 MANIFEST_SCHEMA = ("shard bigint, seq int, name string, temp string, records bigint, bytes bigint, "
@@ -80,14 +88,14 @@ def _writer(folder: str, roll_bytes: int):
             nonlocal out
             if out is not None:
                 out["file"].close()
-                made.append((out["shard"], out["seq"], out["name"], out["temp"], out["records"], out["bytes"],
-                             out["sha"].hexdigest(), attempt))
+                sha = out["sha"].hexdigest()
+                name = f"part-{out['shard']:08d}-{out['seq']:05d}-{sha[:16]}.warc.gz"
+                made.append((out["shard"], out["seq"], name, out["temp"], out["records"], out["bytes"], sha, attempt))
                 out = None
 
         def open_file(shard: int, seq: int):
-            name = f"part-{shard:08d}-{seq:05d}.warc.gz"
-            temp = f".tmp-{attempt}-{name}"
-            return {"shard": shard, "seq": seq, "name": name, "temp": temp, "records": 0, "bytes": 0,
+            temp = f".tmp-{attempt}-{shard:08d}-{seq:05d}"
+            return {"shard": shard, "seq": seq, "temp": temp, "records": 0, "bytes": 0,
                     "sha": hashlib.sha256(), "file": store.open_output_stream(f"{root}/{temp}", compression=None)}
 
         for batch in batches:
@@ -131,26 +139,59 @@ def _renamer(folder: str):
     return run
 
 
-def shard_plan(records: DataFrame, shard_bytes: int = SHARD_BYTES, cells: int = CELLS) -> list[tuple[int, int, int]]:
-    """(cell, first shard, number of shards) by cumulated bytes of a histogram over page_id.
-
-    At most ``cells`` + 1 rows come to the driver.  Neighbouring cells share a shard until
-    it is full; a cell beyond ``shard_bytes`` alone gets several shards, dealt by payload.
-    """
-    rows = (records.groupBy("__cell").agg(F.sum("__size").alias("b")).orderBy("__cell").collect())
-    plan, shard, filled = [], 0, 0
-    for r in rows:
-        if r["b"] > shard_bytes:
-            shard += filled > 0
-            n = -(-r["b"] // shard_bytes)
-            plan.append((r["__cell"], shard, n))
-            shard, filled = shard + n, 0
-            continue
-        if filled and filled + r["b"] > shard_bytes:
-            shard, filled = shard + 1, 0
-        plan.append((r["__cell"], shard, 1))
-        filled += r["b"]
-    return plan
+def shard_bounds(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(first, last, shard, parts): the least and greatest id of every stretch of ids, its first
+    shard, and how many shards it has.  ``records`` has page_id and __size; NULL ids are a stretch
+    at the front."""
+    sizes = records.groupBy("page_id").agg(F.sum(F.col("__size") + F.lit(256)).alias("b"))  # with headers
+    ranged = written(sizes.repartitionByRange(F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first())
+                     .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "warc-ids")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = ranged.groupBy("part").agg(F.sum("b").alias("pb")).select("part", F.coalesce(F.sum("pb").over(upto), F.lit(0)).alias("offset"))
+    inner = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("b").over(inner), F.lit(0))).join(parts, "part")
+    own = F.col("b") > shard_bytes  # an id of several shards is a stretch of its own
+    placed = placed.select("page_id", "b", own.alias("own"), F.expr(f"(offset + inside) div {int(shard_bytes)}").alias("bucket"))
+    stretch = placed.groupBy("bucket", F.when(F.col("own"), F.col("page_id")).alias("single"), "own", F.col("page_id").isNull().alias("none")).agg(
+        F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.sum("b").alias("b"))
+    stretch = stretch.withColumn("parts", F.when(F.col("own"), F.ceil(F.col("b") / F.lit(shard_bytes))).otherwise(F.lit(1)).cast("long"))
+    order = Window.orderBy(F.desc("none"), "first", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    return written(stretch.select("first", "last", "none", "parts", F.coalesce(F.sum("parts").over(order), F.lit(0)).alias("shard")), "warc-bounds")
+
+
+_BOUNDS: dict[str, tuple] = {}  # bounds that a Python worker has read
+
+
+def _shard_finder(files: list[str]):
+    """A column function: the shard of an id, and the number of shards of its stretch."""
+    key = files[0] if files else ""
+
+    def bounds():
+        if key not in _BOUNDS:
+            tables = []
+            for uri in files:
+                store, path = filesystem(uri)
+                with store.open_input_file(path) as f:
+                    tables.append(pq.read_table(f))
+            t = pa.concat_tables(tables)
+            none, last, shard, parts = (t.column(c).to_numpy(zero_copy_only=False) for c in ("none", "last", "shard", "parts"))
+            none = none.astype(bool)
+            given = np.flatnonzero(~none)
+            given = given[np.argsort(last[given].astype(np.int64), kind="stable")]
+            _BOUNDS.clear()
+            _BOUNDS[key] = (last[given].astype(np.int64), shard[given], parts[given],
+                            (int(shard[none][0]), int(parts[none][0])) if none.any() else (0, 1))
+        return _BOUNDS[key]
+
+    @F.pandas_udf("shard long, parts long")
+    def find(ids: pd.Series) -> pd.DataFrame:
+        last, shard, parts, nowhere = bounds()
+        missing = ids.isna().to_numpy()
+        at = np.minimum(np.searchsorted(last, ids.fillna(0).astype("int64").to_numpy(), side="left"), max(0, len(last) - 1))
+        return pd.DataFrame({"shard": np.where(missing, nowhere[0], shard[at] if len(last) else 0),
+                             "parts": np.where(missing, nowhere[1], parts[at] if len(last) else 1)})
+
+    return find
 
 
 def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES,
@@ -169,38 +210,52 @@ def write_archive(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     records = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                            F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     records = records.withColumn("__sha", F.sha1("payload")).withColumn("__size", F.octet_length("payload").cast("bigint"))
-    ends = records.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // CELLS + 1
-    records = records.withColumn("__cell", F.coalesce(F.expr(f"(page_id - {lo}L) div {width}L"), F.lit(-1)))
     copies = (records.filter(F.col("__size") >= min_revisit_bytes).groupBy("__sha", "__size")
               .agg(F.max("page_id").alias("__top"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
               .select(F.col("__sha").alias("__csha"), F.col("__size").alias("__csize"), "__top"))
     copies = written(copies, "warc-copies")  # one row per payload that occurs twice or more
-    plan = shard_plan(records, shard_bytes)
-    cells = spark.createDataFrame(plan or [(0, 0, 1)], "__pcell bigint, __first bigint, __n bigint")
-    shards = max([f + n for _, f, n in plan], default=1)
+    bounds = shard_bounds(records, shard_bytes)
+    shards = bounds.agg(F.sum("parts").alias("n")).first()["n"] or 1
     revisit = F.col("__top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__top"))
     copies = broadcast_if_small(copies, 64 * copies.count())
-    placed = (records.join(copies, (F.col("__sha") == F.col("__csha")) & (F.col("__size") == F.col("__csize")), "left")
-              .join(broadcast_if_small(cells, 24 * len(plan)), F.col("__cell") == F.col("__pcell"))
+    place = _shard_finder(sorted(bounds.inputFiles()))(F.col("page_id"))
+    placed = (records.withColumn("__place", place)
+              .join(copies, (F.col("__sha") == F.col("__csha")) & (F.col("__size") == F.col("__csize")), "left")
               .select("page_id", "url", "payload", "__sha", F.coalesce(revisit, F.lit(False)).alias("__revisit"),
                       F.when(revisit, F.col("__top")).alias("__refers_to"),
-                      (F.col("__first") + F.pmod(F.conv(F.substring("__sha", 1, 8), 16, 10).cast("bigint"), F.col("__n")))
-                      .alias("__shard")))
-    dealt = (placed.repartition(max(shards, spark.sparkContext.defaultParallelism), "__shard")
+                      # rows of an id of several shards are dealt by their place in the input: they may be equal
+                      (F.col("__place.shard") + F.when(F.col("__place.parts") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__place.parts")))
+                       .otherwise(0)).alias("__shard")))
+    dealt = (placed.repartitionById(shards, F.col("__shard").cast("int"))
              .sortWithinPartitions("__shard", F.col("page_id").asc_nulls_first(), "__sha", "url").drop("__sha"))
     listed = shared_dir(spark, "warc-manifest")
     dealt.mapInArrow(_writer(folder, roll_bytes), MANIFEST_SCHEMA).write.parquet(listed)
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(listed)
     moved = manifest.repartition(max(1, min(shards, 200))).mapInArrow(_renamer(folder), MANIFEST_SCHEMA)
     total = moved.agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
-    for info in store.get_file_info(_all_in(root)):  # what broken attempts have left
-        if info.base_name.startswith(".tmp-"):
-            store.delete_file(info.path)
+    own = f"manifest-{uuid.uuid4().hex}"  # the list lies in the archive, so nothing else has to stay
+    manifest.drop("temp", "attempt").coalesce(1).write.parquet(f"{folder}/{own}")
     put_file(f"{folder}/MANIFEST.json", json.dumps(
-        {"files": total["files"], "records": total["records"] or 0, "bytes": total["bytes"] or 0, "list": listed}).encode())
-    return manifest.drop("temp", "attempt")
+        {"files": total["files"], "records": total["records"] or 0, "bytes": total["bytes"] or 0, "list": own}).encode())
+    _clear(spark, folder, own)
+    return spark.read.parquet(f"{folder}/{own}")
+
+
+def _clear(spark: SparkSession, folder: str, own: str) -> None:
+    """Delete what the manifest does not list: files of the archive before, and of broken attempts.
+    The files of the folder are compared by a join; the driver deletes names, batch by batch."""
+    store, root = filesystem(folder)
+    there = []
+    for info in store.get_file_info(_all_in(root)):
+        if info.type.name == "Directory":
+            if info.base_name.startswith("manifest-") and info.base_name != own:
+                store.delete_dir(info.path)
+        elif info.base_name.startswith((".tmp-", "part-")):
+            there.append((info.base_name,))
+    if there:
+        names = spark.createDataFrame(there, "name string")
+        for r in names.join(spark.read.parquet(f"{folder}/{own}").select("name"), "name", "left_anti").toLocalIterator():
+            store.delete_file(f"{root}/{r['name']}")
 
 
 def _all_in(root: str):
@@ -272,8 +327,8 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
     store, root = filesystem(folder)
     with store.open_input_stream(f"{root}/MANIFEST.json") as f:
         done = json.loads(f.read())
-    files = spark.read.schema(MANIFEST_SCHEMA).parquet(done["list"]).select("name", "shard")
-    spread = files.repartition(max(1, min(done["files"], 10_000)), "name").select("name")
+    files = spark.read.parquet(f"{folder}/{done['list']}").select("name")
+    spread = files.repartition(max(1, min(done["files"], 10_000)), "name")
     return spread.mapInArrow(_reader(folder, with_payload), RECORD_SCHEMA)
 
 
