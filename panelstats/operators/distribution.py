@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstats.functions.repair import nan_to_null
-from panelstats.operators.ranking import quantile_columns, value_positions
+from panelstats.operators.ranking import selected_quantiles
 from panelstats.session import maybe_broadcast, small_table, written
 
 _BOX = [(0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")]
@@ -24,9 +24,9 @@ def _box_input(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[str]
     return src
 
 
-def _fences(positions: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
+def _fences(src: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
     """Per group: n, min, quartiles, max and the whisker fences."""
-    q = quantile_columns(positions, by, [p for p, _ in _BOX])
+    q = selected_quantiles(src, by, "_v", [p for p, _ in _BOX])
     stats = q.select(*by, F.col("group_n").alias("n"), *[F.col(f"_q{i}").alias(name) for i, (_, name) in enumerate(_BOX)])
     iqr = F.col("q3") - F.col("q1")
     return stats.select("*", iqr.alias("iqr"), (F.col("q1") - F.lit(whis) * iqr).alias("lower_fence"),
@@ -36,22 +36,22 @@ def _fences(positions: DataFrame, by: Sequence[str], whis: float) -> DataFrame:
 def box_stats(df: DataFrame, by: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
     """Box-plot statistics of ``value`` per group.
 
-    Everything comes from one table of (group, value, count), the only shuffle of raw rows;
-    a group that holds most rows is spread by its values.  Quartiles are exact, interpolated
+    The (group, value) input is stored once; quartiles are selected from it without sorting, and
+    the whiskers are one partial aggregate over it.  Quartiles are exact, interpolated
     at ``(n-1)p`` (seaborn/matplotlib).  Whiskers are the most extreme values inside
     ``[q1 - whis*iqr, q3 + whis*iqr]``.  One row per group with values: ``n min q1 median q3
     max iqr lower_fence upper_fence whisker_low whisker_high n_outliers``.
     """
     by = list(by)
-    positions = written(value_positions(_box_input(df, by, value), by, "_v"), "positions")
-    fences, small = small_table(_fences(positions, by, whis))
+    src = written(_box_input(df, by, value), "box-input")
+    fences, small = small_table(_fences(src, by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
     inside = (F.col("_v") >= F.col("lower_fence")) & (F.col("_v") <= F.col("upper_fence"))
-    whiskers = (positions.join(maybe_broadcast(f, small), by, "inner")
+    whiskers = (src.join(maybe_broadcast(f, small), by, "inner")
                 .groupBy(*by)
                 .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
                      F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-                     F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers")))
+                     F.sum(F.when(~inside, 1).otherwise(0)).alias("n_outliers")))
     out = fences.join(whiskers, by, "left")
     return out.select(*by, F.col("n").cast("long").alias("n"), "min", "q1", "median", "q3", "max",
                       "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high",
@@ -62,8 +62,8 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[st
                  whis: float = 1.5) -> DataFrame:
     """Every row outside its group's fences, with the fences and the side."""
     by = list(by)
-    src = _box_input(df, by, value, keep)
-    fences, small = small_table(_fences(value_positions(src.select(*by, "_v"), by, "_v"), by, whis))
+    src = written(_box_input(df, by, value, keep), "box-input")
+    fences, small = small_table(_fences(src, by, whis))
     f = fences.select(*by, "lower_fence", "upper_fence")
     rows = src.join(maybe_broadcast(f, small), by, "inner")
     side = F.when(F.col("_v") < F.col("lower_fence"), F.lit("low")).when(

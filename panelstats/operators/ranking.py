@@ -5,7 +5,14 @@ splits, folds and box statistics).  One plan and one formula at every size.
 row's position in its group is the number of the group's rows in earlier cells (a prefix sum
 over one count per cell) plus its place in its own cell.  Only cells are sorted.
 
-*Quantiles.*  Rows are first counted per (group, value), so equal values are one row however
+*Quantiles by selection* (:func:`selected_quantiles`).  Values are never sorted: a group's range is
+cut into buckets, rows are counted per (group, bucket) with partial aggregates, and only the buckets
+that hold a wanted rank are cut again, by their own least and greatest values.  A bucket of one
+value is done; when few rows are left, their places are counted.  What is shuffled is bounded by
+groups x buckets and the rows of wanted buckets.
+
+*Positions of all values* (:func:`value_positions`), the way for so many groups that their ranges
+are no small table.  Rows are first counted per (group, value), so equal values are one row however
 many there are.  The counts are range-partitioned on (group, value) and written, each row
 with its partition's number; a prefix sum over one total per (partition, group) and a running
 sum within a partition give every value's last position in its group.
@@ -20,10 +27,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstats.session import written
+from panelstats.session import small_table, written
 
 # Hexadecimal digits of the hash that name a cell: 16 ** 4 cells per group.
 CELL_DIGITS = 4
+# Buckets that a range is cut into, and the rows that may be left for counting places.
+BUCKETS = 4096
+PLACE_ROWS = 1 << 20
 
 
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -85,11 +95,70 @@ def quantile_columns(positions: DataFrame, group_cols: Sequence[str], probs: Seq
     return positions.groupBy(*group_cols).agg(*aggs).select(*group_cols, "group_n", *cols)
 
 
+def selected_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
+                       buckets: int = BUCKETS, place_rows: int = PLACE_ROWS) -> DataFrame:
+    """The same columns as :func:`quantile_columns`, by selection.
+
+    ``df`` is read a few times, so it should be a stored table.  NULL and NaN values are ignored;
+    NULL group values form a group of their own.
+    """
+    group_cols, names = list(group_cols), [f"_g{i}" for i in range(len(group_cols))]
+    v = F.col(value_col).cast("double")
+    rows = df.select(*[F.col(g).alias(n) for g, n in zip(group_cols, names)], v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # 0.0 for a negative zero: equal values have one place
+    rows = rows.withColumn("_v", F.when(F.col("_v") == 0, F.lit(0.0)).otherwise(F.col("_v")))
+    groups, small = small_table(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("group_n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    if not small:
+        return quantile_columns(value_positions(df, group_cols, value_col), group_cols, probs)
+    places = [((F.col("group_n") - 1) * F.lit(float(p))) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(at).cast("long") + 1 for at in places for f in (F.floor, F.ceil)]))
+    # nodes: disjoint ranges of a group, with the rows before and in them and the ranks wanted of them
+    nodes = groups.select(*names, F.lit(0).cast("long").alias("before"), F.col("group_n").alias("n"), "lo", "hi", ranks.alias("ranks"))
+    # hi > lo never gives a zero width; halves keep the width of an extreme range finite
+    width = F.col("hi") - F.col("lo")
+    share = F.when(width == float("inf"), (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(
+        (F.col("_v") - F.col("lo")) / width)
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))).otherwise(0)
+    found = []
+    while True:
+        found.append(nodes.where("lo = hi").select(*names, F.explode("ranks").alias("rank"), F.col("lo").alias("at")))
+        open_nodes = nodes.where("lo < hi")
+        left = open_nodes.agg(F.sum("n")).first()[0] or 0
+        if not left:
+            break
+        mine = [F.col(f"_o{i}") for i in range(len(names))]
+        side = open_nodes.select(*[F.col(n).alias(f"_o{i}") for i, n in enumerate(names)], "before", "lo", "hi", "ranks")
+        here = reduce(and_, [F.col(n).eqNullSafe(m) for n, m in zip(names, mine)], F.lit(True)) & F.col("_v").between(F.col("lo"), F.col("hi"))
+        inside = rows.join(F.broadcast(side), here)
+        if left <= place_rows:
+            place = Window.partitionBy(*names, "lo").orderBy("_v")
+            placed = inside.withColumn("rank", F.col("before") + F.row_number().over(place)).where(F.array_contains("ranks", F.col("rank")))
+            found.append(placed.select(*names, "rank", F.col("_v").alias("at")))
+            break
+        cut = inside.groupBy(*names, F.col("lo").alias("node"), "before", "ranks", bucket.alias("bucket")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = Window.partitionBy(*names, "node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn(
+            "ranks", F.filter("ranks", lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("n")))).where(F.size("ranks") > 0)
+        nodes = written(cut.select(*names, "before", "n", "lo", "hi", "ranks"), "wanted-ranges")  # at most two per group and probability
+    at_rank = written(reduce(DataFrame.unionByName, found), "ranks").join(
+        F.broadcast(groups.select(*[F.col(n).alias(f"_o{i}") for i, n in enumerate(names)], "group_n")),
+        reduce(and_, [F.col(n).eqNullSafe(F.col(f"_o{i}")) for i, n in enumerate(names)], F.lit(True)))
+    aggs, cols = [F.max("group_n").alias("group_n")], []
+    for i, p in enumerate(probs):
+        at = (F.col("group_n") - 1) * F.lit(float(p))
+        for f, end in ((F.floor, "lo"), (F.ceil, "hi")):
+            aggs.append(F.max(F.when(F.col("rank") == f(at).cast("long") + 1, F.col("at"))).alias(f"_{end}{i}"))
+        cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(f"_q{i}"))
+    out = at_rank.groupBy(*names).agg(*aggs)
+    return out.select(*[F.col(n).alias(g) for n, g in zip(names, group_cols)], "group_n", *cols)
+
+
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float],
                     prob_col: str = "p", out_col: str = "value") -> DataFrame:
     """Exact quantiles per group, one row per group and probability, with the group's value
     count ``group_n``; groups without values are absent.  ``p = 0`` and ``p = 1`` give the
     minimum and maximum."""
-    wide = quantile_columns(value_positions(df, group_cols, value_col), group_cols, probs)
+    wide = selected_quantiles(df, group_cols, value_col, probs)
     cells = F.array(*[F.struct(F.lit(float(p)).alias(prob_col), F.col(f"_q{i}").alias(out_col)) for i, p in enumerate(probs)])
     return wide.select(*group_cols, "group_n", F.explode(cells).alias("_z")).select(*group_cols, "_z.*", "group_n")

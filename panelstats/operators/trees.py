@@ -1,11 +1,12 @@
-"""Structure of fitted ``spark.ml`` trees: node tables, leaf paths and readable rules.
+"""Structure of fitted trees: node tables, root paths and readable rules.
 
-A fitted tree model is written with its own ``write().save`` to the shared folder and its
-node table read back with ``spark.read.parquet`` (the documented persistence layout:
+A fitted ``spark.ml`` tree model is written with its own ``write().save`` to the shared folder and
+its node table read back with ``spark.read.parquet`` (the documented persistence layout:
 one row per node with ``id``, ``prediction``, ``impurityStats``, ``rawCount``,
-``leftChild``, ``rightChild`` and ``split``; ensembles add ``treeID``).  The table is
-model-sized (trees x nodes), so walking it on the driver is cheap and independent of the
-data size.
+``leftChild``, ``rightChild`` and ``split``; ensembles add ``treeID``).  Root paths come from
+pointer doubling: every node knows an ancestor and the conditions up to it, and each round
+joins it with that ancestor, so the rounds are the logarithm of the depth and neither trees nor
+paths pass through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstats.session import shared_path
+from panelstats.session import shared_path, written
 
 
 _NODES: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
@@ -42,7 +43,9 @@ def node_table(spark: SparkSession, tree_model) -> pd.DataFrame:
     return nodes
 
 
-def _read_nodes(spark: SparkSession, tree_model) -> pd.DataFrame:
+def node_rows(spark: SparkSession, tree_model) -> DataFrame:
+    """(treeID, id, prediction, impurity, impurityStats, rawCount, leftChild, rightChild, feature,
+    threshold, numCategories) of a fitted tree or ensemble."""
     path = shared_path(spark, "models", "tree_nodes")
     tree_model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -53,7 +56,11 @@ def _read_nodes(spark: SparkSession, tree_model) -> pd.DataFrame:
     return data.select("treeID", "id", "prediction", "impurity", "impurityStats", "rawCount",
                        "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
                        F.col("split.leftCategoriesOrThreshold").alias("threshold"),
-                       F.col("split.numCategories").alias("numCategories")).toPandas()
+                       F.col("split.numCategories").alias("numCategories"))
+
+
+def _read_nodes(spark: SparkSession, tree_model) -> pd.DataFrame:
+    return node_rows(spark, tree_model).toPandas()
 
 
 def _cover(node: dict, regression: bool) -> float:
@@ -113,14 +120,44 @@ def leaves(nodes: pd.DataFrame, weights: Sequence[float] | None = None, scale: f
     return out
 
 
+def root_paths(edges: DataFrame) -> DataFrame:
+    """(tree, node, conditions) for every node of ``edges`` (tree, node, parent, condition; the
+    root's parent is NULL): the conditions from the root down, by pointer doubling."""
+    state = written(edges.select("tree", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.array().cast("array<string>"))
+                                 .otherwise(F.array("condition")).alias("conditions")), "tree-paths")
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("conditions").alias("before"))
+        state = written(state.join(above, ["tree", "up"], "left").select(
+            "tree", "node", F.col("further").alias("up"), F.concat(F.coalesce("before", F.array().cast("array<string>")), "conditions").alias("conditions")),
+            "tree-paths")
+    return state.select("tree", "node", "conditions")
+
+
+def tree_nodes(spark: SparkSession, tree_model, features: Sequence[str]) -> DataFrame:
+    """Every node of a fitted classification tree or ensemble, as a drawn tree shows it: ``(tree,
+    node, depth, rule, is_leaf, feature, threshold, impurity, rows, class_rows, prediction)``;
+    the rule is the conditions on the way from the root, joined by AND."""
+    nodes = written(node_rows(spark, tree_model), "tree-nodes")
+    names = F.array(*[F.lit(f) for f in features])
+    name = F.get(names, F.col("feature"))
+    limit = F.get("threshold", F.lit(0))
+    inner = nodes.where("leftChild >= 0")
+    # thresholds with all their digits, so that a rule sends every row where the tree does
+    sides = inner.select(F.col("treeID").alias("tree"), F.col("id").alias("parent"), F.explode(F.array(
+        F.struct(F.col("leftChild").alias("node"), F.concat(name, F.lit(" <= "), limit.cast("string"), F.lit("D")).alias("condition")),
+        F.struct(F.col("rightChild").alias("node"), F.concat(name, F.lit(" > "), limit.cast("string"), F.lit("D")).alias("condition")))).alias("e")
+    ).select("tree", "parent", "e.*")
+    roots = nodes.select(F.col("treeID").alias("tree"), F.col("id").alias("node")).join(sides.select("tree", "node"), ["tree", "node"], "left_anti")
+    edges = sides.unionByName(roots.withColumns({"parent": F.lit(None).cast("int"), "condition": F.lit(None).cast("string")}))
+    paths = root_paths(edges)
+    is_leaf = F.col("leftChild") < 0
+    return nodes.join(paths, (nodes["treeID"] == paths["tree"]) & (nodes["id"] == paths["node"])).select(
+        "tree", "node", F.size("conditions").alias("depth"), F.when(F.size("conditions") > 0, F.array_join("conditions", " AND ")).otherwise("TRUE").alias("rule"),
+        is_leaf.alias("is_leaf"), F.when(~is_leaf, name).alias("feature"), F.when(~is_leaf, limit).alias("threshold"), "impurity",
+        F.col("rawCount").alias("rows"), F.transform("impurityStats", lambda x: x.cast("long")).alias("class_rows"), "prediction")
+
+
 def tree_rules(spark: SparkSession, tree_model, features: Sequence[str]) -> DataFrame:
-    """One row per leaf: ``(tree, leaf, rule, prediction, rows, impurity)``; the rule is
-    the path's conditions joined by AND, as a drawn tree shows them (M18)."""
-    nodes = node_table(spark, tree_model)
-    ls = leaves(nodes, regression=False)
-    pred = {(int(r.treeID), int(r.id)): float(r.prediction) for r in nodes.itertuples()}
-    rows = [(lf.tree, lf.node,
-             " AND ".join(f"{features[f]} {op} {thr:.6g}" for f, op, thr in lf.conditions) or "TRUE",
-             pred[(lf.tree, lf.node)], lf.rows, lf.impurity) for lf in ls]
-    return spark.createDataFrame(rows, "tree int, leaf int, rule string, prediction double, rows long, "
-                                       "impurity double").orderBy("tree", "leaf")
+    """One row per leaf: ``(tree, leaf, rule, prediction, rows, impurity)``."""
+    return tree_nodes(spark, tree_model, features).where("is_leaf").select(
+        "tree", F.col("node").alias("leaf"), "rule", "prediction", "rows", "impurity").orderBy("tree", "leaf")

@@ -17,13 +17,14 @@ from panelstats.functions.labels import binary_label, ordinal_label
 from panelstats.functions.repair import repair_date_score, was_date_repaired
 from panelstats.functions.scalar import sigmoid
 from panelstats.operators import agreement, attribution, distribution, metrics, missing, sampling
-from panelstats.operators.columns import drop_matching, select_scores
-from panelstats.operators.joins import join_label, join_on, join_with_suffixes
+from panelstats.operators.columns import columns_at, drop_matching, select_scores, stat_columns
+from panelstats.operators.joins import fan_out_join, join_label, join_on, join_with_suffixes
 from panelstats.operators.profile import (class_distribution, distinct_rows, feature_ranges,
                                           first_row, mode_fill, mode_first_seen, profile)
 from panelstats.plans import fixtures as fx
 from panelstats.plans.fixtures import SCORES, round_doubles
 from panelstats.session import shared_path, written
+from panelstats.sources.sheets import read_sheets, write_sheets
 from panelstats.sources.scan import column_profile, read_table, typed_scores, write_table
 from panelstats.workflows import rater_sd_over_time, training_table
 
@@ -81,6 +82,24 @@ def drop_by_pattern(spark, sf):
                          ["min", "max", "l_tax"])
 
 
+def keep_stat_columns(spark, sf):
+    """The mean of every score but those of a name pattern (P3), from the wide profile."""
+    p = _profile(spark, sf, ("mean", "min", "max", "max_min_diff"))
+    return p.select("point_id", *stat_columns(SCORES, "mean", ["tax"]))
+
+
+def select_positions(spark, sf):
+    """Columns by their place, counted from 1 (P5): the name and the date of every row."""
+    li = fx.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_shipdate", "l_linenumber")
+    return li.select(*columns_at(li, [1, 3]))
+
+
+def class_table_csv(spark, sf):
+    """The class and position table as a CSV export read with its schema."""
+    path = write_table(fx.classes(spark, sf), shared_path(spark, "tables", "classes_csv"), fmt="csv", header=True)
+    return round_doubles(read_table(spark, path, "point_id long, class string, status string, lat double, lon double", fmt="csv"))
+
+
 def head_n(spark, sf):
     return _profile(spark, sf).orderBy("point_id").limit(10)
 
@@ -95,6 +114,15 @@ def scan_csv(spark, sf):
     return typed_scores(read_table(spark, path, schema, fmt="csv"), SCORES, repair_dates=True)
 
 
+def scan_sheets(spark, sf):
+    """The same through spreadsheet files: written as workbooks, read back as text cells, repaired."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[
+        _damaged(c).alias(c) if c == "l_quantity" else F.col(c) for c in SCORES])
+    back = read_sheets(spark, write_sheets(li, shared_path(spark, "tables", "sheets")))
+    typed = typed_scores(back, SCORES, repair_dates=True)
+    return typed.withColumns({"l_orderkey": F.col("l_orderkey").cast("long"), "l_linenumber": F.col("l_linenumber").cast("int")})
+
+
 def write_roundtrip(spark, sf):
     path = write_table(_typed_lineitem(spark, sf), shared_path(spark, "tables", "typed_lineitem"))
     return read_table(spark, path)
@@ -246,7 +274,7 @@ def join_fanout(spark, sf):
     """Joined on the name alone, which several ids share on both sides."""
     prof = _profile(spark, sf, keys=("point_id", "point"), src=fx.named_assessments(spark, sf)).drop("point_id")
     ids = distinct_rows(fx.named_classes(spark, sf), ["point", "point_id", "class"])
-    return join_on(prof, ids, ["point"], "inner")
+    return fan_out_join(written(prof, "profile"), written(ids, "ids"), ["point"])
 
 
 def join_first_visit(spark, sf):
@@ -382,9 +410,13 @@ def attribution_summary(spark, sf):
 SQL_CHECKED: dict[str, Query] = {
     "scan_typed": scan_typed,
     "scan_csv": scan_csv,
+    "scan_sheets": scan_sheets,
     "profile_columns": profile_columns,
     "select_scores": select_scores_q,
     "drop_by_pattern": drop_by_pattern,
+    "keep_stat_columns": keep_stat_columns,
+    "select_positions": select_positions,
+    "class_table_csv": class_table_csv,
     "head_n": head_n,
     "write_roundtrip": write_roundtrip,
     "repair_date_scores": repair_date_scores,

@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstats import constants as K
 from panelstats.functions.labels import ordinal_label, prediction_text
-from panelstats.operators import attribution, boosting, distribution, metrics, model, sampling, thematic, treeshap, trees
+from panelstats.operators import attribution, boosting, distribution, metrics, model, sampling, serving, thematic, treeshap, trees
 from panelstats.operators.boosting import Params
 from panelstats.operators.profile import feature_ranges
 from panelstats.plans import fixtures as fx
-from panelstats.plans.catalog import MEANS, _scored_classes, training_table_q
+from panelstats.plans.catalog import MEANS, _damaged, _scored_classes, training_table_q
 from panelstats.plans.fixtures import round_doubles
+from panelstats.functions.repair import repair_date_score
+from panelstats.sources.scan import write_table
 from panelstats.session import checkpoint_root, conf_int, shared_path, spread_rows, written
 
 BOOSTED_FEATURES = MEANS                                     # the four mean scores
@@ -218,6 +221,36 @@ def model_roundtrip(spark, sf):
     return round_doubles(boosting.score(again, points, ["point_id", "label"]))
 
 
+def _damaged_assessments(spark, sf) -> DataFrame:
+    """The assessments as a sheet has them: text, some quantities turned into dates."""
+    return fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point_id"), *[
+        _damaged(s).alias(s) if s == "l_quantity" else F.col(s).cast("string").alias(s) for s in fx.SCORES])
+
+
+def raw_scoring(spark, sf):
+    """Raw assessments scored by a pipeline that was saved and loaded whole: repair, profile, class
+    join and booster."""
+    _, m = _binary(spark, sf)
+    classes = write_table(fx.classes(spark, sf).select("point_id", "class"), shared_path(spark, "tables", "classes"))
+    stages = [serving.ScoreRepair(scoreCols=fx.SCORES, repairDates=True),
+              serving.PointProfile(keyCols=["point_id"], scoreCols=fx.SCORES, stats=["mean"]),
+              serving.ClassJoin(path=classes, keyCols=["point_id"], classCols=["class"], how="inner"),
+              serving.BoostedScorer(m, ["point_id", "class"])]
+    path = shared_path(spark, "models", "raw")
+    PipelineModel(stages=stages).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(_damaged_assessments(spark, sf))
+
+
+def raw_scoring_check(spark, sf):
+    """Every point's score from its raw rows against the model applied to a profile by plain
+    aggregates of the repaired cells."""
+    _, m = _binary(spark, sf)
+    plain = _damaged_assessments(spark, sf).groupBy("point_id").agg(*[F.avg(repair_date_score(s)).alias(f"{s}_mean") for s in fx.SCORES])
+    want = boosting.score(m, plain, ["point_id"]).select("point_id", F.col("prediction").alias("p"), F.col("probability").alias("q"))
+    return raw_scoring(spark, sf).join(want, "point_id").select(
+        "point_id", "class", ((F.col("prediction") == F.col("p")) & (F.abs(F.col("probability") - F.col("q")) < 1e-9)).alias("same"))
+
+
 def feature_importance(spark, sf):
     """Shares of gain, cover and splits per feature of the booster."""
     _, m = _binary(spark, sf)
@@ -234,6 +267,13 @@ def tree_rules(spark, sf):
     return rules.withColumn("prediction_class", F.element_at(names, F.col("prediction").cast("int") + 1))
 
 
+def tree_nodes(spark, sf):
+    """Every node of the decision tree with its gini impurity and class counts (the drawn tree)."""
+    train, _ = _split(_points(spark, sf), "ordinal")
+    m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
+    return round_doubles(trees.tree_nodes(spark, m.stages[-1], TREE_FEATURES))
+
+
 def attribute_points(spark, sf):
     points, m = _binary(spark, sf)
     return treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES)
@@ -330,6 +370,13 @@ def planted_search(spark, sf):
                      (F.max(F.when(best, F.col("mean_f1"))) == F.max("mean_f1")).alias("is_highest"))
 
 
+def planted_grid(spark, sf):
+    """A grid of several points (R4) searched on the planted label."""
+    grid = boosting.parameter_grid({"max_depth": [3, 5], "learning_rate": [0.3, 0.5], "reg_alpha": [0.0, 0.1]})
+    _, table, _ = boosting.search(_planted(spark, sf), BOOSTED_FEATURES, "planted", "fold", FOLDS, grid, 8, K.SEARCH_SEED)
+    return table.select("candidate", "max_depth", "learning_rate", "reg_alpha", (F.col("mean_f1") >= 0.95).alias("found"))
+
+
 def planted_importance(spark, sf):
     """The features that hold 95 % of the gain."""
     r = boosting.importance(_planted_model(spark, sf), spark)
@@ -345,7 +392,8 @@ def planted_map(spark, sf):
         "point_id", "status", "prediction", "prediction_class", F.concat_ws(",", F.col("color").cast("array<string>")).alias("color"))
 
 
-PLANTED_QUERIES = {f.__name__: f for f in (planted_folds, planted_softmax, planted_tree, planted_search, planted_importance, planted_map)}
+PLANTED_QUERIES = {f.__name__: f for f in (planted_folds, planted_softmax, planted_tree, planted_search, planted_grid,
+                                               planted_importance, planted_map)}
 
 
 # ---------------------------------------------------------------- what SQL can compute of each
@@ -431,6 +479,24 @@ def tree_rules_check(spark, sf):
     return points.select("point_id", met.alias("rules_met"))
 
 
+def tree_nodes_check(spark, sf):
+    """Rows and classes of every node, counted again by its rule over the training points, and
+    the impurity from them."""
+    train, _ = _split(_points(spark, sf), "ordinal")
+    m = model.fit_tree(train, TREE_FEATURES, "ordinal", max_depth=K.TREE_DEPTH, seed=K.TREE_SEED)
+    nodes = trees.tree_nodes(spark, m.stages[-1], TREE_FEATURES).collect()  # at most 31 nodes
+    classes = range(len(fx.PRIORITY_ORDER))
+    counted = train.agg(*[F.count_if(F.expr(n["rule"]) & (F.col("ordinal") == c)).alias(f"n{i}_{c}") for i, n in enumerate(nodes) for c in classes],
+                        F.count(F.lit(1)).alias("n_train")).first()  # one row
+    good = 0
+    for i, n in enumerate(nodes):
+        own = [counted[f"n{i}_{c}"] for c in classes]
+        gini = 1 - sum((x / sum(own)) ** 2 for x in own)
+        good += own == n["class_rows"] and sum(own) == n["rows"] and abs(gini - n["impurity"]) < 1e-9
+    return spark.createDataFrame([(good == len(nodes) > 1, sum(n["rows"] for n in nodes if n["depth"] == 0), sum(n["rows"] for n in nodes if n["is_leaf"]))],
+                                 "agrees boolean, root_rows long, leaf_rows long")
+
+
 def attribute_points_check(spark, sf):
     points, m = _binary(spark, sf)
     return _exactness(m, points, treeshap.attribute(m, points, "point_id", BOOSTED_FEATURES))
@@ -460,7 +526,7 @@ def tune_boosted_check(spark, sf):
 
 MODEL_CHECKS = {f.__name__: f for f in (
     tree_multiclass_check, boosted_binary_check, boosted_multiclass_check, cv_accuracy_check, score_points_check,
-    score_rows_check, explain_rows_check, model_roundtrip_check, feature_importance_check, tree_rules_check,
+    score_rows_check, explain_rows_check, model_roundtrip_check, raw_scoring_check, feature_importance_check, tree_rules_check, tree_nodes_check,
     attribute_points_check, attribution_ranking_check, thematic_points_check, box_by_prediction_check, tune_boosted_check)}
 MODEL_CHECKS["missing_attribution"] = missing_attribution
 
@@ -474,8 +540,10 @@ MODEL_QUERIES = {
     "score_rows": score_rows,
     "explain_rows": explain_rows,
     "model_roundtrip": model_roundtrip,
+    "raw_scoring": raw_scoring,
     "feature_importance": feature_importance,
     "tree_rules": tree_rules,
+    "tree_nodes": tree_nodes,
     "attribute_points": attribute_points,
     "thematic_points": thematic_points,
     "box_by_prediction": box_by_prediction,

@@ -316,8 +316,12 @@ ORACLE: dict[str, str] = {
     "profile_columns": PROFILE_COLUMNS,
     "select_scores": "SELECT " + ", ".join(SC) + " FROM lineitem",
     "drop_by_pattern": with_(ASSESS, profile_cte("p", ["mean"], cols=SC[:3])) + "SELECT * FROM p",
+    "keep_stat_columns": _p(["mean"]).replace("SELECT * FROM p", "SELECT point_id, l_quantity_mean, l_extendedprice_mean, l_discount_mean FROM p"),
+    "select_positions": "SELECT l_returnflag, l_shipdate FROM lineitem",
+    "class_table_csv": with_(CLASSES) + f"SELECT point_id, class, status, {R('lat')} AS lat, {R('lon')} AS lon FROM classes",
     "head_n": _p(["mean"]) + " ORDER BY point_id LIMIT 10",
     "scan_csv": SCAN_CSV,
+    "scan_sheets": SCAN_CSV,
     "write_roundtrip": TYPED,
     "repair_date_scores": REPAIR,
     "rows_any_null": with_(NULLS) + f"SELECT * FROM nl WHERE {_any_null}",
@@ -440,9 +444,12 @@ ORACLE |= {
     "score_points_check": _each_point.format(what="class, label, true AS fits"),
     "score_rows_check": _FORM,
     "explain_rows_check": "SELECT c AS \"case\", true AS ends_at_probability FROM (VALUES ('min'), ('mean'), ('max')) v(c)",
+    "raw_scoring_check": _each_point.format(what="class, true AS same"),
     "model_roundtrip_check": _each_point.format(what="true AS same"),
     "feature_importance_check": " UNION ALL ".join(f"SELECT {_q(m)} AS feature, true AS adds_up" for m in MEANS),
     "tree_rules_check": _each_point.format(what="CAST(1 AS INTEGER) AS rules_met"),
+    "tree_nodes_check": with_(*POINTS, f"t AS (SELECT CAST(COUNT(*) - CEIL(CAST({K.TEST_SHARE} AS DOUBLE) * COUNT(*)) AS BIGINT) AS n FROM pts)")
+    + "SELECT true AS agrees, n AS root_rows, n AS leaf_rows FROM t",
     "attribute_points_check": _exact,
     "missing_attribution": _each_point.format(what="CAST(4 AS BIGINT) AS features, true AS exact, true AS learned"),
     "attribution_ranking_check": with_(*POINTS) + " UNION ALL ".join(
@@ -467,6 +474,9 @@ ORACLE |= {
                                          "FROM asked WHERE ABS(tens - ROUND(tens)) * 10.0::DOUBLE > 0.7::DOUBLE"),
     "planted_tree": with_(*_ASKED) + f"SELECT point_id, CAST(planted AS INTEGER) AS prediction FROM asked {_CLEAR.format(q=2.5, d=0.01)}",
     "planted_search": (f"SELECT CAST({K.SEARCH_CANDIDATES} AS BIGINT) AS candidates, CAST(1 AS BIGINT) AS best, true AS found, true AS is_highest"),
+    "planted_grid": ("SELECT CAST(row_number() OVER (ORDER BY d, e, a) - 1 AS INTEGER) AS candidate, CAST(d AS INTEGER) AS max_depth, e AS learning_rate, "
+                     "a AS reg_alpha, true AS found FROM (VALUES (3), (5)) x(d), (VALUES (0.3::DOUBLE), (0.5::DOUBLE)) y(e), "
+                     "(VALUES (0.0::DOUBLE), (0.1::DOUBLE)) z(a)"),
     "planted_importance": "SELECT f AS feature, true AS is_share FROM (VALUES ('l_quantity_mean'), ('l_discount_mean')) v(f)",
     "planted_map": with_(*_ASKED) + (
         f"SELECT point_id, c.status, CAST(planted AS INTEGER) AS prediction, CASE WHEN planted THEN {_q(K.PREDICTION_TEXT[1])} ELSE "

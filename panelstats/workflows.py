@@ -11,18 +11,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from panelstats import constants as K
 from panelstats.functions.labels import binary_label, ordinal_label
 from panelstats.operators import agreement, attribution, boosting, distribution, model, sampling, thematic, treeshap
 from panelstats.operators.columns import score_columns
-from panelstats.operators.joins import join_label, join_on, join_with_suffixes
+from panelstats.operators.joins import fan_out_join, join_label, join_on, join_with_suffixes
 from panelstats.operators.missing import drop_any_null
 from panelstats.operators.profile import distinct_rows, mode_fill, profile
 from panelstats.session import written
-from panelstats.sources.scan import typed_scores
+from panelstats.sources.scan import rows_table, typed_scores
 
 KEY, NAME, DATE, CLASS, SPECIES, HEIGHT = "PontoID", "Ponto", "Data", "CLASS_DED", "Especie01", "Altura"
 
@@ -89,6 +90,13 @@ def train_tree(train: DataFrame, features: Sequence[str]) -> PipelineModel:
     return model.fit_tree(train, features, "ordinal", K.TREE_DEPTH, K.TREE_SEED)
 
 
+def form_rows(spark: SparkSession, values: Sequence[dict], features: Sequence[str], key: str = KEY) -> DataFrame:
+    """What a user entered, one dict per row, as a table of the model's features (S5); scores that
+    are not given are missing.  Rows are numbered by ``key``."""
+    rows = [(i, *[None if v.get(f) is None else float(v[f]) for f in features]) for i, v in enumerate(values)]
+    return rows_table(spark, rows, StructType([StructField(key, LongType())] + [StructField(f, DoubleType()) for f in features]))
+
+
 def _score(fitted, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return (boosting if isinstance(fitted, boosting.BoostedModel) else model).score(fitted, rows, keep)
 
@@ -157,7 +165,7 @@ def training_table(assessments: DataFrame, classes: DataFrame, seq: str, score_c
     x = _species_fan_out(x, assessments, key, name, species)
     x = x.withColumnRenamed(key, "_left_key")
     x = join_on(x, agreement.first_visit(assessments, name, date, seq, date_col=date_col), [name], "inner")
-    x = join_on(x, distinct_rows(classes, [name, cls, key]), [name], "inner")
+    x = fan_out_join(written(x, "profiles"), written(distinct_rows(classes, [name, cls, key]), "classes"), [name])
     row_key = F.concat_ws(":", F.col("_left_key").cast("string"), F.coalesce(F.col(species), F.lit("")), F.col(key).cast("string"))
     x = drop_any_null(x.withColumn("row_key", row_key).drop("_left_key"))
     x = x.withColumn(height, F.col(height).try_cast("double"))

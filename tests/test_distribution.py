@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from panelstats.operators.distribution import (box_outliers, box_stats, correlation_matrix, guarded_melt,
@@ -71,3 +73,26 @@ def test_correlation_and_bins(spark):
     assert abs(c[("x", "y")] - 1.0) < 1e-12 and c[("x", "y")] == c[("y", "x")] and len(c) == 4
     b = scatter_bins(df, "x", "y", "c", 5.0, 10.0).collect()
     assert sum(r["n"] for r in b) == 10
+
+
+@pytest.mark.parametrize("buckets, place_rows", [(4096, 1 << 20), (4096, 10), (2, 3), (7, 0)])
+def test_selected_quantiles_equal_sorted_ones(spark, buckets, place_rows):
+    """Skewed, tied, extreme and tiny ranges; with few buckets every range is cut many times."""
+    import numpy as np
+    from panelstats.operators.ranking import selected_quantiles
+    rng = np.random.default_rng(1)
+    values = {"even": rng.random(300), "powers": 2.0 ** rng.integers(-200, 200, 200), "ties": rng.integers(0, 3, 300).astype(float),
+              "extreme": np.array([-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 1.0]), "one": np.array([3.5]), "same": np.full(50, -2.0),
+              "signed": np.array([-0.0, 0.0, -0.0, 1.0]), None: rng.normal(size=41), "hot": np.concatenate([np.full(400, 1.0), rng.normal(size=9)])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("even", None), ("even", float("nan")), ("gone", None)]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r["g"]: r for r in selected_quantiles(df, ["g"], "v", probs, buckets, place_rows).collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        s = np.sort(vs)
+        for i, p in enumerate(probs):
+            at = (len(s) - 1) * p
+            lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
+            assert got[g][f"_q{i}"] == lo + (hi - lo) * (at - np.floor(at))
+        assert got[g]["group_n"] == len(s)

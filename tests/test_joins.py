@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from panelstats.operators.columns import drop_matching, matching_columns, score_columns
 from panelstats.operators.joins import join_on, join_with_suffixes
 
@@ -57,3 +59,32 @@ def test_registered_joins_can_fail(spark):
     assert q["join_left_two_keys"](spark, SMALL).where("status IS NULL").count() > 0
     fan = q["join_fanout"](spark, SMALL)
     assert fan.count() > fan.select("point", "l_quantity_mean", "l_tax_mean", "l_extendedprice_mean").distinct().count()
+
+
+def test_names_hot_on_both_sides_are_dealt_to_a_grid(spark):
+    from panelstats.operators.joins import fan_out_join
+    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None, i) for i in range(900)], "k string, a long")
+    right = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 60}" if i % 5 else None, i) for i in range(600)], "k string, b long")
+    want = left.join(right, ["k"])
+    got = fan_out_join(left, right, ["k"], heavy_rows=40, heavy_pairs=1000)
+    assert got.columns == want.columns and got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
+    # the product of the hot name comes from many tasks
+    hot = got.where("k = 'hot'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = fan_out_join(left, right, ["k"], heavy_rows=40, heavy_pairs=1000).where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 0.5 * hot.count()
+    assert fan_out_join(left, right, ["k"]).exceptAll(want).count() == 0
+
+
+def test_left_join_spreads_null_keys_and_reads_the_left_once(spark):
+    from panelstats.operators.joins import join_on
+    left = spark.createDataFrame([(None if i % 2 else i % 10, i) for i in range(400)], "k long, a long")
+    right = spark.createDataFrame([(i, -i) for i in range(7)], "k long, b long")
+    got = join_on(left, right, ["k"], "left")
+    assert got.columns == ["k", "a", "b"] and got.exceptAll(left.join(right, ["k"], "left")).count() == 0
+    assert got.count() == 400 and got.where("k IS NULL").count() == 200
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0

@@ -102,3 +102,7 @@ def test_search_then_explain(spark, panel):
     best, candidates = W.train_binary(train, features, n_candidates=2, max_iter=3, folds=3)
     assert candidates.count() == 2 and candidates.where("is_best").count() == 1
     assert W.explain(best, test, features).count() == test.count()
+    # entered by hand, one score left out
+    form = W.form_rows(spark, [{f: 4 for f in features}, {features[0]: 1.5}], features)
+    assert form.columns == ["PontoID", *features] and form.where(F.col(features[1]).isNull()).count() == 1
+    assert {r["PontoID"]: r["text"][:12] for r in W.explain(best, form, features).collect()} == {0: "O valor base", 1: "O valor base"}
