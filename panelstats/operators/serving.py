@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 
 from panelstats.operators import boosting
@@ -93,7 +93,7 @@ class _BoosterReader(MLReader):
         return stage
 
 
-class BoostedScorer(Transformer):
+class BoostedScorer(Transformer, MLWritable, MLReadable):
     """``keepCols`` with the booster's prediction and probability (M12); saved with its trees."""
 
     keepCols = Param(Params._dummy(), "keepCols", "columns to keep", TypeConverters.toListString)
@@ -110,13 +110,6 @@ class BoostedScorer(Transformer):
     def write(self) -> _BoosterWriter:
         return _BoosterWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> _BoosterReader:
         return _BoosterReader()
-
-    @classmethod
-    def load(cls, path: str) -> "BoostedScorer":
-        return cls.read().load(path)
