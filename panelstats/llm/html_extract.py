@@ -1,10 +1,12 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
-A page becomes a sequence of text blocks.  A classifier gives each block a score (landmark
-elements and class names it lies in, plus log-odds of its shape, learned from the blocks of
-the whole table whose landmarks leave no doubt).  Scores become the capacities of edges to
-two terminals, adjacency and DOM proximity become smoothness edges, and a maximum flow
-separates content from boilerplate at least cost.
+A page becomes a sequence of text blocks.  A classifier gives each block a score in log-odds: a
+prior for the landmark elements and class names that it lies in, and the odds of its shape,
+learned from the blocks of a bounded sample of pages whose landmarks leave no doubt.  Scores
+become the capacities of edges to two terminals, adjacency and DOM proximity become smoothness
+edges of the same order, and a maximum flow separates content from boilerplate at least cost.
+So a class name that lies about one paragraph among others is outvoted by its shape and its
+neighbours, and a page without landmarks is cut by shapes and places.
 """
 
 from __future__ import annotations
@@ -44,9 +46,12 @@ CHROME_NAMES = frozenset(
     "pagination pager search comment comments disqus respond replies reply contentinfo complementary".split())
 NOT_CHROME = frozenset("has with no without".split())
 
-LANDMARK, NEVER_SCORE = 8.0, 40.0     # score of a landmark; of elements that are never text
+# Scores in log-odds: elements that are not the article, names that say so, the article's elements,
+# and elements that are never text (which nothing outvotes).
+CHROME_SCORE, NAME_SCORE, MAIN_SCORE, NEVER_SCORE = -7.0, -5.0, 5.0, -40.0
 SHAPE_LIMIT = 3.0                     # learned score stays within this
-ADJACENT, PROXIMITY, SIBLING = 0.5, 1.0, 0.5  # smoothness weights; their sum at a node is below 4
+ADJACENT, PROXIMITY, SIBLING = 0.8, 1.5, 0.5  # smoothness weights
+SAMPLE_PAGES = 4_000                  # pages that the shapes are learned from, at most
 
 
 class Block:
@@ -61,21 +66,21 @@ def _name_score(attrs: str) -> float:
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = re.split(r"[-_]+", name)
             if not NOT_CHROME.intersection(parts) and CHROME_NAMES.intersection(parts):
-                return -LANDMARK
+                return NAME_SCORE
     return 0.0
 
 
 def _element_score(tag: str, attrs: str) -> float:
     if tag in NEVER:
-        return -NEVER_SCORE
+        return NEVER_SCORE
     if tag in CHROME:
-        return -LANDMARK
+        return CHROME_SCORE
     if tag in ("html", "body"):
         return 0.0
     score = _name_score(attrs) if attrs else 0.0
     if attrs and HIDDEN.search(attrs):
-        score = -LANDMARK
-    return score if score or tag not in MAIN else LANDMARK
+        score = CHROME_SCORE
+    return score if score or tag not in MAIN else MAIN_SCORE
 
 
 def page_blocks(page: str | None) -> list[Block]:
@@ -180,7 +185,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for page in batch.column(0).to_pylist():
             blocks = page_blocks(page)
             for i, b in enumerate(blocks):
-                if abs(b.score) == LANDMARK:
+                if b.score in (CHROME_SCORE, MAIN_SCORE):
                     label = b.score > 0
                     counts[("", label)] += 1
                     counts.update((f, label) for f in shape_features(b, i / len(blocks)))
@@ -190,13 +195,16 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                       pa.array(cols[2], pa.int64())], names=["feature", "content", "n"])
 
 
-def learn_shapes(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Log-odds of every shape value, from all blocks of all pages that lie in a landmark.
+def learn_shapes(pages: DataFrame, html_col: str = "html", id_col: str | None = None, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
+    """Log-odds of every shape value, from the blocks that lie in a landmark element, of at most
+    ``sample_pages`` pages, the first by a hash of id and html.
 
-    Each task returns its counts, so what is collected is bounded by the feature values
-    (about 50), not by the pages.
+    What is collected is bounded by the feature values (about 50), not by the pages.
     """
-    counts = (pages.select(F.col(html_col).cast("string").alias("html"))
+    text = F.col(f"`{html_col}`").cast("string")
+    key = F.xxhash64(*([F.col(f"`{id_col}`")] if id_col else []), F.octet_length(text), F.substring(text, 1, 200))
+    counts = (pages.where(text.isNotNull()).select(text.alias("html"), key.alias("key")).orderBy("key", F.octet_length("html")).limit(sample_pages)
+              .select("html").repartition(pages.sparkSession.sparkContext.defaultParallelism)
               .mapInArrow(_count_batches, "feature string, content boolean, n bigint")
               .groupBy("feature", "content").agg(F.sum("n").alias("n")).collect())
     n = {(r["feature"], r["content"]): r["n"] for r in counts}
@@ -243,7 +251,7 @@ def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bo
 
     A node whose score outweighs all its edges has its label in every minimum cut; such
     nodes are settled first and pass their edges on to their neighbours' scores.  What
-    remains is solved by augmenting along shortest paths.
+    remains is solved by a maximum flow.
     """
     near: dict[int, dict[int, float]] = {i: {} for i in range(len(scores))}
     for (i, j), w in edges.items():
@@ -261,45 +269,82 @@ def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bo
             todo.append(j)
         near[i] = {}
     rest = [i for i, x in enumerate(label) if x is None]
-    if not rest:
-        return label
-    source, sink = -1, -2
-    cap: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i in rest:
-        cap[i] = dict(near[i])
-    for i in rest:
-        if score[i] > 0:
-            cap[source][i] = score[i]
-            cap[i][source] = 0.0
-        elif score[i] < 0:
-            cap[i][sink] = -score[i]
-            cap[sink][i] = 0.0
+    if rest:
+        place = {i: k for k, i in enumerate(rest)}
+        content = _source_side([score[i] for i in rest], [(place[i], place[j], w) for i in rest for j, w in near[i].items() if i < j])
+        for i, k in place.items():
+            label[i] = content[k]
+    return label
+
+
+def _source_side(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Nodes on the source's side of a minimum cut, by blocking flows over shortest paths (every
+    phase lengthens the shortest path, and passes each arc once)."""
+    n = len(scores)
+    source, sink = n, n + 1
+    arcs: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    cap: list[float] = []
+
+    def arc(u: int, v: int, there: float, back: float) -> None:
+        arcs[u].append(len(to))
+        arcs[v].append(len(to) + 1)
+        to.extend((v, u))
+        cap.extend((there, back))
+
+    for i, j, w in edges:
+        arc(i, j, w, w)
+    for i, s in enumerate(scores):
+        if s > 0:
+            arc(source, i, s, 0.0)
+        elif s < 0:
+            arc(i, sink, -s, 0.0)
     while True:
-        came, queue = {source: None}, deque([source])
-        while queue and sink not in came:
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
             u = queue.popleft()
-            for v, c in cap[u].items():
-                if c > 1e-12 and v not in came:
-                    came[v] = u
-                    queue.append(v)
-        if sink not in came:
-            break
-        path, v = [], sink
-        while came[v] is not None:
-            path.append((came[v], v))
-            v = came[v]
-        flow = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= flow
-            cap[v][u] = cap[v].get(u, 0.0) + flow
-    for i in rest:
-        label[i] = i in came
-    return label
+            for e in arcs[u]:
+                if cap[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        nxt, path, u = [0] * (n + 2), [], source
+        while True:
+            if u == sink:
+                flow = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if cap[e] <= 1e-12)
+                u = to[path[first] ^ 1]
+                del path[first:]
+            while nxt[u] < len(arcs[u]):
+                e = arcs[u][nxt[u]]
+                if cap[e] > 1e-12 and level[to[e]] == level[u] + 1:
+                    break
+                nxt[u] += 1
+            if nxt[u] < len(arcs[u]):
+                path.append(arcs[u][nxt[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                nxt[u] += 1
+            else:
+                break
+
+
+def labelled_blocks(page: str | None, weights: dict[str, float]) -> tuple[list[Block], list[float], list[bool]]:
+    """Blocks of a page, their scores, and the labels of the minimum cut (True: content)."""
+    blocks = page_blocks(page)
+    scores = block_scores(blocks, weights)
+    return blocks, scores, min_cut(scores, smoothness(blocks))
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    blocks = page_blocks(page)
-    labels = min_cut(block_scores(blocks, weights), smoothness(blocks))
+    blocks, _, labels = labelled_blocks(page, weights)
     return "\n\n".join(b.text for b, keep in zip(blocks, labels) if keep)
 
 
@@ -321,7 +366,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     read as far as it goes; repeated rows are extracted one by one; other columns are
     ignored; an empty table gives an empty result.
     """
-    weights = learn_shapes(pages, html_col)
+    weights = learn_shapes(pages, html_col, id_col)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     kind = slim.schema["id"].dataType.simpleString()
