@@ -1,10 +1,11 @@
 """Quality rules under weak supervision.
 
-Every rule votes good (+1), bad (-1) or abstains (0) on a document.  A document's votes form
-a pattern; the patterns' counts over the whole corpus (at most 3 ** rules rows, however
-large the corpus) are all that expectation-maximisation needs to estimate each rule's
-accuracy and the share of good documents.  The posterior probability of being good then
-decides, in place of demanding that every rule passes.
+Every rule votes good (+1), bad (-1) or abstains (0) on a document, each on evidence of its own
+(rules that read the same counts are one rule, so that no evidence counts twice).  A document's
+votes form a pattern; the patterns' counts over the whole corpus (at most 3 ** rules rows, however
+large the corpus) are all that expectation-maximisation needs to estimate how often each rule
+votes each way on good and on bad documents, apart, and the share of good documents.  The
+posterior probability of being good then decides, in place of demanding that every rule passes.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ MAX_REPEAT_PERCENT = 30
 
 KEEP_FROM = 0.5          # posterior probability of good quality from which a document stays
 ITERATIONS = 200
-# Accuracies start at 0.8 and are smoothed by as many imagined votes of that accuracy.
+# A vote is taken to be right with this probability before anything is learned, with the weight of
+# so many imagined documents, a share of them good.
 START_ACCURACY, START_VOTES, START_GOOD = 0.8, 20.0, 0.8
+MAX_EVIDENCE, MAX_SILENCE = 4.6, 0.5   # log-odds that one vote, or abstaining, gives at most
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-         "n_lines", "n_upper", "n_lower", "n_exclaim", "n_stops", "n_same")
+         "n_lines", "n_upper", "n_lower", "n_exclaim", "n_stops", "n_same", "n_short", "n_distinct", "entropy")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) | 1 for k in range(WINDOW)], dtype=object)
 _MULTIPLIERS = (_MULTIPLIERS % (1 << 64)).astype(np.uint64)
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -70,7 +73,8 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
-    """The counts named in ``STATS`` of one whole text; NULL counts as empty."""
+    """The counts named in ``STATS`` of one whole text; NULL counts as empty.  Short words have at
+    most three bytes, the entropy is that of the bytes, in thousandths of a bit."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()  # bytes.split() cuts at exactly the six characters of WHITE
@@ -84,7 +88,15 @@ def text_stats(text: str | None) -> tuple[int, ...]:
             seen.add(line)
     return (len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), dup,
             repeated_words(words), lines, len(raw) - len(raw.translate(None, _UPPER)),
-            len(raw) - len(raw.translate(None, _LOWER)), text.count("!"), text.count("."), sum(map(eq, words, words[1:])))
+            len(raw) - len(raw.translate(None, _LOWER)), text.count("!"), text.count("."), sum(map(eq, words, words[1:])),
+            sum(len(w) < 4 for w in words), len(set(words)), byte_entropy(raw))
+
+
+def byte_entropy(raw: bytes) -> int:
+    """Entropy of the bytes, letters A-Z as a-z, in thousandths of a bit."""
+    n = np.bincount(np.frombuffer(raw.lower(), np.uint8), minlength=256)
+    share = n[n > 0] / max(1, len(raw))
+    return int(round(-1000 * float((share * np.log2(share)).sum())))
 
 
 def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,46 +131,60 @@ def votes() -> dict[str, Column]:
     marks = F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     stops, upper = F.col("n_stops") / words, F.col("n_upper") / F.greatest(letters, F.lit(1)).cast("double")
     dups = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
+    short = F.col("n_short") / words
+    many = F.col("n_words") >= MIN_WORDS
     return {
-        "length": _vote(F.col("n_words") < MIN_WORDS),
+        "length": _vote(~many),
         "word_length": _vote((mean < 2) | (mean > 20)),
-        "symbols": _vote(symbols > 0.3, symbols <= 0.05),
-        "marks": _vote(marks > 0.05, marks <= 0.01),
+        "symbols": _vote((symbols > 0.3) | (marks > 0.05), (symbols <= 0.05) & (marks <= 0.01)),
         "upper_case": _vote((upper > 0.6) & (letters > 20)),
         "exclaims": _vote(F.col("n_exclaim") / words > 0.3),
         "dup_lines": _vote((dups > 0.5) & (F.col("n_lines") > 3)),
         "repeats": _vote(F.col("n_repeat_words") / words > 0.3),
         "stutter": _vote(F.col("n_same") / words > 0.3),
-        "sentences": _vote(stops > 1.0, stops.between(0.01, 0.34) & (symbols <= 0.1) & (F.col("n_same") / words <= 0.1)),
+        "sentences": _vote(stops > 1.0, stops.between(0.01, 0.34)),
+        "function_words": _vote(many & ((short < 0.12) | (short > 0.48)), short.between(0.22, 0.44)),
+        "variety": _vote(many & (F.col("n_distinct") / F.pow(words, F.lit(0.75)) < 1.5)),
+        "entropy": _vote(many & ((F.col("entropy") < 3500) | (F.col("entropy") > 4900))),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS):
-    """(accuracy per rule, share of good) from (votes, count) rows, by EM.
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[np.ndarray, float]:
+    """(evidence, share of good) from (votes, count) rows, by EM.
 
-    One-coin model: given that a rule votes, it is right with its accuracy, independently of
-    the others.  Accuracies stay within [0.51, 0.99], so a rule never counts against its own
-    vote and none decides alone.
+    ``evidence[rule]`` has the log-odds of good that the votes -1, 0 and +1 give.  Given a document's
+    class, rules vote independently, each with its own rates on good and on bad documents (so a
+    rule may be right about bad documents only).  A vote never speaks against itself, none
+    decides alone, and abstaining says little.
     """
     patterns = sorted(patterns)
     n_rules = len(patterns[0][0]) if patterns else 0
-    accuracy, good = np.full(n_rules, START_ACCURACY), START_GOOD
     if not patterns:
-        return accuracy, good
-    vote = np.array([p for p, _ in patterns], dtype=float)
+        return np.zeros((0, 3)), START_GOOD
+    vote = np.array([p for p, _ in patterns], dtype=int)
     count = np.array([c for _, c in patterns], dtype=float)
+    cast = np.stack([(vote == v) for v in (-1, 0, 1)], axis=2).astype(float)      # patterns x rules x votes
+    rate = np.einsum("p,prv->rv", count, cast) / count.sum()
+    right = np.array([1 - START_ACCURACY, START_GOOD, START_ACCURACY])             # P(good | vote), before learning
+    prior = np.stack([rate * (1 - right) / (1 - START_GOOD), rate * right / START_GOOD])  # class x rules x votes
+    prior = (prior + 1e-3) / (prior + 1e-3).sum(axis=2, keepdims=True)
+    weight = START_VOTES * np.array([1 - START_GOOD, START_GOOD])
+    theta, good = prior, START_GOOD
+    limits = np.array([[-MAX_EVIDENCE, -0.02], [-MAX_SILENCE, MAX_SILENCE], [0.02, MAX_EVIDENCE]])
+    evidence = np.zeros((n_rules, 3))
     for _ in range(iterations):
-        logit = math.log(good / (1 - good)) + vote @ np.log(accuracy / (1 - accuracy))
+        new = np.clip(np.log(theta[1]) - np.log(theta[0]), limits[:, 0], limits[:, 1])
+        logit = math.log(good / (1 - good)) + np.einsum("prv,rv->p", cast, new)
         post = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-        right = ((vote > 0) * post[:, None] + (vote < 0) * (1 - post)[:, None]).T @ count
-        cast = (vote != 0).T @ count
-        new = np.clip((right + START_ACCURACY * START_VOTES) / (cast + START_VOTES), 0.51, 0.99)
+        both = np.stack([(1 - post) * count, post * count])
+        seen = np.einsum("cp,prv->crv", both, cast)
+        theta = (seen + weight[:, None, None] * prior) / (both.sum(axis=1) + weight)[:, None, None]
         share = float(np.clip(post @ count / count.sum(), 0.01, 0.99))
-        done = np.abs(new - accuracy).max() < 1e-10 and abs(share - good) < 1e-10
-        accuracy, good = new, share
+        done = np.abs(new - evidence).max() < 1e-10 and abs(share - good) < 1e-10
+        evidence, good = new, share
         if done:
             break
-    return accuracy, good
+    return evidence, good
 
 
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,10 +201,10 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     cols = [f"v_{name}" for name in rules]
     patterns = [(tuple(r[c] for c in cols), r["n"])
                 for r in stats.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()]  # <= 3 ** rules rows
-    accuracy, good = fit_accuracies(patterns)
+    evidence, good = fit_rules(patterns)
     logit = F.lit(math.log(good / (1 - good)))
-    for name, a in zip(cols, accuracy):
-        logit = logit + F.col(name) * F.lit(math.log(a / (1 - a)))
+    for name, (bad, none, fine) in zip(cols, evidence.tolist()):
+        logit = logit + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, fine).otherwise(none)
     quality = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return stats.select(F.col("id").alias(id_col), *STATS[:5], failed.alias("base_failed"),
