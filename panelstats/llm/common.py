@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,29 @@ def shared_root(spark: SparkSession) -> str:
     return (spark.sparkContext.getCheckpointDir() or root).rstrip("/")
 
 
+_OPEN: list[list[str]] = []  # paths handed out within the open scratch blocks
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/panelstats-{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/panelstats-{purpose}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within the block go when it ends: for a caller that writes the
+    result within it, under a path taken before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for uri in _OPEN.pop():
+            store, path = filesystem(uri)
+            if store.get_file_info(path).type.name == "Directory":
+                store.delete_dir(path)
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

@@ -5,6 +5,9 @@ file next to their strings.  Spark ships the files to every executor (``addFile`
 memory-map them, so all workers of a machine share one copy.  For a batch of URLs every key
 that could fit (host suffix x path prefix) is hashed, probed by a vectorised binary search,
 and a hit counts only after its stored string is compared in full.
+
+A rule list may be a table: its keys are then digested, range-sorted by digest and written as
+index parts by Spark tasks, each part one range of digests; the driver sees the parts' names.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from panelstats.llm.common import put_file, shared_dir
+from panelstats.llm.common import put_file, shared_dir, written
 
 # Fixed values of the contract: (verdict, rule).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -162,19 +167,63 @@ def ship_index(spark: SparkSession, rules: Iterable[tuple[str, str]], max_bytes:
     return stems
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, *, id_col: str = "page_id",
+def _index_parts(folder: str):
+    """Sorted (verdict, rule) rows of one range of digests to the files of an index part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = [(v, r) for batch in batches for v, r in zip(batch.column("verdict").to_pylist(), batch.column("rule").to_pylist())]
+        stems = [f"urls-{uuid.uuid4().hex}"] if rules else []
+        for stem in stems:  # a part is bounded by the range's bytes; a lost attempt leaves files that nobody names
+            for suffix, data in build_index(rules).items():
+                put_file(f"{folder}/{stem}.{suffix}", data)
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string())], ["stem"])
+
+    return run
+
+
+@F.pandas_udf(LongType())
+def _ordered_digest(rule: pd.Series) -> pd.Series:
+    """The digest as a signed number of the same order."""
+    return rule.map(lambda r: digest(r) - (1 << 63)).astype("int64")
+
+
+def ship_index_table(rules: DataFrame, max_bytes: int = INDEX_BYTES) -> tuple[list[str], tuple]:
+    """Index parts of a table (verdict, rule), built by tasks; and the rules' shapes.  Of equal
+    rules block holds; rows with NULLs or other verdicts are left out."""
+    spark = rules.sparkSession
+    rules = (rules.select(F.col("rule").cast("string").alias("rule"), F.col("verdict").cast("string").alias("verdict"))
+             .where(F.col("verdict").isin("allow", "block") & F.col("rule").isNotNull())
+             .groupBy("rule").agg(F.max("verdict").alias("verdict")))
+    rules = written(rules.withColumn("digest", _ordered_digest("rule")), "url-rules")
+    host, path = F.substring_index("rule", "/", 1), F.length("rule") - F.length(F.substring_index("rule", "/", 1))
+    about = rules.agg(F.sum(F.octet_length("rule") + 17).alias("bytes"), F.collect_set(F.size(F.split(host, "\\."))).alias("labels"),
+                      F.collect_set(path).alias("lengths")).first()
+    parts = max(1, -(-(about["bytes"] or 0) // max_bytes))
+    folder = shared_dir(spark, "url-index")
+    made = rules.repartitionByRange(parts, "digest").mapInArrow(_index_parts(folder), "stem string")
+    stems = [r["stem"] for r in written(made, "url-index-parts").collect()]  # one per part
+    for stem in stems:
+        for suffix in ("keys", "offs", "text"):
+            spark.sparkContext.addFile(f"{folder}/{stem}.{suffix}")
+    return stems, (tuple(sorted(about["labels"])), tuple(sorted(about["lengths"])))
+
+
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame = RULES, *, id_col: str = "page_id",
                url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """host, path, rule and verdict of every row's URL, with ``id_col``.
 
     A rule ``host/path`` fits its host and all subdomains if the URL's path starts with the
     rule's; the longest wins.  Without one, rule is NULL and the verdict is ``default``.
     NULL urls and urls without ``://`` have an empty host and path, which no rule fits;
-    repeated rows are judged one by one; other columns are ignored.
+    repeated rows are judged one by one; other columns are ignored; an empty table gives no rows.
+    ``rules`` are (verdict, rule) pairs, or a table with these columns for lists of any length.
     """
-    rules = [(v, r) for v, r in rules]
-    stems = ship_index(pages.sparkSession, rules)
+    if isinstance(rules, DataFrame):
+        stems, shapes = ship_index_table(rules)
+    else:
+        rules = [(v, r) for v, r in rules]
+        stems, shapes = ship_index(pages.sparkSession, rules), _shapes(rules)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     kind = slim.schema["id"].dataType.simpleString()
-    return (slim.mapInArrow(_judge(stems, _shapes(rules), default),
+    return (slim.mapInArrow(_judge(stems, shapes, default),
                             f"id {kind}, host string, path string, rule string, verdict string")
             .withColumnRenamed("id", id_col))

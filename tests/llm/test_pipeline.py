@@ -60,3 +60,15 @@ def test_no_local_checkpoint_or_cross_join():
     top = Path(corpus_pipeline.__file__).parent
     for f in [top / "corpus_pipeline.py", *(top / "panelstats" / "llm").glob("*.py")]:
         assert not re.search(r"localCheckpoint|crossJoin|except ImportError", f.read_text()), f
+
+
+def test_tables_of_a_run_are_released(spark):
+    from panelstats.llm import common
+    kept = common.shared_dir(spark, "kept")
+    with common.scratch(spark):
+        df = common.written(spark.range(5).toDF("x"), "gone")
+        (gone,) = {f.rpartition("/")[0] for f in df.inputFiles()}
+        df.write.parquet(kept)
+    store, path = common.filesystem(gone)
+    assert store.get_file_info(path.replace("file://", "")).type.name == "NotFound"
+    assert spark.read.parquet(kept).count() == 5

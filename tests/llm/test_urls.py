@@ -5,6 +5,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import SparkFiles
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -57,3 +59,32 @@ def test_probe_confirms_strings_under_collisions(tmp_path, hash_fn):
 def test_no_rules():
     files = uf.build_index([])
     assert files["keys"] == b"" and files["text"] == b""
+
+
+def test_a_table_of_a_million_rules(spark):
+    """Index parts are sorted ranges written by tasks; verdicts follow the longest listed rule."""
+    n = 1_000_000
+    rules = spark.range(n).select(F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"),
+                                  F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".org/"), F.when(F.col("id") % 2 == 0, "en/").otherwise("")).alias("rule"))
+    rules = rules.unionByName(spark.createDataFrame([("allow", "org/"), ("allow", "h9.org/"), ("block", "h9.org/"), (None, "x.com/"), ("maybe", "y.com/"), ("block", None)],
+                                                    "verdict string, rule string"))
+    stems, shapes = uf.ship_index_table(rules, max_bytes=8 << 20)
+    assert len(stems) > 2 and shapes == ((1, 2), (1, 4))
+    last = -1
+    ranges = sorted((int(k[0]), int(k[-1])) for k in (uf.DigestArray(SparkFiles.get(s)).keys for s in stems))
+    for lo, hi in ranges:
+        assert last < lo <= hi
+        last = hi
+    urls = [f"http://a.h{i}.org/{'en/' if i % 4 == 0 else ''}x" for i in range(0, n, 9973)] + ["http://h9.org/", "http://x.com/", "http://y.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge_urls(pages, rules).collect()}
+    for k, i in enumerate(range(0, n, 9973)):
+        listed = f"h{i}.org/" + ("en/" if i % 2 == 0 else "")
+        fits = i % 2 == 1 or i % 4 == 0
+        assert got[k] == ((listed, "block" if i % 3 == 0 else "allow") if fits else ("org/", "allow"))
+    assert [got[k] for k in range(len(urls) - 3, len(urls))] == [("h9.org/", "block"), (None, "allow"), (None, "allow")]
+
+
+def test_an_empty_rule_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert [r.verdict for r in uf.judge_urls(pages, spark.createDataFrame([], "verdict string, rule string")).collect()] == ["allow"]
