@@ -29,7 +29,7 @@ from panelstats.plans.catalog import MEANS, _damaged, _scored_classes, training_
 from panelstats.plans.fixtures import round_doubles
 from panelstats.functions.repair import repair_date_score
 from panelstats.sources.scan import write_table
-from panelstats.session import checkpoint_root, conf_int, shared_path, spread_rows, written
+from panelstats.session import checkpoint_root, conf_int, scratch, shared_path, spread_rows, written
 
 BOOSTED_FEATURES = MEANS                                     # the four mean scores
 TREE_FEATURES = ["l_quantity_mean", "l_discount_mean", "l_tax_mean"]
@@ -104,7 +104,8 @@ def _stored(spark, sf, name: str, params: Params, fit) -> boosting.BoostedModel:
     """The booster stored for this data and these parameters; fitted and stored if there is none."""
     final, store = _place(spark, sf, name, {"params": params})
     if not store.exists(final):
-        _put(spark, final, store, boosting.save(fit(), shared_path(spark, "models", name), spark))
+        with scratch(spark):
+            _put(spark, final, store, boosting.save(fit(), shared_path(spark, "models", name), spark))
     return boosting.load(spark, final.toString())
 
 
@@ -112,9 +113,10 @@ def _stored_table(spark, sf, name: str, params: dict, build) -> DataFrame:
     """The same for a table."""
     final, store = _place(spark, sf, name, params)
     if not store.exists(final):
-        temp = shared_path(spark, "tables", name)
-        build().write.parquet(temp)
-        _put(spark, final, store, temp)
+        with scratch(spark):  # what was written on the way; the result is moved out of it
+            temp = shared_path(spark, "tables", name)
+            build().write.parquet(temp)
+            _put(spark, final, store, temp)
     return spark.read.parquet(final.toString())
 
 

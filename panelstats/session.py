@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +78,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _checkpoint_root(spark)
 
 
+_OPEN: list[list[str]] = []  # paths handed out within the open scratch blocks
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables, models)."""
     root = _checkpoint_root(spark).rstrip("/")
-    return "/".join([root, "panelstats", *parts, uuid.uuid4().hex])
+    path = "/".join([root, "panelstats", *parts, uuid.uuid4().hex])
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables and models that are written within the block go when it ends: for a caller that
+    consumes or stores the result within it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for uri in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -134,11 +156,16 @@ def small_table(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, boo
     return table, measured_bytes(table) <= limit
 
 
+SPREAD_BYTES = 1 << 30  # estimated size up to which a table is dealt to the cores
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy stages (model fitting, Python attribution) at least one task per core;
+    """Give CPU-heavy stages (model fitting, Python attribution) at least one task per core where
     byte-based sizing would pack a small but expensive table into one.  Round-robin, so a hot
-    key cannot skew it, and nothing is counted first."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    key cannot skew it; a table that the optimiser estimates beyond ``SPREAD_BYTES`` has tasks
+    enough and stays as it is."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate <= SPREAD_BYTES else df
 
 
 def maybe_broadcast(df: DataFrame, is_small: bool) -> DataFrame:
