@@ -11,6 +11,6 @@ the DataFrame API and left to Catalyst/AQE.  Sub-packages:
 - ``streaming`` incremental ingest of assessment files
 """
 
-from panelstats.session import get_session, shared_path, reliable_checkpoint
+from panelstats.session import get_session, shared_path, scratch
 
-__all__ = ["get_session", "shared_path", "reliable_checkpoint"]
+__all__ = ["get_session", "shared_path", "scratch"]

@@ -13,6 +13,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelstats import constants as K
 from panelstats.functions.labels import binary_label, ordinal_label
 from panelstats.functions.repair import repair_date_score, was_date_repaired
 from panelstats.functions.scalar import sigmoid
@@ -346,11 +347,11 @@ def _priorities(spark, sf):
 
 
 def stratified_split(spark, sf):
-    return sampling.stratified_split(_priorities(spark, sf), "o_orderkey", "o_orderpriority", 0.3, 667)
+    return sampling.stratified_split(_priorities(spark, sf), "o_orderkey", "o_orderpriority", K.TEST_SHARE, K.SPLIT_SEED)
 
 
 def stratified_folds(spark, sf):
-    return sampling.stratified_folds(_priorities(spark, sf), "o_orderkey", "o_orderpriority", 5, 667)
+    return sampling.stratified_folds(_priorities(spark, sf), "o_orderkey", "o_orderpriority", K.N_FOLDS, K.SPLIT_SEED)
 
 
 def split_sizes(spark, sf):

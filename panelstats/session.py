@@ -122,12 +122,6 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table as Parquet to the shared folder and read it back: cuts the lineage,
     survives lost executors, and lets every reader prune columns and push filters."""
