@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import math
 import re
 import sys
 from pathlib import Path
@@ -10,11 +11,25 @@ from test_decontaminate import by_force as contaminated
 from test_line_dedup import by_force as deduplicated
 
 import corpus_pipeline
+from panelstats.llm import toxicity
 from panelstats.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
 
+def rejected(model, text):
+    """P(grade >= 1) of 0.6 or more, from the model's weights by plain counting."""
+    words = set(re.findall(r"[^\W_]+", (text or "").lower()))
+    score = 0.0
+    for f, w in model.weights.items():
+        kind, stem = f.lstrip("23")[0], f.lstrip("23")[1:]
+        n = sum(x == stem if kind == "=" else x.startswith(stem) for x in words)
+        if f[0] in "23":
+            n = int(n >= int(f[0]))
+        score += w * math.log1p(n)
+    return bool(model.thresholds) and 1 / (1 + math.exp(-(score - model.thresholds[0]))) >= 0.6
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -29,7 +44,8 @@ def test_stages(spark):
         if name != "source_mixing":
             assert out.columns == docs.columns
         if name == "toxicity":
-            assert set(after) <= set(before) and len(after) >= 0.8 * len(before)
+            model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert after == sorted((i, t) for i, t in before if not rejected(model, t)) and len(after) >= 0.8 * len(before)
         elif name == "line_dedup":
             assert after == sorted((i, t) for i, t, left in deduplicated(before) if left)
             assert all(r.n_chars == len(r.text) for r in out.collect())
