@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from panelstats.session import file_system, shared_path, ship_package
 
 MISSING = 255               # bin of missing values; others are 0..254
-FINISH_ROWS = 65_536        # rows of a node that one task may finish
+FINISH_ROWS = 1 << 18       # rows of a node that one task may finish (a few MB)
 ROW_TREES = 20_000          # rows x trees that are worth a task
 QUANTUM = float(1 << 24)
 TINY = 1e-6                 # gains up to it do not split
