@@ -203,8 +203,11 @@ def learn_shapes(pages: DataFrame, html_col: str = "html", id_col: str | None =
     """
     text = F.col(f"`{html_col}`").cast("string")
     key = F.xxhash64(*([F.col(f"`{id_col}`")] if id_col else []), F.octet_length(text), F.substring(text, 1, 200))
-    counts = (pages.where(text.isNotNull()).select(text.alias("html"), key.alias("key")).orderBy("key", F.octet_length("html")).limit(sample_pages)
-              .select("html").repartition(pages.sparkSession.sparkContext.defaultParallelism)
+    keyed = pages.where(text.isNotNull()).select(key.alias("key"), text.alias("html"))
+    # the cut is found on keys alone; equal pages of one id count once, however many there are
+    cut = keyed.select("key").distinct().orderBy("key").limit(sample_pages).agg(F.max("key")).first()[0]
+    sample = keyed.where(F.col("key") <= F.lit(cut)).groupBy("key").agg(F.min("html").alias("html")).select("html")
+    counts = (sample.repartition(pages.sparkSession.sparkContext.defaultParallelism)
               .mapInArrow(_count_batches, "feature string, content boolean, n bigint")
               .groupBy("feature", "content").agg(F.sum("n").alias("n")).collect())
     n = {(r["feature"], r["content"]): r["n"] for r in counts}
