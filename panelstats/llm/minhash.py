@@ -14,9 +14,11 @@ they could agree on, and each part gets a leader of its own.  These two rounds j
 what belongs together with pairs that grow with the documents.  In the last round the members of
 a bucket that are still in different classes are compared: those outside its largest class with
 each other and with that class, in blocks of bounded size, each pair in the first bucket it
-shares.  Only pairs whose 64 registers, and then the 512 registers of a finer signature (of the
-texts of this round), allow the threshold leave a block; no other pair is written.  A pair is a
-link if its similarity, computed from the whole texts, is 0.8 or more.
+shares.  Pairs whose 64 registers, and then the 512 registers of a finer signature (of the
+texts of this round), allow the threshold are verified within the block from all shingles of the
+texts; a link joins two classes, whose other pairs need no test any more.  So a block gives fewer
+links than it has classes, and no other pair is written.  A pair is a link if its similarity,
+computed from the whole texts, is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -235,13 +237,18 @@ def fine_sketch(shingles: np.ndarray, counts: np.ndarray) -> bytes:
 def _sketch_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles_of = Shingler()
     for batch in batches:
-        fine = [fine_sketch(*shingles_of(t)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["key", "fine"])
+        found = [shingles_of(t) for t in batch.column(1).to_pylist()]
+        fine = [fine_sketch(*f) for f in found]
+        grams = [shingles.tobytes() for shingles, _ in found]
+        times = [counts.astype(np.int32).tobytes() if counts.max(initial=1) > 1 else b"" for _, counts in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (fine, grams, times))],
+                                         ["key", "fine", "grams", "times"])
 
 
 def _cross(table: pa.Table) -> pa.Table:
-    """Pairs (a, b) of the two sides of a block, or within its only side, that are of different
-    classes, share no earlier bucket, and whose signatures allow a similarity of the threshold."""
+    """Links (a, b) between the two sides of a block, or within its only side: pairs of different
+    classes that share no earlier bucket, whose signatures allow a similarity of the threshold and whose
+    shingles reach it.  The classes of a link are one from then on."""
     side, band = table.column("side").to_numpy(), table.column("band")[0].as_py()
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     within = table.column("i")[0].as_py() == table.column("j")[0].as_py() and not table.column("heavy")[0].as_py()
@@ -249,21 +256,31 @@ def _cross(table: pa.Table) -> pa.Table:
     _, root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)
     sketch, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(keys), -1) for c in ("sketch", "fine"))
     bands = np.asarray(table.column("bands").combine_chunks().values).reshape(len(keys), BANDS)[:, :band]
+    grams, times = table.column("grams"), table.column("times")
     a, b = [], []
+
+    def shingles_of(i):
+        shingles, counts = np.frombuffer(grams[i].as_py(), np.uint64), np.frombuffer(times[i].as_py(), np.int32)
+        return shingles, counts if len(counts) else np.ones(len(shingles), np.int32)
+
     for k, u in enumerate(x):
         v = x[k + 1:] if within else y
         v = v[(root[v] != root[u]) & ~(bands[v] == bands[u]).any(axis=1)]
         v = v[(sketch[v] == sketch[u]).sum(axis=1) >= MIN_AGREE]
         differ = fine[v] ^ fine[u]
         v = v[((differ & 0x0F) == 0).sum(axis=1) + ((differ & 0xF0) == 0).sum(axis=1) >= FINE_AGREE]
-        a += [max(keys[u], keys[w]) for w in v]
-        b += [min(keys[u], keys[w]) for w in v]
+        own = shingles_of(u) if len(v) else None
+        for w in v:
+            if root[w] != root[u] and probability_jaccard(*own, *shingles_of(w)) >= THRESHOLD - 1e-12:
+                root[root == root[w]] = root[u]
+                a.append(max(keys[u], keys[w]))
+                b.append(min(keys[u], keys[w]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def _remaining(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket and are still in different classes, where
-    their signatures allow a similarity of the threshold.
+    """Links (a, b) that join the classes of texts that share a bucket and are still in different
+    classes.
 
     The members of a bucket outside its largest class (the rest) and those of that class are cut
     into blocks by the hash of the key; a task compares a block of the rest with a block of either.
@@ -277,7 +294,7 @@ def _remaining(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     members = written(rows.join(mixed, "bucket").select("bucket", "band", "key", F.col("root") == F.col("largest"), "heavy_blocks", "rest_blocks")
                       .toDF("bucket", "band", "key", "is_heavy", "heavy_blocks", "rest_blocks"), "mixed-members")
     wanted = written(members.select(F.col("key").alias("__key")).distinct(), "wanted")
-    fine = written(_texts_of(wanted, docs, text_col).mapInArrow(_sketch_finely, "key binary, fine binary"), "fine-sketches")
+    fine = written(_texts_of(wanted, docs, text_col).mapInArrow(_sketch_finely, "key binary, fine binary, grams binary, times binary"), "fine-sketches")
     own = F.pmod(F.xxhash64("key"), F.when(F.col("is_heavy"), F.col("heavy_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
 
     def place(heavy, i, j, side):
@@ -288,7 +305,7 @@ def _remaining(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
         F.transform(each_rest, lambda r: place(False, F.least(F.col("own"), r), F.greatest(F.col("own"), r), F.col("own") > r))))
     dealt = (members.withColumn("own", own).select("bucket", "band", "key", F.explode(places).alias("p")).select("bucket", "band", "key", "p.*")
              .join(nodes.select("key", "root", "sketch", "bands").join(fine, "key"), "key"))
-    return written(dealt.groupBy("bucket", "heavy", "i", "j").applyInArrow(_cross, "a binary, b binary"), "pairs")
+    return written(dealt.groupBy("bucket", "heavy", "i", "j").applyInArrow(_cross, "a binary, b binary"), "links")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -324,8 +341,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     links = written(links.unionByName(_verified(second, docs, text_col)), "links")
     roots = written(connected_components(links), "roots")
     nodes = written(nodes.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "candidates")
-    last = _untested(_remaining(nodes, docs, text_col), written(first.unionByName(second), "tested"))
-    found = _verified(last, docs, text_col)
+    found = _remaining(nodes, docs, text_col)
     if not found.isEmpty():
         links = written(links.unionByName(found), "links")
         roots = written(connected_components(links), "roots")

@@ -169,6 +169,27 @@ def test_last_round_emits_no_pairs_of_a_family_below_the_threshold(spark):
     assert got == classes_by_force(texts) and found[0] < 3000  # of 45,000 pairs
 
 
+def test_last_round_writes_links_only(spark):
+    """Texts alike at 0.73 pass the signatures; the blocks verify them and write links only, at most
+    one for every class that is joined."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(200)], {}
+    for i in range(200):
+        own = list(base)
+        for k in rng.sample(range(200), 3):
+            own[k] = word()
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found, real = [], mh._remaining
+    try:
+        mh._remaining = lambda *a: found.append(real(*a).count()) or real(*a)
+        got = {r.doc_id: r.class_id for r in mh.near_duplicates(docs).collect()}
+    finally:
+        mh._remaining = real
+    assert got == classes_by_force(texts) and found[0] < 200  # of 19,900 pairs
+
+
 def test_equal_rows_but_for_another_column_stay_once(spark):
     docs = spark.createDataFrame([(1, "one two three four five six", s) for s in ("b", "a", None, "c")], "doc_id long, text string, source string")
     for order in (1, 2):
