@@ -49,16 +49,18 @@ def line_words(line: Column) -> Column:
 
 def _half_keys(ws: Column) -> Column:
     """(key, side) of the halves that a near line of the same length, one word more or one
-    word less would share; side 0 is a beginning, 1 an end."""
+    word less would share; side 0 is a beginning, 1 an end.  A line has three: an even number of
+    words has two beginnings and one end, an odd number one beginning and two ends."""
     n = F.size(ws)
-    keys = []
-    for less in (0, 1):
-        length = n - F.lit(less)
-        head = F.floor(length / 2).cast("int")
-        tail = length - head
-        keys += [F.struct(F.xxhash64(F.lit(0), F.slice(ws, F.lit(1), head)).alias("h"), F.lit(0).alias("side")),
-                 F.struct(F.xxhash64(F.lit(1), F.slice(ws, n - tail + F.lit(1), tail)).alias("h"), F.lit(1).alias("side"))]
-    return F.when(n >= EDIT_MIN_WORDS, F.array_distinct(F.array(*keys)))
+    half = F.floor(n / 2).cast("int")
+
+    def head(length: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(0), F.slice(ws, F.lit(1), length)).alias("h"), F.lit(0).alias("side"))
+
+    def tail(length: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(1), F.slice(ws, n - length + F.lit(1), length)).alias("h"), F.lit(1).alias("side"))
+    other = F.when(n % 2 == 0, head(half - F.lit(1))).otherwise(tail(half))
+    return F.when(n >= EDIT_MIN_WORDS, F.array(head(half), tail(n - half), other))
 
 
 def _text_keys(text: Column) -> list[Column]:

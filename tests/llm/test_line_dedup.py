@@ -7,6 +7,7 @@ from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import awkward_docs, empty_docs
@@ -132,3 +133,21 @@ def test_awkward_and_empty(spark):
     check(spark, [(r.doc_id, r.text) for r in docs.collect()])
     assert ld.drop_duplicate_lines(docs).columns == docs.columns
     assert ld.drop_duplicate_lines(empty_docs(spark)).count() == 0 and ld.line_report(docs).count() == docs.count()
+
+
+def test_half_keys_are_three_distinct_ones(spark):
+    """Each line names the halves of its length and of one word less, none twice; the third half is
+    chosen by the length instead of being found among four."""
+    keys = ld._half_keys(F.col("ws"))
+    lines = spark.createDataFrame([(n, [f"w{i}" for i in range(n)]) for n in range(1, 14)], "n int, ws array<string>")
+    parts = [(n, side, [f"w{i}" for i in range(n)][:k // 2] if side == 0 else [f"w{i}" for i in range(n)][n - (k - k // 2):])
+             for n in range(1, 14) for k in (n, n - 1) for side in (0, 1)]
+    want = {}
+    for r in spark.createDataFrame(parts, "n int, side int, w array<string>").select("n", "side", F.xxhash64("side", "w").alias("h")).collect():
+        want.setdefault(r.n, set()).add((r.h, r.side))
+    for r in lines.select("n", keys.alias("halves")).collect():
+        if r.n < ld.EDIT_MIN_WORDS:
+            assert r.halves is None
+        else:
+            assert len(r.halves) == 3 and {(h.h, h.side) for h in r.halves} == want[r.n]
+    assert "array_distinct" not in str(keys)
