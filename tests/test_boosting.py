@@ -4,6 +4,7 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,22 @@ def test_attribution_equals_brute_force_through_default_branches(spark, monkeypa
     total = att.groupBy("id").agg((F.max("base") + F.sum("contribution")).alias("t"))
     assert total.join(margin, "id").where(F.abs(F.col("t") - F.col("margin")) > 1e-9).count() == 0
     assert att.where("feature = 'a' AND value IS NULL").count() == df.where("a IS NULL").count()
+
+
+def test_a_task_sends_one_histogram_per_node():
+    """However many batches a task reads, and equal to the histogram of all its rows at once."""
+    rng = np.random.default_rng(2)
+    n = 900
+    bins = rng.integers(0, 20, (n, 2)).astype(np.uint8)
+    plan = B.Plan((B.Params(),), (-1,), False, (0.0,), 1, 2, 0)
+    label = rng.integers(0, 2, n).astype(np.int32)
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(label), pa.array(np.full(n, -2, np.int32)), pa.array([b.tobytes() for b in bins], pa.binary()),
+         pa.array([np.zeros(1).tobytes()] * n, pa.binary())], ["row", "label", "fold", "bins", "margin"])
+    batches = [whole.slice(a, 100) for a in range(0, n, 100)]
+    split = {k: np.array([v]) for k, v in {"feature": 0, "bin": 9, "default_left": False, "left": B.OPEN, "right": B.OPEN, "value": 0.0}.items()}
+    sent = [r for b in B._emit(plan, 0, [], {0: {"": split}}, {0: {"L": False, "R": False}})(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["path"] for r in sent) == ["L", "R"]
+    for r in sent:
+        here = (bins[:, 0] <= 9) == (r["path"] == "L")
+        assert np.frombuffer(r["payload"]).reshape(3, 2, 256)[2, 1].tolist() == np.bincount(bins[here, 1], minlength=256).tolist()
