@@ -326,6 +326,7 @@ def test_models_in_turn_equal_models_at_once(spark, monkeypatch, outputs, finish
     grown = {}
     room = (900 // 4 + 1) * (3 + 64 + 16 * 3 * outputs) + 900     # three models a task
     for held, batch, finish in ((1 << 30, 1 << 20, 1 << 20), (room, 150, finish_rows)):
+        monkeypatch.setattr(B, "COUNT_ROWS", 0 if held == room else 1 << 18)
         monkeypatch.setattr(B, "HELD_BYTES", held)
         monkeypatch.setattr(B, "BATCH_ROWS", batch)
         done = B.train(df, FEATURES, label, ps, classes, id_col="id", fold_col="fold", folds=3, finish_rows=finish)
